@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratacube.llm import exact_dedup, ngram_join, suffix_dedup
+from stratacube.llm import exact_dedup, language_id, ngram_join, packing, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,11 +21,32 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", suffix_dedup.sha256_hex("kept").alias("kept_sha256"))
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.best_fit_packing(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), capacity=2048, end_id=0)
+    return out.withColumnRenamed("id", "doc_id")
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op1_ngram_join": op1_ngram_join, "op2_suffix_dedup": op2_suffix_dedup, "op9_exact_dedup": op9_exact_dedup}
+QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
+    "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op5_language_id": op5_language_id,
+    "op9_exact_dedup": op9_exact_dedup,
+}
 
 ORACLE_SQL = {
     "op9_exact_dedup": """
