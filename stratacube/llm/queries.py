@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratacube.llm import exact_dedup, html_text, language_id, license_scan, ngram_join, packing, suffix_dedup
+from stratacube.llm import exact_dedup, html_text, language_id, license_scan, lm_score, media, ngram_join, packing, piece_sampling, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,24 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op7_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document, and the digest of what decoding them gives."""
+    path = tokenizer_file("piece_bpe_32k.model")
+    drawn = piece_sampling.sample_pieces(_table(spark, sf_dir, "documents"), path, seed=7)
+    drawn = drawn.select("id", F.size("pieces").alias("n_pieces"), F.crc32(F.to_binary(F.array_join(F.col("pieces").cast("array<string>"), ","), F.lit("utf-8"))).alias("pieces_crc32"), "log_prob", "pieces")
+    decoded = piece_sampling.decode_pieces(drawn, path)
+    return decoded.select(F.col("id").alias("doc_id"), "n_pieces", "pieces_crc32", "log_prob", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"))
+
+
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = language_id.fold("doc_id", 10) == 0
+    return lm_score.lm_scores(_table(spark, sf_dir, "documents"), held).withColumnRenamed("id", "doc_id")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -54,6 +72,9 @@ QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_html_extraction": op4_html_extraction,
     "op5_language_id": op5_language_id,
+    "op6_media_columns": op6_media_columns,
+    "op7_piece_sampling": op7_piece_sampling,
+    "op8_lm_score": op8_lm_score,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_license_scan": op10_license_scan,
 }
