@@ -111,16 +111,16 @@ def train(docs: DataFrame, text_col: str, lang_col: str, training: Column) -> Mo
     return Model(langs, counts)
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score; both see the text only.
+def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
+    """``docs`` with the predicted language and its score; both see the text only.
 
     A null text, one without a letter, or a model that has learned nothing gives ``und`` and 0.  A score near 0
     flags an ambiguous text.  Columns of these names in the input are replaced.
     """
     spark = docs.sparkSession
-    own = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    own = [c for c in docs.columns if c not in (lang_out, score_out)]
     shared = spark.sparkContext.broadcast(model)  # languages x FEATURES, a fixed size
-    schema = docs.select(*own).schema.add("lang_pred", "string").add("score", "double")
+    schema = docs.select(*own).schema.add(lang_out, "string").add(score_out, "double")
 
     def run(batches):
         m = shared.value
@@ -147,7 +147,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 best = np.where(none, len(m.langs), best)
                 pred += names[best].tolist()
                 score += np.where(none, 0.0, sure).tolist()
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i, c in enumerate(batch.schema.names) if c != "__text"] + [pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*own, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i, c in enumerate(batch.schema.names) if c != "__text"] + [pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*own, lang_out, score_out])
 
     return docs.select(*own, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
 

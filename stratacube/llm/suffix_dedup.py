@@ -221,12 +221,13 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, min_bytes: int,
     return whole.unionByName(parts)
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = 400, keep_first: bool = True) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = 400, keep_first: bool = True, whole_chars: bool = False) -> DataFrame:
     """All columns of ``docs`` with n_bytes, n_removed, n_spans and kept (binary), one row per input row.
 
     Every byte covered by a string of ``min_bytes`` bytes that also starts elsewhere is removed, whether in the
     same text or another, overlaps included; strings are judged on the input.  With ``keep_first`` only strings
-    that start earlier, by (id, position), count, so the first copy stays.  Texts are whole UTF-8 byte strings;
+    that start earlier, by (id, position), count, so the first copy stays.  With ``whole_chars`` removed runs are
+    narrowed to whole characters, so that what is kept is UTF-8 again.  Texts are whole UTF-8 byte strings;
     null counts as empty.  Repeated rows are copies of each other when both are there to compare: rows of equal
     id and text share their decision.  Shorter texts and empty tables lose nothing.  Columns named n_bytes,
     n_removed, n_spans or kept in the input are replaced.
@@ -251,6 +252,12 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                         gone[-1][1] = max(gone[-1][1], s["hi"])
                     else:
                         gone.append([s["lo"], s["hi"]])
+                if whole_chars:
+                    for run in gone:
+                        while run[0] < run[1] and raw[run[0]] & 0xC0 == 0x80:
+                            run[0] += 1
+                        while run[0] < run[1] < len(raw) and raw[run[1]] & 0xC0 == 0x80:
+                            run[1] -= 1
                 for a, b in gone:
                     pieces.append(raw[at:a])
                     at = b
