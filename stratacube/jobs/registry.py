@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from stratacube.jobs import event_queries, series_queries, space_queries, stat_queries, table_queries
+
+_MODULES = (series_queries, event_queries, space_queries, stat_queries, table_queries)
+QUERIES: dict = {name: run for m in _MODULES for name, run in m.QUERIES.items()}
+ORACLE_SQL: dict = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
