@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratacube.llm import textbuf as tb
@@ -17,6 +17,11 @@ from stratacube.sources.workspace import Workspace
 
 #: A shingle in the extended prefix of this many groups comes last in the order.  It moves work, never results.
 FREQUENT = 128
+#: Marks a frequent shingle among 62-bit hashes, so that natural order is the global order.
+HOT_BIT = 1 << 62
+#: Places of a set's parity bitmap, as columns of 64.
+BITS = 512
+_MAPS = [f"b{i}" for i in range(BITS // 64)]
 
 
 def prefix_length(n, num: int, den: int):
@@ -25,7 +30,7 @@ def prefix_length(n, num: int, den: int):
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, width: int):
-    """Sorted distinct shingle hashes of each row; the whole word sequence where a row has fewer words."""
+    """Sorted distinct 62-bit shingle hashes of each row; the whole word sequence where a row has fewer words."""
     data = tb.LOWER[data]
     start, end, row = tb.words(data, offs)
     h = tb.span_hash(tb.prefix_hash(data), start, end)
@@ -34,6 +39,7 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, width: int):
     whole = h[:m].copy()
     for k in range(1, width):
         whole = tb.mix(whole * np.uint64(31) + h[k : k + m])
+    whole >>= np.uint64(2)
     for i in range(len(offs) - 1):
         a, b = first[i], first[i + 1]
         if b - a >= width:
@@ -43,7 +49,7 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, width: int):
             s = h[a : a + 1].copy()
             for k in range(a + 1, b):
                 s = tb.mix(s * np.uint64(31) + h[k : k + 1])
-            yield tb.mix(s + np.uint64(b - a))
+            yield tb.mix(s + np.uint64(b - a)) >> np.uint64(2)
         else:
             yield h[:0]
 
@@ -53,14 +59,27 @@ def _set_keys(s: np.ndarray) -> tuple[int, int]:
     return int(mixed.sum(dtype=np.uint64).view(np.int64)), int((np.bitwise_xor.reduce(mixed) if len(s) else np.uint64(0)).view(np.int64))
 
 
+def _bitmap(s: np.ndarray) -> np.ndarray:
+    """Parity of the members at each of BITS places: two sets differ in at least as many members as their bitmaps in bits."""
+    odd = np.bincount((tb.mix(s + np.uint64(7)) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _list_of_longs(parts: list[np.ndarray]) -> pa.Array:
     lengths = np.fromiter((len(p) for p in parts), dtype=np.int32, count=len(parts))
     flat = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, dtype=np.int64)
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(flat))
 
 
-def _shingled(docs: DataFrame, text_col: str, id_col: str, width: int, keep) -> DataFrame:
-    """(id, n, key1, key2, shingles): ``keep(n)`` smallest hashes of each document's set, in unsigned order."""
+def _maps(sets: list[np.ndarray], wanted: bool) -> list[pa.Array]:
+    if not wanted:
+        return []
+    table = np.array([_bitmap(s) for s in sets]).reshape(len(sets), len(_MAPS))
+    return [pa.array(np.ascontiguousarray(c)) for c in table.T]
+
+
+def _shingled(docs: DataFrame, text_col: str, id_col: str, width: int, keep, maps: bool = False) -> DataFrame:
+    """(id, n, key1, key2, shingles, bitmap columns if wanted): ``keep(n)`` smallest hashes of each document's set, in order."""
 
     def run(batches):
         for batch in batches:
@@ -68,11 +87,11 @@ def _shingled(docs: DataFrame, text_col: str, id_col: str, width: int, keep) ->
                 sets = list(shingle_sets(data, offs, width))
                 keys = [_set_keys(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(r0, r1 - r0), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), _list_of_longs([s[: keep(len(s))] for s in sets])],
-                    ["id", "n", "key1", "key2", "shingles"],
+                    [batch.column(0).slice(r0, r1 - r0), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), _list_of_longs([s[: keep(len(s))] for s in sets]), *_maps(sets, maps)],
+                    ["id", "n", "key1", "key2", "shingles", *(_MAPS if maps else [])],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, n long, key1 long, key2 long, shingles array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, n long, key1 long, key2 long, shingles array<long>" + "".join(f", {c} long" for c in _MAPS if maps))
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -83,99 +102,136 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     shingles and link with nothing.  Repeated rows and equal sets are one class from the start, so a group of
     copies costs one row per class.  Only the named columns are read, whatever else the table holds.
 
-    Links between classes: (1) groups of identical prefix and size; every group is paired with a centre of its
-    size band under each prefix shingle, members are verified and components formed; (2) under each prefix
-    shingle that still sees several components, what is outside the largest one is paired with all others of
-    another component.  Pairs inside one component are never formed: they cannot change a component.
+    Classes of identical prefix and size form a group.  Group pairs come from shared prefix shingles in two
+    rounds: (1) every group with a centre of its size band under each of its shingles; the pairs left by the
+    filters are expanded, verified and joined into components; (2) groups are expanded, and under each shingle that
+    still sees several components, members outside the largest one meet all members of another component.  Pairs inside a component
+    are never formed: they cannot change one.  Filters use sizes, positions and two lower bounds of the difference,
+    from parity bitmaps (inside the join, before a pair becomes a row) and from prefixes; none loses a link.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "ngram")
     p = lambda n: prefix_length(n, num, den)
-    sigs = ws.save(_shingled(docs, text_col, id_col, width, lambda n: min(n, 2 * p(n) + 8) if n else 0), "sigs")
-    cid = F.xxhash64("n", "key1", "key2").alias("cid")
-    classes = ws.save(sigs.where("n > 0").groupBy("n", "key1", "key2").agg(F.min("id").alias("rep"), F.first("shingles").alias("shingles")).select(cid, "n", "rep", "shingles"), "classes")
-
     plen = F.expr(f"n - (({num} * n + {den - 1}) div {den}) + 1").cast("int")
-    frequent = ws.save(classes.select(F.explode("shingles").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where(f"c >= {FREQUENT}").select("token"), "frequent")
+    cid = F.xxhash64("n", "key1", "key2").alias("cid")
+    sigs = ws.save(_shingled(docs, text_col, id_col, width, lambda n: min(n, p(n) + p(n) // 2 + 8) if n else 0, maps=True), "sigs")
+    keys = ws.save(sigs.select("id", "n", F.when(F.col("n") > 0, cid).alias("cid")), "keys")
+    classes = ws.save(sigs.where("n > 0").groupBy("n", "key1", "key2").agg(F.min("id").alias("rep"), F.first("shingles").alias("shingles"), *(F.first(c).alias(c) for c in _MAPS)).select(cid, "n", "rep", "shingles", *_MAPS), "classes")
+    ws.drop("sigs")
+    reps = ws.save(classes.select("cid", "rep", *_MAPS), "reps")
+    counted = classes.select(F.explode(F.slice("shingles", F.lit(1), plen)).alias("token")).groupBy("token").agg(F.count("*").alias("c"))
+    frequent = ws.save(counted.where(f"c >= {FREQUENT}").select("token"), "frequent")
 
     def ordered(rows: DataFrame) -> DataFrame:
-        """rows (cid, n, shingles) with the frequent ones split off."""
+        """(cid, n, rep, shingles) with the shingles in the global order: frequent ones last, marked by bit 62."""
         hits = rows.select("cid", F.explode("shingles").alias("token")).join(frequent, "token").groupBy("cid").agg(F.collect_set("token").alias("hot"))
-        r = rows.join(hits, "cid", "left")
-        return r.withColumn("rare", F.when(F.col("hot").isNull(), F.col("shingles")).otherwise(F.array_except("shingles", "hot"))).withColumn("hot", F.when(F.col("hot").isNull(), F.array().cast("array<long>")).otherwise(F.array_except("shingles", F.array_except("shingles", "hot"))))
-
-    split = ws.save(ordered(classes.select("cid", "n", "rep", "shingles")).select("cid", "n", "rep", "rare", "hot"), "split")
-    enough = (F.size("rare") >= plen) | (F.size("rare") + F.size("hot") >= F.col("n"))
-    short = split.where(~enough).select("cid", "rep")
+        rare, hot = F.array_except("shingles", "hot"), F.array_except("shingles", F.array_except("shingles", F.col("hot")))
+        both = F.concat(rare, F.transform(hot, lambda x: x + F.lit(HOT_BIT)))
+        split = rows.join(hits, "cid", "left")
+        return split.select("cid", "n", "rep", F.when(F.col("hot").isNull(), F.size("shingles")).otherwise(F.size(rare)).alias("n_rare"), F.when(F.col("hot").isNull(), F.col("shingles")).otherwise(both).alias("prefix"))
+
+    split = ws.save(ordered(classes), "split")
+    ws.drop("classes")
+    enough = (F.col("n_rare") >= plen) | (F.size("prefix") >= F.col("n"))
+    cut = lambda rows: rows.select("cid", "n", F.slice("prefix", F.lit(1), plen).alias("prefix"))
     # the few documents made mostly of frequent shingles are read again for their whole sets
-    again = _shingled(docs.join(short.select(F.col("rep").alias(id_col)).distinct(), id_col, "left_semi"), text_col, id_col, width, lambda n: n)
-    again = again.select(cid, "n", "id", "shingles").join(short.select("cid", F.col("rep").alias("id")), ["cid", "id"]).dropDuplicates(["cid"])
-    full = ordered(again.select("cid", "n", "shingles")).select("cid", "n", "rare", "hot")
-    prefixes = split.where(enough).select("cid", "n", "rare", "hot").unionByName(full)
-    prefixes = prefixes.select("cid", "n", F.slice(F.concat("rare", "hot"), F.lit(1), plen).alias("prefix"))
+    short = ws.save(split.where(~enough).select("cid", F.col("rep").alias("id")), "short")
+    again = _sets(docs, short, id_col, text_col, width)
+    prefixes = cut(split.where(enough)).unionByName(cut(ordered(again.withColumn("rep", F.lit(None).cast("long")))))
     members = ws.save(prefixes.withColumn("gid", F.xxhash64("n", "prefix")), "members")
-    groups = members.groupBy("gid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    ws.drop("split")
+    # a group's bitmap is that of its head; no member is further from it than the radius
+    heads = members.groupBy("gid").agg(F.min("cid").alias("head"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count("*").alias("size"))
+    heads = ws.save(heads.join(reps.withColumnRenamed("cid", "head").drop("rep"), "head"), "heads")
+    spread = members.select("gid", "cid").join(heads.where("size > 1").select("gid", *(F.col(c).alias(f"y{c}") for c in _MAPS)), "gid").join(reps.select("cid", *(F.col(c).alias(f"x{c}") for c in _MAPS)), "cid")
+    bits = " + ".join(f"bit_count(x{c} ^ y{c})" for c in _MAPS)
+    radius = spread.groupBy("gid").agg(F.max(F.expr(bits)).alias("radius"))
+    groups = ws.save(heads.join(radius, "gid", "left").withColumn("radius", F.coalesce("radius", F.lit(0))), "groups")
+    ws.drop("heads")
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(den / num) / 2 if num < den else 1e-3))).cast("int")
-    entries = ws.save(groups.select("gid", "n", F.posexplode("prefix").alias("pos", "token")).withColumn("band", band), "entries")
-
-    # 1: stars. A token's centre in a size band is its smallest group there; hot tokens cost one row per entry.
-    centres = entries.groupBy("token", "band").agg(F.min("gid").alias("centre"))
-    stars = entries.select("token", "gid", F.explode(F.array("band", F.col("band") - 1)).alias("band")).join(centres, ["token", "band"]).where("gid <> centre").select(F.least("gid", "centre").alias("g1"), F.greatest("gid", "centre").alias("g2")).distinct()
-    heads = members.groupBy("gid").agg(F.min("cid").alias("head"))
-    member = members.select("gid", "cid")
+    entries = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
+    # frequent shingles are few and may be hot: they are kept without a look at their group; of the others only those that two groups share
+    rare = entries.where(F.col("token") < HOT_BIT).withColumn("c", F.count("*").over(Window.partitionBy("token"))).where("c > 1").drop("c")
+    entries = ws.save(rare.unionByName(entries.where(F.col("token") >= HOT_BIT)).withColumn("band", band), "entries")
+    # the group that shares most of its prefix is the likely source of the others: their edits make shingles of their own
+    common = entries.groupBy("gid").agg(F.count("*").alias("common"))
+
+    near = "{d} * least(n1, n2) >= {n} * greatest(n1, n2)".format(n=num, d=den)
+    # before the first shared shingle nothing is shared, so min(n1 - p1, n2 - p2) bounds the intersection
+    room = "({n} + {d}) * least(n1 - p1, n2 - p2) >= {n} * (n1 + n2)".format(n=num, d=den)
+
+    alike = f"({bits} - xr - yr) * {num + den} <= (n1 + n2) * {den - num}"
+    first_map = [*(F.col(c).alias(f"x{c}") for c in _MAPS), F.col("radius").alias("xr")]
+    second_map = [*(F.col(c).alias(f"y{c}") for c in _MAPS), F.col("radius").alias("yr")]
+
+    def plausible(pairs: DataFrame) -> DataFrame:
+        """Pairs (g1, g2) of groups whose prefixes do not already show too large a difference."""
+        look = groups.select("gid", "n", "prefix", "radius", *_MAPS)
+        both = pairs.distinct().join(look.select(F.col("gid").alias("g1"), F.col("n").alias("n1"), F.col("prefix").alias("x"), *first_map), "g1").join(look.select(F.col("gid").alias("g2"), F.col("n").alias("n2"), F.col("prefix").alias("y"), *second_map), "g2").where(near).where(alike)
+        last = F.least(F.element_at("x", -1), F.element_at("y", -1))
+        seen = F.size(F.filter("x", lambda t: t <= last)) + F.size(F.filter("y", lambda t: t <= last))
+        differ = seen - 2 * F.size(F.array_intersect("x", "y"))
+        return both.where(differ * (num + den) <= (F.col("n1") + F.col("n2")) * (den - num)).select("g1", "g2")
+
+    # 1: stars. A shingle's centre in a size band is the group there with most in common; a hot shingle costs one row per entry.
+    centres = entries.join(common, "gid").groupBy("token", "band").agg(F.max(F.struct("common", "gid", "n", "pos")).alias("m")).select("token", "band", F.col("m.gid").alias("g2"), F.col("m.n").alias("n2"), F.col("m.pos").alias("p2"))
+    around = entries.select("token", F.col("gid").alias("g1"), F.col("n").alias("n1"), F.col("pos").alias("p1"), F.explode(F.array("band", F.col("band") - 1)).alias("band"))
+    stars = around.join(centres, ["token", "band"]).where("g1 <> g2").where(near).where(room).select("g1", "g2")
+    stars = ws.save(plausible(stars), "stars")
+    member, heads = members.select("gid", "cid"), groups.select("gid", "head")
     star_pairs = (
         stars.join(member.select(F.col("gid").alias("g1"), F.col("cid").alias("c1")), "g1").join(heads.select(F.col("gid").alias("g2"), F.col("head").alias("c2")), "g2").select("c1", "c2")
-        .unionByName(stars.join(heads.select(F.col("gid").alias("g1"), F.col("head").alias("c1")), "g1").join(member.select(F.col("gid").alias("g2"), F.col("cid").alias("c2")), "g2").select("c1", "c2"))
         .unionByName(member.join(heads, "gid").where("cid <> head").select(F.col("cid").alias("c1"), F.col("head").alias("c2")))
     )
-    pairs1 = ws.save(_sized(_ordered_pairs(star_pairs), members, num, den), "pairs1")
-    links1 = ws.save(_verified(docs, pairs1, classes, ws, "sets1", id_col, text_col, width, num, den), "links1")
+    pairs1 = ws.save(_ordered_pairs(star_pairs), "pairs1")
+    links1 = ws.save(_verified(docs, pairs1, reps, ws, "1", id_col, text_col, width, num, den), "links1")
     comp1 = connected_components(links1, "c1", "c2")
 
     # 2: what the stars have left apart
     placed = ws.save(members.select("gid", "cid", "n").join(comp1.select(F.col("id").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid")), "placed")
-    shares = placed.groupBy("gid", "component").agg(F.first("n").alias("n"), F.count("*").alias("c"))
-    seats = ws.save(entries.select("token", "gid", "pos").join(shares, "gid"), "seats")
+    seats = ws.save(entries.select("token", "gid", "pos", "n").join(placed.select("gid", "cid", "component"), "gid"), "seats")
     weight = seats.groupBy("token", "component").agg(F.count("*").alias("c"))
     top = weight.groupBy("token").agg(F.max(F.struct("c", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("token", F.col("top.component").alias("top"))
-    mixed = seats.join(top, "token")
-    outer = mixed.where("component <> top").select("token", F.col("gid").alias("g1"), F.col("component").alias("k1"), F.col("n").alias("n1"), F.col("pos").alias("p1"))
-    inner = mixed.select("token", F.col("gid").alias("g2"), F.col("component").alias("k2"), F.col("n").alias("n2"), F.col("pos").alias("p2"))
-    can = "k1 <> k2 AND {d} * least(n1, n2) >= {n} * greatest(n1, n2) AND ({n} + {d}) * least(n1 - p1, n2 - p2) >= {n} * (n1 + n2)".format(n=num, d=den)
-    # positions: before the first shared shingle nothing is shared, so at most this many are
-    cross = outer.join(inner, "token").where(can).select("g1", "k1", "g2", "k2").distinct()
-    seat = placed.select("gid", "component", "cid")
-    cross_pairs = cross.join(seat.select(F.col("gid").alias("g1"), F.col("component").alias("k1"), F.col("cid").alias("c1")), ["g1", "k1"]).join(seat.select(F.col("gid").alias("g2"), F.col("component").alias("k2"), F.col("cid").alias("c2")), ["g2", "k2"]).select("c1", "c2")
-    inside = placed.join(placed.groupBy("gid").agg(F.countDistinct("component").alias("parts"), F.min("component").alias("low")).where("parts > 1"), "gid")
-    inside = inside.where("component <> low").select("gid", F.col("cid").alias("c1"), F.col("component").alias("k1")).join(seat.select("gid", F.col("cid").alias("c2"), F.col("component").alias("k2")), "gid").where("k1 <> k2").select("c1", "c2")
-    pairs2 = ws.save(_ordered_pairs(cross_pairs.unionByName(inside)), "pairs2")
-    links2 = _verified(docs, pairs2, classes, ws, "sets2", id_col, text_col, width, num, den)
+    mixed = seats.join(top, "token").join(reps.drop("rep"), "cid").withColumn("radius", F.lit(0))
+    outer = mixed.where("component <> top").select("token", F.col("gid").alias("g1"), F.col("cid").alias("c1"), F.col("component").alias("k1"), F.col("n").alias("n1"), F.col("pos").alias("p1"), *first_map)
+    inner = mixed.select("token", F.col("gid").alias("g2"), F.col("cid").alias("c2"), F.col("component").alias("k2"), F.col("n").alias("n2"), F.col("pos").alias("p2"), *second_map)
+    cross = ws.save(outer.join(inner, "token").where("k1 <> k2 AND g1 <> g2").where(near).where(room).where(alike).select("g1", "c1", "g2", "c2").distinct(), "cross")
+    ws.drop("seats", "entries")
+    apart = cross.join(plausible(cross.select("g1", "g2")), ["g1", "g2"]).select("c1", "c2")
+    # members of one group, whose shingles may be in no other
+    seat = placed.select("gid", "component", "cid", "n").join(reps.drop("rep"), "cid").withColumn("radius", F.lit(0))
+    left = seat.select("gid", F.col("component").alias("k1"), F.col("cid").alias("c1"), F.col("n").alias("n1"), *first_map)
+    right = seat.select("gid", F.col("component").alias("k2"), F.col("cid").alias("c2"), F.col("n").alias("n2"), *second_map)
+    inside = placed.groupBy("gid").agg(F.count_distinct("component").alias("parts"), F.min("component").alias("low")).where("parts > 1")
+    inside = left.join(inside, "gid").where("k1 <> low").join(right, "gid").where("k1 <> k2").where(alike).select("c1", "c2")
+    cross_pairs = apart.unionByName(inside)
+    pairs2 = ws.save(_ordered_pairs(cross_pairs), "pairs2")
+    links2 = ws.save(_verified(docs, pairs2, reps, ws, "2", id_col, text_col, width, num, den), "links2")
     comp = connected_components(links1.unionByName(links2), "c1", "c2")
 
-    named = classes.select("cid", "rep").join(comp.select(F.col("id").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    by_class = named.join(smallest, "component").select("cid", "component_id")
-    out = sigs.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.xxhash64("n", "key1", "key2")).alias("cid")).join(by_class, "cid", "left")
-    return out.select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+    named = reps.select("cid", "rep").join(comp.select(F.col("id").alias("cid"), "component"), "cid").select("cid", "rep", "component")
+    by_class = named.join(named.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("cid", "component_id")
+    alone = reps.join(by_class.select("cid"), "cid", "left_anti").select("cid", F.col("rep").alias("component_id"))
+    out = keys.join(by_class.unionByName(alone), "cid", "left")
+    return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
 def _ordered_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.where("c1 <> c2").select(F.least("c1", "c2").alias("c1"), F.greatest("c1", "c2").alias("c2")).distinct()
 
 
-def _sized(pairs: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
-    size = members.select("cid", "n")
-    sized = pairs.join(size.select(F.col("cid").alias("c1"), F.col("n").alias("n1")), "c1").join(size.select(F.col("cid").alias("c2"), F.col("n").alias("n2")), "c2")
-    return sized.where(f"{den} * least(n1, n2) >= {num} * greatest(n1, n2)").select("c1", "c2")
+def _sets(docs: DataFrame, asked: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(cid, n, shingles): whole sets of the classes in ``asked`` (cid, id), made again from the texts of their representatives."""
+    texts = docs.join(asked.select(F.col("id").alias(id_col)).distinct(), id_col, "left_semi")
+    sets = _shingled(texts, text_col, id_col, width, lambda n: n).select(F.xxhash64("n", "key1", "key2").alias("cid"), "n", "shingles")
+    return sets.join(asked.select("cid"), "cid", "left_semi").dropDuplicates(["cid"])
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, ws: Workspace, name: str, id_col: str, text_col: str, width: int, num: int, den: int) -> DataFrame:
-    """The pairs whose whole sets are similar enough; sets are made again from the texts of the classes in question."""
-    asked = pairs.select(F.col("c1").alias("cid")).union(pairs.select("c2")).distinct().join(classes.select("cid", "rep"), "cid")
-    texts = docs.join(asked.select(F.col("rep").alias(id_col)).distinct(), id_col, "left_semi")
-    sets = _shingled(texts, text_col, id_col, width, lambda n: n).select(F.xxhash64("n", "key1", "key2").alias("cid"), "id", "n", "shingles")
-    sets = ws.save(sets.join(asked.select("cid", F.col("rep").alias("id")), ["cid", "id"]).dropDuplicates(["cid"]).select("cid", "n", "shingles"), name)
+def _verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, ws: Workspace, name: str, id_col: str, text_col: str, width: int, num: int, den: int) -> DataFrame:
+    """The pairs whose whole sets are similar enough."""
+    asked = ws.save(pairs.select(F.col("c1").alias("cid")).union(pairs.select("c2")).distinct().join(reps.select("cid", "rep"), "cid").select("cid", F.col("rep").alias("id")), f"asked{name}")
+    sets = ws.save(_sets(docs, asked, id_col, text_col, width), f"sets{name}")
     one = sets.select(F.col("cid").alias("c1"), F.col("n").alias("n1"), F.col("shingles").alias("s1"))
     two = sets.select(F.col("cid").alias("c2"), F.col("n").alias("n2"), F.col("shingles").alias("s2"))
-    both = pairs.join(one, "c1").join(two, "c2").withColumn("shared", F.size(F.array_intersect("s1", "s2")))
+    both = pairs.join(one, "c1").join(two, "c2").where(f"{den} * least(n1, n2) >= {num} * greatest(n1, n2)").withColumn("shared", F.size(F.array_intersect("s1", "s2")))
     return both.where(f"{den} * shared >= {num} * (n1 + n2 - shared)").select("c1", "c2")
