@@ -35,7 +35,7 @@ def read_event_list(spark: SparkSession, path: str, schema: str | StructType, pr
     """
     wanted = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     if preamble:
-        numbered = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", r"\r?\n")).alias("k", "line"))
+        numbered = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("k", "line"))
         lines = numbered.where((F.col("k") > preamble) & (F.length("line") > 0)).select("line")
         parsed = lines.select(F.from_csv("line", ", ".join(f"`{f.name}` string" for f in wanted)).alias("r")).select("r.*")
     else:
