@@ -52,12 +52,12 @@ def number_in_order(rows: DataFrame, column: str, out: str, ws: Workspace) -> Da
     return ranged.withColumn("__r", within).join(F.broadcast(before), "__part").select(column, (F.col("__before") + F.col("__r")).alias(out))
 
 
-def label_by_tiles(days: DataFrame, tile: str, nlon: int, nlat: int, epoch: str = "1970-01-01", wrap_seams: bool = True) -> DataFrame:
+def label_by_tiles(days: DataFrame, tile: str, nlon: int, nlat: int, epoch: str = "1970-01-01") -> DataFrame:
     """Label each time tile by itself, then join labels across the seams; the result equals labelling all at once.
 
-    ``tile`` is an ordered integer column; tiles follow each other in time.  Inside a tile longitude wraps.  Labels
-    of two tiles meet where a cell is true on the last day of one and the first day of the next, and, with
-    ``wrap_seams`` off, seams do not connect through the ring either: seam voxels only ever meet in their own cell.
+    ``tile`` is an ordered integer column; tiles follow each other in time.  Inside a tile longitude wraps; across a
+    seam a cell true on the last day of one tile and the first day of the next joins their labels, which is all
+    that face neighbours of different days can do.
     """
     ws = Workspace(days.sparkSession, "tiles")
     r, edges = run_graph(days, nlon, nlat, True, epoch, tile)
