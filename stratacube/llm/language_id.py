@@ -158,7 +158,11 @@ def fold(id_col: str, parts: int) -> Column:
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", parts: int = 4, held: int = 2) -> DataFrame:
-    """(id, held_out, lang_pred, score), one row per input row; learned from the rows outside fold ``held``."""
+    """(id, held_out, lang_pred, score), one row per input row; learned from the rows outside fold ``held``.
+
+    Rows without id are in no fold: they are not learned from and not held out.  Repeated rows are learned from as
+    often as they stand there.  An empty table gives an empty result.
+    """
     model = train(docs, text_col, lang_col, ~(fold(id_col, parts) == held))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(fold(id_col, parts) == held, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
     return predict(rows, model, "text").select("id", "held_out", "lang_pred", "score")

@@ -100,7 +100,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Returns (id, n_shingles, component_id), one row per input row; component_id is the smallest id reachable
     by links.  Words are runs of non-blank bytes after lowering A-Z.  Null, empty and blank texts have no
     shingles and link with nothing.  Repeated rows and equal sets are one class from the start, so a group of
-    copies costs one row per class.  Only the named columns are read, whatever else the table holds.
+    copies costs one row per class.  A row without id links only through an equal set of a row that has one.  Only
+    the named columns are read, whatever else the table holds.
 
     Classes of identical prefix and size form a group.  Group pairs come from shared prefix shingles in two
     rounds: (1) every group with a centre of its size band under each of its shingles; the pairs left by the
