@@ -21,7 +21,7 @@ STOP_WORDS = frozenset(
     porque que se ser si sin sobre son su sus también un una y ya""".split()
 )
 # Elements whose text is never article text, elements that end a block, and words that mark page furniture in class, id or role.
-OUTSIDE = frozenset("nav footer aside form menu dialog button select option datalist noscript template svg canvas object iframe audio video math head figcaption".split())
+OUTSIDE = frozenset("nav footer aside form menu dialog button select option datalist noscript template svg canvas object iframe audio video head".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
@@ -35,6 +35,9 @@ FURNITURE = re.compile(
     r"related|recommend\w*|shar(?:e|ing)|social|tags|copyright|legal|skip|contentinfo|complementary|navigation)(?=$|[\s_-])",
     re.I,
 )
+# Names of the element that holds the article on pages without an article or main element.
+HOLDS_ARTICLE = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|main|page)?[_-]?(?:content|article|story|body-?text|main)(?=$|[\s_-])", re.I)
+_ARTICLE_TAG = re.compile(r"<(?:article|main)[\s>]", re.I)
 _ATTRS = re.compile(r"""[^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*>""")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _MARK = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -44,17 +47,18 @@ _WORD = re.compile(r"[^\W\d_]+")
 SHORT, LONG, STOP_LOW, STOP_HIGH, LINKS = 70, 200, 0.10, 0.22, 0.5
 
 
-def _marks(attributes: str) -> tuple[bool, bool]:
-    """(page furniture by name, hidden)"""
-    named = hidden = False
+def _marks(attributes: str) -> tuple[bool, bool, bool]:
+    """(page furniture by name, hidden, article by name)"""
+    named = hidden = holds = False
     for key, a, b, c in _MARK.findall(attributes):
         value = a or b or c
         key = key.lower()
         if key in ("class", "id", "role"):
             named = named or bool(FURNITURE.search(value))
+            holds = holds or bool(HOLDS_ARTICLE.search(value))
         elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             hidden = True
-    return named, hidden
+    return named, hidden, holds
 
 
 def blocks(page: str) -> list[tuple[str, float, bool, int]]:
@@ -65,6 +69,7 @@ def blocks(page: str) -> list[tuple[str, float, bool, int]]:
     linked: list[str] = []
     in_link = articles = breaks = 0
     at, n = 0, len(page)
+    by_tag = bool(_ARTICLE_TAG.search(page))
 
     def end_block():
         nonlocal breaks
@@ -135,25 +140,34 @@ def blocks(page: str) -> list[tuple[str, float, bool, int]]:
                 words.append(" ")
             continue
         end_block()
-        if tag not in HOLDERS:
-            if not closing and tag in ("p", "li", "td"):
-                in_link = 0
-            continue
+        if stack and not closing and stack[-1][0] in ("p", "li") and tag in (stack[-1][0], "p"):
+            if stack[-1][0] == "p" or tag == "li":
+                stack.pop()  # its end tag was left out
+        named, hidden, holds = _marks(attributes) if attributes and not closing else (False, False, False)
         if closing:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
                     del stack[k:]
                     break
-        elif not attributes.rstrip().endswith("/") or tag in ("div", "section", "article", "main"):
-            outside, article = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-            named, hidden = _marks(attributes) if attributes else (False, False)
-            if tag in ("article", "main") and not outside:
+                if stack[k][0] in ("article", "main", "body", "html") and tag not in HOLDERS:
+                    break
+            continue
+        outside, article = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+        if tag not in HOLDERS:
+            in_link = 0 if tag in ("p", "li", "td") else in_link
+            if named or hidden:
+                stack.append((tag, True, article))
+            continue
+        if attributes.rstrip().endswith("/") and tag not in ("div", "section", "article", "main"):
+            continue
+        if tag in ("article", "main") or (holds and not by_tag and not named and tag in ("div", "section", "td")):
+            if not outside:
                 articles += 1
                 article = articles
-                named = False
-            root = tag in ("html", "body")
-            outside = outside or hidden and not root or named and not root or tag in OUTSIDE or tag == "header" and not article
-            stack.append((tag, outside, article))
+            named = False
+        root = tag in ("html", "body")
+        outside = outside or hidden and not root or named and not root or tag in OUTSIDE or tag == "header" and not article
+        stack.append((tag, outside, article))
     end_block()
     return out
 
@@ -165,8 +179,10 @@ def classify(found: list[tuple[str, float, bool, int]]) -> list[bool]:
     for text, link, outside, article in found:
         words = _WORD.findall(text.lower())
         density = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-        if outside or link > LINKS or (some_article and not article):
+        if outside or (link > LINKS and not article) or (some_article and not article):
             labels.append(False)
+        elif link > LINKS:
+            labels.append(None)
         elif len(text) < SHORT:
             labels.append(None)
         elif density >= STOP_HIGH or (len(text) >= LONG and density >= STOP_LOW):

@@ -71,6 +71,8 @@ def test_html_rules():
     assert html_text.main_text(PAGE) == "A headline\nThe first of the paragraphs is the one that has many words of the kind & it is long. same block\nShort.\nAnd the last of the paragraphs has a link in it, but it is not all of it, as it should be."
     plain = "<body><ul><li><a href=1>one</a><li><a href=2>two</a></ul><p>It was the best of the times and it was the worst of the times, as they say in the book of that name.</p><p>So it is.</p><p>And there was a king with a large jaw and a queen with a plain face on the throne of England then.</p><div>contact</div></body>"
     assert html_text.main_text(plain).split("\n")[:3] == ["It was the best of the times and it was the worst of the times, as they say in the book of that name.", "So it is.", "And there was a king with a large jaw and a queen with a plain face on the throne of England then."]
+    named = "<body><div class=site-menu>Home</div><div id=main-content><h1>Title</h1><p>It was the best of the times and it was the worst of the times, as they say in the book.</p><figure><figcaption>A caption</figcaption></figure><p class='ad'>Buy<p>The end of it is the end of the book that they have all been reading for a long time.</p><ul><li class=comment><p>Me first</p></li></ul></div><div>contact us</div></body>"
+    assert html_text.main_text(named).split("\n") == ["Title", "It was the best of the times and it was the worst of the times, as they say in the book.", "A caption", "The end of it is the end of the book that they have all been reading for a long time."]
     assert html_text.main_text("a < b <article><p>1 < 2 & 3</p><p title=\"x>y\">z") == "1 < 2 & 3\nz"
 
 
