@@ -1,7 +1,9 @@
 """Payload columns in a content-defined chunk store: gear-hash cuts, digests deduplicated by joins, verified reassembly.
 
 A document's container row holds its own chunks; chunks that occur more than once are held by digest in a store
-of their own, each once, by the first document that has them.  Only digests are exchanged to find out which.
+of their own, each once.  Only digests are exchanged to find out which; the answer comes back to the documents as
+a Bloom filter of bounded size, so payloads of unshared chunks never move.  A chunk that the filter takes for shared
+by mistake is held by digest too, which costs a little room and changes no result; so does a filter that is full.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ UNIT, PAD = 576, b"\xff"
 #: Least and greatest bytes of a chunk, and how many leading zero bits of the rolling hash make a cut.
 LEAST, GREATEST, CUT_BITS = 512, 16384, 11
 LEVEL = 6
+#: Bits of the filter for each shared chunk, and at most.
+FILTER_BITS, FILTER_MOST = 16, 1 << 26
 GEAR = np.random.Generator(np.random.PCG64(576)).integers(0, 2**32, size=256, dtype=np.uint64).astype(np.uint32)
 _CHUNK = "array<struct<digest:binary,size:int,stored:binary>>"
 
@@ -84,66 +88,75 @@ def feature(body: bytes) -> str:
     return f"mean={mean:.3f};sd={spread:.3f};entropy={float(-(p @ np.log2(p))) + 0.0:.4f};crossings={np.count_nonzero(above[1:] != above[:-1]) / len(x):.4f}"
 
 
-def store_payloads(docs: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write every text's payload as containers (kind 'doc') and shared chunks (kind 'chunk'); returns the table read back.
+def _places(digest: bytes, m: int) -> list[int]:
+    return [int.from_bytes(digest[8 * k : 8 * k + 7], "big") % m for k in range(4)]
 
-    A container: id, kh (hash of the text), n_bytes, parts (digest, size, stored bytes or null where shared).
+
+def _filter(shared: DataFrame) -> tuple[np.ndarray, int]:
+    """(words, bits) of a Bloom filter of the digests, put together by Spark word by word."""
+    m = 1024
+    n = shared.count()
+    while m < FILTER_BITS * n and m < FILTER_MOST:
+        m *= 2
+    place = [F.expr(f"cast(conv(hex(substring(digest, {8 * k + 1}, 7)), 16, 10) as bigint) % {m}") for k in range(4)]
+    bits = shared.select(F.explode(F.array(*place)).alias("at")).select((F.col("at") / 64).cast("int").alias("word"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("bit"))
+    table = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    words = np.zeros(m // 64, dtype=np.int64)
+    words[table.column("word").to_numpy()] = table.column("bits").to_numpy()
+    return words, m
+
+
+def store_payloads(docs: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Write every text's payload; returns (containers, chunks) as read back.
+
+    A container: id, kh (hash of the text), n_bytes, parts (digest, size, stored bytes or null where held by digest).
+    A chunk: digest, stored bytes, once for each digest.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
-    def squeeze(batches):
-        z = zstandard.ZstdCompressor(level=LEVEL)
-        for batch in batches:
-            raws = tb.to_utf8(batch.column(2))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([z.compress(r) for r in raws], pa.binary())], ["id", "kh", "z"])
-
     def digests(batches):
         for batch in batches:
-            raws = tb.to_utf8(batch.column(2))
+            raws = tb.to_utf8(batch.column(0))
             for group in _groups(raws):
-                rows, seq, digest = [], [], []
-                for i, parts in zip(group, chunks([payload(raws[i]) for i in group]), strict=True):
-                    rows += [i] * len(parts)
-                    seq += range(len(parts))
-                    digest += [hashlib.sha256(c).digest() for c in parts]
-                at = pa.array(rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(seq, pa.int32()), pa.array(digest, pa.binary())], ["id", "kh", "seq", "digest"])
-
-    keyed = texts.select("id", F.xxhash64("text").alias("kh"), "text")
-    seen = ws.save(keyed.mapInArrow(digests, "id long, kh long, seq int, digest binary"), "digests")
-    shared = seen.groupBy("digest").agg(F.count("*").alias("c"), F.min(F.struct("id", "kh", "seq")).alias("owner")).where("c > 1").select("digest", "owner")
-    marks = seen.join(shared, "digest").select("id", "kh", "seq", F.struct("id", "kh", "seq").eqNullSafe(F.col("owner")).alias("own"))
-    marks = marks.groupBy(F.col("id").alias("id2"), F.col("kh").alias("kh2")).agg(F.collect_set(F.struct("seq", "own")).alias("marks"))
-    packed = keyed.mapInArrow(squeeze, "id long, kh long, z binary")
-    joined = packed.join(marks, F.col("id").eqNullSafe(F.col("id2")) & (F.col("kh") == F.col("kh2")), "left").select("id", "kh", "z", "marks")
-    schema = f"id long, kh long, n_bytes long, parts {_CHUNK}, digest binary, stored binary, kind string"
+                found = [hashlib.sha256(c).digest() for parts in chunks([payload(raws[i]) for i in group]) for c in parts]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["digest"])
+
+    shared = ws.save(texts.select("text").mapInArrow(digests, "digest binary").groupBy("digest").agg(F.count("*").alias("c")).where("c > 1").select("digest"), "shared")
+    sieve = docs.sparkSession.sparkContext.broadcast(_filter(shared))
 
     def write(batches):
-        z, unz = zstandard.ZstdCompressor(level=LEVEL), zstandard.ZstdDecompressor()
+        z = zstandard.ZstdCompressor(level=LEVEL)
+        words, m = sieve.value
+        sent: set[bytes] = set()  # by this task
         for batch in batches:
-            raws = [unz.decompress(x.as_py()) for x in batch.column(2)]
+            raws = tb.to_utf8(batch.column(2))
             for group in _groups(raws):
                 out: list[list] = [[], [], [], [], [], [], []]
                 for i, parts in zip(group, chunks([payload(raws[i]) for i in group]), strict=True):
-                    own = {m["seq"]: m["own"] for m in batch.column(3)[i].as_py() or ()}
                     made = []
-                    for k, c in enumerate(parts):
-                        stored = z.compress(c) if own.get(k, True) else None
+                    for c in parts:
                         digest = hashlib.sha256(c).digest()
-                        if own.get(k):
+                        by_digest = all((int(words[x >> 6]) >> (x & 63)) & 1 for x in _places(digest, m))
+                        stored = None if by_digest and digest in sent else z.compress(c)
+                        if by_digest and stored is not None:
+                            sent.add(digest)
                             for col, v in zip(out, (None, None, None, None, digest, stored, "chunk"), strict=True):
                                 col.append(v)
-                        made.append({"digest": digest, "size": len(c), "stored": None if k in own else stored})
+                        made.append({"digest": digest, "size": len(c), "stored": None if by_digest else stored})
                     for col, v in zip(out, (batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), len(raws[i]), made, None, None, "doc"), strict=True):
                         col.append(v)
                 part = pa.struct([("digest", pa.binary()), ("size", pa.int32()), ("stored", pa.binary())])
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(part), pa.binary(), pa.binary(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["id", "kh", "n_bytes", "parts", "digest", "stored", "kind"])
 
-    return ws.save(joined.mapInArrow(write, schema), "media", partition_by=["kind"])
+    schema = f"id long, kh long, n_bytes long, parts {_CHUNK}, digest binary, stored binary, kind string"
+    media = ws.save(texts.select("id", F.xxhash64("text").alias("kh"), "text").mapInArrow(write, schema), "media", partition_by=["kind"])
+    store = ws.save(media.where("kind = 'chunk'").groupBy("digest").agg(F.first("stored").alias("stored")), "chunks")
+    ws.drop("media/kind=chunk")
+    return media.where("kind = 'doc'").select("id", "kh", "n_bytes", "parts"), store
 
 
-def read_payloads(media: DataFrame, each, schema: str) -> DataFrame:
+def read_payloads(docs: DataFrame, store: DataFrame, each, schema: str) -> DataFrame:
     """``each(id, n_bytes, payload, stored chunks) -> dict`` for every container, its payload put together and verified."""
 
     def assemble(batches):
@@ -168,7 +181,6 @@ def read_payloads(media: DataFrame, each, schema: str) -> DataFrame:
     from pyspark.sql.types import StructType
 
     arrow = to_arrow_schema(StructType.fromDDL(schema))
-    docs, store = media.where("kind = 'doc'"), media.where("kind = 'chunk'").select("digest", "stored")
     linked = F.exists("parts", lambda p: p["stored"].isNull())
     plain = docs.where(~linked).select("id", "n_bytes", "parts").mapInArrow(assemble, schema)
     split = docs.where(linked).select("id", "kh", "n_bytes", "parts")
@@ -197,4 +209,4 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Repeated rows are stored once more but share their chunks.  Other columns are not read.
     """
     ws = Workspace(docs.sparkSession, "media")
-    return read_payloads(store_payloads(docs, ws, id_col, text_col), _digest, RESULT)
+    return read_payloads(*store_payloads(docs, ws, id_col, text_col), _digest, RESULT)
