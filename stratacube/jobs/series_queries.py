@@ -102,7 +102,7 @@ def pet_hourly(spark, d):
 
 PROBS = [0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
 _P = "[" + ", ".join(map(str, PROBS)) + "]"
-_Q = "SELECT {by}, p AS quantile, {v} AS value FROM (SELECT {by}, UNNEST(" + _P + ") AS p, UNNEST(quantile_cont({x}, " + _P + ")) AS q FROM {src} {where} GROUP BY {by})"
+_Q = "SELECT {by}, CAST(p AS DOUBLE) AS quantile, {v} AS value FROM (SELECT {by}, UNNEST(" + _P + ") AS p, UNNEST(quantile_cont({x}, " + _P + ")) AS q FROM {src} {where} GROUP BY {by})"
 
 
 @query(f"WITH {GRID} " + _Q.format(by="ilon, ilat", v=r("q"), x="t2m", src="grid", where="WHERE time BETWEEN DATE '1996-01-01' AND DATE '1999-12-31'"))
@@ -125,7 +125,7 @@ def quantile_by_year(spark, d):
     anchor AS (SELECT ilon, ilat, it, n, strftime(time, '%m-%d') AS doy FROM axis
       UNION ALL SELECT ilon, ilat, it, n, '02-29' FROM axis WHERE strftime(time, '%m-%d') = '03-01' AND DAY(LAST_DAY(MAKE_DATE(YEAR(time), 2, 1))) = 28),
     pool AS (SELECT a.ilon, a.ilat, a.doy, x.t2m FROM anchor a, UNNEST(RANGE(-15, 16)) AS o(o) JOIN axis x ON x.ilon = a.ilon AND x.ilat = a.ilat AND x.it = (((a.it + o - 1) % a.n) + a.n) % a.n + 1)
-    SELECT ilon, ilat, doy, p AS quantile, {r('q')} AS value FROM (SELECT ilon, ilat, doy, UNNEST([0.1, 0.5, 0.9]) AS p, UNNEST(quantile_cont(t2m, [0.1, 0.5, 0.9])) AS q FROM pool GROUP BY ilon, ilat, doy)""")
+    SELECT ilon, ilat, doy, CAST(p AS DOUBLE) AS quantile, {r('q')} AS value FROM (SELECT ilon, ilat, doy, UNNEST([0.1, 0.5, 0.9]) AS p, UNNEST(quantile_cont(t2m, [0.1, 0.5, 0.9])) AS q FROM pool GROUP BY ilon, ilat, doy)""")
 def quantile_doy(spark, d):
     return quantiles.day_of_year_quantiles(views.grid_daily(spark, d), "t2m", [0.1, 0.5, 0.9])
 
