@@ -45,25 +45,37 @@ class Pieces:
         # the model orders pieces by merge rank; by Zipf's law a piece of rank r weighs 1 / r
         self.weight = -alpha * np.log(np.array(rank) + 2.0)
         self.tables = []
+        self.maybe = np.zeros(1 << 20, dtype=bool)  # by hash: whether some piece may be meant
+        self.longest = np.full(1 << 24, 2, dtype=np.uint8)  # by first three bytes: the longest piece that begins so
+        for r in raw:
+            if len(r) > 2:
+                k = (r[0] << 16) | (r[1] << 8) | r[2]
+                self.longest[k] = max(self.longest[k], len(r))
         prefix = tb.prefix_hash(self.bytes)
         for n, ids in sorted(by_length.items()):
             ids = np.array(ids)
             keys = tb.span_hash(prefix, self.start[ids], self.start[ids] + n)
             order = np.argsort(keys)
             self.tables.append((n, keys[order], ids[order]))
+            self.maybe[keys >> np.uint64(44)] = True
 
     def lattice(self, x: np.ndarray, starts: np.ndarray, ends: np.ndarray):
         """Edges (from, to, piece) over byte positions of x; no edge leaves its segment, which is [start, end)."""
         seg_end = np.repeat(ends, ends - starts)
         prefix = tb.prefix_hash(x)
         lead = (x & 0xC0) != 0x80  # pieces begin at characters
-        at = np.flatnonzero(lead)
+        chars = at = np.flatnonzero(lead)
+        after = np.r_[x[1:], np.zeros(2, np.uint8)]
+        opening = (x.astype(np.int32) << 16) | (after[: len(x)].astype(np.int32) << 8) | after[1 : len(x) + 1]
+        reach = np.minimum(self.longest[opening], seg_end - np.arange(len(x)))
         source, target, piece = [], [], []
         for n, keys, ids in self.tables:
-            p = at[at + n <= seg_end[at]]
+            p = at = at[reach[at] >= n]  # longer pieces start at fewer places
             if not len(p):
-                continue
+                break
             h = tb.span_hash(prefix, p, p + n)
+            some = np.flatnonzero(self.maybe[h >> np.uint64(44)])
+            p, h = p[some], h[some]
             k = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
             hit = keys[k] == h
             source.append(p[hit])
@@ -73,12 +85,12 @@ class Pieces:
         b = np.concatenate(target) if target else np.zeros(0, np.int64)
         p = np.concatenate(piece) if piece else np.zeros(0, np.int64)
         # characters without a piece of their own fall back to bytes
-        char_end = np.r_[at[1:], len(x)]
+        char_end = np.r_[chars[1:], len(x)]
         single = np.zeros(len(x) + 1, dtype=bool)
         own_end = np.zeros(len(x) + 1, dtype=np.int64)
-        own_end[at] = char_end
+        own_end[chars] = char_end
         single[a[own_end[a] == b]] = True
-        bare = ~single[at[np.cumsum(lead) - 1]] if len(x) else np.zeros(0, bool)
+        bare = ~single[chars[np.cumsum(lead) - 1]] if len(x) else np.zeros(0, bool)
         q = np.flatnonzero(bare)
         return np.r_[a, q], np.r_[b, q + 1], np.r_[p, self.byte_id[x[q]]]
 
@@ -129,8 +141,8 @@ def segments(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return x, np.flatnonzero(cut[:-1]), bounds
 
 
-def _uniform(key: np.ndarray, seq: np.ndarray, step: int) -> np.ndarray:
-    h = tb.mix(key + seq.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((step + 1) * 0xD1B54A32D192ED03 % 2**64))
+def _uniform(key: np.ndarray, step: int) -> np.ndarray:
+    h = tb.mix(key + np.uint64((step + 1) * 0xD1B54A32D192ED03 % 2**64))
     return (h >> np.uint64(11)).astype(np.float64) / 2.0**53
 
 
@@ -153,28 +165,27 @@ def sample_slice(model: Pieces, data: np.ndarray, offs: np.ndarray, keys: np.nda
     inside = (b <= real_end[a]) & (a < real_end[a])
     a, b, p = a[inside], b[inside], p[inside]
     base = np.repeat(u_start, length + 1)[a]
-    order = np.lexsort((b, b - base))
+    order = np.argsort(((b - base) << 40) | (b << 6) | (b - a))  # pieces are shorter than 64 bytes
     a, b, p, base = a[order], b[order], p[order], base[order]
     w = model.weight[p]
     alpha = model.filter_forward(u_start, a, b, w, base, size)
     before = np.where(a == base, 0.0, alpha[a])
     ok = np.isfinite(before) & np.isfinite(alpha[b])
     a, b, p, w, before = a[ok], b[ok], p[ok], w[ok], before[ok]
-    by = np.argsort(b, kind="stable")
-    a, b, p, w, before = a[by], b[by], p[by], w[by], before[by]
     share = np.exp(before + w - alpha[b])
+    # likely edges first, so that few are looked at; the order within a position depends on the segment alone
+    by = np.argsort((b << 26) | ((np.clip(1.0 - share, 0.0, 1.0) * (2**20 - 1)).astype(np.int64) << 6) | (b - a))
+    a, b, p, w, share = a[by], b[by], p[by], w[by], share[by]
     node_first = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else np.zeros(0, np.int64)
-    number = np.zeros(size + 1, dtype=np.int64)
-    number[b[node_first]] = np.arange(len(node_first))
+    first_edge = np.zeros(size + 1, dtype=np.int64)
+    first_edge[b[node_first]] = node_first
     within = np.cumsum(share)
     within -= np.repeat(within[node_first] - share[node_first], np.diff(np.r_[node_first, len(b)]))
     last_of = np.r_[node_first[1:], len(b)] - 1
-    within[last_of] = 1.0
-    ladder = np.repeat(np.arange(len(node_first)), np.diff(np.r_[node_first, len(b)])) + np.minimum(within, 1.0)
-
+    within[last_of] = 2.0  # the last edge takes what rounding leaves
     row = np.searchsorted(bounds, start, side="right") - 1
     seq = np.arange(len(start)) - np.searchsorted(start, bounds[:-1])[row]
-    seed = tb.mix(keys[row])
+    mixed = tb.mix(keys)[row] + seq.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     at = (u_start + length)[back]
     origin = u_start[back]
     live = np.arange(len(start))
@@ -183,9 +194,12 @@ def sample_slice(model: Pieces, data: np.ndarray, offs: np.ndarray, keys: np.nda
     logp = np.zeros(len(start))
     logp -= alpha[at]
     while len(live):
-        node = number[at[live]]
-        edge = np.searchsorted(ladder, node + _uniform(seed[live], seq[live], len(steps)), side="right")
-        edge = np.minimum(edge, last_of[node])
+        edge = first_edge[at[live]]
+        u = _uniform(mixed[live], len(steps))
+        on = np.flatnonzero(u >= within[edge])
+        while len(on):
+            edge[on] += 1
+            on = on[u[on] >= within[edge[on]]]
         steps.append((live, p[edge]))
         count[live] += 1
         logp[live] += w[edge]
