@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratacube.llm import textbuf as tb
 from stratacube.sources.workspace import Workspace
 
 #: Characters of the text that splitters hold; the driver's sample of them stays small however long texts are.
@@ -62,7 +63,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
     placed = rows.repartitionByRange(*key).sortWithinPartitions(key[0], key[1], "text", "id")
     placed = placed.select("id", "text", F.sha2(F.encode("text", "UTF-8"), 256).alias("sha"), F.spark_partition_id().alias("part"))
-    runs = ws.save(placed.mapInArrow(_runs, "id long, sha string, run_id long, run_size long, edge boolean, is_last boolean, part int"), "runs")
+    runs = ws.save(placed.mapInArrow(tb.frugal(_runs), "id long, sha string, run_id long, run_size long, edge boolean, is_last boolean, part int"), "runs")
     # at most two pieces of runs for each partition: small by construction, whatever the size of a group
     pieces = runs.where("edge AND is_last").groupBy(F.col("sha").alias("piece_sha")).agg(F.sum("run_size").alias("all_size"), F.max_by("run_id", "part").alias("all_id"), F.max("part").alias("last_part"))
     out = runs.join(F.broadcast(pieces), (F.col("sha") == F.col("piece_sha")) & F.col("edge"), "left")

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratacube.llm import textbuf as tb
+
 # Frequent function words of four languages.
 STOP_WORDS = frozenset(
     """a about after all also an and are as at be been but by can could for from had has have he her his how i if in into is it its
@@ -229,4 +231,4 @@ def extract_main_text(pages: DataFrame, html_col: str = "html", out_col: str = "
             texts = [main_text(x) if x else "" for x in batch.column(len(own)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*own, out_col, "n_chars"])
 
-    return pages.select(*own, F.col(html_col).cast("string").alias("__html")).mapInArrow(run, schema)
+    return pages.select(*own, F.col(html_col).cast("string").alias("__html")).mapInArrow(tb.frugal(run), schema)

@@ -103,7 +103,7 @@ def train(docs: DataFrame, text_col: str, lang_col: str, training: Column) -> Mo
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(counts[k][at])], ["lang", "feature", "c"])
 
     rows = docs.where(training & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    table = rows.mapInArrow(run, "lang string, feature int, c long").groupBy("lang", "feature").agg(F.sum("c").alias("c")).toArrow()
+    table = rows.mapInArrow(tb.frugal(run), "lang string, feature int, c long").groupBy("lang", "feature").agg(F.sum("c").alias("c")).toArrow()
     langs = sorted(set(table.column("lang").to_pylist()))
     counts = np.zeros((len(langs), FEATURES))
     index = {x: i for i, x in enumerate(langs)}
@@ -149,7 +149,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_out: str
                 score += np.where(none, 0.0, sure).tolist()
             yield pa.RecordBatch.from_arrays([batch.column(i) for i, c in enumerate(batch.schema.names) if c != "__text"] + [pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*own, lang_out, score_out])
 
-    return docs.select(*own, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*own, F.col(text_col).cast("string").alias("__text")).mapInArrow(tb.frugal(run), schema)
 
 
 def fold(id_col: str, parts: int) -> Column:

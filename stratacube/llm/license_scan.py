@@ -147,4 +147,4 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     schema = docs.select(F.col(id_col).alias("id")).schema
     for field in StructType.fromDDL(_RESULT):
         schema = schema.add(field)
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tb.frugal(run), schema)

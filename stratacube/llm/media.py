@@ -121,7 +121,7 @@ def store_payloads(docs: DataFrame, ws: Workspace, id_col: str = "doc_id", text_
                 found = [hashlib.sha256(c).digest() for parts in chunks([payload(raws[i]) for i in group]) for c in parts]
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["digest"])
 
-    shared = ws.save(texts.select("text").mapInArrow(digests, "digest binary").groupBy("digest").agg(F.count("*").alias("c")).where("c > 1").select("digest"), "shared")
+    shared = ws.save(texts.select("text").mapInArrow(tb.frugal(digests), "digest binary").groupBy("digest").agg(F.count("*").alias("c")).where("c > 1").select("digest"), "shared")
     sieve = docs.sparkSession.sparkContext.broadcast(_filter(shared))
 
     def write(batches):
@@ -150,7 +150,7 @@ def store_payloads(docs: DataFrame, ws: Workspace, id_col: str = "doc_id", text_
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["id", "kh", "n_bytes", "parts", "digest", "stored", "kind"])
 
     schema = f"id long, kh long, n_bytes long, parts {_CHUNK}, digest binary, stored binary, kind string"
-    media = ws.save(texts.select("id", F.xxhash64("text").alias("kh"), "text").mapInArrow(write, schema), "media", partition_by=["kind"])
+    media = ws.save(texts.select("id", F.xxhash64("text").alias("kh"), "text").mapInArrow(tb.frugal(write), schema), "media", partition_by=["kind"])
     store = ws.save(media.where("kind = 'chunk'").groupBy("digest").agg(F.first("stored").alias("stored")), "chunks")
     ws.drop("media/kind=chunk")
     return media.where("kind = 'doc'").select("id", "kh", "n_bytes", "parts"), store
@@ -182,11 +182,11 @@ def read_payloads(docs: DataFrame, store: DataFrame, each, schema: str) -> DataF
 
     arrow = to_arrow_schema(StructType.fromDDL(schema))
     linked = F.exists("parts", lambda p: p["stored"].isNull())
-    plain = docs.where(~linked).select("id", "n_bytes", "parts").mapInArrow(assemble, schema)
+    plain = docs.where(~linked).select("id", "n_bytes", "parts").mapInArrow(tb.frugal(assemble), schema)
     split = docs.where(linked).select("id", "kh", "n_bytes", "parts")
     refs = split.select("id", "kh", F.explode(F.filter("parts", lambda p: p["stored"].isNull())).alias("p")).select("id", "kh", F.col("p.digest").alias("digest")).distinct().join(store, "digest")
     refs = refs.groupBy(F.col("id").alias("id2"), F.col("kh").alias("kh2")).agg(F.collect_list(F.struct("digest", "stored")).alias("refs"))
-    whole = split.join(refs, F.col("id").eqNullSafe(F.col("id2")) & (F.col("kh") == F.col("kh2")), "left").select("id", "n_bytes", "parts", "refs").mapInArrow(assemble, schema)
+    whole = split.join(refs, F.col("id").eqNullSafe(F.col("id2")) & (F.col("kh") == F.col("kh2")), "left").select("id", "n_bytes", "parts", "refs").mapInArrow(tb.frugal(assemble), schema)
     return plain.unionByName(whole)
 
 

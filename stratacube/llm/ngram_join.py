@@ -91,7 +91,7 @@ def _shingled(docs: DataFrame, text_col: str, id_col: str, width: int, keep, map
                     ["id", "n", "key1", "key2", "shingles", *(_MAPS if maps else [])],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, n long, key1 long, key2 long, shingles array<long>" + "".join(f", {c} long" for c in _MAPS if maps))
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tb.frugal(run), "id long, n long, key1 long, key2 long, shingles array<long>" + "".join(f", {c} long" for c in _MAPS if maps))
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, num: int = 90, den: int = 100) -> DataFrame:

@@ -19,7 +19,7 @@ SLACK = 4
 #: Partitions merged into one by a round, and bins that one task of a round packs.
 FAN_IN, TASK_BINS = 4, 200_000
 #: Entries of a worker's memo of encoded text pieces; it only saves time.
-MEMO = 1 << 20
+MEMO = 1 << 19
 
 
 class Encoder:
@@ -98,7 +98,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: st
     def run(batches):
         enc = encoder(tokenizer_path)
         for batch in batches:
-            for r0, r1, data, offs in tb.slices(batch.column(1), 4 << 20):
+            for r0, r1, data, offs in tb.slices(batch.column(1)):
                 ids, at = enc.encode(data, offs)
                 rows, pieces, starts, lengths, crcs = [], [], [], [], []
                 for r in range(r1 - r0):
@@ -114,7 +114,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: st
                         a, b, k = b, b + capacity, k + 1
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(pieces, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crcs, pa.int64())], ["id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tb.frugal(run), "id long, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -233,7 +233,7 @@ def sample_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
 
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col).cast("string")).alias("key"), F.col(text_col).cast("string").alias("text"))
     schema = rows.select("id").schema.add("pieces", _ints()).add("log_prob", "double")
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tb.frugal(run), schema)
 
 
 def _ints():
@@ -259,4 +259,4 @@ def decode_pieces(rows: DataFrame, model_path: str, pieces_col: str = "pieces",
                 texts.append((raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], pa.array(texts, pa.string())], [*own, out_col])
 
-    return rows.select(*own, pieces_col).mapInArrow(run, rows.select(*own).schema.add(out_col, "string"))
+    return rows.select(*own, pieces_col).mapInArrow(tb.frugal(run), rows.select(*own).schema.add(out_col, "string"))

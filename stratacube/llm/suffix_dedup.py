@@ -163,7 +163,7 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, min_bytes: int,
                 rows = pa.array(row + r0)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(start - offs[row]), pa.array(width.astype(np.int32)), pa.array(lead.astype(np.int32)), pa.array(gram.view(np.int64)), pa.array(context.view(np.int64))], ["id", "kh", "lo", "width", "lead", "gram", "context"])
 
-    anchors = ws.save(texts.where(F.octet_length("text") >= min_bytes).select("id", "kh", "text").mapInArrow(find, "id long, kh long, lo long, width int, lead int, gram long, context long"), "anchors")
+    anchors = ws.save(texts.where(F.octet_length("text") >= min_bytes).select("id", "kh", "text").mapInArrow(tb.frugal(find), "id long, kh long, lo long, width int, lead int, gram long, context long"), "anchors")
     twice = anchors.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram")
     cand = ws.save(anchors.join(twice, "gram", "left_semi"), "cand")
     key = ["gram", "lead", "width", "context"]
@@ -213,10 +213,10 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, min_bytes: int,
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["core", "id", "kh", "lo", "windows", "raw"])
 
-    cut = ws.save(joined.mapInArrow(cells, "core long, id long, kh long, lo long, windows int, raw binary"), "cells")
+    cut = ws.save(joined.mapInArrow(tb.frugal(cells), "core long, id long, kh long, lo long, windows int, raw binary"), "cells")
     met = cut.join(cut.groupBy("core").agg(F.count("*").alias("c")).where("c > 1").select("core"), "core", "left_semi")
     met = met.repartition("core").sortWithinPartitions("core").select("core", "id", "kh", "lo", "windows", "raw")
-    parts = met.mapInArrow(_cells_in_order(min_bytes, keep_first), "id long, kh long, lo long, hi long")
+    parts = met.mapInArrow(tb.frugal(_cells_in_order(min_bytes, keep_first)), "id long, kh long, lo long, hi long")
     # a representative that has copies is wholly covered unless the first copy is kept
     return whole.unionByName(parts)
 
@@ -271,7 +271,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     schema = base.select(*own).schema
     for name, kind in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept", "binary")):
         schema = schema.add(name, kind)
-    return joined.mapInArrow(remove, schema)
+    return joined.mapInArrow(tb.frugal(remove), schema)
 
 
 def sha256_hex(column: str):

@@ -7,12 +7,13 @@ a few numpy passes and memory does not depend on the batch size Spark chose.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _rng = np.random.Generator(np.random.PCG64(20240229))
 #: Odd multipliers of two independent polynomial hashes and a random value for each byte.
@@ -98,6 +99,26 @@ def words(data: np.ndarray, offs: np.ndarray, gap: np.ndarray = IS_SPACE) -> tup
     return start, end, np.searchsorted(offs, start, side="right") - 1
 
 
+def _trim() -> None:
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library; nothing to give back by hand
+        pass
+
+
+def frugal(run):
+    """A partition function that gives freed memory back to the system at its end, so that idle workers stay small."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            _trim()
+
+    return wrapped
+
+
 def to_utf8(column: pa.Array) -> list[bytes]:
     data, offs = text_buffer(column)
     raw = data.tobytes()
