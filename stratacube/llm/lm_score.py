@@ -1,9 +1,10 @@
 """Corpus language model as a weighted backoff automaton, and the scores of texts under it.
 
-Unigram counts are exact for every token of the corpus.  Documents are dealt into blocks of bounded size; a block
-sends each of its distinct tokens once, gets the counts of those tokens back, and is scored with that dictionary,
-so neither the vocabulary nor a row for each document and token is ever moved.  Longer n-grams become states and
-arcs when they make up a stated share of all training tokens, which bounds the automaton whatever the corpus.
+Counts of words, pairs and triples are exact for every token of the corpus, and each of them is an arc.  Documents are
+dealt into blocks of bounded size.  A block sends each of its distinct n-grams once, as packed sorted hashes dealt over
+ranges of the hash; the range adds the counts of all blocks up and sends them back in the order in which they came.  A
+second exchange of the same kind adds up what the arcs of a word or pair take of its mass.  With these the block
+builds the part of the automaton that its own texts can reach, so the whole is never held in one place.
 """
 
 from __future__ import annotations
@@ -17,14 +18,14 @@ from stratacube.llm import textbuf as tb
 from stratacube.sources.workspace import Workspace
 
 #: Text bytes of one block.
-BLOCK_BYTES = 24 << 20
-#: Words with at least this share of all training tokens are states, n-grams with at least that share are arcs:
-#: no more than 1 / share of either can exist.
-STATE_SHARE, ARC_SHARE = 1e-5, 1e-6
-#: Probability mass taken from each arc for backing off, and what is added to each unigram count.
+BLOCK_BYTES = 12 << 20
+#: A word is a state, and an n-gram an arc, only with at least this share of all training tokens; at 0 all are.
+STATE_SHARE, ARC_SHARE = 0.0, 0.0
+#: Count taken from each arc for backing off, and what is added to each unigram count.
 DISCOUNT, ADDED = 0.75, 0.1
 END = np.uint64(0x5DEECE66D1CE4E5B)
 _BITS = np.int64(22)
+_PREV = np.uint64(0x9E3779B97F4A7C15)
 
 
 def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -38,13 +39,6 @@ def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, np.r_[0, np.cumsum(np.bincount(row, minlength=rows) + 1)]
 
 
-def _tally(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values, sorted, and how often each stands in the parts."""
-    s = np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
-    first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.zeros(0, np.int64)
-    return s[first], np.diff(np.r_[first, len(s)])
-
-
 def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Index of each wanted value in sorted keys, -1 where missing."""
     if not len(keys):
@@ -54,12 +48,18 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 
 class Automaton:
-    """States: 0 empty, then one for each frequent word, then one for each kept pair of words.
+    """The automaton in one piece, for counts that fit in memory; ``Counts.walk`` is the same for a block's part of it.
 
+    States: 0 empty, then one for each frequent word, then one for each kept pair of words.
+
+    An arc has its discounted share of its state's count and, of the mass that the arcs leave, what the state behind
+    the failure arc gives its word; that mass is the weight of the failure arc.  Where only a part of a state's arcs
+    is given, ``left`` is the mass that all of them leave.
     ``arc_key`` is state and word; ``arc_logp`` its weight; ``fail`` and ``backoff`` the failure arc of a state.
     """
 
-    def __init__(self, words: np.ndarray, word_counts: np.ndarray, total: int, distinct: int):
+    def __init__(self, words: np.ndarray, word_counts: np.ndarray, total: int, distinct: int, bits: np.int64 = _BITS):
+        self.bits = bits
         order = np.argsort(words)
         self.words, self.word_counts = words[order], word_counts[order].astype(np.float64)
         self.total, self.norm = total, total + ADDED * (distinct + 1)
@@ -78,38 +78,38 @@ class Automaton:
         if len(self.pairs):
             before = np.r_[-1, f[:-1]]
             ok = np.flatnonzero((f >= 0) & (before >= 0) & ~first)
-            pair = _find(self.pairs, ((before[ok] + 1) << _BITS) | f[ok])
+            pair = _find(self.pairs, ((before[ok] + 1) << self.bits) | f[ok])
             state[ok] = np.where(pair >= 0, pair + 1 + len(self.words), state[ok])
         return state
 
-    def add_pairs(self, key: np.ndarray, count: np.ndarray) -> None:
-        """Arcs from one-word states (state << bits | word), each leading to a state of its own."""
+    def add_pairs(self, key: np.ndarray, count: np.ndarray, left: np.ndarray | None = None) -> None:
+        """Arcs from one-word states (state << bits | word), each leading to a state of its own; ``left`` by word."""
         order = np.argsort(key)
         key, count = key[order], count[order].astype(np.float64)
-        state, word = key >> _BITS, key & ((1 << 22) - 1)
+        state, word = key >> self.bits, key & ((np.int64(1) << self.bits) - 1)
         p = (count - DISCOUNT) / self.word_counts[state - 1]
-        n = len(self.words)
-        kept, lower = np.bincount(state, p, minlength=n + 1), np.bincount(state, 10 ** self.word_logp[word], minlength=n + 1)
-        self.backoff = np.log10(np.maximum(1 - kept, 1e-12) / np.maximum(1 - lower, 1e-12))
+        left = np.r_[1.0, left] if left is not None else 1 - np.bincount(state, p, minlength=len(self.words) + 1)
+        self.backoff = np.log10(np.maximum(left, 1e-12))
+        self.backoff[0] = 0
         self.pairs, self.pair_counts = key, count
-        self.arc_key, self.arc_logp = key, np.log10(p)
+        self.arc_key, self.arc_logp = key, np.log10(p + left[state] * 10 ** self.word_logp[word])
         self.fail = np.concatenate([self.fail, word + 1])
         self.backoff = np.concatenate([self.backoff, np.zeros(len(key))])
 
-    def add_triples(self, key: np.ndarray, count: np.ndarray) -> None:
-        """Arcs from two-word states; their failure arcs lead to the state of the second word."""
+    def add_triples(self, key: np.ndarray, count: np.ndarray, left: np.ndarray | None = None) -> None:
+        """Arcs from two-word states; their failure arcs lead to the state of the second word; ``left`` by pair."""
         order = np.argsort(key)
         key, count = key[order], count[order].astype(np.float64)
-        state, word = key >> _BITS, key & ((1 << 22) - 1)
+        state, word = key >> self.bits, key & ((np.int64(1) << self.bits) - 1)
         n = len(self.words)
         p = (count - DISCOUNT) / self.pair_counts[state - 1 - n]
-        short = self.arc_logp[_find(self.pairs, (self.fail[state] << _BITS) | word)]
-        kept, lower = np.bincount(state, p, minlength=len(self.fail)), np.bincount(state, 10**short, minlength=len(self.fail))
-        two = np.arange(len(self.fail)) > n
-        self.backoff = np.where(two, np.log10(np.maximum(1 - kept, 1e-12) / np.maximum(1 - lower, 1e-12)), self.backoff)
+        left = left if left is not None else 1 - np.bincount(state - 1 - n, p, minlength=len(self.pairs))
+        at = _find(self.pairs, (self.fail[state] << self.bits) | word)
+        short = np.where(at >= 0, self.arc_logp[at] if len(self.arc_logp) else 0.0, self.backoff[self.fail[state]] + self.word_logp[word])
+        self.backoff[n + 1 :] = np.log10(np.maximum(left, 1e-12))
         keys = np.concatenate([self.arc_key, key])
         order = np.argsort(keys)
-        self.arc_key, self.arc_logp = keys[order], np.concatenate([self.arc_logp, np.log10(p)])[order]
+        self.arc_key, self.arc_logp = keys[order], np.concatenate([self.arc_logp, np.log10(p + left[state - 1 - n] * 10**short)])[order]
 
     def walk(self, h: np.ndarray, bounds: np.ndarray, base: np.ndarray) -> np.ndarray:
         """log10 probability of each token, read from left to right from the empty state of its row.
@@ -125,7 +125,7 @@ class Automaton:
         open_ = np.arange(len(h))
         while len(open_):
             s = at[open_]
-            arc = np.where((s > 0) & (f[open_] >= 0), _find(self.arc_key, (s << _BITS) | np.maximum(f[open_], 0)), -1)
+            arc = np.where((s > 0) & (f[open_] >= 0), _find(self.arc_key, (s << self.bits) | np.maximum(f[open_], 0)), -1)
             hit = arc >= 0
             out[open_[hit]] += self.arc_logp[arc[hit]]
             bottom = ~hit & (s == 0)
@@ -137,40 +137,192 @@ class Automaton:
         return out
 
 
-def _arcs(texts: DataFrame, model: Automaton, order: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts over all training texts of arcs from states of ``order`` - 1 words; those below ``least`` are left out.
+def _pack(a: np.ndarray) -> bytes:
+    """Values of eight bytes, laid out by place of the byte and compressed."""
+    return len(a).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8).T).tobytes(), asbytes=True)
 
-    At most total / least arcs remain, so what comes to the driver is bounded.
-    """
-    shared = texts.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
-        m, parts, held = shared.value, [], 0
+def _unpack(b: bytes, dtype=np.int64) -> np.ndarray:
+    n = int.from_bytes(b[:8], "little")
+    raw = pa.Codec("zstd").decompress(b[8:], n * 8, asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, n).T).reshape(-1).view(dtype)
+
+
+def _pack_keys(k: np.ndarray) -> bytes:
+    return _pack(np.diff(k, prepend=np.uint64(0)))
 
-        def out():
-            key, c = _tally(parts)
-            return pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(c)], ["arc", "c"])
 
+def _unpack_keys(b: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(b, np.uint64), dtype=np.uint64)
+
+
+def _ranges(keys: np.ndarray, n: int) -> np.ndarray:
+    """Where each of n ranges of the hash begins in sorted keys (n + 1)."""
+    return np.searchsorted(((keys >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32), np.arange(n + 1, dtype=np.uint64))
+
+
+class Block:
+    """Tokens of a block's rows, and for orders 1 to 3 (index 0 to 2) its distinct n-grams by hash.
+
+    ``at`` is the n-gram that ends at each token (-1: the row has not that many before it), ``keys`` the sorted
+    hashes, ``count`` the occurrences in training rows, ``last`` the n-gram's last word, ``context``
+    and ``tail`` the n-grams without its last and its first word.
+    """
+
+    def __init__(self, text: pa.ChunkedArray, held: np.ndarray):
+        text = text.combine_chunks()
+        text = text.combine_chunks() if isinstance(text, pa.ChunkedArray) else text
+        parts, lengths = [], []
+        for _, _, data, offs in tb.slices(text):
+            h, bounds = tokens(data, offs)
+            parts.append(h)
+            lengths.append(np.diff(bounds))
+        lengths = np.concatenate(lengths) if lengths else np.zeros(0, np.int64)
+        self.bounds = np.r_[0, np.cumsum(lengths)]
+        self.h = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+        fresh = np.repeat(held.astype(bool), lengths)
+        key, ok = self.h, np.ones(len(self.h), dtype=bool)
+        first = np.zeros(len(self.h), dtype=bool)
+        first[self.bounds[:-1]] = True
+        self.at, self.keys, self.count, self.last, self.context, self.tail = [], [], [], [], [], []
+        for order in range(3):
+            if order:
+                key = np.r_[np.uint64(0), tb.mix(key[:-1] * _PREV + self.h[1:])][: len(self.h)]
+                ok = np.r_[False, ok[:-1]][: len(self.h)] & ~first
+            place = np.flatnonzero(ok)
+            by = np.argsort(key[place])
+            s = key[place][by]
+            new = np.r_[True, s[1:] != s[:-1]] if len(s) else np.zeros(0, bool)
+            at = np.full(len(self.h), -1, dtype=np.int64)
+            at[place[by]] = np.cumsum(new) - 1
+            one = place[by][new]
+            self.keys.append(s[new])
+            self.at.append(at)
+            self.count.append(np.bincount(at[ok & ~fresh], minlength=len(one)).astype(np.int64))
+            self.last.append(self.at[0][one])
+            self.context.append(self.at[order - 1][one - 1] if order else None)
+            self.tail.append(self.at[order - 1][one] if order else None)
+
+    def rows(self, block: int, n: int, order: int, keys: np.ndarray, values: np.ndarray) -> list[tuple]:
+        cut = _ranges(keys, n).tolist()
+        return [(block, order, r, _pack_keys(keys[a:b]), _pack(values[a:b])) for r, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
+
+
+def _packed(rows: DataFrame, n_blocks: int) -> DataFrame:
+    """(block, rows): the rows of each block of a batch as one compressed Arrow stream."""
+
+    def run(batches):
         for batch in batches:
-            for _, _, data, offs in tb.slices(batch.column(0)):
-                h, bounds = tokens(data, offs)
-                f = m.ids(h)
-                first = np.zeros(len(h), dtype=bool)
-                first[bounds[:-1]] = True
-                s = np.r_[0, m.states(f, first)[:-1]]
-                s[first] = 0
-                two = s > len(m.words)
-                ok = (f >= 0) & (two if order == 3 else s > 0)
-                source = s if order == 3 else np.where(two, m.fail[s], s)
-                parts.append(((source[ok] << _BITS) | f[ok]).astype(np.uint64))
-                held += len(parts[-1])
-                if held > 8 << 20:
-                    yield out()
-                    parts, held = [], 0
-        yield out()
-
-    table = texts.mapInArrow(tb.frugal(run), "arc long, c long").groupBy("arc").agg(F.sum("c").alias("c")).where(F.col("c") >= least).toArrow()
-    return table.column("arc").to_numpy(), table.column("c").to_numpy()
+            block = batch.column(0).to_numpy()
+            by = np.argsort(block, kind="stable")
+            cut = np.flatnonzero(np.r_[True, block[by][1:] != block[by][:-1]]) if len(by) else np.zeros(0, np.int64)
+            own = pa.RecordBatch.from_arrays(batch.columns[1:], batch.schema.names[1:])
+            out = []
+            for part in np.split(by, cut[1:]) if len(by) else []:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                    stream.write_batch(own.take(pa.array(part)))
+                out.append(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array(block[by[cut]], pa.int32()), pa.array(out, pa.binary())], ["block", "rows"])
+
+    blocked = rows.select(F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)).cast("int").alias("block"), *rows.columns)
+    return blocked.mapInArrow(tb.frugal(run), "block int, rows binary")
+
+
+def _rows(left: pa.Table) -> pa.Table:
+    """The rows of a block, in an order that does not depend on the order in which its parts came."""
+    parts = sorted(left.column("rows").to_pylist())
+    return pa.concat_tables([pa.ipc.open_stream(p).read_all() for p in parts])
+
+
+SENT = "block int, n int, part int, keys binary, v binary"
+BACK = "block int, n int, part int, v binary, own long, mass long"
+_SENT = pa.schema([("block", pa.int32()), ("n", pa.int32()), ("part", pa.int32()), ("keys", pa.binary()), ("v", pa.binary())])
+_BACK = pa.schema([("block", pa.int32()), ("n", pa.int32()), ("part", pa.int32()), ("v", pa.binary()), ("own", pa.int64()), ("mass", pa.int64())])
+
+
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+
+def _sums(sent: pa.Table) -> tuple[list[tuple], list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """Rows of one range by block; for each row, key by key, the sum of the values of all rows, whether it is the first with a value, and whether others have the key."""
+    rows = sorted(zip(*(sent.column(c).to_pylist() for c in ("block", "n", "part", "keys", "v")), strict=True), key=lambda r: r[0])
+    kind = np.int64 if rows[0][1] > 0 else np.float64
+    keys, values = [_unpack_keys(r[3]) for r in rows], [_unpack(r[4], kind) for r in rows]
+    cut = np.cumsum([len(k) for k in keys])[:-1]
+    k, v = np.concatenate(keys), np.concatenate(values)
+    by = np.argsort(k, kind="stable")
+    s = k[by]
+    start = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+    group = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(s)]))
+    total = np.empty_like(v)
+    total[by] = np.add.reduceat(v[by], start)[group]
+    some = np.flatnonzero(v[by] > 0)
+    own = np.zeros(len(k), dtype=bool)
+    own[by[some[np.r_[True, group[some][1:] != group[some][:-1]]]] if len(some) else []] = True
+    shared = np.empty(len(k), dtype=bool)
+    shared[by] = (np.diff(np.r_[start, len(s)]) > 1)[group]
+    return rows, np.split(total, cut), np.split(own, cut), np.split(shared, cut)
+
+
+def _count(sent: pa.Table) -> pa.Table:
+    rows, total, own, shared = _sums(sent)
+    return _table([(r[0], r[1], r[2], _pack(t * 4 + w * 2 + o), int(o.sum()), int(t[o].sum())) for r, t, o, w in zip(rows, total, own, shared, strict=True)], _BACK)
+
+
+def _masses(sent: pa.Table) -> pa.Table:
+    rows, total, _, _ = _sums(sent)
+    return _table([(r[0], r[1], r[2], _pack(t), 0, 0) for r, t in zip(rows, total, strict=True)], _BACK)
+
+
+def _answers(back: pa.Table, n: int, kind=np.int64) -> np.ndarray:
+    """What came back for order n, in the order of the keys that were sent."""
+    rows = sorted((p, v) for m, p, v in zip(*(back.column(c).to_pylist() for c in ("n", "part", "v")), strict=True) if m == n)
+    return np.concatenate([_unpack(v, kind) for _, v in rows]) if rows else np.zeros(0, kind)
+
+
+class Counts:
+    """Corpus counts of a block's n-grams, which of them are states and arcs, and what their arcs take."""
+
+    def __init__(self, own: Block, back: pa.Table, state_least: int, arc_least: int):
+        both = [_answers(back, n) for n in (1, 2, 3)]
+        self.count, first, shared = [b >> 2 for b in both], [(b & 1).astype(bool) for b in both], [(b & 2).astype(bool) for b in both]
+        self.kept = [self.count[0] >= state_least]
+        for n in (1, 2):
+            self.kept.append((self.count[n] >= arc_least) & self.kept[n - 1][own.context[n]] & self.kept[0][own.last[n]])
+        #: Sums of this block's share of the arcs of each context, and the contexts that other blocks have too.
+        self.taken, self.wider = [], shared[:2]
+        for n in (1, 2):
+            arc = self.kept[n] & first[n]
+            self.taken.append(np.bincount(own.context[n][arc], self.count[n][arc] - DISCOUNT, minlength=len(own.keys[n - 1])).astype(np.float64))  # an empty one is of integers
+
+    def complete(self, back: pa.Table) -> None:
+        for n in (0, 1):
+            self.taken[n][self.wider[n]] = _answers(back, -1 - n, np.float64)
+
+    def walk(self, own: Block, norm: float) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probabilities of each token: unigram, and that of ``Automaton`` with all arcs, by number of the n-gram instead of key."""
+        word, pair, triple = self.kept
+        low = np.log10((self.count[0] + ADDED) / norm)
+        left, fail, arc = [], [], [low]
+        for n in (1, 2):
+            state, some = self.kept[n - 1], self.kept[n]
+            left.append(np.where(state, 1 - self.taken[n - 1] / np.maximum(self.count[n - 1], 1), 1.0))
+            fail.append(np.log10(np.maximum(left[-1], 1e-12)))
+            p = np.zeros(len(some))
+            context, tail = own.context[n][some], own.tail[n][some]
+            p[some] = np.log10((self.count[n][some] - DISCOUNT) / self.count[n - 1][context] + left[-1][context] * 10 ** arc[n - 1][tail])
+            if n == 2:  # an arc of a pair always has its pair of words among the arcs, for that is as frequent
+                assert pair[tail].all()
+            arc.append(p)
+        base = low[own.at[0]]
+        out = base.copy()
+        for n in (1, 2):
+            at = np.flatnonzero(own.at[n] >= 0)
+            gram = own.at[n][at]
+            out[at] = np.where(self.kept[n][gram], arc[n][gram], fail[n - 1][own.context[n][gram]] + out[at])
+        return base, out
 
 
 def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", state_share: float = STATE_SHARE, arc_share: float = ARC_SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -186,62 +338,42 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = int(size // block_bytes) + 1
-    blocked = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)).cast("int"))
+    parts = n_blocks // 2 + 1
+    texts = _packed(rows, n_blocks)
 
-    def gather(batches):
-        known: dict[int, list] = {}
-        fresh: dict[int, list] = {}
-        for batch in batches:
-            block, held = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
-            for r0, r1, data, offs in tb.slices(batch.column(1)):
-                h, bounds = tokens(data, offs)
-                row = np.repeat(np.arange(r0, r1), np.diff(bounds))
-                for b in np.unique(block[r0:r1]).tolist():
-                    own = block[row] == b
-                    known.setdefault(b, []).append(h[own & ~held[row]])
-                    fresh.setdefault(b, []).append(_tally([h[own & held[row]]])[0])
-        for b in known:
-            word, c = _tally(known[b])
-            extra = _tally([*fresh[b], word])[0]
-            extra = extra[_find(word, extra) < 0]
-            word, c = np.concatenate([word, extra]), np.concatenate([c, np.zeros(len(extra), np.int64)])
-            for a in range(0, len(word), 1 << 18):
-                w = word[a : a + (1 << 18)].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), b, np.int32)), pa.array(w), pa.array(c[a : a + len(w)])], ["block", "word", "c"])
-
-    partial = ws.save(blocked.select("block", "text", "held_out").repartition(n_blocks, "block").mapInArrow(tb.frugal(gather), "block int, word long, c long"), "partial")
-    counts = ws.save(partial.groupBy("word").agg(F.sum("c").alias("c")).where("c > 0"), "counts")
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    common = counts.where(F.col("c") >= max(2, int(np.ceil(state_share * total)))).toArrow()  # no more than 1 / state_share
-    model = Automaton(common.column("word").to_numpy().view(np.uint64), common.column("c").to_numpy(), total, distinct)
-    least = max(2, int(np.ceil(arc_share * total)))
-    training = rows.where(~F.col("held_out")).select("text")
-    model.add_pairs(*_arcs(training, model, 2, least))
-    model.add_triples(*_arcs(training, model, 3, least))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    def open_(left: pa.Table) -> tuple[Block, pa.Table]:
+        own = _rows(left)
+        return Block(own.column("text"), own.column("held_out").to_numpy()), own
+
+    def gather(left: pa.Table) -> pa.Table:
+        own, block = open_(left)[0], left.column("block")[0].as_py()
+        return _table([r for n in range(3) for r in own.rows(block, parts, n + 1, own.keys[n], own.count[n])], _SENT)
+
+    sent = texts.groupBy("block").applyInArrow(gather, SENT)
+    counts = ws.save(sent.groupBy("n", "part").applyInArrow(_count, BACK), "counts")
+    total, distinct = counts.where("n = 1").agg(F.coalesce(F.sum("mass"), F.lit(0)), F.coalesce(F.sum("own"), F.lit(0))).first()
+    least = [max(1, int(np.ceil(share * total))) for share in (state_share, arc_share)]
+
+    def share(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left):
+            return _table([], _SENT)
+        own, block = open_(left)[0], left.column("block")[0].as_py()
+        c = Counts(own, right, *least)
+        return _table([r for n in (0, 1) for r in own.rows(block, parts, -1 - n, own.keys[n][c.wider[n]], c.taken[n][c.wider[n]])], _SENT)
+
+    shares = texts.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(share, SENT)
+    masses = ws.save(shares.groupBy("n", "part").applyInArrow(_masses, BACK), "masses")
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        m = shared.value
-        word = right.column("word").to_numpy().view(np.uint64)
-        order = np.argsort(word)
-        word, c = word[order], right.column("c").to_numpy()[order].astype(np.float64)
-        text = left.column("text").combine_chunks()
-        text = text.combine_chunks() if isinstance(text, pa.ChunkedArray) else text
-        n_tokens, n_known, base, full = [], [], [], []
-        for _, _, data, offs in tb.slices(text):
-            h, bounds = tokens(data, offs)
-            at = _find(word, h)
-            count = np.where(at >= 0, c[at] if len(c) else 0.0, 0.0)
-            low = np.log10((count + ADDED) / m.norm)
-            n_tokens.append(np.diff(bounds))
-            n_known.append(np.add.reduceat((count > 0).astype(np.int64), bounds[:-1]))
-            base.append(np.add.reduceat(low, bounds[:-1]))
-            full.append(np.add.reduceat(m.walk(h, bounds, low), bounds[:-1]))
-        cols = [np.concatenate(x) if x else np.zeros(0) for x in (n_tokens, n_known, base, full)]
-        return pa.table([left.column("id"), left.column("held_out"), pa.array(cols[0].astype(np.int64)), pa.array(cols[1].astype(np.int64)), pa.array(np.full(len(text), m.total, np.int64)), pa.array(cols[2]), pa.array(cols[3])], ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    lookup = partial.select("block", "word").join(counts, "word")
+        own, given = open_(left)
+        c = Counts(own, right, *least)
+        c.complete(right)
+        low, full = c.walk(own, total + ADDED * (distinct + 1))
+        known, at = (c.count[0][own.at[0]] > 0).astype(np.int64), own.bounds[:-1]
+        known, base, full = (np.add.reduceat(x, at) for x in (known, low, full))
+        return pa.table([given.column("id"), given.column("held_out"), pa.array(np.diff(own.bounds)), pa.array(known), pa.array(np.full(len(at), total, np.int64)), pa.array(base), pa.array(full)], ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
     schema = rows.select("id", "held_out").schema
     for name, kind in (("n_tokens", "long"), ("n_known", "long"), ("train_tokens", "long"), ("base_score", "double"), ("score", "double")):
         schema = schema.add(name, kind)
-    return blocked.groupBy("block").cogroup(lookup.groupBy("block")).applyInArrow(score, schema)
+    return texts.groupBy("block").cogroup(counts.unionByName(masses).groupBy("block")).applyInArrow(score, schema)

@@ -205,6 +205,27 @@ def test_scores_base_and_model(spark):
     assert lm_score.lm_scores(docs, F.lit(True)).where("n_known > 0 OR train_tokens > 0").count() == 0
 
 
+def test_scores_use_every_pair_and_triple(spark):
+    """Against a plain model of all n-grams, over several blocks; rare ones count however large the corpus."""
+    texts = [corpus.prose(k % 7, 200, 60) for k in range(12)] + [corpus.prose(50 + k, 400, 3000) for k in range(8)] + ["rare pair here", "rare pair here too", "rare pair gone", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held = F.col("doc_id") % 5 == 3
+    got = {r.id: r for r in lm_score.lm_scores(docs, held, block_bytes=4000).collect()}
+    tok = [[*re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().translate(corpus.LOW)), None] for t in texts]
+    c = Counter(tuple(w[k : k + n]) for i, w in enumerate(tok) if i % 5 != 3 for n in (1, 2, 3) for k in range(len(w) - n + 1))
+    kinds = Counter(g[:-1] for g in c)
+    n, v = sum(x for g, x in c.items() if len(g) == 1), kinds[()]
+
+    def p(g):
+        if len(g) == 1:
+            return (c[g] + 0.1) / (n + 0.1 * (v + 1))
+        h = c[g[:-1]]
+        return max(c[g] - 0.75, 0) / h + 0.75 * kinds[g[:-1]] / h * p(g[1:]) if h else p(g[1:])
+
+    for i, w in enumerate(tok):
+        assert got[i].score == pytest.approx(sum(math.log10(p(tuple(w[max(0, k - 2) : k + 1]))) for k in range(len(w))), rel=1e-9)
+
+
 def test_automaton_is_a_distribution():
     """From every state the weights of all words and of the unseen class add up to one."""
     rng = np.random.default_rng(0)
