@@ -63,8 +63,11 @@ def _marks(attributes: str) -> tuple[bool, bool, bool]:
     return named, hidden, holds
 
 
-def blocks(page: str) -> list[tuple[str, float, bool, int]]:
-    """(text, share of letters in links, outside, article number or 0) of each block in page order."""
+def blocks(page: str, marked: bool = True) -> list[tuple[str, float, bool, int]]:
+    """(text, share of letters in links, outside, article number or 0) of each block in page order.
+
+    ``marked``: article elements can be page furniture by name, as other elements are; main elements never are.
+    """
     out: list[tuple[str, float, bool, int]] = []
     stack: list[tuple[str, bool, int]] = []
     words: list[str] = []
@@ -166,7 +169,7 @@ def blocks(page: str) -> list[tuple[str, float, bool, int]]:
             if not outside:
                 articles += 1
                 article = articles
-            named = False
+            named = named and marked and tag == "article"
         root = tag in ("html", "body")
         outside = outside or hidden and not root or named and not root or tag in OUTSIDE or tag == "header" and not article
         stack.append((tag, outside, article))
@@ -175,16 +178,19 @@ def blocks(page: str) -> list[tuple[str, float, bool, int]]:
 
 
 def classify(found: list[tuple[str, float, bool, int]]) -> list[bool]:
-    """Pass 1 decides what it can; pass 2 gives undecided blocks the label of the nearest decided one of their part of the page."""
+    """Pass 1 decides what it can; pass 2 gives undecided blocks the label of the nearest decided one of their part of the page.
+
+    An article element is no verdict: links and function words decide inside and outside it.  It only makes a long
+    block with few function words undecided, and is the label where neighbours do not settle one; beside an
+    article, that takes neighbours on both sides.
+    """
     some_article = any(a and not o for _, _, o, a in found)
     labels: list[bool | None] = []
     for text, link, outside, article in found:
         words = _WORD.findall(text.lower())
         density = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-        if outside or (link > LINKS and not article) or (some_article and not article):
+        if outside or link > LINKS:
             labels.append(False)
-        elif link > LINKS:
-            labels.append(None)
         elif len(text) < SHORT:
             labels.append(None)
         elif density >= STOP_HIGH or (len(text) >= LONG and density >= STOP_LOW):
@@ -201,7 +207,7 @@ def classify(found: list[tuple[str, float, bool, int]]) -> list[bool]:
         same = lambda j: found[j][3] == article and not (article and found[j][2])  # noqa: E731  furniture inside an article says nothing about its text
         before = next((j for j in range(i - 1, -1, -1) if labels[j] is not None and same(j)), None)
         after = next((j for j in range(i + 1, len(labels)) if labels[j] is not None and same(j)), None)
-        if before is None and after is None:
+        if before is None and after is None or some_article and not article and (before is None or after is None):
             out[i] = bool(article)
         elif before is None or after is None:
             out[i] = bool(labels[after if before is None else before])
@@ -214,6 +220,8 @@ def classify(found: list[tuple[str, float, bool, int]]) -> list[bool]:
 
 def main_text(page: str) -> str:
     found = blocks(page)
+    if not any(a and not o and len(t) >= SHORT for t, _, o, a in found):
+        found = blocks(page, marked=False)  # no text but in articles with such names: then the names say nothing
     return "\n".join(b[0] for b, good in zip(found, classify(found), strict=True) if good)
 
 

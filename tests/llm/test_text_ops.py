@@ -76,6 +76,19 @@ def test_html_rules():
     assert html_text.main_text("a < b <article><p>1 < 2 & 3</p><p title=\"x>y\">z") == "1 < 2 & 3\nz"
 
 
+def test_html_rules_decide_inside_and_outside_articles():
+    long = "It was the best of the times and it was the worst of the times, as they say in the book of that name."
+    end = "And there was a king with a large jaw and a queen with a plain face on the throne of England then."
+    assert html_text.main_text(f"<body><div>{long}</div><article><p>{end}</p></article><div>contact</div></body>") == f"{long}\n{end}"
+    links = "<ul><li><a href=1>one more of the stories</a></li><li><a href=2>two</a></li></ul>"
+    keys = " ".join(f"keyword{k}" for k in range(40))
+    page = f"<body><article><p>{long}</p><p>Short.</p>{links}<p>{keys}</p>{links}</article></body>"
+    assert html_text.main_text(page) == f"{long}\nShort."
+    assert html_text.main_text(f"<article><p>{long}</p><p>{keys}</p></article>") == f"{long}\n{keys}"
+    assert html_text.main_text(f"<main><p>{long}</p><article class='related'><p>{end}</p></article></main>") == long
+    assert html_text.main_text(f"<main><article class='post tag-social'><p>{end}</p></article></main>") == end
+
+
 def test_html_articles_of_the_pages(spark):
     import html as escape
 
