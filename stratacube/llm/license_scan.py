@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import re
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
@@ -81,6 +82,17 @@ def plain(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, np.r_[0, np.cumsum(count + 1)]
 
 
+def _matches(pattern, text: str, lo: int, hi: int, least: int) -> Iterator:
+    """Best match of the window, and those of what lies before and after it, in order."""
+    parts = [(lo, hi, None)]
+    while parts:
+        a, b, m = parts.pop()
+        if m is not None:
+            yield m
+        elif b - a >= least and (m := pattern.search(text, a, b)) and m.end() > m.start():
+            parts += [(m.end(), b, None), (a, b, m), (a, m.start(), None)]
+
+
 def _notices(text: str, bounds: np.ndarray) -> list[tuple[int, str, int, int, int]]:
     """(row, notice, start, end, errors) of every verified place."""
     _, seeds, patterns = _tools()
@@ -99,9 +111,8 @@ def _notices(text: str, bounds: np.ndarray) -> list[tuple[int, str, int, int, in
     found = []
     for (row, notice), spans in windows.items():
         for lo, hi in spans:
-            for m in patterns[notice].finditer(text, lo, hi):
-                if m.end() > m.start():
-                    found.append((row, notice, m.start(), m.end(), sum(m.fuzzy_counts)))
+            for m in _matches(patterns[notice], text, lo, hi, len(notice) - errors_allowed(notice)):
+                found.append((row, notice, m.start(), m.end(), sum(m.fuzzy_counts)))
     return found
 
 

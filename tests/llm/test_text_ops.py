@@ -281,3 +281,12 @@ def test_license_base_fuzzy_and_odd(spark):
     assert got[2].labels == "apache-2" and got[2].n_base == 0 and 0.8 < got[2].score < 1 and got[3].labels == "gpl" and got[8].labels == ""
     assert license_scan.scan_licenses(corpus.odd(spark)).count() == 13
     assert license_scan.scan_licenses(corpus.none(spark)).count() == 0
+
+
+def test_damaged_notice_directly_before_an_intact_one(spark):
+    notice = max(license_scan.NOTICES, key=len)
+    w = notice.split()
+    damaged = " ".join([w[0][:-2] + w[0][-1], *w[1:]])
+    docs = spark.createDataFrame([(1, f"{damaged} the {notice}"), (2, f"{notice} the {damaged}"), (3, f"{damaged} {notice} {damaged}")], "doc_id long, text string")
+    got = {r.id: [x.errors for x in r.spans if x.label == license_scan.NOTICES[notice]] for r in license_scan.scan_licenses(docs).collect()}
+    assert got == {1: [1, 0], 2: [0, 1], 3: [1, 0, 1]}
