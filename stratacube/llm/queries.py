@@ -45,12 +45,12 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pieces of every document, and the digest of what decoding them gives."""
+    """Pieces of every document, and the digests of them and of what decoding them gives."""
     path = tokenizer_file("piece_bpe_32k.model")
     drawn = piece_sampling.sample_pieces(_table(spark, sf_dir, "documents"), path, seed=7)
-    drawn = drawn.select("id", F.size("pieces").alias("n_pieces"), F.xxhash64("pieces").alias("pieces_hash"), "log_prob", "pieces")
+    drawn = drawn.select("id", F.size("pieces").alias("n_pieces"), F.xxhash64("pieces").alias("pieces_hash"), "log_prob", F.col("pieces").alias("given"), "pieces")
     decoded = piece_sampling.decode_pieces(drawn, path)
-    return decoded.select(F.col("id").alias("doc_id"), "n_pieces", "pieces_hash", "log_prob", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"))
+    return decoded.select(F.col("id").alias("doc_id"), "n_pieces", "pieces_hash", "log_prob", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"), F.col("given").alias("pieces"))
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -290,3 +290,12 @@ def test_damaged_notice_directly_before_an_intact_one(spark):
     docs = spark.createDataFrame([(1, f"{damaged} the {notice}"), (2, f"{notice} the {damaged}"), (3, f"{damaged} {notice} {damaged}")], "doc_id long, text string")
     got = {r.id: [x.errors for x in r.spans if x.label == license_scan.NOTICES[notice]] for r in license_scan.scan_licenses(docs).collect()}
     assert got == {1: [1, 0], 2: [0, 1], 3: [1, 0, 1]}
+
+
+def test_piece_query_returns_the_pieces(spark, data):
+    from stratacube.llm import queries
+
+    got = queries.op7_piece_sampling(spark, data)
+    assert got.where("pieces IS NULL OR size(pieces) <> n_pieces OR xxhash64(pieces) <> pieces_hash").count() == 0
+    back = piece_sampling.decode_pieces(got.select("doc_id", "pieces"), PIECES)
+    assert got.join(back, "doc_id").where("sha2(text, 256) <> text_sha256").count() == 0
