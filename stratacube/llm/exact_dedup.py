@@ -76,12 +76,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise: Callable[[Column], Column] | None = None) -> DataFrame:
     """The rows of ``docs`` that ``exact_groups`` keeps, with all their columns.
 
-    A row whose id and text are both repeated is one document and stays once.
+    A row whose id and text are both repeated is one document and stays once.  Rows are told apart by id and text:
+    of rows without id, or of one id, only those with a kept text stay.
     """
     ws = Workspace(docs.sparkSession, "exact")
-    kept = ws.save(exact_groups(docs, id_col, text_col, normalise).where("kept").select(F.col("id").alias("__id")), "kept")
-    out = docs.join(kept.distinct(), F.col(id_col).cast("long").eqNullSafe(kept["__id"]), "left_semi")
+    kept = ws.save(exact_groups(docs, id_col, text_col, normalise).where("kept").select(F.col("id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct(), "kept")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    text = F.coalesce(normalise(text), F.lit("")) if normalise else text
+    out = docs.withColumn("__own", F.sha2(F.encode(text, "UTF-8"), 256))
+    out = out.join(kept, F.col(id_col).cast("long").eqNullSafe(kept["__id"]) & (F.col("__own") == kept["__sha"]), "left_semi")
     total = docs.select(F.count("*").alias("n"), F.count_distinct(F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).alias("d")).first()
     if total.n != total.d:
-        out = out.withColumn("__h", F.xxhash64(text_col)).dropDuplicates([id_col, "__h"]).drop("__h")
-    return out
+        out = out.dropDuplicates([id_col, "__own"])
+    return out.drop("__own")

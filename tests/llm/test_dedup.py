@@ -93,3 +93,10 @@ def test_a_group_over_many_partitions_is_one_group(spark):
     got = exact_dedup.exact_groups(docs.repartition(16))
     assert got.where("kept").count() == 4000 - 2666 + 1
     assert got.where("group_size > 1").selectExpr("min(keep_id)", "max(keep_id)", "min(group_size)", "max(group_size)").first() == (3998, 3998, 2666, 2666)
+
+
+def test_exact_copies_are_dropped_by_row_not_by_id(spark):
+    rows = [(None, "kept without id"), (None, "copy"), (7, "copy"), (5, "text a"), (9, "text a"), (5, "text b"), (None, "kept without id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.text) for r in exact_dedup.drop_exact_copies(docs).collect())
+    assert got == [(0, "kept without id"), (5, "text b"), (7, "copy"), (9, "text a")]
