@@ -1,11 +1,12 @@
-"""Repeated byte strings across a corpus by longest-previous-factor arrays.
+"""Repeated byte strings across a corpus, by counting equal stretches and sorting windows of what remains.
 
 Sorting every suffix of a corpus is out of reach, so suffix arrays are built only where a repeat is possible.
 Each window of ``min_bytes`` bytes is owned by its smallest gram (winnowing); equal windows are owned by equal
 grams at equal distance.  Grams that occur once own no repeat.  Stretches that are equal as a whole are settled
 by counting.  What remains is cut into cells of a few windows that share a core of nearly ``min_bytes`` bytes;
-cells with equal cores meet, and a suffix array of their bytes, its neighbours' common prefixes and the previous
-and next smaller positions in it give the longest earlier (and later) match of every window.
+cells with equal cores meet, and their windows are ranked by their first ``min_bytes`` bytes and then by place, so
+that equal windows are neighbours and the earlier of them is known.  Longest-previous-factor arrays are not
+computed: only whether a match of ``min_bytes`` exists is asked, not how long it is.
 """
 
 from __future__ import annotations
