@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from stratacube.llm import textbuf as tb
 from stratacube.operators.graph import connected_components
@@ -19,7 +20,11 @@ from stratacube.sources.workspace import Workspace
 FREQUENT = 128
 #: Marks a frequent shingle among 62-bit hashes, so that natural order is the global order.
 HOT_BIT = 1 << 62
-#: Places of a set's parity bitmap, as columns of 64.
+#: So many frequent shingles, eight bytes each, are handed to every task; more of them are joined.
+MOST_FREQUENT = 1 << 20
+#: Seats of a shingle that each of its seats meets in the second round.
+CENTRES = 16
+#: Places of the short form of a set's parity bitmap, as columns of 64; the bitmap itself has twice as many places as the set members.
 BITS = 512
 _MAPS = [f"b{i}" for i in range(BITS // 64)]
 
@@ -60,11 +65,17 @@ def _set_keys(s: np.ndarray) -> tuple[int, int]:
 
 
 def _bitmap(s: np.ndarray) -> np.ndarray:
-    """Parity of the members at each of BITS places: two sets differ in at least as many members as their bitmaps in bits."""
-    odd = np.bincount((tb.mix(s + np.uint64(7)) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    """Parity of the members at each of twice as many places, a power of two: two sets differ in at least as many members as their bitmaps in bits."""
+    places = max(BITS, 1 << (2 * len(s) - 1).bit_length()) if len(s) else BITS
+    odd = np.bincount((tb.mix(s + np.uint64(7)) & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def _folded(bitmap: np.ndarray, longs: int) -> np.ndarray:
+    """The bitmap over fewer places."""
+    return np.bitwise_xor.reduce(bitmap.reshape(-1, longs), axis=0)
+
+
 def _list_of_longs(parts: list[np.ndarray]) -> pa.Array:
     lengths = np.fromiter((len(p) for p in parts), dtype=np.int32, count=len(parts))
     flat = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, dtype=np.int64)
@@ -74,164 +85,236 @@ def _list_of_longs(parts: list[np.ndarray]) -> pa.Array:
 def _maps(sets: list[np.ndarray], wanted: bool) -> list[pa.Array]:
     if not wanted:
         return []
-    table = np.array([_bitmap(s) for s in sets]).reshape(len(sets), len(_MAPS))
-    return [pa.array(np.ascontiguousarray(c)) for c in table.T]
+    wide = [_bitmap(s) for s in sets]
+    table = np.array([_folded(w, len(_MAPS)) for w in wide]).reshape(len(sets), len(_MAPS))
+    return [*(pa.array(np.ascontiguousarray(c)) for c in table.T), _list_of_longs(wide)]
 
 
 def _shingled(docs: DataFrame, text_col: str, id_col: str, width: int, keep, maps: bool = False) -> DataFrame:
-    """(id, n, key1, key2, shingles, bitmap columns if wanted): ``keep(n)`` smallest hashes of each document's set, in order."""
+    """(id, text_hash, n, key1, key2, shingles, if wanted the bitmap and a short form of it in columns): ``keep(n)`` smallest hashes of each document's set, in order."""
 
     def run(batches):
         for batch in batches:
-            for r0, r1, data, offs in tb.slices(batch.column(1)):
+            for r0, r1, data, offs in tb.slices(batch.column(2)):
                 sets = list(shingle_sets(data, offs, width))
                 keys = [_set_keys(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(r0, r1 - r0), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), _list_of_longs([s[: keep(len(s))] for s in sets]), *_maps(sets, maps)],
-                    ["id", "n", "key1", "key2", "shingles", *(_MAPS if maps else [])],
+                    [batch.column(0).slice(r0, r1 - r0), batch.column(1).slice(r0, r1 - r0), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), _list_of_longs([s[: keep(len(s))] for s in sets]), *_maps(sets, maps)],
+                    ["id", "text_hash", "n", "key1", "key2", "shingles", *([*_MAPS, "wide"] if maps else [])],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tb.frugal(run), "id long, n long, key1 long, key2 long, shingles array<long>" + "".join(f", {c} long" for c in _MAPS if maps))
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(tb.frugal(run), "id long, text_hash long, n long, key1 long, key2 long, shingles array<long>" + ("".join(f", {c} long" for c in _MAPS) + ", wide array<long>" if maps else ""))
+
+
+def _in_order(rows: DataFrame, frequent: DataFrame, num: int, den: int) -> DataFrame:
+    """``rows`` with ``prefix``, the first shingles in the global order, for ``shingles``; ``enough``: none of a rarer one can be missing.
+
+    Up to MOST_FREQUENT frequent shingles go to every task as one sorted array; more of them meet the rows in a join.
+    """
+    keep = [c for c in rows.columns if c != "shingles"]
+    if frequent.limit(MOST_FREQUENT + 1).count() <= MOST_FREQUENT:
+        common = rows.sparkSession.sparkContext.broadcast(np.sort(frequent.toArrow().column(0).to_numpy()))
+
+        def run(batches):
+            for batch in batches:
+                lists = batch.column(batch.schema.names.index("shingles"))
+                offs = lists.offsets.to_numpy().astype(np.int64)
+                flat = lists.values.to_numpy()[offs[0] : offs[-1]]
+                size = np.diff(offs)
+                n = batch.column(batch.schema.names.index("n")).to_numpy()
+                p = prefix_length(n, num, den)
+                row = np.repeat(np.arange(len(size)), size)
+                at = np.minimum(np.searchsorted(common.value, flat), max(0, len(common.value) - 1))
+                hot = common.value[at] == flat if len(common.value) else np.zeros(len(flat), bool)
+                order = np.argsort(row * 2 + hot, kind="stable")
+                token = np.where(hot, flat + HOT_BIT, flat)[order]
+                rare = size - np.bincount(row[hot], minlength=len(size))
+                first = (np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)) < np.repeat(p, size)
+                cut = np.r_[0, np.cumsum(np.minimum(size, p))].astype(np.int32)
+                prefix = pa.ListArray.from_arrays(pa.array(cut), pa.array(token[first]))
+                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.names.index(c)) for c in keep] + [prefix, pa.array((rare >= p) | (size >= n))], [*keep, "prefix", "enough"])
+
+        return rows.mapInArrow(tb.frugal(run), rows.select(*keep).schema.add("prefix", ArrayType(LongType())).add("enough", "boolean"))
+    key = ["n", "key1", "key2"]
+    hits = rows.select(*key, F.explode("shingles").alias("token")).join(frequent, "token").groupBy(*key).agg(F.collect_set("token").alias("hot"))
+    p = F.expr(f"n - (({num} * n + {den - 1}) div {den}) + 1").cast("int")
+    split = rows.join(hits, key, "left").withColumn("hot", F.coalesce("hot", F.array().cast("array<long>")))
+    rare = F.array_except("shingles", "hot")
+    last = F.transform(F.array_sort(F.array_intersect("shingles", "hot")), lambda x: x + F.lit(HOT_BIT))
+    return split.select(*keep, F.slice(F.concat(rare, last), F.lit(1), p).alias("prefix"), ((F.size(rare) >= p) | (F.size("shingles") >= F.col("n"))).alias("enough"))
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """Link documents whose distinct word shingles have Jaccard similarity >= num / den.
 
-    Returns (id, n_shingles, component_id), one row per input row; component_id is the smallest id reachable
-    by links.  Words are runs of non-blank bytes after lowering A-Z.  Null, empty and blank texts have no
+    Returns (id, n_shingles, component_id, class_id, component, text_hash), one row per input row; component_id is the
+    smallest id reachable by links, class_id is common to equal sets and component to linked classes (both null without
+    shingles), text_hash tells rows of one id apart.  Words are runs of non-blank bytes after lowering A-Z.  Null, empty and blank texts have no
     shingles and link with nothing.  Repeated rows and equal sets are one class from the start, so a group of
-    copies costs one row per class.  A row without id links only through an equal set of a row that has one.  Only
-    the named columns are read, whatever else the table holds.
+    copies costs one row per class.  A row without id links like any other and names no component.  Only the named
+    columns are read, whatever else the table holds.
 
-    Classes of identical prefix and size form a group.  Group pairs come from shared prefix shingles in two
+    Classes of identical prefix and size form a group.  Group pairs come from shared prefix shingles in three
     rounds: (1) every group with a centre of its size band under each of its shingles; the pairs left by the
     filters are expanded, verified and joined into components; (2) groups are expanded, and under each shingle that
-    still sees several components, members outside the largest one meet all members of another component.  Pairs inside a component
-    are never formed: they cannot change one.  Filters use sizes, positions and two lower bounds of the difference,
-    from parity bitmaps (inside the join, before a pair becomes a row) and from prefixes; none loses a link.
+    still sees several components every member meets about CENTRES others, which is all of them where the shingle has
+    no more; (3) under the shingles with more, members outside the largest component meet all members of another.
+    Pairs inside a component are never formed: they cannot change one.  Filters use sizes, positions and a lower
+    bound of the difference from parity bitmaps (inside the join, before a pair becomes a row); none loses a link.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "ngram")
     p = lambda n: prefix_length(n, num, den)
     plen = F.expr(f"n - (({num} * n + {den - 1}) div {den}) + 1").cast("int")
     cid = F.xxhash64("n", "key1", "key2").alias("cid")
+    gid = F.xxhash64("n", "prefix").alias("gid")
     sigs = ws.save(_shingled(docs, text_col, id_col, width, lambda n: min(n, p(n) + p(n) // 2 + 8) if n else 0, maps=True), "sigs")
-    keys = ws.save(sigs.select("id", "n", F.when(F.col("n") > 0, cid).alias("cid")), "keys")
-    classes = ws.save(sigs.where("n > 0").groupBy("n", "key1", "key2").agg(F.min("id").alias("rep"), F.first("shingles").alias("shingles"), *(F.first(c).alias(c) for c in _MAPS)).select(cid, "n", "rep", "shingles", *_MAPS), "classes")
-    ws.drop("sigs")
-    reps = ws.save(classes.select("cid", "rep", *_MAPS), "reps")
-    counted = classes.select(F.explode(F.slice("shingles", F.lit(1), plen)).alias("token")).groupBy("token").agg(F.count("*").alias("c"))
+    keys = ws.save(sigs.select("id", "text_hash", "n", F.when(F.col("n") > 0, cid).alias("cid")), "keys")
+    counted = sigs.where("n > 0").select(F.explode(F.slice("shingles", F.lit(1), plen)).alias("token")).groupBy("token").agg(F.count("*").alias("c"))
     frequent = ws.save(counted.where(f"c >= {FREQUENT}").select("token"), "frequent")
-
-    def ordered(rows: DataFrame) -> DataFrame:
-        """(cid, n, rep, shingles) with the shingles in the global order: frequent ones last, marked by bit 62."""
-        hits = rows.select("cid", F.explode("shingles").alias("token")).join(frequent, "token").groupBy("cid").agg(F.collect_set("token").alias("hot"))
-        rare, hot = F.array_except("shingles", "hot"), F.array_except("shingles", F.array_except("shingles", F.col("hot")))
-        both = F.concat(rare, F.transform(hot, lambda x: x + F.lit(HOT_BIT)))
-        split = rows.join(hits, "cid", "left")
-        return split.select("cid", "n", "rep", F.when(F.col("hot").isNull(), F.size("shingles")).otherwise(F.size(rare)).alias("n_rare"), F.when(F.col("hot").isNull(), F.col("shingles")).otherwise(both).alias("prefix"))
-
-    split = ws.save(ordered(classes), "split")
-    ws.drop("classes")
-    enough = (F.col("n_rare") >= plen) | (F.size("prefix") >= F.col("n"))
-    cut = lambda rows: rows.select("cid", "n", F.slice("prefix", F.lit(1), plen).alias("prefix"))
+    placed = _in_order(sigs.where("n > 0"), frequent, num, den)
+    classes = ws.save(placed.groupBy("n", "key1", "key2").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("rep"), *(F.first(c).alias(c) for c in ("prefix", "enough", *_MAPS, "wide"))).select(cid, gid, "n", F.col("rep.id").alias("rep"), F.col("rep.text_hash").alias("rep_hash"), "prefix", "enough", *_MAPS, "wide"), "classes")
+    ws.drop("sigs")
+    reps = ws.save(classes.select("cid", "n", "rep", "rep_hash", *_MAPS), "reps")
+    bitmaps = ws.save(classes.select("cid", "n", "wide"), "bitmaps")
     # the few documents made mostly of frequent shingles are read again for their whole sets
-    short = ws.save(split.where(~enough).select("cid", F.col("rep").alias("id")), "short")
-    again = _sets(docs, short, id_col, text_col, width)
-    prefixes = cut(split.where(enough)).unionByName(cut(ordered(again.withColumn("rep", F.lit(None).cast("long")))))
-    members = ws.save(prefixes.withColumn("gid", F.xxhash64("n", "prefix")), "members")
-    ws.drop("split")
-    # a group's bitmap is that of its head; no member is further from it than the radius
-    heads = members.groupBy("gid").agg(F.min("cid").alias("head"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count("*").alias("size"))
-    heads = ws.save(heads.join(reps.withColumnRenamed("cid", "head").drop("rep"), "head"), "heads")
-    spread = members.select("gid", "cid").join(heads.where("size > 1").select("gid", *(F.col(c).alias(f"y{c}") for c in _MAPS)), "gid").join(reps.select("cid", *(F.col(c).alias(f"x{c}") for c in _MAPS)), "cid")
-    bits = " + ".join(f"bit_count(x{c} ^ y{c})" for c in _MAPS)
-    radius = spread.groupBy("gid").agg(F.max(F.expr(bits)).alias("radius"))
-    groups = ws.save(heads.join(radius, "gid", "left").withColumn("radius", F.coalesce("radius", F.lit(0))), "groups")
-    ws.drop("heads")
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(den / num) / 2 if num < den else 1e-3))).cast("int")
-    entries = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
-    # frequent shingles are few and may be hot: they are kept without a look at their group; of the others only those that two groups share
-    rare = entries.where(F.col("token") < HOT_BIT).withColumn("c", F.count("*").over(Window.partitionBy("token"))).where("c > 1").drop("c")
-    entries = ws.save(rare.unionByName(entries.where(F.col("token") >= HOT_BIT)).withColumn("band", band), "entries")
-    # the group that shares most of its prefix is the likely source of the others: their edits make shingles of their own
-    common = entries.groupBy("gid").agg(F.count("*").alias("common"))
+    short = ws.save(classes.where("NOT enough").select("cid", "rep", "rep_hash"), "short")
+    again = _in_order(_sets(docs, short, id_col, text_col, width, maps=True), frequent, num, den)
+    whole = classes.where("enough").select("cid", "gid", "n", "prefix", *_MAPS).unionByName(again.select("cid", gid, "n", "prefix", *_MAPS))
+    members = whole.select("gid", "cid", "n")
+    # a group's bitmap is that of its head; no member is further from it than the radius, the places where any two members differ
+    spread = " + ".join(f"bit_count(or_{c} ^ and_{c})" for c in _MAPS)
+    groups = whole.groupBy("gid").agg(F.min(F.struct("cid", *_MAPS)).alias("head"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count("*").alias("size"), *(f(c).alias(f"{name}_{c}") for c in _MAPS for name, f in (("or", F.bit_or), ("and", F.bit_and))))
+    groups = ws.save(groups.select("gid", F.col("head.cid").alias("head"), "n", "prefix", "size", F.expr(spread).alias("radius"), *(F.col(f"head.{c}").alias(c) for c in _MAPS)), "groups")
+    members = ws.save(members, "members")
+    heads = ws.save(groups.drop("prefix"), "heads")
+    ws.drop("classes", "short")
+    entries = groups.select("gid", "size", "n", F.posexplode("prefix").alias("pos", "token"))
+    # frequent shingles are few and may be hot: they are kept without a look at their group; of the others only those that two classes share
+    rare = entries.where(F.col("token") < HOT_BIT).withColumn("c", F.sum("size").over(Window.partitionBy("token"))).where("c > 1")
+    # similar sizes are in one band or in neighbouring ones
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(den / num) if num < den else 1e-3))).cast("int")
+    entries = ws.save(rare.drop("size").unionByName(entries.where(F.col("token") >= HOT_BIT).drop("size").withColumn("c", F.lit(None).cast("long"))).withColumn("band", band), "entries")
+    ws.drop("groups")
 
     near = "{d} * least(n1, n2) >= {n} * greatest(n1, n2)".format(n=num, d=den)
     # before the first shared shingle nothing is shared, so min(n1 - p1, n2 - p2) bounds the intersection
     room = "({n} + {d}) * least(n1 - p1, n2 - p2) >= {n} * (n1 + n2)".format(n=num, d=den)
+    bits = " + ".join(f"bit_count(x{c} ^ y{c})" for c in _MAPS)
+    alike = lambda slack: f"({bits}{slack}) * {num + den} <= (n1 + n2) * {den - num}"
+    x_map, y_map = [F.col(c).alias(f"x{c}") for c in _MAPS], [F.col(c).alias(f"y{c}") for c in _MAPS]
 
-    alike = f"({bits} - xr - yr) * {num + den} <= (n1 + n2) * {den - num}"
-    first_map = [*(F.col(c).alias(f"x{c}") for c in _MAPS), F.col("radius").alias("xr")]
-    second_map = [*(F.col(c).alias(f"y{c}") for c in _MAPS), F.col("radius").alias("yr")]
-
-    def plausible(pairs: DataFrame) -> DataFrame:
-        """Pairs (g1, g2) of groups whose prefixes do not already show too large a difference."""
-        look = groups.select("gid", "n", "prefix", "radius", *_MAPS)
-        both = pairs.distinct().join(look.select(F.col("gid").alias("g1"), F.col("n").alias("n1"), F.col("prefix").alias("x"), *first_map), "g1").join(look.select(F.col("gid").alias("g2"), F.col("n").alias("n2"), F.col("prefix").alias("y"), *second_map), "g2").where(near).where(alike)
-        last = F.least(F.element_at("x", -1), F.element_at("y", -1))
-        seen = F.size(F.filter("x", lambda t: t <= last)) + F.size(F.filter("y", lambda t: t <= last))
-        differ = seen - 2 * F.size(F.array_intersect("x", "y"))
-        return both.where(differ * (num + den) <= (F.col("n1") + F.col("n2")) * (den - num)).select("g1", "g2")
-
-    # 1: stars. A shingle's centre in a size band is the group there with most in common; a hot shingle costs one row per entry.
+    # 1: stars. A shingle's centre in a size band is the group there with most in common, the likely source of the
+    # others, whose edits make shingles of their own; a hot shingle costs one row per entry.
+    common = entries.groupBy("gid").agg(F.count("*").alias("common"))
     centres = entries.join(common, "gid").groupBy("token", "band").agg(F.max(F.struct("common", "gid", "n", "pos")).alias("m")).select("token", "band", F.col("m.gid").alias("g2"), F.col("m.n").alias("n2"), F.col("m.pos").alias("p2"))
     around = entries.select("token", F.col("gid").alias("g1"), F.col("n").alias("n1"), F.col("pos").alias("p1"), F.explode(F.array("band", F.col("band") - 1)).alias("band"))
-    stars = around.join(centres, ["token", "band"]).where("g1 <> g2").where(near).where(room).select("g1", "g2")
-    stars = ws.save(plausible(stars), "stars")
-    member, heads = members.select("gid", "cid"), groups.select("gid", "head")
-    star_pairs = (
-        stars.join(member.select(F.col("gid").alias("g1"), F.col("cid").alias("c1")), "g1").join(heads.select(F.col("gid").alias("g2"), F.col("head").alias("c2")), "g2").select("c1", "c2")
-        .unionByName(member.join(heads, "gid").where("cid <> head").select(F.col("cid").alias("c1"), F.col("head").alias("c2")))
-    )
-    pairs1 = ws.save(_ordered_pairs(star_pairs), "pairs1")
-    links1 = ws.save(_verified(docs, pairs1, reps, ws, "1", id_col, text_col, width, num, den), "links1")
-    comp1 = connected_components(links1, "c1", "c2")
-
-    # 2: what the stars have left apart
-    placed = ws.save(members.select("gid", "cid", "n").join(comp1.select(F.col("id").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid")), "placed")
-    seats = ws.save(entries.select("token", "gid", "pos", "n").join(placed.select("gid", "cid", "component"), "gid"), "seats")
-    weight = seats.groupBy("token", "component").agg(F.count("*").alias("c"))
-    top = weight.groupBy("token").agg(F.max(F.struct("c", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("token", F.col("top.component").alias("top"))
-    mixed = seats.join(top, "token").join(reps.drop("rep"), "cid").withColumn("radius", F.lit(0))
-    outer = mixed.where("component <> top").select("token", F.col("gid").alias("g1"), F.col("cid").alias("c1"), F.col("component").alias("k1"), F.col("n").alias("n1"), F.col("pos").alias("p1"), *first_map)
-    inner = mixed.select("token", F.col("gid").alias("g2"), F.col("cid").alias("c2"), F.col("component").alias("k2"), F.col("n").alias("n2"), F.col("pos").alias("p2"), *second_map)
-    cross = ws.save(outer.join(inner, "token").where("k1 <> k2 AND g1 <> g2").where(near).where(room).where(alike).select("g1", "c1", "g2", "c2").distinct(), "cross")
-    ws.drop("seats", "entries")
-    apart = cross.join(plausible(cross.select("g1", "g2")), ["g1", "g2"]).select("c1", "c2")
-    # members of one group, whose shingles may be in no other
-    seat = placed.select("gid", "component", "cid", "n").join(reps.drop("rep"), "cid").withColumn("radius", F.lit(0))
-    left = seat.select("gid", F.col("component").alias("k1"), F.col("cid").alias("c1"), F.col("n").alias("n1"), *first_map)
-    right = seat.select("gid", F.col("component").alias("k2"), F.col("cid").alias("c2"), F.col("n").alias("n2"), *second_map)
-    inside = placed.groupBy("gid").agg(F.count_distinct("component").alias("parts"), F.min("component").alias("low")).where("parts > 1")
-    inside = left.join(inside, "gid").where("k1 <> low").join(right, "gid").where("k1 <> k2").where(alike).select("c1", "c2")
-    cross_pairs = apart.unionByName(inside)
-    pairs2 = ws.save(_ordered_pairs(cross_pairs), "pairs2")
-    links2 = ws.save(_verified(docs, pairs2, reps, ws, "2", id_col, text_col, width, num, den), "links2")
-    comp = connected_components(links1.unionByName(links2), "c1", "c2")
-
-    named = reps.select("cid", "rep").join(comp.select(F.col("id").alias("cid"), "component"), "cid").select("cid", "rep", "component")
-    by_class = named.join(named.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("cid", "component_id")
-    alone = reps.join(by_class.select("cid"), "cid", "left_anti").select("cid", F.col("rep").alias("component_id"))
-    out = keys.join(by_class.unionByName(alone), "cid", "left")
-    return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
-
-
-def _ordered_pairs(pairs: DataFrame) -> DataFrame:
-    return pairs.where("c1 <> c2").select(F.least("c1", "c2").alias("c1"), F.greatest("c1", "c2").alias("c2")).distinct()
-
-
-def _sets(docs: DataFrame, asked: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(cid, n, shingles): whole sets of the classes in ``asked`` (cid, id), made again from the texts of their representatives."""
-    texts = docs.join(asked.select(F.col("id").alias(id_col)).distinct(), id_col, "left_semi")
-    sets = _shingled(texts, text_col, id_col, width, lambda n: n).select(F.xxhash64("n", "key1", "key2").alias("cid"), "n", "shingles")
+    stars = around.join(centres, ["token", "band"]).where("g1 <> g2").where(near).where(room).select("g1", "g2").distinct()
+    stars = stars.join(heads.select(F.col("gid").alias("g1"), F.col("n").alias("n1"), F.col("radius").alias("r1"), *x_map), "g1").join(heads.select(F.col("gid").alias("g2"), F.col("head").alias("c2"), F.col("n").alias("n2"), F.col("radius").alias("r2"), *y_map), "g2")
+    stars = stars.where(near).where(alike(" - r1 - r2")).select("g1", "c2")
+    star_pairs = stars.join(members.select(F.col("gid").alias("g1"), F.col("cid").alias("c1")), "g1").select("c1", "c2").unionByName(members.join(heads.where("size > 1").select("gid", "head"), "gid").where("cid <> head").select(F.col("cid").alias("c1"), F.col("head").alias("c2")))
+    links, comp = None, None
+
+    def joined(found: DataFrame, name: str) -> None:
+        """Verify pairs of classes and put what they link together."""
+        nonlocal links, comp
+        pairs = ws.save(_plausible(found, bitmaps, num, den), f"pairs{name}")
+        if links is not None and pairs.isEmpty():
+            return
+        more = ws.save(_verified(docs, pairs, reps, ws, name, id_col, text_col, width, num, den), f"links{name}")
+        links = more if links is None else links.unionByName(more)
+        comp = connected_components(links, "c1", "c2")
+
+    joined(star_pairs, "1")
+
+    def mixed(seats: DataFrame, name: str) -> DataFrame:
+        """Seats (token, cid, ...) under the shingles that see several components, with component, the largest one there and the number of seats."""
+        seats = seats.join(comp.select(F.col("id").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+        counts = seats.groupBy("token", "component").agg(F.count("*").alias("c"))
+        tokens = counts.groupBy("token").agg(F.max(F.struct("c", "component")).alias("top"), F.count("*").alias("parts"), F.sum("c").alias("total")).where("parts > 1")
+        return ws.save(seats.join(tokens.select("token", F.col("top.component").alias("top"), "total"), "token"), name)
+
+    def sides(first: DataFrame, second: DataFrame) -> DataFrame:
+        """Pairs of seats of one shingle and different components that no filter tells apart; members of one group meet under its first shingle."""
+        one = first.select("token", F.col("gid").alias("g1"), F.col("cid").alias("c1"), F.col("component").alias("k1"), F.col("n").alias("n1"), F.col("pos").alias("p1"), F.col("centre").alias("t1"), *x_map)
+        two = second.select("token", F.col("gid").alias("g2"), F.col("cid").alias("c2"), F.col("component").alias("k2"), F.col("n").alias("n2"), F.col("pos").alias("p2"), F.col("centre").alias("t2"), *y_map)
+        return one.join(two, "token").where("k1 <> k2 AND (g1 <> g2 OR p1 = 0) AND NOT (t1 AND t2 AND c1 < c2)").where(near).where(room).where(alike("")).select("c1", "c2")
+
+    # 2: every seat meets about CENTRES seats of its shingle, chosen by hash; the stars have compared all that only two classes share
+    seats = entries.where("c IS NULL OR c > 2").select("token", "gid", "pos").join(members, "gid")
+    centre = F.pmod(F.xxhash64("cid", "token"), F.col("total")) < CENTRES
+    open_ = mixed(seats, "open2").join(reps.select("cid", *_MAPS), "cid").withColumn("centre", centre)
+    joined(sides(open_, open_.where("centre")), "2")
+    ws.drop("entries")
+
+    # 3: all that is left apart under shingles with more seats
+    wide = ws.load("open2", open_.select("token", "cid", "gid", "pos", "n", "component", "top", "total")).where(F.col("total") > CENTRES).select("token", "cid", "gid", "pos", "n")
+    last = mixed(wide, "open3").join(reps.select("cid", *_MAPS), "cid").withColumn("centre", F.expr("component <> top"))
+    joined(sides(last.where("centre"), last), "3")
+    ws.drop("open2")
+
+    named = reps.select("cid", "rep").join(comp.select(F.col("id").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    by_class = named.join(named.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("cid", "component", "component_id")
+    out = keys.join(by_class, "cid", "left")
+    return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.col("cid").alias("class_id"), "component", "text_hash")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``docs``, with all their columns, without all but one document of each component.
+
+    The one with the smallest id stays, one without id only where none has one.  Rows are told apart by id and
+    text: rows of one id with different texts are decided each by itself, and a row that repeats another is
+    its copy.  Null, empty and blank texts have no shingles and all stay.
+    """
+    found = Workspace(docs.sparkSession, "near").save(ngram_components(docs, id_col, text_col, width, num, den), "found")
+    first = found.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("m"))
+    stay = first.select(F.col("m.id").alias("__id"), F.col("m.text_hash").alias("__hash")).unionByName(found.where("component IS NULL").select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).distinct())
+    own = docs.withColumn("__own", F.xxhash64(F.col(text_col).cast("string")))
+    out = own.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash")), "left_semi")
+    repeated = found.where("component IS NOT NULL").groupBy("id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    if not repeated:
+        return out.drop("__own")
+    bare = F.regexp_replace(F.col(text_col).cast("string"), "[ \\t-\\r]", "") == ""
+    empty = F.col(text_col).isNull() | bare
+    return out.where(empty).unionByName(out.where(~empty).dropDuplicates([id_col, "__own"])).drop("__own")
+
+
+def _plausible(pairs: DataFrame, bitmaps: DataFrame, num: int, den: int) -> DataFrame:
+    """Distinct pairs (c1, c2), c1 < c2, whose whole bitmaps do not show too large a difference."""
+
+    def run(batches):
+        for batch in batches:
+            n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            lists = []
+            for c in (4, 5):
+                offs = batch.column(c).offsets.to_numpy()
+                lists.append((batch.column(c).values.to_numpy(), offs[:-1].tolist(), offs[1:].tolist()))
+            (x, xa, xb), (y, ya, yb) = lists
+            least = np.zeros(len(n), np.int64)
+            for i in range(len(n)):
+                longs = min(xb[i] - xa[i], yb[i] - ya[i])
+                least[i] = np.bitwise_count((_folded(x[xa[i] : xb[i]], longs) ^ _folded(y[ya[i] : yb[i]], longs)).view(np.uint64)).sum()
+            yield batch.select([0, 1]).filter(pa.array(least * (num + den) <= n * (den - num)))
+
+    distinct = pairs.where("c1 <> c2").select(F.least("c1", "c2").alias("c1"), F.greatest("c1", "c2").alias("c2")).distinct()
+    both = distinct.join(bitmaps.select(F.col("cid").alias("c1"), F.col("n").alias("n1"), F.col("wide").alias("x")), "c1").join(bitmaps.select(F.col("cid").alias("c2"), F.col("n").alias("n2"), F.col("wide").alias("y")), "c2")
+    return both.where(f"{den} * least(n1, n2) >= {num} * greatest(n1, n2)").select("c1", "c2", "n1", "n2", "x", "y").mapInArrow(tb.frugal(run), "c1 long, c2 long")
+
+
+def _sets(docs: DataFrame, asked: DataFrame, id_col: str, text_col: str, width: int, maps: bool = False) -> DataFrame:
+    """Rows of ``_shingled`` with cid: whole sets of the classes in ``asked`` (cid, rep, rep_hash), made again from the texts of their representatives."""
+    text = F.col(text_col).cast("string")
+    wanted = asked.select("rep", "rep_hash").distinct()
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("own")).join(wanted, F.col("id").eqNullSafe(F.col("rep")) & (F.col("own") == F.col("rep_hash")), "left_semi")
+    sets = _shingled(texts, "text", "id", width, lambda n: n, maps).withColumn("cid", F.xxhash64("n", "key1", "key2"))
     return sets.join(asked.select("cid"), "cid", "left_semi").dropDuplicates(["cid"])
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, ws: Workspace, name: str, id_col: str, text_col: str, width: int, num: int, den: int) -> DataFrame:
     """The pairs whose whole sets are similar enough."""
-    asked = ws.save(pairs.select(F.col("c1").alias("cid")).union(pairs.select("c2")).distinct().join(reps.select("cid", "rep"), "cid").select("cid", F.col("rep").alias("id")), f"asked{name}")
-    sets = ws.save(_sets(docs, asked, id_col, text_col, width), f"sets{name}")
+    asked = ws.save(pairs.select(F.col("c1").alias("cid")).union(pairs.select("c2")).distinct().join(reps.select("cid", "rep", "rep_hash"), "cid"), f"asked{name}")
+    sets = ws.save(_sets(docs, asked, id_col, text_col, width).select("cid", "n", "shingles"), f"sets{name}")
     one = sets.select(F.col("cid").alias("c1"), F.col("n").alias("n1"), F.col("shingles").alias("s1"))
     two = sets.select(F.col("cid").alias("c2"), F.col("n").alias("n2"), F.col("shingles").alias("s2"))
     both = pairs.join(one, "c1").join(two, "c2").where(f"{den} * least(n1, n2) >= {num} * greatest(n1, n2)").withColumn("shared", F.size(F.array_intersect("s1", "s2")))

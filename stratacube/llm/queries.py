@@ -13,7 +13,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.ngram_components(_table(spark, sf_dir, "documents"), width=3, num=90, den=100).withColumnRenamed("id", "doc_id")
+    out = ngram_join.ngram_components(_table(spark, sf_dir, "documents"), width=3, num=90, den=100)
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "class_id")
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

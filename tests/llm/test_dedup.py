@@ -3,6 +3,7 @@
 import hashlib
 
 import duckdb
+import numpy as np
 import pytest
 
 from stratacube.llm import exact_dedup, ngram_join, queries, suffix_dedup
@@ -13,8 +14,11 @@ from tests.llm import corpus
 def test_ngram_components_match_all_pairs(spark, monkeypatch, width, num):
     docs = corpus.planted(spark)
     want = corpus.components([(r.doc_id, r.text) for r in docs.collect()], width, num, 100)
-    for frequent in (128, 4):  # with hardly any and with many shingles last in the order
+    # with hardly any and with many shingles last in the order, these handed out or joined, few and many pairs left to the last round
+    for frequent, most, centres in ((128, 1 << 20, 16), (4, 1 << 20, 2), (4, 0, 1)):
         monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
+        monkeypatch.setattr(ngram_join, "MOST_FREQUENT", most)
+        monkeypatch.setattr(ngram_join, "CENTRES", centres)
         got = {r.id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(docs, width=width, num=num, den=100).collect()}
         assert got == want
     assert sum(i != c for i, (_, c) in want.items()) > 20
@@ -30,6 +34,31 @@ def test_ngram_odd_cases(spark):
     assert ngram_join.ngram_components(corpus.none(spark)).count() == 0
 
 
+def test_bitmaps_bound_the_difference():
+    rng = np.random.default_rng(2)
+    for n, m, shared in ((40, 40, 30), (700, 650, 600), (9000, 8000, 7900), (300, 280, 0)):
+        members = rng.integers(0, 2**62, n + m - shared, dtype=np.int64).astype(np.uint64)
+        x, y = ngram_join._bitmap(np.sort(members[:n])), ngram_join._bitmap(np.sort(members[n - shared :]))
+        assert len(x) * 64 >= 2 * n and len(x) % 8 == 0
+        longs = min(len(x), len(y))
+        least = int(np.bitwise_count((ngram_join._folded(x, longs) ^ ngram_join._folded(y, longs)).view(np.uint64)).sum())
+        assert 0.6 * (n + m - 2 * shared) <= least <= n + m - 2 * shared
+
+
+def test_near_copies_are_dropped_by_row_not_by_id(spark):
+    text = corpus.prose(31, 120)
+    near = text.replace(" ", "  ", 3) + " end"
+    other = corpus.prose(32, 120)
+    rows = [(5, text, "a"), (7, near, "b"), (5, other, "c"), (9, other, "d"), (None, other + " x", "e"), (11, None, "f"), (11, None, "g"), (12, " \t", "h"), (3, "few words", "i"), (3, "few words", "i")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n string")
+    out = ngram_join.drop_near_copies(docs)
+    assert out.columns == docs.columns
+    assert sorted(r.n for r in out.collect()) == ["a", "c", "f", "g", "h", "i"]
+    assert ngram_join.drop_near_copies(docs.limit(0)).count() == 0
+    odd = corpus.odd(spark)
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in ngram_join.drop_near_copies(odd).collect()) == [(False, i) for i in (0, 1, 2, 3, 4, 5, 7, 8, 9)] + [(True, 0), (True, 0)]
+
+
 @pytest.mark.parametrize("keep_first", [False, True])
 def test_suffix_dedup_matches_all_windows(spark, keep_first):
     docs = corpus.planted(spark, 40)
@@ -49,8 +78,6 @@ def test_suffix_dedup_within_one_text_and_periods(spark):
 
 
 def test_suffix_array_orders_suffixes():
-    import numpy as np
-
     text = np.frombuffer(b"banana bandana banana", dtype=np.uint8)
     raw = text.tobytes()
     for reach in (5, 9, 21):
