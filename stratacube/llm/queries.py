@@ -18,8 +18,9 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = suffix_dedup.suffix_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_bytes=400, keep_first=False)
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", suffix_dedup.sha256_hex("kept").alias("kept_sha256"))
+    """Digests of what is kept of every text, and the kept text itself."""
+    out = suffix_dedup.suffix_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_bytes=400, keep_first=False, kept_text="left")
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", suffix_dedup.sha256_hex("kept").alias("kept_sha256"), F.col("left").alias("text"))
 
 
 def tokenizer_file(name: str) -> str:

@@ -1,12 +1,13 @@
-"""Repeated byte strings across a corpus, by counting equal stretches and sorting windows of what remains.
-
-Sorting every suffix of a corpus is out of reach, so suffix arrays are built only where a repeat is possible.
-Each window of ``min_bytes`` bytes is owned by its smallest gram (winnowing); equal windows are owned by equal
-grams at equal distance.  Grams that occur once own no repeat.  Stretches that are equal as a whole are settled
-by counting.  What remains is cut into cells of a few windows that share a core of nearly ``min_bytes`` bytes;
-cells with equal cores meet, and their windows are ranked by their first ``min_bytes`` bytes and then by place, so
-that equal windows are neighbours and the earlier of them is known.  Longest-previous-factor arrays are not
-computed: only whether a match of ``min_bytes`` exists is asked, not how long it is.
+"""Repeated byte strings across a corpus: longest-previous-factor arrays over the places where a repeat is possible.
+
+A suffix array of a whole corpus is out of reach, so suffixes are compared only where they can be equal for
+``min_bytes`` bytes.  Each window of that length is owned by its smallest gram (winnowing); equal windows are owned by
+equal grams at equal distance.  Grams that occur once own no repeat.  Stretches of windows that are equal as a whole
+are one class: all but the earliest have a previous factor at least as long as the stretch.  The classes that share a
+gram are cut into cells of a few windows around a core of nearly ``min_bytes`` bytes.  Cells with equal cores meet in one
+suffix array; its common prefixes and, for each suffix, the previous and next smaller places in suffix order give the
+longest previous factor, and a window is a repeat when that is ``min_bytes`` or more.  A core shared by more cells
+than one array should hold is settled window by window, by counting instead.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from stratacube.sources.workspace import Workspace
 
 #: Bytes of one suffix array inside a task.
 ARRAY_BYTES = 4 << 20
-#: Windows of one cell.
-CELL = 32
+#: Windows of one cell, and cells of one core that one suffix array takes.
+CELL, CORE_CELLS = 32, 8192
 _ALL = np.uint64(2**64 - 1)
 
 
@@ -92,20 +93,53 @@ def _ranks(key: np.ndarray) -> np.ndarray:
     return rank
 
 
-def earlier_and_any(rank: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For suffixes given by rank (equal when as long as needed) and place in the corpus: has an earlier equal one; has any.
-
-    Within a run of suffixes that share the needed prefix, the previous or next smaller place in suffix order
-    exists for all but the smallest place; across runs the common prefix is too short to count.
+def common_prefixes(prefix: np.ndarray, one: np.ndarray, two: np.ndarray, reach: int) -> np.ndarray:
+    """Bytes, up to ``reach``, that the suffixes at ``one`` and ``two`` share, by bisection over hashes of spans."""
+    room = np.minimum(len(prefix) - 1 - np.maximum(one, two), reach)
+    low, high = np.zeros(len(one), np.int64), room.copy()
+    while True:
+        open_ = np.flatnonzero(low < high)
+        if not len(open_):
+            return low
+        mid = (low[open_] + high[open_] + 1) // 2
+        a, b = one[open_], two[open_]
+        same = tb.span_hash(prefix, a, a + mid) == tb.span_hash(prefix, b, b + mid)
+        low[open_] = np.where(same, mid, low[open_])
+        high[open_] = np.where(same, high[open_], mid - 1)
+
+
+def smaller_before(place: np.ndarray) -> np.ndarray:
+    """Index of the nearest earlier element with a smaller value, -1 where there is none; pointers jump over what they have passed."""
+    at = np.arange(-1, len(place) - 1)
+    open_ = np.flatnonzero(at >= 0)
+    while len(open_):
+        open_ = open_[place[at[open_]] > place[open_]]
+        at[open_] = at[at[open_]]
+        open_ = open_[at[open_] >= 0]
+    return at
+
+
+def longest_previous_factors(text: np.ndarray, at: np.ndarray, place: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """For the suffixes of ``text`` at ``at``, which stand at ``place`` in the corpus: longest previous and longest other factor, up to ``reach`` bytes.
+
+    In suffix order the earlier suffix that shares most with one is the nearest before it or after it with a smaller
+    place; the one that shares most of all is a neighbour.
     """
+    rank = suffix_order(text, reach)[at]
     order = np.lexsort((place, rank))
-    r = rank[order]
-    same_before = np.r_[False, r[1:] == r[:-1]]
-    same_after = np.r_[same_before[1:], False]
-    earlier, some = np.empty(len(r), dtype=bool), np.empty(len(r), dtype=bool)
-    earlier[order] = same_before
-    some[order] = same_before | same_after
-    return earlier, some
+    prefix, start, seat = tb.prefix_hash(text), at[order], place[order]
+    n = len(order)
+    before, after = smaller_before(seat), n - 1 - smaller_before(seat[::-1])[::-1]
+    shared = np.zeros(n + 1, dtype=np.int64)  # with the neighbour before
+    if n > 1:
+        shared[1:n] = common_prefixes(prefix, start[:-1], start[1:], reach)
+    factor = np.zeros(n, dtype=np.int64)
+    for other in (before, after):
+        some = np.flatnonzero((other >= 0) & (other < n))
+        factor[some] = np.maximum(factor[some], common_prefixes(prefix, start[some], start[other[some]], reach))
+    previous, any_ = np.empty(n, np.int64), np.empty(n, np.int64)
+    previous[order], any_[order] = factor, np.maximum(shared[:n], shared[1:])
+    return previous, any_
 
 
 def _cells_in_order(min_bytes: int, keep_first: bool):
@@ -117,15 +151,14 @@ def _cells_in_order(min_bytes: int, keep_first: bool):
         lengths = np.array([len(x) for x in raw])
         text = np.frombuffer(b"".join(raw), dtype=np.uint8)
         base = np.cumsum(lengths) - lengths
-        rank = suffix_order(text, min_bytes)
         cell = np.repeat(np.arange(len(wins)), wins)
         nth = np.arange(len(cell)) - np.repeat(np.cumsum(wins) - wins, wins)
         # places in the corpus, as ranks of (id, kh, start)
         by = np.lexsort((np.array(starts), np.array(khs), np.array([-(2**63) if x is None else x for x in ids])))
         seat = np.empty(len(wins), dtype=np.int64)
         seat[by] = np.arange(len(wins))
-        earlier, some = earlier_and_any(rank[base[cell] + nth], seat[cell] * CELL + nth)
-        hit = earlier if keep_first else some
+        previous, other = longest_previous_factors(text, base[cell] + nth, seat[cell] * CELL + nth, min_bytes)
+        hit = (previous if keep_first else other) >= min_bytes
         flag = np.zeros(len(hit) + 1, dtype=bool)
         flag[:-1] = hit
         fresh = flag[:-1] & np.r_[True, ~hit[:-1] | (cell[1:] != cell[:-1])]
@@ -149,6 +182,25 @@ def _cells_in_order(min_bytes: int, keep_first: bool):
     return run
 
 
+def _windows(min_bytes: int):
+    """Each window of cells (core, id, kh, start, windows, bytes) by core, two hashes of its bytes, and place."""
+
+    def run(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 2000):
+                part = batch.slice(a, 2000)
+                data, offs = tb.text_buffer(part.column(5))
+                wins = part.column(4).to_numpy().astype(np.int64)
+                cell = np.repeat(np.arange(len(wins)), wins)
+                nth = np.arange(len(cell)) - np.repeat(np.cumsum(wins) - wins, wins)
+                at = offs[:-1][cell] + nth
+                hashes = [pa.array(tb.span_hash(tb.prefix_hash(data, k), at, at + min_bytes, k).view(np.int64)) for k in (0, 1)]
+                take = [part.column(k).take(pa.array(cell)) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([take[0], *hashes, take[1], take[2], pa.array(part.column(3).to_numpy()[cell] + nth)], ["core", "h0", "h1", "id", "kh", "lo"])
+
+    return run
+
+
 def _spans(columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["id", "kh", "lo", "hi"])
 
@@ -165,8 +217,10 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, min_bytes: int,
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(start - offs[row]), pa.array(width.astype(np.int32)), pa.array(lead.astype(np.int32)), pa.array(gram.view(np.int64)), pa.array(context.view(np.int64))], ["id", "kh", "lo", "width", "lead", "gram", "context"])
 
     anchors = ws.save(texts.where(F.octet_length("text") >= min_bytes).select("id", "kh", "text").mapInArrow(tb.frugal(find), "id long, kh long, lo long, width int, lead int, gram long, context long"), "anchors")
-    twice = anchors.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram")
+    # tables of their own on the short side of each join, so that Spark can split a gram or class that is hot on the long side
+    twice = ws.save(anchors.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram"), "twice")
     cand = ws.save(anchors.join(twice, "gram", "left_semi"), "cand")
+    ws.drop("anchors", "twice")
     key = ["gram", "lead", "width", "context"]
     classes = ws.save(cand.groupBy(*key).agg(F.count("*").alias("c"), F.min(F.struct("id", "kh", "lo")).alias("rep")), "classes")
     whole = cand.join(classes.where("c > 1").select(*key, "rep"), key)
@@ -175,7 +229,7 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, min_bytes: int,
     whole = whole.select("id", "kh", "lo", (F.col("lo") + F.col("width") + (min_bytes - 1)).alias("hi"))
 
     # stretches that share a gram but differ as a whole: one representative of each, cut into cells
-    several = classes.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram")
+    several = ws.save(classes.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram"), "several")
     open_ = classes.join(several, "gram", "left_semi").groupBy(F.col("rep.id").alias("id"), F.col("rep.kh").alias("kh")).agg(F.collect_list(F.struct(F.col("rep.lo").alias("lo"), "lead", "width")).alias("parts"))
     open_ = ws.save(open_, "open")
     pick = open_.withColumnsRenamed({"id": "id2", "kh": "kh2"})
@@ -215,28 +269,38 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, min_bytes: int,
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["core", "id", "kh", "lo", "windows", "raw"])
 
     cut = ws.save(joined.mapInArrow(tb.frugal(cells), "core long, id long, kh long, lo long, windows int, raw binary"), "cells")
-    met = cut.join(cut.groupBy("core").agg(F.count("*").alias("c")).where("c > 1").select("core"), "core", "left_semi")
+    cores = ws.save(cut.groupBy("core").agg(F.count("*").alias("c")).where("c > 1"), "cores")
+    met = cut.join(cores.where(f"c <= {CORE_CELLS}").select("core"), "core", "left_semi")
     met = met.repartition("core").sortWithinPartitions("core").select("core", "id", "kh", "lo", "windows", "raw")
     parts = met.mapInArrow(tb.frugal(_cells_in_order(min_bytes, keep_first)), "id long, kh long, lo long, hi long")
+    if cores.where(f"c > {CORE_CELLS}").limit(1).count():
+        crowd = cut.join(cores.where(f"c > {CORE_CELLS}").select("core"), "core", "left_semi").mapInArrow(tb.frugal(_windows(min_bytes)), "core long, h0 long, h1 long, id long, kh long, lo long")
+        crowd = ws.save(crowd, "crowd")
+        same = ws.save(crowd.groupBy("core", "h0", "h1").agg(F.count("*").alias("c"), F.min(F.struct("id", "kh", "lo")).alias("rep")).where("c > 1").drop("c"), "same")
+        hits = crowd.join(same, ["core", "h0", "h1"])
+        hits = hits.where(~F.struct("id", "kh", "lo").eqNullSafe(F.col("rep"))) if keep_first else hits
+        parts = parts.unionByName(hits.select("id", "kh", "lo", (F.col("lo") + min_bytes).alias("hi")))
     # a representative that has copies is wholly covered unless the first copy is kept
     return whole.unionByName(parts)
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = 400, keep_first: bool = True, whole_chars: bool = False) -> DataFrame:
-    """All columns of ``docs`` with n_bytes, n_removed, n_spans and kept (binary), one row per input row.
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = 400, keep_first: bool = True, whole_chars: bool = False, columns: tuple[str, str, str, str] = ("n_bytes", "n_removed", "n_spans", "kept"), kept_text: str | None = None) -> DataFrame:
+    """All columns of ``docs`` with n_bytes, n_removed, n_spans and kept (binary), named by ``columns``, one row per input row.
 
     Every byte covered by a string of ``min_bytes`` bytes that also starts elsewhere is removed, whether in the
     same text or another, overlaps included; strings are judged on the input.  With ``keep_first`` only strings
     that start earlier, by (id, position), count, so the first copy stays.  With ``whole_chars`` removed runs are
     narrowed to whole characters, so that what is kept is UTF-8 again.  Texts are whole UTF-8 byte strings;
     null counts as empty.  Repeated rows are copies of each other when both are there to compare: rows of equal
-    id and text share their decision.  Shorter texts and empty tables lose nothing.  Columns named n_bytes,
-    n_removed, n_spans or kept in the input are replaced.
+    id and text share their decision.  Shorter texts and empty tables lose nothing.  ``kept_text`` names a further
+    column with what is kept as a string, without the halves of characters that a cut leaves.  Input columns of the
+    same names as the results are replaced.
     """
     ws = Workspace(docs.sparkSession, "suffix")
     spans = repeated_spans(docs, id_col, text_col, min_bytes, keep_first, ws)
     per_doc = spans.groupBy("id", "kh").agg(F.collect_list(F.struct("lo", "hi")).alias("__spans")).withColumnsRenamed({"id": "__id", "kh": "__kh"})
-    own = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept")]
+    added = [*columns, *([kept_text] if kept_text else [])]
+    own = [c for c in docs.columns if c not in added]
     base = docs.select(*own, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
     joined = base.join(per_doc, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("__text") == F.col("__kh")), "left").drop("__id", "__kh")
 
@@ -267,10 +331,13 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 removed.append(sum(b - a for a, b in gone))
                 runs.append(len(gone))
                 kept.append(b"".join(pieces))
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i, c in enumerate(names) if c not in ("__text", "__spans")] + [pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], [*own, "n_bytes", "n_removed", "n_spans", "kept"])
+            found = [pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())]
+            if kept_text:
+                found.append(pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i, c in enumerate(names) if c not in ("__text", "__spans")] + found, [*own, *added])
 
     schema = base.select(*own).schema
-    for name, kind in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept", "binary")):
+    for name, kind in zip(added, ("long", "long", "long", "binary", "string")):
         schema = schema.add(name, kind)
     return joined.mapInArrow(tb.frugal(remove), schema)
 

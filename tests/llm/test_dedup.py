@@ -60,7 +60,8 @@ def test_near_copies_are_dropped_by_row_not_by_id(spark):
 
 
 @pytest.mark.parametrize("keep_first", [False, True])
-def test_suffix_dedup_matches_all_windows(spark, keep_first):
+def test_suffix_dedup_matches_all_windows(spark, monkeypatch, keep_first):
+    monkeypatch.setattr(suffix_dedup, "CORE_CELLS", 3 if keep_first else 8192)  # with and without cores settled by counting
     docs = corpus.planted(spark, 40)
     rows = sorted((r.doc_id, r.text) for r in docs.collect())
     want = suffix_dedup.brute_force([t.encode() for _, t in rows], 120, keep_first)
@@ -88,12 +89,45 @@ def test_suffix_array_orders_suffixes():
                 assert (rank[i] < rank[j]) == (keys[i] < keys[j])
 
 
+def test_longest_previous_factors_by_brute_force():
+    rng = np.random.default_rng(5)
+    for reach, letters in ((6, 2), (9, 3), (40, 2), (200, 1)):
+        text = rng.integers(97, 97 + letters, 300).astype(np.uint8)
+        at = np.sort(rng.choice(300, 90, replace=False))
+        place = rng.permutation(90)
+        raw = text.tobytes()
+
+        def share(i, j):
+            k = 0
+            while k < reach and max(i, j) + k < 300 and raw[i + k] == raw[j + k]:
+                k += 1
+            return k
+
+        previous, other = suffix_dedup.longest_previous_factors(text, at, place, reach)
+        for i in range(90):
+            all_ = [(place[j] < place[i], share(at[i], at[j])) for j in range(90) if j != i]
+            assert previous[i] == max([k for earlier, k in all_ if earlier], default=0)
+            assert other[i] == max(k for _, k in all_)
+
+
+def test_suffix_query_at_400_bytes_against_all_windows(spark, data):
+    rows = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{data}/documents.parquet").collect())
+    want = suffix_dedup.brute_force([t.encode() for _, t in rows], 400, False)
+    got = {r.doc_id: r for r in queries.op2_suffix_dedup(spark, data).collect()}
+    assert [(got[i].n_removed, got[i].n_spans, got[i].kept_sha256) for i, _ in rows] == want
+    assert any(w[0] for w in want)
+    for i, t in rows:
+        assert got[i].n_bytes == len(t.encode()) and (got[i].n_removed > 0 or got[i].text == t)
+
+
 def test_suffix_odd_cases(spark):
     out = suffix_dedup.suffix_dedup(corpus.odd(spark), min_bytes=60, keep_first=True, whole_chars=True)
     assert out.count() == 13 and "source" in out.columns
     rows = {r.doc_id: r for r in out.collect() if r.doc_id is not None}
     assert rows[0].n_bytes == 0 and bytes(rows[0].kept) == b"" and rows[5].n_removed == 0 and rows[6].n_removed == rows[6].n_bytes
     assert suffix_dedup.suffix_dedup(corpus.none(spark)).count() == 0
+    named = suffix_dedup.suffix_dedup(corpus.odd(spark), min_bytes=60, columns=("a", "b", "c", "d"), kept_text="e")
+    assert named.columns == [*corpus.odd(spark).columns, "a", "b", "c", "d", "e"] and {r.kept for r in named.collect()} == {"y"}
     cut = spark.createDataFrame([(0, "é" * 100), (1, "aé" + "é" * 99)], "doc_id long, text string")
     for r in suffix_dedup.suffix_dedup(cut, min_bytes=31, whole_chars=True).collect():
         bytes(r.kept).decode()
