@@ -2,6 +2,10 @@
 
 Language ID, exact dedup, n-gram Jaccard join, suffix-array dedup, best-fit packing.  Every stage takes
 (spark, docs, sf_dir) and works on all rows it is given; all but the last return the columns of documents.
+
+Rows are told apart by id and text, so null and repeated ids are decided row by row.  Null and letterless texts go in
+the first stage; a stage that meets them by itself keeps one null or empty text as an exact copy, and all of them
+otherwise.  Further columns of any name are carried along.  Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -35,17 +39,19 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies, the one with the smallest id."""
-    found = ngram_join.ngram_components(docs, width=SHINGLE_WORDS, num=SIMILARITY, den=100)
-    stay = Workspace(spark, "near").save(found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__id")).distinct(), "stay")
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    """One document of each component of near copies, the one with the smallest id; texts without words all stay."""
+    return ngram_join.drop_near_copies(docs, width=SHINGLE_WORDS, num=SIMILARITY, den=100)
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages that an earlier document, or an earlier place, already has."""
-    found = suffix_dedup.suffix_dedup(docs, min_bytes=PASSAGE_BYTES, keep_first=True, whole_chars=True)
-    text = F.when(F.col("n_removed") > 0, F.decode("kept", "UTF-8")).otherwise(F.col("text"))
-    return found.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else F.char_length("text")).select(*docs.columns)
+    """Texts without passages that an earlier document, or an earlier place, already has; a null text stays null."""
+    own = ("__n_bytes", "__n_removed", "__n_spans", "__kept")
+    found = suffix_dedup.suffix_dedup(docs, min_bytes=PASSAGE_BYTES, keep_first=True, whole_chars=True, columns=own)
+    text = F.when(F.col("__n_removed") > 0, F.decode("__kept", "UTF-8")).otherwise(F.col("text"))
+    found = found.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.when(F.col("__n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return found.select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
