@@ -3,6 +3,7 @@
 import re
 
 import corpus_pipeline as cp
+import pytest
 from pyspark.sql import functions as F
 
 from stratacube.llm import suffix_dedup
@@ -39,6 +40,25 @@ def test_stages_against_brute_force(spark):
     assert ids(five) == set(after)
 
 
+@pytest.mark.parametrize("name", [n for n, _ in cp.STAGES])
+def test_stages_on_odd_and_empty_tables(spark, name):
+    """Nulls, empty and very long texts, repeated rows and ids, and the columns of other names come through."""
+    stage, odd = dict(cp.STAGES)[name], corpus.odd(spark)
+    more = odd.limit(1).select(F.lit(6).cast("long").alias("doc_id"), F.lit(corpus.prose(9, 80)).alias("text"), *(F.col(c) for c in odd.columns[2:]))
+    docs = odd.union(more)  # another text of an id that a copy has
+    out = stage(spark, docs, DATA)
+    none = stage(spark, corpus.none(spark), DATA)
+    assert none.count() == 0 and none.columns == out.columns
+    got = out.collect()
+    ids = sorted((r.doc_id for r in got if r.doc_id is not None))
+    if name == "packing":
+        assert len(got) > 14 and set(ids) == set(range(10))
+        return
+    assert out.columns == odd.columns and all(r.kept == "y" and r.n == 8 for r in got)
+    want = {"language_id": [3, 4, 5, 5, 6, 6, 7, 8], "exact_dedup": [1, 2, 3, 4, 6, 6, 7, 8, 9], "ngram_join": [0, 1, 2, 3, 4, 5, 6, 7, 8, 9]}
+    assert ids == want.get(name, [0, 1, 2, 3, 4, 5, 5, 6, 6, 7, 8, 9])
+
+
 def test_run(spark):
     out = cp.run(spark, DATA)
     assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).where(f"n > {cp.SEQUENCE_TOKENS}").count() == 0
@@ -49,3 +69,10 @@ def test_no_document_is_dropped_for_its_language(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     left = {r.doc_id for r in cp.language_stage(spark, docs, DATA).select("doc_id").collect()}
     assert all(r.doc_id in left for r in docs.collect() if len(re.findall(r"[^\W\d_]{2,}", r.text or "")) > 20)
+
+
+def test_all_eleven_are_registered():
+    import __spark_entry__ as e
+
+    names = [k for k in e.queries() if k == "pipeline" or k[:2] == "op" and k[2:3].isdigit()]
+    assert len(names) == 11 and {k.split("_")[0] for k in names} == {"pipeline", *(f"op{n}" for n in range(1, 11))}
