@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratacube.operators.graph import connected_components
+from stratacube.operators.subset import each_month, month_of
 from stratacube.operators.windows import runs
 from stratacube.sources.workspace import Workspace
 
@@ -19,9 +20,12 @@ def run_graph(days: DataFrame, nlon: int, nlat: int, wrap: bool, epoch: str, val
     day = lambda c: F.datediff(F.col(c), F.lit(epoch).cast("date")).cast("long")
     r = runs(days, cell=key).withColumn("id", (day("t0") * nlat + F.col("ilat")) * nlon + F.col("ilon"))
     east = F.pmod(F.col("ilon") + 1, F.lit(nlon)) if wrap else F.col("ilon") + 1
-    sides = r.select(F.explode(F.array(F.struct(east.cast("int").alias("x"), F.col("ilat").cast("int").alias("y")), F.struct(F.col("ilon").cast("int").alias("x"), (F.col("ilat") + 1).cast("int").alias("y")))).alias("s"), "id", "t0", "t1", *([value] if value else []))
-    a = sides.select(F.col("s.x").alias("ilon"), F.col("s.y").alias("ilat"), F.col("id").alias("src"), F.col("t0").alias("a0"), F.col("t1").alias("a1"), *([value] if value else []))
-    edges = a.join(r.select(*key, F.col("id").alias("dst"), "t0", "t1"), list(key)).where("a0 <= t1 AND t0 <= a1 AND src <> dst").select("src", "dst")
+    # runs that share a day share its month: they meet there, and only in the month in which the later one begins
+    by_month = each_month(r, "t0", "t1")
+    sides = by_month.select(F.explode(F.array(F.struct(east.cast("int").alias("x"), F.col("ilat").cast("int").alias("y")), F.struct(F.col("ilon").cast("int").alias("x"), (F.col("ilat") + 1).cast("int").alias("y")))).alias("s"), "month", "id", "t0", "t1", *([value] if value else []))
+    a = sides.select(F.col("s.x").alias("ilon"), F.col("s.y").alias("ilat"), "month", F.col("id").alias("src"), F.col("t0").alias("a0"), F.col("t1").alias("a1"), *([value] if value else []))
+    met = a.join(by_month.select(*key, "month", F.col("id").alias("dst"), "t0", "t1"), [*key, "month"])
+    edges = met.where((F.col("month") == month_of(F.greatest("a0", "t0"))) & F.expr("a0 <= t1 AND t0 <= a1 AND src <> dst")).select("src", "dst")
     return r, edges
 
 

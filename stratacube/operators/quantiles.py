@@ -30,12 +30,14 @@ def day_of_year_quantiles(series: DataFrame, value: str, probs: list[float], hal
     time axis, so the series should be complete.
     """
     w = Window.partitionBy(*by)
-    axis = series.withColumns({"__it": F.row_number().over(w.orderBy(time)), "__n": F.count(F.lit(1)).over(w)})
+    axis = series.select(*by, time, F.col(value).alias("__v"), F.row_number().over(w.orderBy(time)).alias("__it"), F.count(F.lit(1)).over(w).alias("__n"))
+    # the ring: rows near an end once more beyond the other end; all stays in the partitioning by cell
+    turns = F.sequence(-F.ceil(F.lit(half_width) / F.col("__n")), F.ceil(F.lit(half_width) / F.col("__n")))
+    ring = axis.withColumn("__turn", F.explode(turns)).withColumn("__at", F.col("__it") + F.col("__turn") * F.col("__n")).where(F.col("__at").between(F.lit(1 - half_width), F.col("__n") + half_width))
+    framed = ring.withColumn("__frame", F.collect_list("__v").over(w.orderBy("__at").rowsBetween(-half_width, half_width))).where("__turn = 0")
     key = F.date_format(F.col(time), "MM-dd")
     leap = F.day(F.last_day(F.make_date(F.year(time), F.lit(2), F.lit(1)))) == 29
-    anchors = axis.select(*by, "__it", "__n", F.when((key == "03-01") & ~leap, F.array(F.lit("02-29"), key)).otherwise(F.array(key)).alias("__d")).select(*by, "__it", "__n", F.explode("__d").alias("doy"))
-    around = anchors.select(*by, "doy", "__n", F.explode(F.sequence(F.col("__it") - half_width, F.col("__it") + half_width)).alias("__j"))
-    around = around.select(*by, "doy", (F.pmod(F.col("__j") - 1, F.col("__n")) + 1).alias("__it"))
-    pooled = around.join(axis.select(*by, "__it", F.col(value).alias("__v")), [*by, "__it"]).where(F.col("__v").isNotNull())
+    days = F.when((key == "03-01") & ~leap, F.array(F.lit("02-29"), key)).otherwise(F.array(key))
+    pooled = framed.select(*by, F.explode(days).alias("doy"), "__frame").select(*by, "doy", F.explode("__frame").alias("__v"))
     got = pooled.groupBy(*by, "doy").agg(F.percentile("__v", _probs(probs)).alias("__q"))
     return got.select(*by, "doy", F.posexplode("__q").alias("__i", "value")).select(*by, "doy", F.element_at(_probs(probs), F.col("__i") + 1).alias("quantile"), "value")

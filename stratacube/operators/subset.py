@@ -55,3 +55,33 @@ def nearest_cell(cells: DataFrame, points: DataFrame, tolerance: float, name: st
     hit = near.join(placed, ["bx", "by_"]).where((F.abs(F.col("lon") - F.col("plon")) <= tolerance) & (F.abs(F.col("lat") - F.col("plat")) <= tolerance))
     d = F.pow(F.col("lon") - F.col("plon"), 2) + F.pow(F.col("lat") - F.col("plat"), 2)
     return hit.withColumn("r", F.row_number().over(Window.partitionBy(name).orderBy(d, "ilon", "ilat"))).where("r = 1").drop("r", "bx", "by_")
+
+
+def month_of(day: Column) -> Column:
+    """Months since year 0, an integer key for joins of periods."""
+    return F.year(day) * 12 + F.month(day)
+
+
+def each_month(periods: DataFrame, start: str, end: str, out: str = "month") -> DataFrame:
+    """Every period once for each month that it touches."""
+    return periods.where(F.col(start) <= F.col(end)).withColumn(out, F.explode(F.sequence(month_of(F.col(start)), month_of(F.col(end)))))
+
+
+def in_boxes(cube: DataFrame, boxes: DataFrame, time: str = "time") -> DataFrame:
+    """Rows of the cube inside boxes (start, end, south, north, lon_from, lon_to), once for each box.
+
+    Rows and boxes meet in the month of the row, so the join has an equality and neither side need be small.
+    """
+    inside = F.col(time).between(F.col("start"), F.col("end")) & F.col("lat").between(F.col("south"), F.col("north")) & F.col("lon").between(F.col("lon_from"), F.col("lon_to"))
+    return cube.withColumn("month", month_of(F.col(time))).join(each_month(boxes, "start", "end"), "month").where(inside).drop("month")
+
+
+def overlapping(one: DataFrame, two: DataFrame) -> DataFrame:
+    """Pairs of periods (a0, a1) and (b0, b1) that share a day, met in the month in which the later one begins."""
+    met = each_month(one, "a0", "a1").join(each_month(two, "b0", "b1"), "month")
+    return met.where((F.col("month") == month_of(F.greatest("a0", "b0"))) & F.expr("a0 <= b1 AND b0 <= a1")).drop("month")
+
+
+def index_in(rows: DataFrame, listed: DataFrame, column: str, out: str) -> DataFrame:
+    """``rows`` with the index i that (column, i) lists for each value of ``column``; null for those it does not list."""
+    return rows.join(listed.select(column, F.col("i").cast("double").alias(out)), column, "left")

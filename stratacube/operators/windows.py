@@ -43,7 +43,7 @@ def runs(days: DataFrame, time: str = "time", cell=CELL) -> DataFrame:
 def min_run_filter(days: DataFrame, period: DataFrame, length: int = 4, edge: str = "replicate", time: str = "time", cell=CELL) -> DataFrame:
     """Days of runs of at least ``length``; with ``replicate`` also of runs that touch the first or last day.
 
-    ``period`` is one row (first, last) of the processed days.
+    ``period`` holds the first and last of the processed days; of several rows the widest span counts.
     """
     if edge not in ("replicate", "strict"):
         raise ValueError(f"unknown edge rule {edge!r}")
@@ -53,7 +53,7 @@ def min_run_filter(days: DataFrame, period: DataFrame, length: int = 4, edge: st
     marked = marked.withColumns({"run_n": F.count(F.lit(1)).over(run), "run_t0": F.min(time).over(run), "run_t1": F.max(time).over(run)})
     if edge == "strict":
         return marked.where(F.col("run_n") >= length).drop("island", "run_n", "run_t0", "run_t1")
-    joined = marked.crossJoin(F.broadcast(period.select("first", "last")))  # one row
+    joined = marked.crossJoin(F.broadcast(period.agg(F.min("first").alias("first"), F.max("last").alias("last"))))  # one row
     return joined.where((F.col("run_n") >= length) | (F.col("run_t0") == F.col("first")) | (F.col("run_t1") == F.col("last"))).drop("island", "run_n", "run_t0", "run_t1", "first", "last")
 
 
