@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import math
 import operator
 
 from pyspark.sql import Column
@@ -41,10 +42,22 @@ def all_of(flags: list[Column]) -> Column:
     return functools.reduce(operator.and_, flags)
 
 
-def normal_cdf(z: Column) -> Column:
-    """Standard normal distribution function, by the 7.1.26 rational approximation of erf (error below 1.5e-7)."""
-    x = F.abs(z) / F.sqrt(F.lit(2.0))
-    t = 1.0 / (1.0 + 0.3275911 * x)
-    poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
-    erf = 1.0 - poly * F.exp(-x * x)
-    return F.when(z >= 0, (1.0 + erf) / 2.0).otherwise((1.0 - erf) / 2.0)
+def erfc(x: Column) -> Column:
+    """Complementary error function of x >= 0, to about 1e-13 of its value however small it is.
+
+    Below 2.5 one minus the series with positive terms, above it the continued fraction.
+    """
+    term = total = x
+    for k in range(1, 60):
+        term = term * x * x * (2.0 / (2 * k + 1))
+        total = total + term
+    tail = x
+    for k in range(40, 0, -1):
+        tail = x + F.lit(k / 2.0) / tail
+    bell = F.exp(-x * x) / math.sqrt(math.pi)
+    return F.when(x < 2.5, 1.0 - 2.0 * bell * total).otherwise(bell / tail)
+
+
+def normal_tails(z: Column) -> Column:
+    """Probability that a standard normal value is further from 0 than z."""
+    return erfc(F.abs(z) / math.sqrt(2.0))

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratacube.functions.columns import normal_cdf
+from stratacube.functions.columns import normal_tails
 
 
 def _pairs(series: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
@@ -44,14 +44,15 @@ def mann_kendall(series: DataFrame, x: str, y: str, by: list[str], alpha: float
     """(by, n, s, z, p_value, tau, reject, slope, intercept) without correction for ties.
 
     S = 0 gives z = -1 / sigma, as the established implementation does.  The slope is the median over ordered pairs
-    of different times; the intercept the median residual.
+    of different times (pairs of one time have slopes of plus and of minus infinity in equal number, which leave the
+    median where it is); the intercept the median residual.
     """
     p = _pairs(series, x, y, by)
     s = p.where("x1 < x2").groupBy(*by).agg(F.sum(F.signum(F.expr("y2 - y1"))).alias("s"))
     n = series.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"))
     sigma = F.sqrt(F.col("n") * (F.col("n") - 1) * (2 * F.col("n") + 5) / 18.0)
     z = F.when(F.col("s") >= 0, (F.col("s") - 1) / sigma).otherwise((F.col("s") + 1) / sigma)
-    tested = s.join(n, by).withColumn("z", z).withColumn("p_value", 2 * (1 - normal_cdf(F.abs("z"))))
+    tested = s.join(n, by).withColumn("z", z).withColumn("p_value", normal_tails(F.col("z")))
     tested = tested.withColumns({"tau": F.col("s") / (F.lit(0.5) * F.col("n") * (F.col("n") - 1)), "reject": F.abs("z") > NormalDist().inv_cdf(1 - alpha / 2)})
     return tested.join(theil_sen(series, x, y, by, "standard"), by).select(*by, "n", "s", "z", "p_value", "tau", "reject", "slope", "intercept")
 
@@ -60,35 +61,72 @@ def ols_trend(series: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     return series.groupBy(*by).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))
 
 
-def quantile_regression(points: DataFrame, x: str, y: str, by: list[str], probs: list[float], rounds: int = 200) -> DataFrame:
-    """(by, quantile, slope, intercept) of the line that minimises the pinball loss, by reweighted least squares.
+def _best_through(xs: np.ndarray, ys: np.ndarray, q: float, i: int) -> tuple[float, int]:
+    """Slope of least pinball loss among the lines through point i, and another point on that line.
 
-    A group goes to one task; callers aggregate to one point per event and split by a bounded key.
+    Along the slope the loss is a sum of hinges, one where the line meets each other point; the least is where the
+    summed steepness turns from negative.
+    """
+    h, d = xs - xs[i], ys - ys[i]
+    away = np.flatnonzero(h != 0)
+    meets = d[away] / h[away]
+    order = np.argsort(meets, kind="stable")
+    width = np.abs(h[away])[order]
+    steep = np.cumsum(width) - np.where(h[away] > 0, q, 1 - q) @ np.abs(h[away])
+    k = min(int(np.searchsorted(steep, 0.0)), len(order) - 1)
+    return float(meets[order[k]]), int(away[order[k]])
+
+
+def _pinball(xs: np.ndarray, ys: np.ndarray, q: float, slope: float, i: int) -> float:
+    rest = (ys - ys[i]) - slope * (xs - xs[i])
+    return float(np.where(rest >= 0, q * rest, (q - 1) * rest).sum())
+
+
+def _quantile_line(xs: np.ndarray, ys: np.ndarray, q: float) -> tuple[float, float]:
+    """(slope, intercept) of a line of least pinball loss.
+
+    Some best line goes through two points.  Starting from the point nearest to the least-squares line, the line is
+    turned about one of its points to the best slope, then about the point it has met, until no point on it helps.
+    """
+    trend = np.polyfit(xs - xs.mean(), ys, 1)
+    rest = ys - np.polyval(trend, xs - xs.mean())
+    i = int(np.argmin(np.abs(rest - np.quantile(rest, q))))
+    slope, j = _best_through(xs, ys, q, i)
+    loss = _pinball(xs, ys, q, slope, i)
+    while True:
+        on = np.flatnonzero(np.abs((ys - ys[i]) - slope * (xs - xs[i])) <= 1e-9 * (1 + np.abs(ys - ys[i])))
+        for k in (j, *on.tolist()):
+            turned, met = _best_through(xs, ys, q, k)
+            less = _pinball(xs, ys, q, turned, k)
+            if less < loss * (1 - 1e-12) - 1e-300:
+                i, slope, j, loss = k, turned, met, less
+                break
+        else:
+            return slope, float(ys[i] - slope * xs[i])
+
+
+def quantile_regression(points: DataFrame, x: str, y: str, by: list[str], probs: list[float]) -> DataFrame:
+    """(by, quantile, slope, intercept) of a line that minimises the pinball loss, exactly; null where x takes one value only.
+
+    A group goes to one task as two columns of doubles, some hundred MB for ten million points; callers aggregate to
+    one point per event or cell and year, and split by a key.
     """
     schema = points.select(*by).schema.add("quantile", "double").add("slope", "double").add("intercept", "double")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        good = pdf[[x, y]].dropna()
-        rows = []
-        for q in probs:
-            if good[x].nunique() < 2:
-                rows.append((q, None, None))
-                continue
-            xs, ys = good[x].to_numpy(float), good[y].to_numpy(float)
-            centre = xs.mean()
-            design = np.column_stack([xs - centre, np.ones(len(xs))])
-            beta = np.linalg.lstsq(design, ys, rcond=None)[0]
-            for _ in range(rounds):
-                r = ys - design @ beta
-                w = np.where(r >= 0, q, 1 - q) / np.maximum(np.abs(r), 1e-6)
-                new = np.linalg.solve(design.T @ (design * w[:, None]) + 1e-12 * np.eye(2), design.T @ (w * ys))
-                if np.abs(new - beta).max() < 1e-9:
-                    break
-                beta = new
-            rows.append((q, float(beta[0]), float(beta[1] - beta[0] * centre)))
+        good = pdf[[x, y]].dropna().sort_values([x, y])
+        xs, ys = good[x].to_numpy(float), good[y].to_numpy(float)
+        rows = [(q, *(_quantile_line(xs, ys, q) if good[x].nunique() > 1 else (None, None))) for q in probs]
         out = pd.DataFrame(rows, columns=["quantile", "slope", "intercept"])
         for i, c in enumerate(by):
             out.insert(i, c, pdf[c].iloc[0])
         return out
 
     return points.select(*by, x, y).groupBy(*by).applyInPandas(fit, schema)
+
+
+def pinball_loss(points: DataFrame, lines: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
+    """(by, quantile, loss) of lines (by, quantile, slope, intercept) over the points of their group."""
+    rest = F.col(y) - F.col("slope") * F.col(x) - F.col("intercept")
+    q = F.col("quantile")
+    return points.join(lines, by).groupBy(*by, "quantile").agg(F.sum(F.when(rest >= 0, q * rest).otherwise((q - 1) * rest)).alias("loss"))
