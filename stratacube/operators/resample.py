@@ -20,11 +20,19 @@ def complete_daily_sum(hourly: DataFrame, value: str, steps: int = 24, ts: str =
     return out.select(*cell, "time", "n_steps", F.when(F.col("n_steps") == steps, F.col("total")).alias(value))
 
 
-def block_aggregate(series: DataFrame, agg: Column, size: int, order: str, out: str, by: list[str]) -> DataFrame:
-    """Consecutive blocks of ``size`` rows along ``order``; a last block that is not full is left out."""
+def block_aggregate(series: DataFrame, agg: Column, size: int, order: str, out: str, by: list[str], partial: str = "error") -> DataFrame:
+    """Consecutive blocks of ``size`` rows along ``order``.
+
+    A series whose length is no multiple of ``size`` fails the job; with partial="drop" its last block is left out.
+    """
+    if partial not in ("error", "drop"):
+        raise ValueError(f"unknown rule for a block that is not full: {partial!r}")
     position = F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1
     blocks = series.withColumn("block", F.floor(position / size)).groupBy(*by, "block").agg(agg.alias(out), F.count(F.lit(1)).alias("__n"))
-    return blocks.where(F.col("__n") == size).drop("__n")
+    full = F.col("__n") == size
+    if partial == "error":
+        return blocks.where(F.when(full, F.lit(True)).otherwise(F.raise_error(F.lit(f"the length of a series is no multiple of {size}")).cast("boolean"))).drop("__n")
+    return blocks.where(full).drop("__n")
 
 
 def coarsen(cube: DataFrame, value: str, factor: int, by: list[str]) -> DataFrame:

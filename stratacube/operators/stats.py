@@ -37,7 +37,8 @@ def event_statistics(voxels: DataFrame, fields: list[str], ranks: dict[str, str]
     """One row per event: bounds, weighted mean and range of ``fields``, type areas, intensities, land share, volume.
 
     ``voxels`` are the labelled rows joined with all layers; rows without label, and with ``land`` sea rows, are
-    left out.  Partial aggregates make the shuffle as large as the number of events, not of voxels.
+    left out.  Partial aggregates make the shuffle as large as the number of events, not of voxels.  An event that is
+    hot and dry on more area-days than it is hot, or dry, fails the job.
     """
     w = area_weight(F.col("lat"))
     rows = voxels.where(F.col(key) > 0)
@@ -46,7 +47,15 @@ def event_statistics(voxels: DataFrame, fields: list[str], ranks: dict[str, str]
     if land:
         aggs.append(F.sum(F.when(F.col(land) > 0.5, w).otherwise(0.0)).alias("land_area"))
     aggs += [intensity(F.col(r), w, limit).alias(n) for n, r in (ranks or {}).items()]
-    return rows.groupBy(key).agg(*aggs, F.sum(w).alias("volume"))
+    out = rows.groupBy(key).agg(*aggs, F.sum(w).alias("volume"))
+    return checked_types(out, key) if code else out
+
+
+def checked_types(areas: DataFrame, key: str) -> DataFrame:
+    """``areas`` as they are; the job fails where compound exceeds heat, or the three droughts together."""
+    limit = F.least("heat", F.col("drought30") + F.col("drought90") + F.col("drought180"))
+    wrong = F.raise_error(F.concat(F.lit("compound exceeds its parts in event "), F.col(key).cast("string"))).cast("double")
+    return areas.withColumn("compound", F.when(F.col("compound") > limit * (1 + 1e-9) + 1e-9, wrong).otherwise(F.col("compound")))
 
 
 def derive(stats: DataFrame, duration: str = "inclusive", kelvin: list[str] | None = None, shares: list[str] | None = None) -> DataFrame:
@@ -124,3 +133,13 @@ def histogram_2d(rows: DataFrame, x: Column, y: Column, dx: float, dy: float) ->
 def rounded_columns(df: DataFrame, digits: int = 6) -> DataFrame:
     """Every double column at a fixed number of decimals, for comparison across engines."""
     return df.select(*(rounded(F.col(c), digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+def unit_rules(rows: DataFrame, variable: str = "variable", stat: str = "stat", value: str = "value") -> DataFrame:
+    """Values of a long table in the units of reports: temperatures in degrees C (their variances stay), rain in mm.
+
+    Rain comes in m, so its means are times 1e3 and its variances times 1e6.
+    """
+    v, k, variance = F.col(value), F.col(variable), F.col(stat) == "var"
+    rain = F.when(variance, v * 1e6).otherwise(v * 1e3)
+    return rows.withColumn(value, F.when(k == "tp", rain).when(k.startswith("t2m") & ~variance, v - 273.15).otherwise(v))

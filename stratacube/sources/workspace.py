@@ -6,15 +6,20 @@ multi-pass operators go through it instead of caching.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; only where it is unset, a folder of our own."""
+    """``spark.checkpoint.dir`` of the session; where it is unset, a folder of our own in local mode and an error on a cluster."""
     named = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not named:
         named = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", named)
@@ -45,3 +50,17 @@ class Workspace:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_stored: dict[tuple, str] = {}
+
+
+def stored(spark: SparkSession, name: str, sources: list[DataFrame], build: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table that several jobs of a session share, written once for each state of the files it is made from."""
+    state = tuple((*sorted(s.inputFiles()), str(s.select(F.max("_metadata.file_modification_time")).first()[0])) for s in sources)
+    key = (spark.sparkContext.applicationId, name, state)
+    if key not in _stored:
+        ws = Workspace(spark, name)
+        ws.save(build(), "table")
+        _stored[key] = f"{ws.path}/table"
+    return spark.read.parquet(_stored[key])

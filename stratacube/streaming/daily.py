@@ -12,7 +12,8 @@ def daily_from_stream(spark: SparkSession, source: str, late: str = "2 days") ->
     """Sum the event stream by cell and day; a day is written once the watermark has passed it.
 
     The source is read to its present end and the days written are returned.  Since no later event closes the last
-    days, those still open at the end are taken from the state by a batch over the same source and added.
+    days, those still open at the end are summed by a batch over the same source and added.  Rows that come later than
+    ``late`` are left out of the days that the stream has closed, and are in those that the batch adds.
     """
     ws = Workspace(spark, "stream")
     folder, _, name = source.rpartition("/")
