@@ -10,6 +10,7 @@ from stratacube.jobs.declare import registrar
 from stratacube.jobs.sql import EVENT, GRID, HOURLY, PEI, RANKS, RUNS, components as components_sql, r
 from stratacube.operators import components, events, neighbours, windows
 from stratacube.sources import views
+from stratacube.sources.workspace import stored
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -121,6 +122,51 @@ def window_mode(spark, d):
     return neighbours.window_mode(cube, "event", 3, views.NLON)
 
 
+def _values(offsets) -> str:
+    return ", ".join(f"({dx},{dy},{dt},{k})" for k, (dx, dy, dt) in enumerate((*o, 0)[:3] for o in offsets))
+
+
+def _near3(name: str, offsets, source: str = "dry", more: str = "") -> str:
+    """Rows of ``source`` seen from every cell and day that has them in its neighbourhood."""
+    return f"{name} AS (SELECT (d.ilon - dx + 5) % 5 AS ilon, d.ilat - dy AS ilat, d.time - dt AS time, place{more} FROM {source} d JOIN (VALUES {_values(offsets)}) o(dx,dy,dt,place) ON TRUE)"
+
+
+@query(f"""WITH {RUNS}, {_COUNT} SELECT d.ilon, d.ilat, d.time, n.n FROM dry d JOIN near n ON d.ilon = n.ilon AND d.ilat = n.ilat AND d.time = n.time
+    JOIN runs k ON d.ilon = k.ilon AND d.ilat = k.ilat AND d.time BETWEEN k.t0 AND k.t1 WHERE n.n >= 2 AND k.n >= 4""")
+def diamond_min_run(spark, d):
+    """Dry days with a dry neighbour on the day itself and in a dry spell of four days."""
+    out = neighbours.diamond_run_filter(views.dry_days(spark, d).select("ilon", "ilat", "time"), 2, 4, views.period(spark, d), 3, views.NLON)
+    return out.select("ilon", "ilat", "time", "n")
+
+
+@query(f"""WITH {RUNS}, {_near3('seen', neighbours.diamond(3, 3, 5))}, near AS (SELECT ilon, ilat, time, COUNT(*) AS n FROM seen GROUP BY ALL)
+    SELECT d.ilon, d.ilat, d.time, n.n FROM dry d JOIN near n ON d.ilon = n.ilon AND d.ilat = n.ilat AND d.time = n.time WHERE n.n >= 6""")
+def diamond_count_3d(spark, d):
+    """Dry days with six dry days in the diamond of three by three cells and five days."""
+    return neighbours.diamond_filter(views.dry_days(spark, d), 6, (3, 3, 5), views.NLON).select("ilon", "ilat", "time", "n")
+
+
+_CROSS = neighbours.diamond(3, 3, 3)
+
+
+@query(f"""WITH {RUNS}, {_near3('seen', _CROSS)}, near AS (SELECT ilon, ilat, time, COUNT(*) AS n FROM seen GROUP BY ALL),
+    room AS (SELECT d.ilon, d.ilat, d.time, SUM(CASE WHEN d.ilat + dy BETWEEN 0 AND 4 AND d.time + dt BETWEEN first AND last THEN 1 ELSE 0 END) AS room FROM dry d, period, (VALUES {_values(_CROSS)}) o(dx,dy,dt,place) GROUP BY ALL),
+    core AS (SELECT r.ilon, r.ilat, r.time FROM room r JOIN near n ON r.ilon = n.ilon AND r.ilat = n.ilat AND r.time = n.time WHERE n = room), {_near3('grown', _CROSS, 'core')}
+    SELECT d.ilon, d.ilat, d.time FROM dry d JOIN (SELECT DISTINCT ilon, ilat, time FROM grown) g ON d.ilon = g.ilon AND d.ilat = g.ilat AND d.time = g.time""")
+def opening_3d(spark, d):
+    """Opening of the dry days by the cross of face neighbours in space and time, clipped at the ends of grid and period."""
+    return neighbours.opening_clipped(views.dry_days(spark, d), (3, 3, 3), views.NLAT, views.period(spark, d), views.NLON).select("ilon", "ilat", "time")
+
+
+@query(f"""WITH {EVENT}, {_near3('seen', neighbours.box(3, 3, 5), 'event', ', event')}, n AS (SELECT ilon, ilat, time, event, COUNT(*) AS n, MAX(place) AS last FROM seen GROUP BY ilon, ilat, time, event),
+    best AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY ilon, ilat, time ORDER BY n DESC, last) AS k FROM n)
+    SELECT e.ilon, e.ilat, e.time, e.event, CASE WHEN e.event > 0 AND e.event < 16 THEN b.event ELSE 0 END AS mode FROM event e JOIN best b ON e.ilon = b.ilon AND e.ilat = b.ilat AND e.time = b.time WHERE b.k = 1""")
+def window_mode_3d(spark, d):
+    """Most frequent code in the box of three by three cells and five days around each extreme day; 0 on other days."""
+    cube = views.grid_event(spark, d).select("ilon", "ilat", "time", "event")
+    return neighbours.box_mode(cube, "event", (3, 3, 5), views.NLON, events.is_extreme(F.col("event")))
+
+
 def filtered(spark, d):
     """Dry days that pass the minimum-run filter."""
     return windows.min_run_filter(views.dry_days(spark, d), views.period(spark, d))
@@ -130,6 +176,12 @@ def labelled(spark, d, wrap=True):
     return components.label_components(filtered(spark, d), views.NLON, views.NLAT, wrap)
 
 
+def labels(spark, d):
+    """The labelled cube as a stored layer, which the statistics share."""
+    sources = [views.table(spark, d, t) for t in ("lineitem", "supplier")]
+    return stored(spark, "labels", sources, lambda: labelled(spark, d))
+
+
 @query(f"WITH RECURSIVE {components_sql(False)} SELECT ilon, ilat, time, label FROM voxel")
 def components_plain(spark, d):
     return labelled(spark, d, False).select("ilon", "ilat", "time", "label")
@@ -149,7 +201,7 @@ def components_tiled(spark, d):
 
 @query(f"WITH RECURSIVE {components_sql(True)} SELECT CAST(YEAR(time) AS INT) AS tile, MAX(label) AS n_labels FROM voxel GROUP BY 1")
 def tile_max_label(spark, d):
-    return labelled(spark, d).groupBy(F.year("time").alias("tile")).agg(F.max("label").alias("n_labels"))
+    return labels(spark, d).groupBy(F.year("time").alias("tile")).agg(F.max("label").alias("n_labels"))
 
 
 @query(f"""WITH {GRID}, t AS (SELECT UNNEST(RANGE(1995, 2002)) AS owner) SELECT owner, CAST(owner AS VARCHAR) || '+1' AS tile, CAST(YEAR(time) AS BIGINT) = owner AS owned, COUNT(*) AS days

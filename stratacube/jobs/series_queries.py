@@ -52,7 +52,7 @@ def daily_complete(spark, d):
 @query(f"""WITH {HOURLY}, b AS (SELECT ilon, ilat, CAST(FLOOR((ROW_NUMBER() OVER (PARTITION BY ilon, ilat ORDER BY ts) - 1) / 24) AS BIGINT) AS block, tp FROM hourly)
     SELECT ilon, ilat, block, {r('MAX(tp)')} AS tp FROM b GROUP BY ilon, ilat, block HAVING COUNT(*) = 24""")
 def block_max(spark, d):
-    return resample.block_aggregate(views.hourly(spark, d), F.max("tp"), 24, "ts", "tp", ["ilon", "ilat"])
+    return resample.block_aggregate(views.hourly(spark, d), F.max("tp"), 24, "ts", "tp", ["ilon", "ilat"], partial="drop")
 
 
 @query(f"WITH {GRID} SELECT CAST(FLOOR(ilon / 3) AS BIGINT) AS ilon, CAST(FLOOR(ilat / 3) AS BIGINT) AS ilat, time, {r('AVG(t2m)')} AS t2m FROM grid GROUP BY 1, 2, 3")

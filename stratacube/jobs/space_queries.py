@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from stratacube.functions.columns import area_weight
 from stratacube.jobs.declare import registrar
-from stratacube.jobs.event_queries import labelled
+from stratacube.jobs.event_queries import labels
 from stratacube.jobs.sql import EVENT, GRID, MASK, REF, components as components_sql, r
 from stratacube.operators import stats, subset
 from stratacube.sources import views
@@ -52,10 +52,9 @@ def point_lookup(spark, d):
 
 
 def _in_boxes(cube, spark, d):
-    """Rows of the cube inside a documented event's days and boxes; the event list is one row per nation, so it is broadcast."""
+    """Rows of the cube inside a documented event's days and boxes."""
     boxes = subset.split_boxes(views.ref_events(spark, d)).select("obs_event", "start", "end", "south", "north", "lon_from", "lon_to")
-    inside = F.col("time").between(F.col("start"), F.col("end")) & F.col("lat").between(F.col("south"), F.col("north")) & F.col("lon").between(F.col("lon_from"), F.col("lon_to"))
-    return cube.join(F.broadcast(boxes), inside)
+    return subset.in_boxes(cube, boxes)
 
 
 _INSIDE = "time BETWEEN start_ AND end_ AND lat BETWEEN south AND north AND lon BETWEEN lon_from AND lon_to"
@@ -69,7 +68,7 @@ def event_range_join(spark, d):
 @query(f"""WITH RECURSIVE {components_sql(True)}, {REF}, s AS (SELECT label, MIN(time) AS start_time, MAX(time) AS end_time, COUNT(*) AS n FROM voxel GROUP BY label)
     SELECT * FROM s WHERE label IN (SELECT label FROM voxel JOIN boxes ON {_INSIDE})""")
 def event_semi_join(spark, d):
-    v = labelled(spark, d)
+    v = labels(spark, d)
     s = v.groupBy("label").agg(F.min("time").alias("start_time"), F.max("time").alias("end_time"), F.count("*").alias("n"))
     return s.join(_in_boxes(v, spark, d).select("label").distinct(), "label", "left_semi")
 
@@ -77,9 +76,9 @@ def event_semi_join(spark, d):
 @query(f"""WITH RECURSIVE {components_sql(True)}, {REF}, s AS (SELECT label, MIN(time) AS a, MAX(time) AS b FROM voxel GROUP BY label)
     SELECT obs_event, label, a AS start_time, b AS end_time FROM s JOIN ref ON a <= end_ AND b >= start_""")
 def interval_overlap(spark, d):
-    s = labelled(spark, d).groupBy("label").agg(F.min("time").alias("start_time"), F.max("time").alias("end_time"))
-    e = views.ref_events(spark, d).select("obs_event", "start", "end")
-    return s.join(F.broadcast(e), (F.col("start_time") <= F.col("end")) & (F.col("end_time") >= F.col("start"))).select("obs_event", "label", "start_time", "end_time")
+    s = labels(spark, d).groupBy("label").agg(F.min("time").alias("a0"), F.max("time").alias("a1"))
+    e = views.ref_events(spark, d).select("obs_event", F.col("start").alias("b0"), F.col("end").alias("b1"))
+    return subset.overlapping(s, e).select("obs_event", "label", F.col("a0").alias("start_time"), F.col("a1").alias("end_time"))
 
 
 _W = "COS(RADIANS(lat))"

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from stratacube.functions.columns import area_weight, wmean
 from stratacube.jobs.declare import registrar
-from stratacube.jobs.event_queries import labelled
+from stratacube.jobs.event_queries import labels
 from stratacube.jobs.sql import EVENT, GRID, MASK, RANKS, YEARS, components as components_sql, r
-from stratacube.operators import stats, trends
+from stratacube.operators import stats, subset, trends
 from stratacube.sources import views
 
 QUERIES: dict = {}
@@ -28,7 +28,7 @@ def _voxels(spark, d):
 
     code = event_code([F.col(c) for c in ("rt", "rd30", "rd90", "rd180")], 0.1)
     layers = views.grid_ranks(spark, d).select("ilon", "ilat", "time", "rt", "rd30", "rd90", "rd180", code.alias("event"))
-    return labelled(spark, d).join(layers, ["ilon", "ilat", "time"]).join(views.mask(spark, d), ["ilon", "ilat"])
+    return labels(spark, d).join(layers, ["ilon", "ilat", "time"]).join(views.mask(spark, d), ["ilon", "ilat"])
 
 
 _BOUNDS = "MIN(time) AS start_time, MAX(time) AS end_time, MIN(lon) AS longitude_min, MAX(lon) AS longitude_max, MIN(lat) AS latitude_min, MAX(lat) AS latitude_max"
@@ -70,20 +70,55 @@ def event_intensity(spark, d):
 @query(f"""WITH RECURSIVE {components_sql(True)} SELECT label, {_BOUNDS}, {_mean('t2mmax')} AS t2mmax_mean, {r('MIN(t2mmax)')} AS t2mmax_min, {r('MAX(t2mmax)')} AS t2mmax_max,
     {r(f'SUM({W})')} AS volume, CAST(MAX(time) - MIN(time) + 1 AS INT) AS duration, {r(f'SUM({W}) / (MAX(time) - MIN(time) + 2)')} AS area FROM voxel GROUP BY label""")
 def tair_stats(spark, d):
-    return stats.derive(stats.event_statistics(labelled(spark, d), ["t2mmax"], code=None, land=None), "plus_two")
+    return stats.derive(stats.event_statistics(labels(spark, d), ["t2mmax"], code=None, land=None), "plus_two")
 
 
 @query(f"""WITH RECURSIVE {components_sql(True)} SELECT label, {_BOUNDS}, COUNT(*) AS n, {r(f'SUM({W})')} AS volume, CAST(MAX(time) - MIN(time) AS INT) AS duration,
     {r(f'SUM({W}) / (MAX(time) - MIN(time) + 1)')} AS area FROM voxel GROUP BY label""")
 def label_count(spark, d):
-    v = labelled(spark, d)
+    v = labels(spark, d)
     s = v.groupBy("label").agg(*stats.bounds(), F.count("*").alias("n"), F.sum(area_weight(F.col("lat"))).alias("volume"))
     return stats.derive(s, "exclusive")
 
 
+_SIZES_SQL = f"size AS (SELECT label, SUM(round_even({W} * 1e9, 0)) AS volume FROM voxel GROUP BY label)"
+_FLUX = {"gpp": "tp * 1e3", "nee": "pet - t2m / 100", "ter": "t2mmin / 10"}
+
+
+@query(f"""WITH RECURSIVE {components_sql(True)}, flux AS (SELECT ilon, ilat, time, lat AS la, {', '.join(f'{e} AS {n}' for n, e in _FLUX.items())} FROM grid)
+    SELECT label, {', '.join(f"{r(f'SUM({n} * COS(RADIANS(la))) / SUM(COS(RADIANS(la)))')} AS {n}_mean, {r(f'MIN({n})')} AS {n}_min, {r(f'MAX({n})')} AS {n}_max" for n in _FLUX)}
+    FROM voxel JOIN flux USING (ilon, ilat, time) GROUP BY label""")
+def flux_stats(spark, d):
+    """Mean and range of three fluxes in each event; the fluxes stand in from the grid's own layers."""
+    flux = views.grid_daily(spark, d).select("ilon", "ilat", "time", *(F.expr(e).alias(n) for n, e in _FLUX.items()))
+    s = stats.event_statistics(labels(spark, d).join(flux, ["ilon", "ilat", "time"]), list(_FLUX), code=None, land=None)
+    return s.select("label", *(f"{n}_{k}" for n in _FLUX for k in ("mean", "min", "max")))
+
+
+@query(f"""WITH {GRID}, m AS (SELECT CAST(YEAR(time) AS INT) AS year, AVG(t2m) AS t2m, VAR_SAMP(t2m) AS t2mv, AVG(tp) AS tp, VAR_SAMP(tp) AS tpv, AVG(pet) AS pet FROM grid GROUP BY 1)
+    SELECT year, 't2m' AS variable, 'mean' AS stat, {r('t2m - 273.15')} AS value FROM m UNION ALL SELECT year, 't2m', 'var', {r('t2mv')} FROM m UNION ALL SELECT year, 'tp', 'mean', {r('tp * 1e3')} FROM m
+    UNION ALL SELECT year, 'tp', 'var', {r('tpv * 1e6')} FROM m UNION ALL SELECT year, 'pet', 'mean', {r('pet')} FROM m""")
+def unit_rules(spark, d):
+    """Yearly means and variances in the units of reports."""
+    kinds = {"t2m mean": F.avg("t2m"), "t2m var": F.var_samp("t2m"), "tp mean": F.avg("tp"), "tp var": F.var_samp("tp"), "pet mean": F.avg("pet")}
+    wide = views.grid_daily(spark, d).groupBy(F.year("time").alias("year")).agg(*(c.alias(n) for n, c in kinds.items()))
+    long = wide.unpivot("year", list(kinds), "what", "value").select("year", F.split("what", " ")[0].alias("variable"), F.split("what", " ")[1].alias("stat"), "value")
+    return stats.unit_rules(long)
+
+
+@query(f"""WITH RECURSIVE {components_sql(True)}, {_SIZES_SQL}, listed AS (SELECT label, ROW_NUMBER() OVER (ORDER BY volume DESC, label) AS i FROM size)
+    SELECT ilon, ilat, time, label, CAST(i AS DOUBLE) AS colour FROM voxel LEFT JOIN (SELECT * FROM listed WHERE i <= 10) USING (label)""")
+def label_index(spark, d):
+    """Days of events with the colour index of their label, for the ten largest; the others have none."""
+    v = labels(spark, d).select("ilon", "ilat", "lat", "time", "label")
+    size = v.groupBy("label").agg(F.sum(F.rint(area_weight(F.col("lat")) * 1e9)).alias("volume"))
+    listed = size.orderBy(F.desc("volume"), "label").limit(10).select("label", F.row_number().over(Window.orderBy(F.desc("volume"), "label")).alias("i"))  # ten rows
+    return subset.index_in(v, listed, "label", "colour").drop("lat")
+
+
 @query(f"""WITH RECURSIVE {components_sql(True)} SELECT ilon, ilat, CAST(YEAR(time) AS INT) AS year, MAX(label) AS label FROM voxel GROUP BY 1, 2, 3""")
 def annual_max_label(spark, d):
-    return labelled(spark, d).groupBy("ilon", "ilat", F.year("time").alias("year")).agg(F.max("label").alias("label"))
+    return labels(spark, d).groupBy("ilon", "ilat", F.year("time").alias("year")).agg(F.max("label").alias("label"))
 
 
 _TOP = f"size AS (SELECT label, SUM(round_even({W} * 1e9, 0)) AS volume, MAX(time) - MIN(time) AS days FROM voxel GROUP BY label)"
@@ -94,7 +129,7 @@ _TOP = f"size AS (SELECT label, SUM(round_even({W} * 1e9, 0)) AS volume, MAX(tim
     SELECT ilon, ilat, CAST(COALESCE(11 - b, 0) AS INT) AS largest, CAST(COALESCE(11 - l, 0) AS INT) AS longest FROM hit""")
 def largest_longest_idx(spark, d):
     """Index of the ten largest and ten longest events in each cell that has any event (a top-ten report)."""
-    v = labelled(spark, d).select("ilon", "ilat", "lat", "time", "label")
+    v = labels(spark, d).select("ilon", "ilat", "lat", "time", "label")
     size = v.groupBy("label").agg(F.sum(F.rint(area_weight(F.col("lat")) * 1e9)).alias("volume"), F.datediff(F.max("time"), F.min("time")).alias("days"))
     out = None
     for name, by in (("largest", "volume"), ("longest", "days")):
@@ -220,14 +255,16 @@ def theil_sen(spark, d):
     return trends.theil_sen(_years(spark, d), "year", "y", ["cell"])
 
 
-_ERF = "1 - (t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))) * EXP(-z * z / 2)"
+# the tails of the normal distribution by Simpson's rule on its density, independent of the operator's series and fractions
+_TAILS = """tails AS (SELECT cell, 1 - 2 * SUM(CASE WHEN k = 0 OR k = 2000 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * EXP(-(z * k / 2000) * (z * k / 2000) / 2)) * MAX(ABS(z)) / 6000 / SQRT(2 * PI()) AS p
+    FROM z, UNNEST(RANGE(2001)) AS u(k) GROUP BY cell)"""
 
 
 @query(f"""WITH {_SERIES}, s AS (SELECT cell, SUM(SIGN(y2 - y1)) AS s FROM pair WHERE x1 < x2 GROUP BY cell), n AS (SELECT cell, COUNT(*) AS n FROM series GROUP BY cell),
-    z AS (SELECT cell, s, n, CASE WHEN s >= 0 THEN s - 1 ELSE s + 1 END / SQRT(n * (n - 1) * (2 * n + 5) / 18.0) AS z FROM s JOIN n USING (cell)), t AS (SELECT *, 1 / (1 + 0.3275911 * ABS(z) / SQRT(2.0)) AS t FROM z),
+    z AS (SELECT cell, s, n, CASE WHEN s >= 0 THEN s - 1 ELSE s + 1 END / SQRT(n * (n - 1) * (2 * n + 5) / 18.0) AS z FROM s JOIN n USING (cell)), {_TAILS},
     i AS (SELECT cell, ANY_VALUE(slope) AS slope, quantile_cont(rest, 0.5) AS intercept FROM rest GROUP BY cell)
-    SELECT cell, n, CAST(s AS DOUBLE) AS s, {r('z')} AS z, {r(f'2 * (1 - (1 + ({_ERF})) / 2)')} AS p_value, {r('s / (0.5 * n * (n - 1))')} AS tau, ABS(z) > 1.959963984540054 AS reject, {r('slope')} AS slope, {r('intercept')} AS intercept
-    FROM t JOIN i USING (cell)""")
+    SELECT cell, n, CAST(s AS DOUBLE) AS s, {r('z')} AS z, {r('p')} AS p_value, {r('s / (0.5 * n * (n - 1))')} AS tau, ABS(z) > 1.959963984540054 AS reject, {r('slope')} AS slope, {r('intercept')} AS intercept
+    FROM z JOIN tails USING (cell) JOIN i USING (cell)""")
 def mann_kendall(spark, d):
     return trends.mann_kendall(_years(spark, d), "year", "y", ["cell"])
 
@@ -245,6 +282,18 @@ def quantile_regression(spark, d):
     return trends.quantile_regression(points, "year", "v", ["cont"], [0.1, 0.5, 0.9])
 
 
+@query(f"""WITH {GRID}, {MASK}, p AS (SELECT cont, CAST(YEAR(time) AS DOUBLE) AS x, ilon, ilat, LOG10(SUM(tp) * 1e3) AS y FROM grid JOIN mask USING (ilon, ilat) WHERE cont IS NOT NULL GROUP BY 1, 2, 3, 4),
+    lines AS (SELECT a.cont, a.x * 100 + a.ilon * 10 + a.ilat AS i, b.x * 100 + b.ilon * 10 + b.ilat AS j, (b.y - a.y) / (b.x - a.x) AS slope, a.y - (b.y - a.y) / (b.x - a.x) * a.x AS icept FROM p a JOIN p b ON a.cont = b.cont AND a.x < b.x),
+    rest AS (SELECT l.cont, i, j, quantile, p.y - slope * p.x - icept AS r FROM lines l JOIN p ON l.cont = p.cont, (VALUES (CAST(0.1 AS DOUBLE)), (CAST(0.5 AS DOUBLE)), (CAST(0.9 AS DOUBLE))) q(quantile)),
+    loss AS (SELECT cont, quantile, i, j, SUM(CASE WHEN r >= 0 THEN quantile * r ELSE (quantile - 1) * r END) AS loss FROM rest GROUP BY 1, 2, 3, 4)
+    SELECT cont, quantile, {r('MIN(loss)')} AS loss FROM loss GROUP BY 1, 2""")
+def quantile_regression_loss(spark, d):
+    """Loss of the lines of log10 rain against year through the cells of each continent; the SQL tries every line through two points."""
+    rows = views.grid_daily(spark, d).join(views.mask(spark, d), ["ilon", "ilat"]).where(F.col("cont").isNotNull())
+    points = rows.groupBy("cont", F.year("time").cast("double").alias("x"), "ilon", "ilat").agg(F.log10(F.sum("tp") * 1e3).alias("y"))
+    return trends.pinball_loss(points, trends.quantile_regression(points, "x", "y", ["cont"], [0.1, 0.5, 0.9]), "x", "y", ["cont"])
+
+
 @query(f"""WITH {GRID}, old AS (SELECT 'old' AS version, CAST(YEAR(time) AS INT) AS year, t2mmax AS v FROM grid WHERE YEAR(time) < 1998), new AS (SELECT 'common', CAST(YEAR(time) AS INT), t2m FROM grid WHERE YEAR(time) >= 1998),
     u AS (SELECT * FROM old UNION ALL SELECT * FROM new), y AS (SELECT version, year, AVG(v) AS v FROM u GROUP BY 1, 2)
     SELECT version, COUNT(*) AS years, {r('REGR_SLOPE(v, year)')} AS slope FROM y GROUP BY version""")

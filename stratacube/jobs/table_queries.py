@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from stratacube.functions.columns import area_weight
 from stratacube.jobs.declare import registrar
-from stratacube.jobs.event_queries import labelled
-from stratacube.jobs.sql import EVENT, GRID, HOURLY, components as components_sql, r
+from stratacube.jobs.event_queries import labels
+from stratacube.jobs.sql import EVENT, GRID, HOURLY, REF, components as components_sql, r
 from stratacube.operators import events
 from stratacube.operators.windows import share_of_total as with_share
 from stratacube.sources import checks, readers, views
@@ -40,6 +40,52 @@ def calendar_gaps(spark, d):
     return checks.missing_months(views.grid_daily(spark, d), ["ilon", "ilat"], 1995, 2001)
 
 
+@query(f"""WITH {GRID}, m AS (SELECT date_trunc('month', time)::DATE AS month, COUNT(DISTINCT time) AS steps, COUNT(DISTINCT ilon) AS lons, COUNT(DISTINCT ilat) AS lats FROM grid GROUP BY 1)
+    SELECT month, steps, lons, lats, steps = DAY(LAST_DAY(month)) AND lons = 5 AND lats = 5 AS complete FROM m""")
+def grid_shape_check(spark, d):
+    return checks.grid_shape(views.grid_daily(spark, d), views.NLON, views.NLAT)
+
+
+@query("""WITH m AS (SELECT DISTINCT strftime(l_shipdate, '%m.%Y') AS tail FROM lineitem), f AS (SELECT 't2m.hh.' || tail || '.parquet' AS path, tail FROM m UNION ALL SELECT 't2m.hh.back_extension.' || tail || '.parquet', tail FROM m
+      UNION ALL SELECT 't2m.dd.' || tail || '.parquet', tail FROM m WHERE tail LIKE '02.%')
+    SELECT CAST(substring(tail, 4, 4) AS INT) AS year, CAST(substring(tail, 1, 2) AS INT) AS month, MIN(path) AS path, COUNT(*) AS files, COUNT(*) = 1 AS "unique" FROM f WHERE path NOT LIKE '%back_extension%' GROUP BY 1, 2""")
+def month_files(spark, d):
+    """The file of each month among the names of a store that also holds backward extensions, and February files of another step."""
+    tail = views.table(spark, d, "lineitem").select(F.date_format("l_shipdate", "MM.yyyy").alias("tail")).distinct()
+    name = lambda kind: F.concat(F.lit(kind), "tail", F.lit(".parquet")).alias("path")
+    names = tail.select(name("t2m.hh.")).union(tail.select(name("t2m.hh.back_extension."))).union(tail.where("tail LIKE '02.%'").select(name("t2m.dd.")))
+    return readers.one_file_per_month(names)
+
+
+@query(f"WITH {REF} SELECT obs_event, start_ AS start, end_ AS \"end\", {r('west')} AS west, {r('north')} AS north FROM ref")
+def event_list_csv(spark, d):
+    """The list of documented events written as text with two lines before its header and dates like 2003.08.01, and read back."""
+    from stratacube.sources.workspace import Workspace
+
+    ws = Workspace(spark, "lists")
+    day = lambda c: F.date_format(c, "yyyy.MM.dd")
+    line = views.ref_events(spark, d).select(F.concat_ws(",", "obs_event", day("start"), day("end"), F.col("west").cast("string"), F.col("north").cast("string")).alias("value"))
+    head = F.array(F.lit("documented events"), F.lit("one row per nation"), F.lit("obs_event,start,end,west,north"))
+    whole = line.agg(F.concat_ws("\n", F.concat(head, F.array_sort(F.collect_list("value")))).alias("value"))  # one short file of one row per nation
+    whole.write.mode("overwrite").text(f"{ws.path}/events")
+    return readers.read_event_list(spark, f"{ws.path}/events", "obs_event int, start date, end date, west double, north double", preamble=2)
+
+
+@query(f"WITH {GRID} SELECT ilon, ilat, time, {r('t2m')} AS t2m, {r('CASE WHEN YEAR(time) = 1998 THEN tp * 1e3 + 1 ELSE tp * 1e3 END')} AS rain FROM grid")
+def layer_and_year_update(spark, d):
+    """A layer joined to a stored cube, then one year of the store overwritten."""
+    from stratacube.sources import writers
+    from stratacube.sources.workspace import Workspace
+
+    ws = Workspace(spark, "layers")
+    cube = views.grid_daily(spark, d)
+    writers.write_cube(cube.select("ilon", "ilat", "time", "t2m"), f"{ws.path}/cube")
+    writers.add_layer(spark, cube.select("ilon", "ilat", "time", (F.col("tp") * 1e3).alias("rain")), f"{ws.path}/cube", f"{ws.path}/wide")
+    wide = readers.read_cube(spark, f"{ws.path}/wide").drop("year")
+    writers.replace_years(wide.where("year(time) = 1998").withColumn("rain", F.col("rain") + 1).transform(ws.save, "fresh"), f"{ws.path}/wide")
+    return readers.read_cube(spark, f"{ws.path}/wide").select("ilon", "ilat", "time", "t2m", "rain")
+
+
 @query(f"WITH {GRID} SELECT ilon, ilat, time, {r('t2m')} AS t2m FROM grid")
 def multi_part_scan(spark, d):
     """The cube written by year with time appended in two goes, and read back as one."""
@@ -67,7 +113,7 @@ _SIZE = f"size AS (SELECT label, SUM(round_even({W} * 1e9, 0)) / 1e9 AS volume,
 
 def _sizes(spark, d):
     w = F.rint(area_weight(F.col("lat")) * 1e9)
-    return labelled(spark, d).groupBy("label").agg((F.sum(w) / 1e9).alias("volume"), (F.datediff(F.max("time"), F.min("time")) + 1).alias("duration"), F.min("time").alias("start_time"))
+    return labels(spark, d).groupBy("label").agg((F.sum(w) / 1e9).alias("volume"), (F.datediff(F.max("time"), F.min("time")) + 1).alias("duration"), F.min("time").alias("start_time"))
 
 
 @query(f"WITH RECURSIVE {components_sql(True)}, {_SIZE} SELECT label, {r('volume')} AS volume, CAST(duration AS INT) AS duration FROM size ORDER BY volume DESC, label LIMIT 10")
@@ -114,7 +160,7 @@ def drop_missing(spark, d):
     SELECT ilon, ilat, time, CASE WHEN label IN (SELECT label FROM long) THEN label ELSE 0 END AS label FROM voxel""")
 def sublabels(spark, d):
     """Labels of events of ten days and more; all others become 0."""
-    v = labelled(spark, d)
+    v = labels(spark, d)
     long = v.groupBy("label").agg(F.datediff(F.max("time"), F.min("time")).alias("days")).where("days >= 9").select("label", F.lit(1).alias("hit"))
     return v.join(long, "label", "left").select("ilon", "ilat", "time", F.when(F.col("hit") == 1, F.col("label")).otherwise(0).alias("label"))
 
@@ -124,17 +170,19 @@ _NAMES = "(VALUES (1, 'Africa'), (2, 'Asia'), (3, 'Australia'), (4, 'North Ameri
 CONTINENTS = {1: "Africa", 2: "Asia", 3: "Australia", 4: "North America", 5: "Oceania", 6: "South America", 7: "Antarctica", 8: "Europe"}
 
 
-@query(f"SELECT n_nationkey, name AS continent FROM nation LEFT JOIN {_NAMES} ON n_regionkey + 1 = cont AND n_nationkey <> 24")
+@query(f"SELECT c_custkey, name AS continent FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN {_NAMES} ON n_regionkey + 1 = cont AND n_nationkey <> 24")
 def continent_names(spark, d):
     m = views.table(spark, d, "nation").select("n_nationkey", F.when(F.col("n_nationkey") != 24, F.col("n_regionkey") + 1).alias("cont"))
     names = F.create_map(*(F.lit(x) for pair in CONTINENTS.items() for x in pair))
-    return m.select("n_nationkey", names[F.col("cont").cast("int")].alias("continent"))
+    customers = views.table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey"))
+    return customers.join(m, "n_nationkey").select("c_custkey", names[F.col("cont").cast("int")].alias("continent"))
 
 
-@query("""SELECT n_nationkey, replace(n_name, '_', '-') AS name, concat_ws('.', CAST(n_regionkey AS VARCHAR), n_name) AS key, upper(substring(n_name, 1, 3)) AS short FROM nation""")
+@query("""SELECT c_custkey, replace(c_name, '#', '-') AS name, concat_ws('.', CAST(n_regionkey AS VARCHAR), n_name, c_name) AS key, upper(substring(c_mktsegment, 1, 3)) AS short FROM customer JOIN nation ON c_nationkey = n_nationkey""")
 def string_keys(spark, d):
-    n = views.table(spark, d, "nation")
-    return n.select("n_nationkey", F.regexp_replace("n_name", "_", "-").alias("name"), F.concat_ws(".", F.col("n_regionkey").cast("string"), "n_name").alias("key"), F.upper(F.substring("n_name", 1, 3)).alias("short"))
+    n = views.table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey", "n_name")
+    c = views.table(spark, d, "customer").join(n, "c_nationkey")
+    return c.select("c_custkey", F.regexp_replace("c_name", "#", "-").alias("name"), F.concat_ws(".", F.col("n_regionkey").cast("string"), "n_name", "c_name").alias("key"), F.upper(F.substring("c_mktsegment", 1, 3)).alias("short"))
 
 
 @query(f"""WITH {HOURLY} SELECT ilon, ilat, CAST(ts AS DATE) AS time, {r('SUM(tp)')} AS tp, CAST(SUM(n) AS BIGINT) AS n FROM hourly GROUP BY ilon, ilat, CAST(ts AS DATE)""")
