@@ -2,10 +2,13 @@
 
 import datetime
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from stratacube.functions.columns import erfc
 from stratacube.operators import components, events, neighbours, quantiles, resample, stats, subset, trends, windows
 from stratacube.operators.graph import connected_components
 from stratacube.sources import readers, writers
@@ -85,7 +88,28 @@ def test_quantile_regression_minimises_the_loss(spark):
         fit = trends.quantile_regression(df, "x", "y", ["g"], [q]).first()
         loss = lambda s, i, q=q: sum((q if y >= s * x + i else q - 1) * (y - s * x - i) for _, x, y in pts)
         best = loss(fit.slope, fit.intercept)
-        assert all(best <= loss(fit.slope + ds, fit.intercept + di) + 1e-3 * best for ds in (-0.02, 0, 0.02) for di in (-0.2, 0, 0.2))
+        assert all(best <= loss(fit.slope + ds, fit.intercept + di) + 1e-9 * best for ds in (-0.02, 0, 0.02) for di in (-0.2, 0, 0.2))
+
+
+def test_quantile_lines_against_all_lines_through_two_points():
+    rng = random.Random(7)
+    for k in range(60):
+        n = rng.randint(3, 25)
+        xs = np.array([float(rng.randint(0, 8) if k % 2 else rng.random()) for _ in range(n)])
+        ys = np.array([float(rng.randint(0, 5) if k % 3 == 0 else rng.gauss(0, 1)) for _ in range(n)])
+        if len(set(xs)) < 2:
+            continue
+        for q in (0.05, 0.5, 0.8):
+            loss = lambda s, c, q=q: float(np.where((r := ys - s * xs - c) >= 0, q * r, (q - 1) * r).sum())
+            best = min(loss(s, ys[i] - s * xs[i]) for i in range(n) for j in range(n) if xs[i] != xs[j] for s in [(ys[j] - ys[i]) / (xs[j] - xs[i])])
+            assert loss(*trends._quantile_line(xs, ys, q)) <= best + 1e-9
+
+
+def test_erfc_is_right_in_its_own_size(spark):
+    xs = [0.0, 1e-9, 0.1, 0.5, 1.0, 2.0, 2.4999, 2.5, 3.0, 5.0, 8.0, 20.0]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    for r in df.select("x", erfc(F.col("x")).alias("p")).collect():
+        assert r.p == pytest.approx(math.erfc(r.x), rel=1e-10)
 
 
 def test_longitudes_and_boxes(spark):
@@ -127,6 +151,70 @@ def test_diamond_and_opening(spark):
     assert [(r.ilon, r.ilat) for r in neighbours.diamond_filter(cross, 5).collect()] == [(2, 2)]
 
 
+def test_neighbourhoods_in_space_and_time(spark):
+    assert len(neighbours.diamond(3, 3, 3)) == 7 and len(neighbours.diamond(3, 3, 5)) == 21 and len(neighbours.diamond(5)) == 13
+    assert neighbours.box(3, 3)[:4] == [(-1, -1), (0, -1), (1, -1), (-1, 0)]
+    with pytest.raises(ValueError):
+        neighbours.box(2)
+    cross = spark.createDataFrame([(2 + dx, 2 + dy, day(5 + dt)) for dx, dy, dt in neighbours.diamond(3, 3, 3)] + [(0, 0, day(5))], "ilon int, ilat int, time date")
+    assert neighbours.opening(cross, (3, 3, 3)).count() == 7
+    assert [(r.ilon, r.ilat, r.time) for r in neighbours.diamond_filter(cross, 7, (3, 3, 3)).collect()] == [(2, 2, day(5))]
+    # a block in the corner of the grid at the start of the period stands when what lies outside does not count
+    corner = spark.createDataFrame([(x, y, day(t)) for x in (0, 1) for y in (0, 1) for t in (0, 1)], "ilon int, ilat int, time date")
+    period = spark.createDataFrame([(day(0), day(9))], "first date, last date")
+    assert neighbours.opening(corner, (3, 3, 3)).count() == 0
+    assert neighbours.opening_clipped(corner, (3, 3, 3), 5, period, None, 4).count() == 4
+    runs = spark.createDataFrame([(x, 0, day(t)) for x, n in ((0, 4), (1, 2), (3, 5)) for t in range(n)], "ilon int, ilat int, time date")
+    assert sorted((r.ilon, r.time) for r in neighbours.diamond_run_filter(runs, 2, 4, period).collect()) == [(0, day(0)), (0, day(1))]
+
+
+def test_box_mode_takes_the_value_that_is_complete_first(spark):
+    cube = spark.createDataFrame([(x, 0, day(t), v) for x, t, v in ((0, 0, 7), (1, 0, 7), (0, 1, 5), (1, 1, 5))], "ilon int, ilat int, time date, v int")
+    got = {(r.ilon, r.time): (r.v, r["mode"]) for r in neighbours.box_mode(cube, "v", (3, 3, 3)).collect()}
+    assert got[0, day(0)] == (7, 7) and got[1, day(1)] == (5, 7)
+    masked = neighbours.box_mode(cube, "v", (3, 3, 3), mask=F.col("v") == 5)
+    assert sorted(r["mode"] for r in masked.collect()) == [0, 0, 7, 7]
+
+
+def test_runs_of_years_meet_once(spark):
+    long = [(0, 0, day(t), 0) for t in range(500)] + [(1, 0, day(t), 1) for t in range(100, 420)] + [(3, 0, day(t), 2) for t in range(3)]
+    days = spark.createDataFrame(long, "ilon int, ilat int, time date, k int")
+    _, edges = components.run_graph(days, 9, 9, False, "2001-01-01")
+    assert edges.count() == 1
+    assert {(r.k, r.label) for r in components.label_components(days, 9, 9, wrap=False).select("k", "label").distinct().collect()} == {(0, 1), (1, 1), (2, 2)}
+
+
+def test_violations_fail_the_job(spark):
+    df = spark.createDataFrame([(1, i, float(i)) for i in range(7)], "g int, i int, v double")
+    assert resample.block_aggregate(df, F.max("v"), 3, "i", "v", ["g"], partial="drop").count() == 2
+    with pytest.raises(Exception, match="no multiple of 3"):
+        resample.block_aggregate(df, F.max("v"), 3, "i", "v", ["g"]).collect()
+    areas = spark.createDataFrame([(1, 5.0, 1.0, 1.0, 1.0, 3.0)], "label int, heat double, drought30 double, drought90 double, drought180 double, compound double")
+    assert stats.checked_types(areas, "label").count() == 1 and stats.checked_types(areas, "label").first().compound == 3.0
+    with pytest.raises(Exception, match="compound exceeds its parts in event 1"):
+        stats.checked_types(areas.withColumn("compound", F.lit(3.5)), "label").collect()
+
+
+def test_reports_and_metadata(spark, tmp_path):
+    table = spark.createDataFrame([("a_b", 1.234, 5), ("c", None, 6)], "name string, mean_value double, n int")
+    writers.write_csv(table, f"file://{tmp_path}/out")
+    assert sorted(spark.read.csv(f"file://{tmp_path}/out", header=True).collect()) == [("a_b", "1.234", "5"), ("c", None, "6")]
+    assert writers.latex_table(table).split("\n") == [r"\begin{tabular}{rrr}", r"name & mean\_value & n \\ \hline", r"a\_b & 1.23 & 5 \\", r"c &  & 6 \\", r"\end{tabular}"]
+    named = writers.with_metadata(writers.with_metadata(table, "n", units="1"), "n", long_name="number")
+    assert named.schema["n"].metadata == {"units": "1", "long_name": "number"}
+
+
+def test_stored_tables_follow_their_sources(spark, tmp_path):
+    from stratacube.sources.workspace import stored
+
+    path = f"file://{tmp_path}/source"
+    spark.range(3).write.parquet(path)
+    build = lambda: spark.read.parquet(path)
+    assert stored(spark, "t", [build()], build).count() == 3 and stored(spark, "t", [build()], lambda: 1 / 0).count() == 3
+    spark.range(5).write.mode("append").parquet(path)
+    assert stored(spark, "t", [build()], build).count() == 8
+
+
 def test_event_code_missing_and_bits(spark):
     df = spark.createDataFrame([(0.005, 0.5), (0.5, 0.5), (None, 0.005), (0.05, 0.95)], "a double, b double")
     got = [r.e for r in df.select(events.event_code([F.col("a"), F.col("b")], 0.01, 0.1).alias("e")).collect()]

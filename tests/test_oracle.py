@@ -41,5 +41,5 @@ def test_query_matches_sql(spark, data, name):
             assert abs(x - y) <= 2e-6 if isinstance(x, float) and isinstance(y, (int, float)) else x == y, (a, b)
 
 
-def test_registry_has_sql_for_all_but_the_iterative():
+def test_registry_has_sql_for_all_but_one_regression():
     assert set(registry.QUERIES) - set(registry.ORACLE_SQL) == {"quantile_regression"}
