@@ -68,29 +68,39 @@ def stretches(data: np.ndarray, offs: np.ndarray, min_bytes: int):
     return np.searchsorted(offs, start, side="right") - 1, start, width, at - start, gram[at], context
 
 
-def suffix_order(text: np.ndarray, reach: int) -> np.ndarray:
-    """Ranks of all suffixes of ``text`` by their first ``reach`` bytes, by prefix doubling; equal ones share a rank."""
-    n = len(text)
-    wide = np.zeros(n + 8, dtype=np.uint64)
-    wide[:n] = text
-    key = np.zeros(n, dtype=np.uint64)
-    for j in range(4):
-        key = (key << np.uint64(8)) | wide[j : j + n]
-    rank, have = _ranks(key), 4
-    while have < reach:
-        step = min(have, reach - have)
-        nxt = np.zeros(n, dtype=np.uint64)
-        nxt[: n - step] = rank[step:] + np.uint64(1)
-        rank, have = _ranks((rank << np.uint64(32)) | nxt), have + step
-    return rank
-
-
-def _ranks(key: np.ndarray) -> np.ndarray:
-    order = np.argsort(key)
-    s = key[order]
-    rank = np.empty(len(key), dtype=np.uint64)
-    rank[order] = np.cumsum(np.r_[False, s[1:] != s[:-1]]).astype(np.uint64)
-    return rank
+def suffix_order(text: np.ndarray, at: np.ndarray, place: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes of ``text`` at ``at`` in the order of their first ``reach`` bytes, then of ``place``; and where in it other bytes begin.
+
+    Eight bytes a round, and in each round only the suffixes of groups that these bytes tell apart; most suffixes here
+    share long prefixes.
+    """
+    eights = np.lib.stride_tricks.sliding_window_view(np.r_[text, np.zeros(reach + 16, np.uint8)], 8)
+    order = np.arange(len(at))
+    head = np.zeros(len(at) + 1, dtype=bool)
+    head[0] = head[-1] = True
+    act = order.copy()
+    for k in range(0, reach, 8):
+        if len(act) < 2:
+            break
+        key = np.ascontiguousarray(eights[at[order[act]] + k]).view(">u8").ravel().astype(np.uint64)
+        if reach - k < 8:
+            key >>= np.uint64(8 * (8 - reach + k))
+        start = np.flatnonzero(head[act])
+        group = np.cumsum(head[act]) - 1
+        apart = key != key[start][group]
+        if not apart.any():
+            continue
+        some = np.logical_or.reduceat(apart, start)[group]
+        sub, key, group = act[some], key[some], group[some]
+        by = np.lexsort((key, group))
+        order[sub] = order[sub[by]]
+        key = key[by]
+        head[sub[1:]] |= key[1:] != key[:-1]
+        alone = head[:-1] & head[1:]
+        act = act[~alone[act]]
+    if len(act):
+        order[act] = order[act[np.lexsort((place[order[act]], np.cumsum(head[act])))]]
+    return order, head[:-1]
 
 
 def common_prefixes(prefix: np.ndarray, one: np.ndarray, two: np.ndarray, reach: int) -> np.ndarray:
@@ -119,27 +129,30 @@ def smaller_before(place: np.ndarray) -> np.ndarray:
     return at
 
 
-def longest_previous_factors(text: np.ndarray, at: np.ndarray, place: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """For the suffixes of ``text`` at ``at``, which stand at ``place`` in the corpus: longest previous and longest other factor, up to ``reach`` bytes.
+def longest_previous_factors(text: np.ndarray, at: np.ndarray, place: np.ndarray, reach: int, any_other: bool = False) -> np.ndarray:
+    """For the suffixes of ``text`` at ``at``, which stand at ``place`` in the corpus: longest previous factor, up to ``reach`` bytes.
 
     In suffix order the earlier suffix that shares most with one is the nearest before it or after it with a smaller
-    place; the one that shares most of all is a neighbour.
+    place.  With ``any_other`` later suffixes count too: then the one that shares most is a neighbour.
     """
-    rank = suffix_order(text, reach)[at]
-    order = np.lexsort((place, rank))
-    prefix, start, seat = tb.prefix_hash(text), at[order], place[order]
+    order, head = suffix_order(text, at, place, reach)
+    prefix, start, seat, group = tb.prefix_hash(text), at[order], place[order], np.cumsum(head)
     n = len(order)
-    before, after = smaller_before(seat), n - 1 - smaller_before(seat[::-1])[::-1]
-    shared = np.zeros(n + 1, dtype=np.int64)  # with the neighbour before
-    if n > 1:
-        shared[1:n] = common_prefixes(prefix, start[:-1], start[1:], reach)
+    here = np.arange(n)
+    if any_other:
+        around = (here - 1, here + 1)
+    else:
+        around = (smaller_before(seat), n - 1 - smaller_before(seat[::-1])[::-1])
     factor = np.zeros(n, dtype=np.int64)
-    for other in (before, after):
+    for other in around:
         some = np.flatnonzero((other >= 0) & (other < n))
+        same = group[some] == group[other[some]]
+        factor[some[same]] = np.minimum(reach, len(text) - np.maximum(start[some[same]], start[other[some[same]]]))
+        some = some[~same]
         factor[some] = np.maximum(factor[some], common_prefixes(prefix, start[some], start[other[some]], reach))
-    previous, any_ = np.empty(n, np.int64), np.empty(n, np.int64)
-    previous[order], any_[order] = factor, np.maximum(shared[:n], shared[1:])
-    return previous, any_
+    out = np.empty(n, np.int64)
+    out[order] = factor
+    return out
 
 
 def _cells_in_order(min_bytes: int, keep_first: bool):
@@ -157,8 +170,7 @@ def _cells_in_order(min_bytes: int, keep_first: bool):
         by = np.lexsort((np.array(starts), np.array(khs), np.array([-(2**63) if x is None else x for x in ids])))
         seat = np.empty(len(wins), dtype=np.int64)
         seat[by] = np.arange(len(wins))
-        previous, other = longest_previous_factors(text, base[cell] + nth, seat[cell] * CELL + nth, min_bytes)
-        hit = (previous if keep_first else other) >= min_bytes
+        hit = longest_previous_factors(text, base[cell] + nth, seat[cell] * CELL + nth, min_bytes, any_other=not keep_first) >= min_bytes
         flag = np.zeros(len(hit) + 1, dtype=bool)
         flag[:-1] = hit
         fresh = flag[:-1] & np.r_[True, ~hit[:-1] | (cell[1:] != cell[:-1])]

@@ -81,12 +81,13 @@ def test_suffix_dedup_within_one_text_and_periods(spark):
 def test_suffix_array_orders_suffixes():
     text = np.frombuffer(b"banana bandana banana", dtype=np.uint8)
     raw = text.tobytes()
-    for reach in (5, 9, 21):
-        rank = suffix_dedup.suffix_order(text, reach)
-        keys = [raw[i : i + reach] for i in range(len(raw))]
-        for i in range(len(raw)):
-            for j in range(len(raw)):
-                assert (rank[i] < rank[j]) == (keys[i] < keys[j])
+    at = np.arange(len(raw))
+    place = at[::-1].copy()
+    for reach in (5, 8, 9, 21):
+        order, head = suffix_dedup.suffix_order(text, at, place, reach)
+        keys = [raw[i : i + reach].ljust(reach, b"\0") for i in order.tolist()]
+        assert [(k, place[i]) for k, i in zip(keys, order)] == sorted((k, place[i]) for k, i in zip(keys, order))
+        assert head.tolist() == [i == 0 or keys[i] != keys[i - 1] for i in range(len(keys))]
 
 
 def test_longest_previous_factors_by_brute_force():
@@ -103,7 +104,8 @@ def test_longest_previous_factors_by_brute_force():
                 k += 1
             return k
 
-        previous, other = suffix_dedup.longest_previous_factors(text, at, place, reach)
+        previous = suffix_dedup.longest_previous_factors(text, at, place, reach)
+        other = suffix_dedup.longest_previous_factors(text, at, place, reach, any_other=True)
         for i in range(90):
             all_ = [(place[j] < place[i], share(at[i], at[j])) for j in range(90) if j != i]
             assert previous[i] == max([k for earlier, k in all_ if earlier], default=0)
