@@ -1,9 +1,13 @@
-"""Main text of web pages by two-pass block rules."""
+"""Main text of web pages by two-pass block rules: stop words, length and links first, then the nearest decided neighbours.
+
+The stop words are those of English, French, German and Spanish; text of other languages is told by length, links and place.
+"""
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,7 +15,7 @@ from pyspark.sql import functions as F
 
 from stratacube.llm import textbuf as tb
 
-# Frequent function words of four languages.
+#: Frequent function words of four languages.
 STOP_WORDS = frozenset(
     """a about after all also an and are as at be been but by can could for from had has have he her his how i if in into is it its
     more no not of on one or our she so some that the their them then there they this to was we were what when which who will with would you
@@ -22,7 +26,7 @@ STOP_WORDS = frozenset(
     al como con cual de del desde donde el ella en entre era es esta este está fue ha hay la las lo los más me mi muy no nos o para pero por
     porque que se ser si sin sobre son su sus también un una y ya""".split()
 )
-# Elements whose text is never article text, elements that end a block, and words that mark page furniture in class, id or role.
+#: Elements whose text is never article text, elements that end a block, and words that mark page furniture in class, id or role.
 OUTSIDE = frozenset("nav footer aside form menu dialog button select option datalist noscript template svg canvas object iframe audio video head".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -37,8 +41,9 @@ FURNITURE = re.compile(
     r"related|recommend\w*|shar(?:e|ing)|social|tags|copyright|legal|skip|contentinfo|complementary|navigation)(?=$|[\s_-])",
     re.I,
 )
-# Names of the element that holds the article on pages without an article or main element.
+#: Names of the element that holds the article on pages without an article or main element.
 HOLDS_ARTICLE = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|main|page)?[_-]?(?:content|article|story|body-?text|main)(?=$|[\s_-])", re.I)
+BARRIERS = frozenset(("article", "main", "body", "html"))
 _ARTICLE_TAG = re.compile(r"<(?:article|main)[\s>]", re.I)
 _ATTRS = re.compile(r"""[^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*>""")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
@@ -70,6 +75,8 @@ def blocks(page: str, marked: bool = True) -> list[tuple[str, float, bool, int]]
     """
     out: list[tuple[str, float, bool, int]] = []
     stack: list[tuple[str, bool, int]] = []
+    open_tags: Counter = Counter()  # of the whole stack
+    within: list[Counter] = [Counter()]  # of the stack above each of the elements that paragraphs and items cannot close
     words: list[str] = []
     linked: list[str] = []
     in_link = articles = breaks = 0
@@ -87,6 +94,21 @@ def blocks(page: str, marked: bool = True) -> list[tuple[str, float, bool, int]]
             words.clear()
             linked.clear()
 
+    def push(tag: str, outside: bool, article: int):
+        stack.append((tag, outside, article))
+        open_tags[tag] += 1
+        within[-1][tag] += 1
+        if tag in BARRIERS:
+            within.append(Counter())
+
+    def pop() -> str:
+        tag = stack.pop()[0]
+        if tag in BARRIERS:
+            within.pop()
+        open_tags[tag] -= 1
+        within[-1][tag] -= 1
+        return tag
+
     def text(piece: str):
         nonlocal breaks
         words.append(piece)
@@ -147,21 +169,18 @@ def blocks(page: str, marked: bool = True) -> list[tuple[str, float, bool, int]]
         end_block()
         if stack and not closing and stack[-1][0] in ("p", "li") and tag in (stack[-1][0], "p"):
             if stack[-1][0] == "p" or tag == "li":
-                stack.pop()  # its end tag was left out
+                pop()  # its end tag was left out
         named, hidden, holds = _marks(attributes) if attributes and not closing else (False, False, False)
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
-                if stack[k][0] in ("article", "main", "body", "html") and tag not in HOLDERS:
-                    break
+            if (open_tags if tag in HOLDERS else within[-1])[tag] > 0:
+                while pop() != tag:
+                    pass
             continue
         outside, article = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
         if tag not in HOLDERS:
             in_link = 0 if tag in ("p", "li", "td") else in_link
             if named or hidden:
-                stack.append((tag, True, article))
+                push(tag, True, article)
             continue
         if attributes.rstrip().endswith("/") and tag not in ("div", "section", "article", "main"):
             continue
@@ -172,7 +191,7 @@ def blocks(page: str, marked: bool = True) -> list[tuple[str, float, bool, int]]
             named = named and marked and tag == "article"
         root = tag in ("html", "body")
         outside = outside or hidden and not root or named and not root or tag in OUTSIDE or tag == "header" and not article
-        stack.append((tag, outside, article))
+        push(tag, outside, article)
     end_block()
     return out
 
@@ -199,14 +218,21 @@ def classify(found: list[tuple[str, float, bool, int]]) -> list[bool]:
             labels.append(False)
         else:
             labels.append(None)
+    # the nearest decided block before and after each, of the same part; furniture inside an article says nothing about its text
+    nearest: list[list[int | None]] = [[None] * len(found), [None] * len(found)]
+    for side, order in zip(nearest, (range(len(found)), range(len(found) - 1, -1, -1))):
+        last: dict[int, int] = {}
+        for i in order:
+            _, _, outside, article = found[i]
+            if labels[i] is None:
+                side[i] = last.get(article)
+            elif not (article and outside):
+                last[article] = i
     out = [bool(x) for x in labels]
     for i, label in enumerate(labels):
         if label is not None:
             continue
-        article = found[i][3]
-        same = lambda j: found[j][3] == article and not (article and found[j][2])  # noqa: E731  furniture inside an article says nothing about its text
-        before = next((j for j in range(i - 1, -1, -1) if labels[j] is not None and same(j)), None)
-        after = next((j for j in range(i + 1, len(labels)) if labels[j] is not None and same(j)), None)
+        article, before, after = found[i][3], nearest[0][i], nearest[1][i]
         if before is None and after is None or some_article and not article and (before is None or after is None):
             out[i] = bool(article)
         elif before is None or after is None:
