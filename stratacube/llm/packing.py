@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
 
 import numpy as np
@@ -26,7 +27,8 @@ class Encoder:
     """ids of whole texts by a byte-level BPE file, each distinct piece of text encoded once.
 
     The pre-tokenizer always starts a token at a space that is followed by a visible character and always gives
-    such a line feed a token of its own, so texts may be cut there and the pieces encoded apart.
+    such a line feed a token of its own, so texts may be cut there and the pieces encoded apart.  The strings of
+    special tokens are found before that, as the plain tokenizer does; blanks before one end their text.
     """
 
     def __init__(self, path: str):
@@ -34,7 +36,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        special = self.tokenizer.get_added_tokens_decoder().values()
+        if any(t.lstrip or t.rstrip or t.single_word for t in special):
+            raise ValueError("special tokens that take in their surroundings are not supported")
+        self.special = re.compile(b"|".join(re.escape(t.content.encode()) for t in sorted(special, key=lambda t: -len(t.content)))) if special else None
         self._forget()
 
     def _forget(self):
@@ -60,9 +65,16 @@ class Encoder:
         visible = ~tb.IS_SPACE[data]
         visible &= (data != 0xC2) & ((data < 0xE1) | (data > 0xE3)) & (data > 0x20)  # lead bytes of wide blanks, control separators
         cut = np.zeros(n + 1, dtype=bool)
+        visible[offs[:-1][offs[:-1] < n]] = False  # a row's last blank is followed by nothing
         follows = np.flatnonzero(((data[:-1] == 0x20) | (data[:-1] == 0x0A)) & visible[1:])
         cut[follows] = True
         cut[follows[data[follows] == 0x0A] + 1] = True
+        if self.special and self.special.search(raw := data.tobytes()):
+            found = [m.span() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True) for m in self.special.finditer(raw, a, b)]
+            for a, b in found:
+                cut[max(0, a - 1) : b] = False
+            for a, b in found:
+                cut[[a, b]] = True
         cut[offs] = True
         cut[n] = False
         start = np.flatnonzero(cut)
