@@ -2,11 +2,14 @@
 
 Pieces hold blanks only at their front and never a line feed, so a text falls apart into segments, a run of blanks
 and the word after it, whose lattices are independent.  A slice of rows builds the lattice of each distinct segment
-once and then samples all of its places together.
+once.  A position that no piece spans is on every path, so segments are cut there once more, and the parts are filtered
+and sampled all together; long parts, of texts without blanks, are followed one by one.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,6 +18,10 @@ from pyspark.sql import functions as F
 from stratacube.llm import textbuf as tb
 
 _META = b"\xe2\x96\x81"
+#: Bytes of a part of a segment beyond which it is followed by itself.
+DEEP = 64
+#: Scores below this stand for pieces that the model was given, not for what it has learnt.
+GIVEN = -1e6
 
 
 class Pieces:
@@ -24,7 +31,7 @@ class Pieces:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        raw, rank = [], []
+        raw, score = [], []
         self.byte_id = np.zeros(256, dtype=np.int64)
         by_length: dict[int, list[int]] = {}
         for i in range(model.vocab_size()):
@@ -38,12 +45,19 @@ class Pieces:
                 raw.append(model.id_to_piece(i).encode().replace(_META, b" "))
                 if raw[-1] and b"\n" not in raw[-1]:
                     by_length.setdefault(len(raw[-1]), []).append(i)
-            rank.append(i)
+            score.append(model.get_score(i) if raw[-1] and not model.is_byte(i) else -np.inf)
         self.length = np.array([len(r) for r in raw])
+        self.most = int(self.length.max())
         self.start = np.cumsum(self.length) - self.length
         self.bytes = np.frombuffer(b"".join(raw), dtype=np.uint8)
-        # the model orders pieces by merge rank; by Zipf's law a piece of rank r weighs 1 / r
-        self.weight = -alpha * np.log(np.array(rank) + 2.0)
+        # a merge model scores a piece by its negative rank, and by Zipf's law a piece of rank r weighs 1 / r; other
+        # models score by log probability; given pieces and bytes weigh less than any other
+        score = np.array(score)
+        learnt = score > GIVEN
+        if (score[learnt] == np.round(score[learnt])).all():
+            score[learnt] = -np.log(1.0 - np.minimum(score[learnt], 0.0))
+        score[~learnt] = score[learnt].min(initial=0.0) - 1.0
+        self.weight = alpha * score
         self.tables = []
         self.maybe = np.zeros(1 << 20, dtype=bool)  # by hash: whether some piece may be meant
         self.longest = np.full(1 << 24, 2, dtype=np.uint8)  # by first three bytes: the longest piece that begins so
@@ -94,15 +108,15 @@ class Pieces:
         q = np.flatnonzero(bare)
         return np.r_[a, q], np.r_[b, q + 1], np.r_[p, self.byte_id[x[q]]]
 
-    def filter_forward(self, starts: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray, base: np.ndarray, size: int) -> np.ndarray:
-        """log of the summed weights of all paths from a segment's start to each position; edges sorted by (depth, to)."""
+    def filter_forward(self, a: np.ndarray, b: np.ndarray, w: np.ndarray, base: np.ndarray, size: int) -> np.ndarray:
+        """log of the summed weights of all paths from a part's start to each position; edges sorted by (depth, to)."""
         alpha = np.full(size + 1, -np.inf)
         depth = b - base
         level = np.flatnonzero(np.r_[True, depth[1:] != depth[:-1]]) if len(depth) else []
-        reach = np.full(size + 1, -np.inf)  # alpha by position as a target; positions that begin a segment count as 0
-        begin = np.zeros(size + 1, dtype=bool)
-        begin[starts] = True
+        reach = np.full(size + 1, -np.inf)  # alpha by position as a target; where a part begins it counts as 0
         for i, s in enumerate(level):
+            if depth[s] > DEEP:
+                break
             e = level[i + 1] if i + 1 < len(level) else len(b)
             from_start = a[s:e] == base[s:e]
             v = np.where(from_start, 0.0, reach[a[s:e]]) + w[s:e]
@@ -112,6 +126,15 @@ class Pieces:
             total = np.add.reduceat(np.exp(v - np.repeat(np.where(np.isfinite(top), top, 0.0), np.diff(np.r_[cut, len(t)]))), cut)
             with np.errstate(divide="ignore"):
                 reach[t[cut]] = np.where(np.isfinite(top), top + np.log(total), -np.inf)
+        rest = int(np.searchsorted(depth, DEEP, side="right"))
+        known: dict[int, float] = {}
+        for source, target, weight, first in zip(a[rest:].tolist(), b[rest:].tolist(), w[rest:].tolist(), base[rest:].tolist()):
+            v = weight + (0.0 if source == first else known[source] if source in known else float(reach[source]))
+            before = known.get(target, -math.inf)
+            top = max(v, before)
+            known[target] = top + math.log(math.exp(v - top) + math.exp(before - top)) if top > -math.inf else top
+        if known:
+            reach[list(known)] = list(known.values())
         alpha[:] = reach
         return alpha
 
@@ -141,8 +164,25 @@ def segments(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return x, np.flatnonzero(cut[:-1]), bounds
 
 
-def _uniform(key: np.ndarray, step: int) -> np.ndarray:
-    h = tb.mix(key + np.uint64((step + 1) * 0xD1B54A32D192ED03 % 2**64))
+def _draw_alone(key: int, end: int, origin: int, first_edge: np.ndarray, within: np.ndarray, a: np.ndarray, first: int) -> list[int]:
+    """The edges of one long part from its end back to its start, by the draws that ``_uniform`` gives; ``first`` is the step of the first."""
+    steps = np.arange(first, first + end - origin, dtype=np.uint64)
+    draws = _uniform(np.uint64(key), steps)
+    out, at = [], end
+    for u in draws:
+        edge = int(first_edge[at])
+        while u >= within[edge]:
+            edge += 1
+        out.append(edge)
+        at = int(a[edge])
+        if at == origin:
+            break
+    return out
+
+
+def _uniform(key: np.ndarray, step: int | np.ndarray) -> np.ndarray:
+    turn = np.uint64((step + 1) * 0xD1B54A32D192ED03 % 2**64) if isinstance(step, int) else (step + np.uint64(1)) * np.uint64(0xD1B54A32D192ED03)
+    h = tb.mix(key + turn)
     return (h >> np.uint64(11)).astype(np.float64) / 2.0**53
 
 
@@ -164,11 +204,21 @@ def sample_slice(model: Pieces, data: np.ndarray, offs: np.ndarray, keys: np.nda
     real_end = np.repeat(u_start + length, length + 1)
     inside = (b <= real_end[a]) & (a < real_end[a])
     a, b, p = a[inside], b[inside], p[inside]
-    base = np.repeat(u_start, length + 1)[a]
+    # parts: segments cut at the positions that no edge spans
+    spans = np.cumsum(np.bincount(a + 1, minlength=size + 2) - np.bincount(b, minlength=size + 2))[:size]
+    opens = spans == 0
+    opens[u_start + length] = False
+    opens[u_start] = True
+    part_start = np.flatnonzero(opens)
+    part_of = np.cumsum(opens) - 1
+    part_end = np.minimum(np.r_[part_start[1:], size], real_end[part_start])
+    base = part_start[part_of[a]]
+    if model.most >= 64:
+        raise ValueError("pieces of 64 bytes and more are not supported")
     order = np.argsort(((b - base) << 40) | (b << 6) | (b - a))  # pieces are shorter than 64 bytes
     a, b, p, base = a[order], b[order], p[order], base[order]
     w = model.weight[p]
-    alpha = model.filter_forward(u_start, a, b, w, base, size)
+    alpha = model.filter_forward(a, b, w, base, size)
     before = np.where(a == base, 0.0, alpha[a])
     ok = np.isfinite(before) & np.isfinite(alpha[b])
     a, b, p, w, before = a[ok], b[ok], p[ok], w[ok], before[ok]
@@ -183,16 +233,20 @@ def sample_slice(model: Pieces, data: np.ndarray, offs: np.ndarray, keys: np.nda
     within -= np.repeat(within[node_first] - share[node_first], np.diff(np.r_[node_first, len(b)]))
     last_of = np.r_[node_first[1:], len(b)] - 1
     within[last_of] = 2.0  # the last edge takes what rounding leaves
-    row = np.searchsorted(bounds, start, side="right") - 1
-    seq = np.arange(len(start)) - np.searchsorted(start, bounds[:-1])[row]
+    # the places of the parts, in the order of the text
+    parts = np.diff(np.r_[part_of[u_start], len(part_start)])[back]
+    before_seg = np.r_[0, np.cumsum(parts)]
+    place = np.repeat(part_of[u_start][back] - before_seg[:-1], parts) + np.arange(before_seg[-1])
+    at, origin = part_end[place], part_start[place]
+    row = np.repeat(np.searchsorted(bounds, start, side="right") - 1, parts)
+    row_first = before_seg[np.searchsorted(start, bounds)]
+    seq = np.arange(len(place)) - row_first[row]
     mixed = tb.mix(keys)[row] + seq.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    at = (u_start + length)[back]
-    origin = u_start[back]
-    live = np.arange(len(start))
+    deep = at - origin > DEEP
+    live = np.flatnonzero(~deep)
     steps: list[tuple[np.ndarray, np.ndarray]] = []
-    count = np.zeros(len(start), dtype=np.int64)
-    logp = np.zeros(len(start))
-    logp -= alpha[at]
+    count = np.zeros(len(place), dtype=np.int64)
+    logp = -alpha[at]
     while len(live):
         edge = first_edge[at[live]]
         u = _uniform(mixed[live], len(steps))
@@ -205,12 +259,18 @@ def sample_slice(model: Pieces, data: np.ndarray, offs: np.ndarray, keys: np.nda
         logp[live] += w[edge]
         at[live] = a[edge]
         live = live[at[live] != origin[live]]
+    alone = {}
+    for i in np.flatnonzero(deep).tolist():
+        edges = _draw_alone(int(mixed[i]), int(at[i]), int(origin[i]), first_edge, within, a, 0)
+        alone[i], count[i] = p[edges[::-1]], len(edges)
+        logp[i] += w[edges].sum()
     out_start = np.cumsum(count) - count
     ids = np.empty(int(count.sum()), dtype=np.int32)
     for k, (who, what) in enumerate(steps):
         ids[out_start[who] + count[who] - 1 - k] = what
-    seg_of_row = np.searchsorted(start, bounds)
-    row_start = np.r_[out_start, len(ids)][seg_of_row]
+    for i, what in alone.items():
+        ids[out_start[i] : out_start[i] + len(what)] = what
+    row_start = np.r_[out_start, len(ids)][row_first]
     return ids, row_start, np.bincount(row, logp, minlength=rows)
 
 
