@@ -19,8 +19,6 @@ from stratacube.sources.workspace import Workspace
 
 #: Text bytes of one block.
 BLOCK_BYTES = 12 << 20
-#: A word is a state, and an n-gram an arc, only with at least this share of all training tokens; at 0 all are.
-STATE_SHARE, ARC_SHARE = 0.0, 0.0
 #: Count taken from each arc for backing off, and what is added to each unigram count.
 DISCOUNT, ADDED = 0.75, 0.1
 END = np.uint64(0x5DEECE66D1CE4E5B)
@@ -47,6 +45,18 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
+def _sorted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the keys in which equal ones are neighbours and that is the keys' own, and the keys in it."""
+    bits = np.uint64(max(1, len(key).bit_length()))
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    by = (np.sort((key & ~low) | np.arange(len(key), dtype=np.uint64)) & low).astype(np.int64)  # far faster than argsort
+    s = key[by]
+    if (s[1:] < s[:-1]).any():  # keys that differ in their lowest bits only
+        by = np.argsort(key, kind="stable")
+        s = key[by]
+    return by, s
+
+
 class Automaton:
     """The automaton in one piece, for counts that fit in memory; ``Counts.walk`` is the same for a block's part of it.
 
@@ -60,6 +70,8 @@ class Automaton:
 
     def __init__(self, words: np.ndarray, word_counts: np.ndarray, total: int, distinct: int, bits: np.int64 = _BITS):
         self.bits = bits
+        if len(words) >= 1 << int(bits):
+            raise ValueError(f"more than {1 << int(bits)} words do not fit the keys of the arcs")
         order = np.argsort(words)
         self.words, self.word_counts = words[order], word_counts[order].astype(np.float64)
         self.total, self.norm = total, total + ADDED * (distinct + 1)
@@ -161,15 +173,24 @@ def _ranges(keys: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted(((keys >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32), np.arange(n + 1, dtype=np.uint64))
 
 
+def _with_next(key: np.ndarray, h: np.ndarray, on: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Hashes of the n-grams ``key[on]``, which end at ``place[on]``, with the token after each; in parts that stay in the cache."""
+    out = np.empty(len(on), np.uint64)
+    for a in range(0, len(on), 1 << 15):
+        part = on[a : a + (1 << 15)]
+        out[a : a + len(part)] = tb.mix(key[part] * _PREV + h[place[part] + 1])
+    return out
+
+
 class Block:
     """Tokens of a block's rows, and for orders 1 to 3 (index 0 to 2) its distinct n-grams by hash.
 
     ``at`` is the n-gram that ends at each token (-1: the row has not that many before it), ``keys`` the sorted
-    hashes, ``count`` the occurrences in training rows, ``last`` the n-gram's last word, ``context``
-    and ``tail`` the n-grams without its last and its first word.
+    hashes, ``count`` the occurrences in training rows, ``context`` and ``tail`` the n-grams without its last and its
+    first word.  Only what is in ``want`` is made.
     """
 
-    def __init__(self, text: pa.ChunkedArray, held: np.ndarray):
+    def __init__(self, text: pa.ChunkedArray, held: np.ndarray, want: tuple[str, ...] = ("count", "at", "context", "tail")):
         text = text.combine_chunks()
         text = text.combine_chunks() if isinstance(text, pa.ChunkedArray) else text
         parts, lengths = [], []
@@ -181,27 +202,30 @@ class Block:
         self.bounds = np.r_[0, np.cumsum(lengths)]
         self.h = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
         fresh = np.repeat(held.astype(bool), lengths)
-        key, ok = self.h, np.ones(len(self.h), dtype=bool)
-        first = np.zeros(len(self.h), dtype=bool)
-        first[self.bounds[:-1]] = True
-        self.at, self.keys, self.count, self.last, self.context, self.tail = [], [], [], [], [], []
+        key, place = self.h, np.arange(len(self.h))
+        follows = np.ones(len(self.h), dtype=bool)  # the token has one before it in its row
+        follows[self.bounds[:-1]] = False
+        self.at, self.keys, self.count, self.context, self.tail = [], [], [], [None], [None]
         for order in range(3):
-            if order:
-                key = np.r_[np.uint64(0), tb.mix(key[:-1] * _PREV + self.h[1:])][: len(self.h)]
-                ok = np.r_[False, ok[:-1]][: len(self.h)] & ~first
-            place = np.flatnonzero(ok)
-            by = np.argsort(key[place])
-            s = key[place][by]
+            if order:  # the n-grams of one word less, each with the word after it in the same row
+                on = np.flatnonzero(np.r_[follows[1:], False][place])
+                key, place = _with_next(key, self.h, on, place), place[on] + 1
+            by, s = _sorted(key)
             new = np.r_[True, s[1:] != s[:-1]] if len(s) else np.zeros(0, bool)
-            at = np.full(len(self.h), -1, dtype=np.int64)
-            at[place[by]] = np.cumsum(new) - 1
-            one = place[by][new]
-            self.keys.append(s[new])
-            self.at.append(at)
-            self.count.append(np.bincount(at[ok & ~fresh], minlength=len(one)).astype(np.int64))
-            self.last.append(self.at[0][one])
-            self.context.append(self.at[order - 1][one - 1] if order else None)
-            self.tail.append(self.at[order - 1][one] if order else None)
+            start = np.flatnonzero(new)
+            self.keys.append(s[start])
+            if "count" in want:
+                plain = np.diff(np.r_[start, len(s)])
+                known = np.add.reduceat((~fresh)[place[by]].astype(np.int64), start) if fresh.any() and len(start) else plain
+                self.count.append(known)
+            if order and ("context" in want or "tail" in want):
+                one = place[by[start]]
+                self.context.append(self.at[order - 1][one - 1] if "context" in want else None)
+                self.tail.append(self.at[order - 1][one] if "tail" in want else None)
+            if "at" in want and (order < 2 or "tail" in want):
+                at = np.full(len(self.h), -1, dtype=np.int64)
+                at[place[by]] = np.cumsum(new) - 1
+                self.at.append(at)
 
     def rows(self, block: int, n: int, order: int, keys: np.ndarray, values: np.ndarray) -> list[tuple]:
         cut = _ranges(keys, n).tolist()
@@ -283,14 +307,12 @@ def _answers(back: pa.Table, n: int, kind=np.int64) -> np.ndarray:
 
 
 class Counts:
-    """Corpus counts of a block's n-grams, which of them are states and arcs, and what their arcs take."""
+    """Corpus counts of a block's n-grams, which of them training rows have, and what their arcs take."""
 
-    def __init__(self, own: Block, back: pa.Table, state_least: int, arc_least: int):
+    def __init__(self, own: Block, back: pa.Table):
         both = [_answers(back, n) for n in (1, 2, 3)]
         self.count, first, shared = [b >> 2 for b in both], [(b & 1).astype(bool) for b in both], [(b & 2).astype(bool) for b in both]
-        self.kept = [self.count[0] >= state_least]
-        for n in (1, 2):
-            self.kept.append((self.count[n] >= arc_least) & self.kept[n - 1][own.context[n]] & self.kept[0][own.last[n]])
+        self.kept = [c > 0 for c in self.count]
         #: Sums of this block's share of the arcs of each context, and the contexts that other blocks have too.
         self.taken, self.wider = [], shared[:2]
         for n in (1, 2):
@@ -303,7 +325,6 @@ class Counts:
 
     def walk(self, own: Block, norm: float) -> tuple[np.ndarray, np.ndarray]:
         """log10 probabilities of each token: unigram, and that of ``Automaton`` with all arcs, by number of the n-gram instead of key."""
-        word, pair, triple = self.kept
         low = np.log10((self.count[0] + ADDED) / norm)
         left, fail, arc = [], [], [low]
         for n in (1, 2):
@@ -313,8 +334,6 @@ class Counts:
             p = np.zeros(len(some))
             context, tail = own.context[n][some], own.tail[n][some]
             p[some] = np.log10((self.count[n][some] - DISCOUNT) / self.count[n - 1][context] + left[-1][context] * 10 ** arc[n - 1][tail])
-            if n == 2:  # an arc of a pair always has its pair of words among the arcs, for that is as frequent
-                assert pair[tail].all()
             arc.append(p)
         base = low[own.at[0]]
         out = base.copy()
@@ -325,7 +344,7 @@ class Counts:
         return base, out
 
 
-def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", state_share: float = STATE_SHARE, arc_share: float = ARC_SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per input row.
 
     Learns from rows where ``held_out`` is not true; scores all.  Tokens are the lower-cased (A-Z) words between
@@ -341,32 +360,31 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
     parts = n_blocks // 2 + 1
     texts = _packed(rows, n_blocks)
 
-    def open_(left: pa.Table) -> tuple[Block, pa.Table]:
+    def open_(left: pa.Table, *want: str) -> tuple[Block, pa.Table]:
         own = _rows(left)
-        return Block(own.column("text"), own.column("held_out").to_numpy()), own
+        return Block(own.column("text"), own.column("held_out").to_numpy(), want), own
 
     def gather(left: pa.Table) -> pa.Table:
-        own, block = open_(left)[0], left.column("block")[0].as_py()
+        own, block = open_(left, "count")[0], left.column("block")[0].as_py()
         return _table([r for n in range(3) for r in own.rows(block, parts, n + 1, own.keys[n], own.count[n])], _SENT)
 
     sent = texts.groupBy("block").applyInArrow(gather, SENT)
     counts = ws.save(sent.groupBy("n", "part").applyInArrow(_count, BACK), "counts")
     total, distinct = counts.where("n = 1").agg(F.coalesce(F.sum("mass"), F.lit(0)), F.coalesce(F.sum("own"), F.lit(0))).first()
-    least = [max(1, int(np.ceil(share * total))) for share in (state_share, arc_share)]
 
     def share(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left):
             return _table([], _SENT)
-        own, block = open_(left)[0], left.column("block")[0].as_py()
-        c = Counts(own, right, *least)
+        own, block = open_(left, "at", "context")[0], left.column("block")[0].as_py()
+        c = Counts(own, right)
         return _table([r for n in (0, 1) for r in own.rows(block, parts, -1 - n, own.keys[n][c.wider[n]], c.taken[n][c.wider[n]])], _SENT)
 
     shares = texts.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(share, SENT)
     masses = ws.save(shares.groupBy("n", "part").applyInArrow(_masses, BACK), "masses")
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        own, given = open_(left)
-        c = Counts(own, right, *least)
+        own, given = open_(left, "at", "context", "tail")
+        c = Counts(own, right)
         c.complete(right)
         low, full = c.walk(own, total + ADDED * (distinct + 1))
         known, at = (c.count[0][own.at[0]] > 0).astype(np.int64), own.bounds[:-1]
