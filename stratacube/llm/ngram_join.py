@@ -149,9 +149,9 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """Link documents whose distinct word shingles have Jaccard similarity >= num / den.
 
     Returns (id, n_shingles, component_id, class_id, component, text_hash), one row per input row; component_id is the
-    smallest id reachable by links, class_id is common to equal sets and component to linked classes (both null without
-    shingles), text_hash tells rows of one id apart.  Words are runs of non-blank bytes after lowering A-Z.  Null, empty and blank texts have no
-    shingles and link with nothing.  Repeated rows and equal sets are one class from the start, so a group of
+    smallest id reachable by links, class_id the smallest of an equal set, component is common to linked classes (both
+    null without shingles), text_hash tells rows of one id apart.  Words are runs of non-blank bytes after lowering A-Z.
+    Null, empty and blank texts have no shingles and link with nothing.  Repeated rows and equal sets are one class from the start, so a group of
     copies costs one row per class.  A row without id links like any other and names no component.  Only the named
     columns are read, whatever else the table holds.
 
@@ -255,9 +255,9 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ws.drop("open2")
 
     named = reps.select("cid", "rep").join(comp.select(F.col("id").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    by_class = named.join(named.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("cid", "component", "component_id")
+    by_class = named.join(named.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("cid", "rep", "component", "component_id")
     out = keys.join(by_class, "cid", "left")
-    return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.col("cid").alias("class_id"), "component", "text_hash")
+    return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.col("rep").alias("class_id"), "component", "text_hash")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:

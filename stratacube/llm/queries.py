@@ -56,8 +56,10 @@ def op7_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores to six decimals; sums in another order differ far below that."""
     held = language_id.fold("doc_id", 10) == 0
-    return lm_score.lm_scores(_table(spark, sf_dir, "documents"), held).withColumnRenamed("id", "doc_id")
+    out = lm_score.lm_scores(_table(spark, sf_dir, "documents"), held).withColumnRenamed("id", "doc_id")
+    return out.withColumns({c: F.rint(F.col(c) * 1e6) / 1e6 for c in ("base_score", "score")})
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,9 +83,43 @@ QUERIES = {
     "op10_license_scan": op10_license_scan,
 }
 
+_CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
 ORACLE_SQL = {
+    "op1_ngram_join": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_CAPITALS}', '{_SMALL}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        i AS (SELECT doc_id, len(w) AS words, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM w),
+        t AS (SELECT doc_id, words, w, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM i WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+        g AS (SELECT DISTINCT doc_id, w || ' ' || w2 || ' ' || w3 AS g FROM t WHERE w3 IS NOT NULL UNION SELECT doc_id, array_to_string(w, ' ') FROM w WHERE len(w) IN (1, 2)),
+        s AS (SELECT doc_id, count(*) AS n, string_agg(g, '|' ORDER BY g) AS whole FROM g GROUP BY doc_id),
+        n AS (SELECT w.doc_id, coalesce(n, 0) AS n, CASE WHEN n > 0 THEN min(w.doc_id) OVER (PARTITION BY whole) END AS class_id FROM w LEFT JOIN s USING (doc_id)),
+        k AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        l AS (SELECT x, y FROM k JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 90 * (a.n + b.n - k)),
+        e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+        reach AS (SELECT doc_id, doc_id AS far FROM n UNION SELECT r.doc_id, e.y FROM reach r JOIN e ON r.far = e.x)
+        SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, min(far) AS component_id, any_value(class_id) AS class_id FROM n JOIN reach USING (doc_id) GROUP BY n.doc_id, n.n""",
     "op9_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    "op8_lm_score": f"""
+        WITH RECURSIVE crc AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS s, 0 AS k, CAST(4294967295 AS BIGINT) AS c FROM documents
+          UNION ALL SELECT doc_id, s, k + 1, xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END)
+          FROM (SELECT doc_id, s, k, CASE WHEN k % 8 = 0 THEN xor(c, CAST(ascii(substring(s, k // 8 + 1, 1)) AS BIGINT)) ELSE c END AS x FROM crc WHERE k < 8 * length(s))),
+        fold AS (SELECT doc_id, xor(c, 4294967295) % 10 = 0 AS held_out FROM crc WHERE k = 8 * length(s)),
+        w AS (SELECT doc_id, list_append(regexp_extract_all(translate(coalesce(text, ''), '{_CAPITALS}', '{_SMALL}'), '[^\\x20\\x09-\\x0D]+'), '') AS w FROM documents),
+        i AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM w),
+        t AS (SELECT doc_id, held_out, w, lag(w, 1) OVER o AS b, lag(w, 2) OVER o AS a FROM i JOIN fold USING (doc_id) WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+        c1 AS (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY w),
+        c2 AS (SELECT b, w, count(*) AS c FROM t WHERE NOT held_out AND b IS NOT NULL GROUP BY b, w),
+        c3 AS (SELECT a, b, w, count(*) AS c FROM t WHERE NOT held_out AND a IS NOT NULL GROUP BY a, b, w),
+        k1 AS (SELECT b, sum(c) AS c, count(*) AS kinds FROM c2 GROUP BY b), k2 AS (SELECT a, b, sum(c) AS c, count(*) AS kinds FROM c3 GROUP BY a, b),
+        n AS (SELECT CAST(coalesce(sum(c), 0) AS BIGINT) AS total, count(*) AS v FROM c1),
+        p1 AS (SELECT t.*, coalesce(c1.c, 0) AS c, (coalesce(c1.c, 0) + 0.1) / (total + 0.1 * (v + 1)) AS p1, total FROM t CROSS JOIN n LEFT JOIN c1 ON t.w = c1.w),
+        p2 AS (SELECT p1.*, CASE WHEN k1.c IS NULL THEN p1 ELSE greatest(coalesce(c2.c, 0) - 0.75, 0) / k1.c + 0.75 * k1.kinds / k1.c * p1 END AS p2
+          FROM p1 LEFT JOIN k1 ON p1.b = k1.b LEFT JOIN c2 ON p1.b = c2.b AND p1.w = c2.w),
+        p3 AS (SELECT p2.*, CASE WHEN k2.c IS NULL THEN p2 ELSE greatest(coalesce(c3.c, 0) - 0.75, 0) / k2.c + 0.75 * k2.kinds / k2.c * p2 END AS p3
+          FROM p2 LEFT JOIN k2 ON p2.a = k2.a AND p2.b = k2.b LEFT JOIN c3 ON p2.a = c3.a AND p2.b = c3.b AND p2.w = c3.w)
+        SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (WHERE c > 0) AS n_known, total AS train_tokens,
+               round_even(sum(log10(p1)) * 1e6, 0) / 1e6 AS base_score, round_even(sum(log10(p3)) * 1e6, 0) / 1e6 AS score FROM p3 GROUP BY doc_id, held_out, total""",
 }
