@@ -28,11 +28,13 @@ def trigrams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     capital = np.flatnonzero((t[:-1] == 0xC3) & (t[1:] >= 0x80) & (t[1:] <= 0x9E) & (t[1:] != 0x97)) + 1
     t[capital] += 0x20
     a, b, c = t[:-2], t[1:-1], t[2:]
-    keep = np.flatnonzero(~((b == 32) & ((a == 32) | (c == 32))))
+    starts = offs[:-1] + np.arange(rows)  # where a row's leading blank stands
+    apart = (b == 32) & ((a == 32) | (c == 32))
+    apart[starts[1:] - 1] = True  # the end of one row and the start of the next
+    keep = np.flatnonzero(~apart)
     h = (a[keep].astype(np.uint32) * np.uint32(0x9E3779B1)) ^ (b[keep].astype(np.uint32) * np.uint32(0x85EBCA6B)) ^ (c[keep].astype(np.uint32) * np.uint32(0xC2B2AE35))
     h ^= h >> np.uint32(15)
     h *= np.uint32(0x2C1B3C6D)
-    starts = offs[:-1] + np.arange(rows)  # where a row's leading blank stands
     return (h >> np.uint32(17)).astype(np.int64), np.searchsorted(starts, keep, side="right") - 1
 
 

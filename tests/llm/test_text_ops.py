@@ -383,3 +383,89 @@ def test_piece_query_returns_the_pieces(spark, data):
     assert got.where("pieces IS NULL OR size(pieces) <> n_pieces OR xxhash64(pieces) <> pieces_hash").count() == 0
     back = piece_sampling.decode_pieces(got.select("doc_id", "pieces"), PIECES)
     assert got.join(back, "doc_id").where("sha2(text, 256) <> text_sha256").count() == 0
+
+
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_damaged_notices_against_all_places(spark):
+    """Labels and least errors against the edit distance of every stretch of whole words."""
+    import random
+
+    rng = random.Random(11)
+    short = [n for n in license_scan.NOTICES if len(n) < 50]
+    texts = []
+    for _ in range(50):
+        notice = list(rng.choice(short))
+        for _ in range(rng.randint(0, license_scan.errors_allowed("".join(notice)) + 1)):
+            k = rng.randrange(len(notice))
+            kind = rng.choice("sdi")
+            notice[k : k + (kind != "i")] = [] if kind == "d" else [rng.choice("abcdefgz")]
+        words = [rng.choice(["of", "the", "public", "licence", "general", "xq", "all"]) for _ in range(rng.randint(0, 8))]
+        at = rng.randint(0, len(words))
+        texts.append(" ".join([*words[:at], "".join(notice), *words[at:]]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.id: r for r in license_scan.scan_licenses(docs).collect()}
+    found = 0
+    for i, text in enumerate(texts):
+        flat = " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text))
+        starts = [m.start() for m in re.finditer(r"\b\w", flat)]
+        ends = [m.end() for m in re.finditer(r"\w\b", flat)]
+        want = {}
+        for notice in license_scan.NOTICES:
+            k = license_scan.errors_allowed(notice)
+            least = min((_edits(notice, flat[a:b]) for a in starts for b in ends if abs(b - a - len(notice)) <= k), default=k + 1)
+            if least <= k:
+                label = license_scan.NOTICES[notice]
+                want[label] = min(least, want.get(label, k))
+        labels = set(filter(None, got[i].labels.split(",")))
+        assert labels - set(filter(None, got[i].base_labels.split(","))) <= set(want) <= labels, (flat, want, got[i].labels)
+        for label, least in want.items():
+            assert min(x.errors for x in got[i].spans if x.label == label) == least, (flat, label)
+        found += len(want)
+    assert found > 20
+
+
+def test_languages_against_a_plain_count(spark):
+    """Counts, bit classifiers, weighted decoding and margins, all by hand from the texts."""
+    docs = spark.createDataFrame([(i, corpus.prose(i % 3, 12, 60).replace("e", "eEöÉ_ "[i % 3 * 2]), f"l{i % 3}") for i in range(30)] + [(90, "Éa 1b", "l0"), (91, None, "l1"), (92, "x", None)], "doc_id long, text string, lang string")
+
+    def features(text):
+        t = [32]
+        for b in text.encode():
+            c = b | 32 if 65 <= b <= 90 or 97 <= b <= 122 else b if b >= 128 else 32
+            t.append(c + 32 if t[-1] == 0xC3 and 0x80 <= c <= 0x9E and c != 0x97 else c)
+        t.append(32)
+        out = []
+        for a, b, c in zip(t, t[1:], t[2:]):
+            if not (b == 32 and (a == 32 or c == 32)):
+                h = (a * 0x9E3779B1 ^ b * 0x85EBCA6B ^ c * 0xC2B2AE35) % 2**32
+                h ^= h >> 15
+                out.append((h * 0x2C1B3C6D) % 2**32 >> 17)
+        return out
+
+    rows = docs.collect()
+    learn = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and r.lang and r.text is not None]
+    langs = sorted({r.lang for r in learn})
+    counts = {x: Counter(f for r in learn if r.lang == x for f in features(r.text)) for x in langs}
+    share = np.array([[counts[x][f] + 0.5 for f in range(language_id.FEATURES)] for x in langs])
+    share /= share.sum(axis=1, keepdims=True)
+    code = [b for b in itertools.product((-1, 1), repeat=len(langs)) if b[0] == 1 and -1 in b]
+    weights = [np.log(share[[k for k in range(len(langs)) if b[k] == 1]].mean(axis=0)) - np.log(share[[k for k in range(len(langs)) if b[k] == -1]].mean(axis=0)) for b in code]
+    scale = [max(1e-3, min(float(share[k] @ w) * b[k] for k in range(len(langs)))) for b, w in zip(code, weights)]
+    for r in language_id.identify(docs).collect():
+        text = next(x.text for x in rows if x.doc_id == r.id)
+        f = features(text or "")
+        if not f:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        margin = [max(-4.0, min(4.0, float(np.mean(w[f])) / s)) for w, s in zip(weights, scale)]
+        loss = sorted((sum(s * max(0.0, 1 - m * b[k]) for m, b, s in zip(margin, code, scale)) / sum(scale), langs[k]) for k in range(len(langs)))
+        assert r.lang_pred == loss[0][1] and r.score == pytest.approx((loss[1][0] - loss[0][0]) / (loss[1][0] + loss[0][0]), abs=1e-4)
+        assert r.held_out == (zlib.crc32(str(r.id).encode()) % 4 == 2)
