@@ -15,6 +15,8 @@ from stratacube.sources.workspace import Workspace
 
 #: Characters of the text that splitters hold; the driver's sample of them stays small however long texts are.
 SPLITTER_CHARS = 48
+#: Pieces of runs at the edges of partitions, a hundred bytes each, that are handed to every task; more of them are joined.
+MOST_PIECES = 1 << 17
 
 
 def _runs(batches):
@@ -65,8 +67,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     placed = placed.select("id", "text", F.sha2(F.encode("text", "UTF-8"), 256).alias("sha"), F.spark_partition_id().alias("part"))
     runs = ws.save(placed.mapInArrow(tb.frugal(_runs), "id long, sha string, run_id long, run_size long, edge boolean, is_last boolean, part int"), "runs")
     # at most two pieces of runs for each partition: small by construction, whatever the size of a group
-    pieces = runs.where("edge AND is_last").groupBy(F.col("sha").alias("piece_sha")).agg(F.sum("run_size").alias("all_size"), F.max_by("run_id", "part").alias("all_id"), F.max("part").alias("last_part"))
-    out = runs.join(F.broadcast(pieces), (F.col("sha") == F.col("piece_sha")) & F.col("edge"), "left")
+    pieces = ws.save(runs.where("edge AND is_last").groupBy(F.col("sha").alias("piece_sha")).agg(F.sum("run_size").alias("all_size"), F.max_by("run_id", "part").alias("all_id"), F.max("part").alias("last_part")), "pieces")
+    pieces = F.broadcast(pieces) if pieces.limit(MOST_PIECES + 1).count() <= MOST_PIECES else pieces
+    out = runs.join(pieces, (F.col("sha") == F.col("piece_sha")) & F.col("edge"), "left")
     return out.select(
         "id", F.when(F.col("last_part").isNotNull(), F.col("all_id")).otherwise(F.col("run_id")).alias("keep_id"),
         F.coalesce("all_size", "run_size").alias("group_size"), (F.col("is_last") & (F.col("part") == F.coalesce("last_part", "part"))).alias("kept"), F.col("sha").alias("text_sha256"),

@@ -151,7 +151,9 @@ def test_exact_groups_match_sql_and_odd_cases(spark):
     assert exact_dedup.exact_groups(corpus.none(spark)).count() == 0
 
 
-def test_a_group_over_many_partitions_is_one_group(spark):
+@pytest.mark.parametrize("most", [1 << 17, 0])
+def test_a_group_over_many_partitions_is_one_group(spark, monkeypatch, most):
+    monkeypatch.setattr(exact_dedup, "MOST_PIECES", most)  # pieces handed to every task, or joined
     docs = spark.range(4000).selectExpr("id AS doc_id", "if(id % 3 = 0, concat('own text ', id), 'the same text') AS text")
     got = exact_dedup.exact_groups(docs.repartition(16))
     assert got.where("kept").count() == 4000 - 2666 + 1
