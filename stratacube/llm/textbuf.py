@@ -12,8 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 SLICE_BYTES = 1 << 20
+#: Bytes of an Arrow batch between Spark and Python, and the setting with Spark's own value.
+BATCH_BYTES = 8 << 20
+_BATCH, _SPARKS_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864"
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _rng = np.random.Generator(np.random.PCG64(20240229))
 #: Odd multipliers of two independent polynomial hashes and a random value for each byte.
@@ -107,7 +111,14 @@ def _trim() -> None:
 
 
 def frugal(run):
-    """A partition function that gives freed memory back to the system at its end, so that idle workers stay small."""
+    """A partition function that gives freed memory back to the system at its end, so that idle workers stay small.
+
+    The session's Arrow batches, of 64 MB unless it says otherwise, are made small as well: a task holds one or two
+    outside the heap and Python as many.  A value that the user has set stays.
+    """
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.conf.get(_BATCH).rstrip("b") == _SPARKS_BATCH:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
 
     def wrapped(batches):
         try:
