@@ -156,7 +156,7 @@ _WX = f"""{GRID}, {MASK}, b AS (SELECT CAST(YEAR(time) AS INT) AS year, cont, t2
     {r('var * sw / NULLIF(CASE WHEN sw > 1 THEN sw - 1 ELSE 0 END, 0)')} AS var_frequency FROM v WHERE cont IS NOT NULL""")
 def weighted_mean_var(spark, d):
     rows = views.grid_daily(spark, d).join(views.mask(spark, d), ["ilon", "ilat"]).where(F.col("cont").isNotNull()).withColumn("year", F.year("time"))
-    return stats.weighted_variance(rows, "t2m", area_weight(F.col("lat")) * F.col("lsm"), ["year", "cont"])
+    return stats.weighted_variance(rows, "t2m", area_weight(F.col("lat")) * F.col("lsm"), ["year", "cont"], near=273.15)
 
 
 def _hist(by: str) -> str:

@@ -78,16 +78,17 @@ def mode_nonzero(rows: DataFrame, value: str, order: str, by: list[str]) -> Data
     return seen.withColumn("r", rank).where("r = 1").select(*by, F.col(value).alias("mode"))
 
 
-def weighted_variance(rows: DataFrame, value: str, weight: Column, by: list[str]) -> DataFrame:
+def weighted_variance(rows: DataFrame, value: str, weight: Column, by: list[str], near: float | None = None) -> DataFrame:
     """Weighted mean and the variance in its uncorrected, analytic and frequency-corrected forms; zero weights are ignored.
 
-    Built from three mergeable sums about a per-group shift (the group's smallest value), so that partial results
-    combine and large means do not cancel.
+    Built from three mergeable sums about a shift, so that partial results combine and large means do not cancel.  The
+    shift is ``near``, a value that the caller knows to be near the data, in one pass; without it the group's smallest
+    value, found by a pass of its own.
     """
     x = known(F.col(value).cast("double"))
     base = rows.select(*by, x.alias("x"), weight.alias("w")).where("x IS NOT NULL AND w > 0")
-    shift = base.groupBy(*by).agg(F.min("x").alias("x0"))
-    moved = base.join(shift, by).withColumn("d", F.col("x") - F.col("x0"))
+    shifted = base.withColumn("x0", F.lit(float(near))) if near is not None else base.join(base.groupBy(*by).agg(F.min("x").alias("x0")), by)
+    moved = shifted.withColumn("d", F.col("x") - F.col("x0"))
     s = moved.groupBy(*by).agg(F.first("x0").alias("x0"), F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("w")).alias("sw2"), F.sum(F.col("w") * F.col("d")).alias("swd"), F.sum(F.col("w") * F.col("d") * F.col("d")).alias("swd2"), F.count("*").alias("n"))
     var = F.greatest(F.lit(0.0), F.col("swd2") / F.col("sw") - F.pow(F.col("swd") / F.col("sw"), 2))
     return s.select(

@@ -226,7 +226,7 @@ def test_event_code_missing_and_bits(spark):
 def test_weighted_variance_merges(spark):
     rows = [(i % 2, float(i), 1.0 + i % 3) for i in range(40)]
     df = spark.createDataFrame(rows, "g int, x double, w double")
-    for r in stats.weighted_variance(df, "x", F.col("w"), ["g"]).collect():
+    for r in [*stats.weighted_variance(df, "x", F.col("w"), ["g"]).collect(), *stats.weighted_variance(df, "x", F.col("w"), ["g"], near=20).collect()]:
         part = [(x, w) for g, x, w in rows if g == r.g]
         sw = sum(w for _, w in part)
         mu = sum(x * w for x, w in part) / sw
