@@ -13,7 +13,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
 
     Each round a node takes the smallest label among its own and its neighbours', then the
     label of that label.  Hooking plus jumping needs about log(diameter) rounds; each round is
-    two equi-joins and one map-side combined aggregate, and its result is a written table, so
+    equi-joins and map-side combined aggregates, and its result is one written table, so
     neither lineage nor driver memory grows.  Null ends are ignored; no edges, no rows.
     """
     spark = edges.sparkSession
@@ -27,12 +27,12 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         # a root that sees a smaller label through any member takes it, so that long chains collapse
         pull = hooked.where("component < before").groupBy(F.col("before").alias("root")).agg(F.min("component").alias("pulled"))
         hooked = hooked.join(pull, hooked.id == pull.root, "left").select("id", F.least("component", "pulled").alias("component"), "before")
-        hooked = ws.save(hooked, f"hooked{k}")
-        jump = hooked.select(F.col("id").alias("at"), F.col("component").alias("onward"))
+        # onward by the labels that the round began with, so that a round writes one table
+        jump = labels.select(F.col("id").alias("at"), F.col("component").alias("onward"))
         moved = hooked.join(jump, hooked.component == jump["at"], "left").select("id", F.least("component", "onward").alias("component"), "before")
         new = ws.save(moved, f"labels{k}")
         changed = new.where("component <> before").limit(1).count()
-        ws.drop(f"hooked{k}", f"labels{k - 1}")
+        ws.drop(f"labels{k - 1}")
         labels = new.select("id", "component")
         if not changed:
             return labels
