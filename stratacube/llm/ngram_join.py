@@ -223,6 +223,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         if links is not None and pairs.isEmpty():
             return
         more = ws.save(_verified(docs, pairs, reps, ws, name, id_col, text_col, width, num, den), f"links{name}")
+        if links is not None and more.isEmpty():
+            return
         links = more if links is None else links.unionByName(more)
         comp = connected_components(links, "c1", "c2")
 
@@ -313,7 +315,7 @@ def _sets(docs: DataFrame, asked: DataFrame, id_col: str, text_col: str, width:
 
 def _verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, ws: Workspace, name: str, id_col: str, text_col: str, width: int, num: int, den: int) -> DataFrame:
     """The pairs whose whole sets are similar enough."""
-    asked = ws.save(pairs.select(F.col("c1").alias("cid")).union(pairs.select("c2")).distinct().join(reps.select("cid", "rep", "rep_hash"), "cid"), f"asked{name}")
+    asked = pairs.select(F.col("c1").alias("cid")).union(pairs.select("c2")).distinct().join(reps.select("cid", "rep", "rep_hash"), "cid")
     sets = ws.save(_sets(docs, asked, id_col, text_col, width).select("cid", "n", "shingles"), f"sets{name}")
     one = sets.select(F.col("cid").alias("c1"), F.col("n").alias("n1"), F.col("shingles").alias("s1"))
     two = sets.select(F.col("cid").alias("c2"), F.col("n").alias("n2"), F.col("shingles").alias("s2"))
