@@ -47,12 +47,14 @@ class Encoder:
         self.ids = np.zeros(0, np.uint32)
 
     def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
-        lists = []
-        for a in range(0, len(pieces), 5000):
-            lists += [e.ids for e in self.tokenizer.encode_batch(pieces[a : a + 5000], add_special_tokens=False)]
-        count = np.fromiter((len(x) for x in lists), np.int64, len(lists))
+        ids, owner = [], []
+        for a in range(0, len(pieces), 5000):  # as the words of one text, which costs less than texts of their own
+            e = self.tokenizer.encode(pieces[a : a + 5000], is_pretokenized=True, add_special_tokens=False)
+            ids.append(np.array(e.ids, np.uint32))
+            owner.append(np.array(e.word_ids, np.int64) + a)
+        count = np.bincount(np.concatenate(owner), minlength=len(pieces))
         start = len(self.ids) + np.cumsum(count) - count
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in lists for i in x), np.uint32, int(count.sum()))])
+        self.ids = np.concatenate([self.ids, *ids])
         keys = np.concatenate([self.keys, keys])
         order = np.argsort(keys)
         self.keys, self.start, self.count = keys[order], np.concatenate([self.start, start])[order], np.concatenate([self.count, count])[order]
