@@ -310,13 +310,18 @@ def decode_pieces(rows: DataFrame, model_path: str, pieces_col: str = "pieces",
         model = pieces(model_path, 1.0)
         for batch in batches:
             lists = batch.column(len(own))
+            lists = lists.fill_null([]) if lists.null_count else lists
+            offs = lists.offsets.to_numpy()
             texts = []
-            for i in range(batch.num_rows):
-                ids = lists[i].values.to_numpy(zero_copy_only=False) if lists[i].is_valid and len(lists[i]) else np.zeros(0, np.int64)
+            for r0 in range(0, batch.num_rows, 500):
+                part = offs[r0 : r0 + 501].astype(np.int64)
+                ids = lists.values.to_numpy(zero_copy_only=False)[part[0] : part[-1]]
                 n = model.length[ids]
-                at = np.repeat(model.start[ids] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                raw = model.bytes[at].tobytes()
-                texts.append((raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace"))
+                ends = np.r_[0, np.cumsum(n)]
+                raw = model.bytes[np.repeat(model.start[ids] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
+                cut = ends[part - part[0]].tolist()
+                # the blank that was put in front goes again
+                texts += [raw[a + (raw[a : min(a + 1, b)] == b" ") : b].decode("utf-8", "replace") for a, b in zip(cut[:-1], cut[1:])]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], pa.array(texts, pa.string())], [*own, out_col])
 
     return rows.select(*own, pieces_col).mapInArrow(tb.frugal(run), rows.select(*own).schema.add(out_col, "string"))
