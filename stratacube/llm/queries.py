@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratacube.llm import exact_dedup, html_text, language_id, license_scan, lm_score, media, ngram_join, packing, piece_sampling, suffix_dedup
+from stratacube.llm import exact_dedup, html_text, language_id, lexical_search, license_scan, lm_score, media, ngram_join, packing, periodic_runs, piece_sampling, secret_scan, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,47 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def _joined_spans(spans: str, kinds: tuple[str, ...] | None = None):
+    """kind:start:end of the spans in their order, comma-joined."""
+    chosen = F.filter(spans, lambda s: s["kind"].isin(*kinds)) if kinds else F.col(spans)
+    return F.array_join(F.transform(chosen, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan_secrets(_table(spark, sf_dir, "documents"))
+    exact = secret_scan.KINDS[:3]
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    counts = [count(k).alias(f"n_{k}") for k in exact]
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(_joined_spans("spans", exact), 256).alias("base_sha256"), _joined_spans("spans").alias("spans"))
+
+
+def _with_periods(docs: DataFrame) -> DataFrame:
+    """``docs`` with the words of every tenth document, by the checksum of its id, repeated from some word on."""
+    h, n = F.crc32(F.col("doc_id").cast("string")), F.size("w")
+    g = F.floor(F.col("h") / 10)
+    changed = F.when(h % 10 == 0, F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    cut = docs.select("doc_id", "text", h.alias("h"), changed.alias("w")).withColumn("a", F.when(n > 0, (g % n).cast("int")))
+    cut = cut.withColumn("p", (F.floor((n - F.col("a")) / (g % 8 + 3)) + 1).cast("int"))
+    tail = F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), F.ceil((n - F.col("a")) / F.col("p")).cast("int")))
+    words = F.slice(F.concat(F.slice("w", F.lit(1), F.col("a")), tail), F.lit(1), n)
+    return cut.select("doc_id", F.when(n > 0, F.array_join(words, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(_with_periods(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.concat_ws("", F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))))
+    named = found.withColumn("m", longest)
+    return named.select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), (-F.col("m.start")).alias("start"), F.col("m.length").alias("length"), (-F.col("m.period")).alias("period"),
+        F.expr("1000 * m.length div -m.period").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=20)
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -81,6 +122,9 @@ QUERIES = {
     "op8_lm_score": op8_lm_score,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_license_scan": op10_license_scan,
+    "op11_secret_scan": op11_secret_scan,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 _CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -122,4 +166,36 @@ ORACLE_SQL = {
           FROM p2 LEFT JOIN k2 ON p2.a = k2.a AND p2.b = k2.b LEFT JOIN c3 ON p2.a = c3.a AND p2.b = c3.b AND p2.w = c3.w)
         SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (WHERE c > 0) AS n_known, total AS train_tokens,
                round_even(sum(log10(p1)) * 1e6, 0) / 1e6 AS base_score, round_even(sum(log10(p3)) * 1e6, 0) / 1e6 AS score FROM p3 GROUP BY doc_id, held_out, total""",
+    "op12_periodic_runs": """
+        WITH RECURSIVE crc AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS s, 0 AS k, CAST(4294967295 AS BIGINT) AS c FROM documents
+          UNION ALL SELECT doc_id, s, k + 1, xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END)
+          FROM (SELECT doc_id, s, k, CASE WHEN k % 8 = 0 THEN xor(c, CAST(ascii(substring(s, k // 8 + 1, 1)) AS BIGINT)) ELSE c END AS x FROM crc WHERE k < 8 * length(s))),
+        h AS (SELECT doc_id, xor(c, 4294967295) AS h FROM crc WHERE k = 8 * length(s)),
+        w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        ap AS (SELECT doc_id, w, len(w) AS n, h, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM w JOIN h USING (doc_id)),
+        i AS (SELECT doc_id, w, a, CASE WHEN a IS NOT NULL THEN 1 + (n - a) // (3 + (h // 10) % 8) END AS p, unnest(range(n)) AS i FROM ap),
+        t AS (SELECT doc_id, i, w[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END] AS w FROM i),
+        e AS (SELECT x.doc_id, y.i - x.i AS q, x.i FROM t x JOIN t y ON x.doc_id = y.doc_id AND x.w = y.w AND x.i < y.i),
+        g AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS g FROM e),
+        s AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM g GROUP BY doc_id, q, g HAVING count(*) + q >= greatest(6, 4 * q)),
+        r AS (SELECT doc_id, start, length, min(q) AS period FROM s GROUP BY ALL),
+        lead_ AS (SELECT doc_id, start, length, period FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, start, period) = 1),
+        listed AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS s FROM r GROUP BY doc_id),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+        kept AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS s FROM t ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length, CAST(period AS BIGINT) AS period,
+               CAST(1000 * length // period AS BIGINT) AS exponent_milli, sha256(coalesce(listed.s, '')) AS runs_sha256, sha256(coalesce(kept.s, '')) AS collapsed_sha256
+        FROM documents d LEFT JOIN lead_ USING (doc_id) LEFT JOIN listed USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op13_lexical_search": f"""
+        WITH w AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_CAPITALS}', '{_SMALL}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS t FROM documents),
+        q AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_CAPITALS}', '{_SMALL}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS t FROM benchmark),
+        tf AS (SELECT doc_id, t, count(*) AS tf FROM w GROUP BY ALL), n AS (SELECT doc_id, sum(tf) AS n FROM tf GROUP BY doc_id),
+        total AS (SELECT count(*) AS docs, sum(n) AS terms FROM n),
+        m AS (SELECT doc_id, CAST(75 + (25 * n * docs) // terms AS BIGINT) AS m FROM n, total),
+        df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+        wt AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w FROM df, total),
+        s AS (SELECT item_id, doc_id, CAST(sum(k * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+              FROM (SELECT item_id, t, count(*) AS k FROM q GROUP BY ALL) JOIN wt USING (t) JOIN tf USING (t) JOIN m USING (doc_id) GROUP BY item_id, doc_id)
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM s WHERE score > 0
+        QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 20""",
 }
