@@ -12,7 +12,9 @@ ODD = [(9001, None), (9002, ""), (9003, " \t\n"), (9004, "One"), (9005, "one"),
 def test_query_matches_sql(spark, data, tmp_path, name):
     odd = spark.createDataFrame(ODD, "doc_id long, text string")
     spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").union(odd).coalesce(1).write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{data}/benchmark.parquet").coalesce(1).write.parquet(f"file://{tmp_path}/benchmark.parquet")
     con = duckdb.connect()
+    con.sql(f"CREATE VIEW benchmark AS SELECT * FROM '{data}/benchmark.parquet'")
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{next((tmp_path / 'documents.parquet').glob('*.parquet'))}'")
     want = con.sql(queries.ORACLE_SQL[name])
     got = queries.QUERIES[name](spark, f"file://{tmp_path}")
