@@ -85,6 +85,7 @@ def smaller_before(v: np.ndarray) -> np.ndarray:
     Pointers of all elements jump at once over what they have passed; the few that have far to go then go one by one.
     """
     at = np.arange(-1, len(v) - 1)
+    at[v == v.min()] = -1
     open_ = np.flatnonzero(at >= 0)
     for _ in range(ROUNDS):
         open_ = open_[v[at[open_]] >= v[open_]]
