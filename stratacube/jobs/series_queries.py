@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from stratacube.jobs.declare import registrar
 from stratacube.jobs.sql import CELL, ENSEMBLE, GRID, HOURLY, MASK, PEI, RANKS, r
-from stratacube.operators import quantiles, resample, windows
+from stratacube.operators import quantiles, resample, selection, windows
 from stratacube.operators.indicators import reference_evapotranspiration
 from stratacube.sources import views
 
@@ -118,7 +118,7 @@ def quantile_rain_days(spark, d):
 
 @query(f"WITH {GRID} " + _Q.format(by="year", v=r("q"), x="t2m", src="(SELECT CAST(YEAR(time) AS INT) AS year, t2m FROM grid)", where=""))
 def quantile_by_year(spark, d):
-    return quantiles.group_quantiles(views.grid_daily(spark, d).withColumn("year", F.year("time")), F.col("t2m"), PROBS, ["year"])
+    return selection.exact_quantiles(views.grid_daily(spark, d).withColumn("year", F.year("time")), F.col("t2m"), PROBS, ["year"])
 
 
 @query(f"""WITH {GRID}, axis AS (SELECT ilon, ilat, time, t2m, ROW_NUMBER() OVER ({CELL}) AS it, COUNT(*) OVER (PARTITION BY ilon, ilat) AS n FROM grid),
@@ -133,7 +133,7 @@ def quantile_doy(spark, d):
 @query(f"""WITH {GRID}, g AS (SELECT *, CAST(YEAR(time) AS INT) AS year FROM grid)
     SELECT year, {r('MIN(t2m)')} AS low, {r('quantile_cont(t2m, 0.25)')} AS q1, {r('quantile_cont(t2m, 0.5)')} AS median, {r('quantile_cont(t2m, 0.75)')} AS q3, {r('MAX(t2m)')} AS high FROM g GROUP BY year""")
 def five_number(spark, d):
-    return quantiles.five_numbers(views.grid_daily(spark, d).withColumn("year", F.year("time")), F.col("t2m"), ["year"])
+    return selection.exact_five_numbers(views.grid_daily(spark, d).withColumn("year", F.year("time")), F.col("t2m"), ["year"])
 
 
 @query(f"""WITH {GRID}, {MASK}, c AS (SELECT *, CASE WHEN n_obs > 2 THEN 1 ELSE 0 END AS busy, LAG(CASE WHEN n_obs > 2 THEN 1 ELSE 0 END) OVER ({CELL}) AS before FROM grid),

@@ -9,7 +9,7 @@ from stratacube.functions.columns import area_weight, wmean
 from stratacube.jobs.declare import registrar
 from stratacube.jobs.event_queries import labels
 from stratacube.jobs.sql import EVENT, GRID, MASK, RANKS, YEARS, components as components_sql, r
-from stratacube.operators import stats, subset, trends
+from stratacube.operators import selection, stats, subset, trends
 from stratacube.sources import views
 
 QUERIES: dict = {}
@@ -81,6 +81,21 @@ def label_count(spark, d):
     return stats.derive(s, "exclusive")
 
 
+NINE = [0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
+_NINE = "[" + ", ".join(f"CAST({p} AS DOUBLE)" for p in NINE) + "]"
+
+
+@query(f"""WITH RECURSIVE {components_sql(True)}, s AS (SELECT SUM({W}) AS volume, CAST(MAX(time) - MIN(time) + 1 AS DOUBLE) AS duration FROM voxel GROUP BY label),
+    l AS (SELECT 'volume' AS variable, volume AS v FROM s UNION ALL SELECT 'duration', duration FROM s UNION ALL SELECT 'area', volume / duration FROM s),
+    q AS (SELECT variable, UNNEST({_NINE}) AS quantile, UNNEST(quantile_cont(v, {_NINE})) AS q FROM l GROUP BY variable)
+    SELECT variable, quantile, {r('q')} AS value FROM q""")
+def event_quantiles(spark, d):
+    """Nine quantiles of duration, area and volume over all events."""
+    s = labels(spark, d).groupBy("label").agg(*stats.bounds(), F.sum(area_weight(F.col("lat"))).alias("volume"))
+    s = stats.derive(s).select("volume", F.col("duration").cast("double").alias("duration"), "area")
+    return selection.exact_quantiles(s.unpivot([], s.columns, "variable", "v"), F.col("v"), NINE, ["variable"])
+
+
 _SIZES_SQL = f"size AS (SELECT label, SUM(round_even({W} * 1e9, 0)) AS volume FROM voxel GROUP BY label)"
 _FLUX = {"gpp": "tp * 1e3", "nee": "pet - t2m / 100", "ter": "t2mmin / 10"}
 

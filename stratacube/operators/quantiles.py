@@ -1,4 +1,4 @@
-"""Exact quantiles per cell and per day of year."""
+"""Exact quantiles of groups that fit one buffer: a cell, or a cell's day of year.  Larger groups: ``selection``."""
 
 from __future__ import annotations
 
@@ -17,11 +17,6 @@ def group_quantiles(rows: DataFrame, value: Column, probs: list[float], by: list
     return got.select(*by, F.posexplode("__q").alias("__i", "value")).select(*by, F.element_at(_probs(probs), F.col("__i") + 1).alias("quantile"), "value")
 
 
-def five_numbers(rows: DataFrame, value: Column, by: list[str]) -> DataFrame:
-    q = rows.groupBy(*by).agg(F.percentile(value, _probs([0, 0.25, 0.5, 0.75, 1])).alias("q"))
-    return q.select(*by, *(F.col("q")[i].alias(n) for i, n in enumerate(("low", "q1", "median", "q3", "high"))))
-
-
 def day_of_year_quantiles(series: DataFrame, value: str, probs: list[float], half_width: int = 15, by=("ilon", "ilat"), time: str = "time") -> DataFrame:
     """(by, doy, quantile, value): pooled over +-half_width rows around each day of year of every year.
 
