@@ -42,20 +42,24 @@ def all_of(flags: list[Column]) -> Column:
     return functools.reduce(operator.and_, flags)
 
 
-def erfc(x: Column) -> Column:
-    """Complementary error function of x >= 0, to about 1e-13 of its value however small it is.
-
-    Below 2.5 one minus the series with positive terms, above it the continued fraction.
-    """
-    term = total = x
-    for k in range(1, 60):
-        term = term * x * x * (2.0 / (2 * k + 1))
-        total = total + term
+def _erfc(x: Column) -> Column:
+    series = F.lit(1.0)
+    for k in range(59, 0, -1):
+        series = 1.0 + x * x * (2.0 / (2 * k + 1)) * series
     tail = x
     for k in range(40, 0, -1):
         tail = x + F.lit(k / 2.0) / tail
     bell = F.exp(-x * x) / math.sqrt(math.pi)
-    return F.when(x < 2.5, 1.0 - 2.0 * bell * total).otherwise(bell / tail)
+    return F.when(x < 2.5, 1.0 - 2.0 * bell * x * series).otherwise(bell / tail)
+
+
+def erfc(x: Column) -> Column:
+    """Complementary error function of x >= 0, to about 1e-13 of its value however small it is.
+
+    Below 2.5 one minus the series with positive terms, above it the continued fraction.  x is named once, as the
+    variable of a lambda, so that the expression does not grow with what it is made of.
+    """
+    return F.transform(F.array(x), _erfc)[0]
 
 
 def normal_tails(z: Column) -> Column:

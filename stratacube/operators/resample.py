@@ -63,9 +63,9 @@ def interpolate_days(days: DataFrame, series: DataFrame, value: str, by: list[st
     nodes = series.select(*by, F.lit(None).cast("date").alias("time"), F.col("mid").alias("at"), F.col("mid").alias("node"), F.col(value).cast("double").alias("v"))
     asked = days.select(*by, "time", at.alias("at"), F.lit(None).cast("double").alias("node"), F.lit(None).cast("double").alias("v"))
     both = nodes.unionByName(asked)
-    w = Window.partitionBy(*by).orderBy("at")
-    back, ahead = w.rangeBetween(Window.unboundedPreceding, 0), w.rangeBetween(0, Window.unboundedFollowing)
-    pick = lambda c, f, frame: f(c, ignorenulls=True).over(frame)
-    named = both.withColumns({"x0": pick("node", F.last, back), "y0": pick("v", F.last, back), "x1": pick("node", F.first, ahead), "y1": pick("v", F.first, ahead)})
+    # the last one seen, forwards and backwards: frames that only grow
+    back, ahead = (Window.partitionBy(*by).orderBy(o).rangeBetween(Window.unboundedPreceding, 0) for o in (F.asc("at"), F.desc("at")))
+    pick = lambda c, frame: F.last(c, ignorenulls=True).over(frame)
+    named = both.withColumns({"x0": pick("node", back), "y0": pick("v", back), "x1": pick("node", ahead), "y1": pick("v", ahead)})
     blend = F.when(F.col("x1") == F.col("x0"), F.col("y0")).otherwise(F.col("y0") + (F.col("y1") - F.col("y0")) * (F.col("at") - F.col("x0")) / F.nullif(F.col("x1") - F.col("x0"), F.lit(0.0)))
     return named.where(F.col("time").isNotNull()).select(*by, "time", F.when(F.col("x0").isNotNull() & F.col("x1").isNotNull(), blend).alias(value))

@@ -46,20 +46,33 @@ class Workspace:
 
     def drop(self, *names: str) -> None:
         """Delete tables that no plan still in use refers to."""
-        jvm = self.spark._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            fs, path = _place(self.spark, f"{self.path}/{name}")
+            fs.delete(path, True)
+
+
+def _place(spark: SparkSession, where: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def written(spark: SparkSession, where: str) -> bool:
+    """Whether a table has been written there to its end."""
+    fs, path = _place(spark, f"{where}/_SUCCESS")
+    return fs.exists(path)
 
 
 _stored: dict[tuple, str] = {}
 
 
 def stored(spark: SparkSession, name: str, sources: list[DataFrame], build: Callable[[], DataFrame]) -> DataFrame:
-    """A derived table that several jobs of a session share, written once for each state of the files it is made from."""
+    """A derived table that several jobs of a session share, written once for each state of the files it is made from.
+
+    A table that has gone from the shared folder since is built again.
+    """
     state = tuple((*sorted(s.inputFiles()), str(s.select(F.max("_metadata.file_modification_time")).first()[0])) for s in sources)
     key = (spark.sparkContext.applicationId, name, state)
-    if key not in _stored:
+    if key not in _stored or not written(spark, _stored[key]):
         ws = Workspace(spark, name)
         ws.save(build(), "table")
         _stored[key] = f"{ws.path}/table"

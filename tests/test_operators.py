@@ -262,3 +262,43 @@ def test_store_append_replace_and_csv(spark, tmp_path):
     assert [(r.Event, str(r.Start), r.North) for r in got] == [("heat", "2003-08-01", 52.5)]
     names = spark.createDataFrame([("a/t2m.01.2020.parquet",), ("a/back_extension/t2m.01.2020.parquet",), ("a/x.txt",)], "path string")
     assert [(r.year, r.month, r.unique) for r in readers.one_file_per_month(names).collect()] == [(2020, 1, True)]
+
+
+def test_tails_compile_and_trends_do_not_fall_back(spark):
+    """With the fallback to interpretation switched off, code that cannot be compiled fails the job."""
+    rows = [(c, y, float((y * 7 + c * 3) % 11)) for c in range(6) for y in range(1950, 2023)]
+    table = spark.createDataFrame(rows, "cell int, year int, y double")
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        assert trends.mann_kendall(table, "year", "y", ["cell"]).where("p_value BETWEEN 0 AND 1").count() == 6
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+
+
+def test_interpolation_is_linear_in_the_length_of_a_series(spark):
+    """Forty thousand days of one cell: frames that are built anew for each row would take minutes."""
+    import time
+
+    days = spark.range(40_000).select(F.lit(1).alias("cell"), F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")).alias("time"))
+    start = F.datediff(F.lit("1900-01-01").cast("date"), F.lit("1970-01-01").cast("date"))
+    nodes = spark.range(4_001).select(F.lit(1).alias("cell"), (F.col("id") * 10 + start).cast("double").alias("mid"), F.col("id").cast("double").alias("v"))
+    began = time.time()
+    got = resample.interpolate_days(days, nodes, "v", ["cell"]).withColumn("want", F.datediff("time", F.lit("1900-01-01").cast("date")) / 10.0)
+    assert got.where("abs(v - want) < 1e-9").count() == 40_000 and time.time() - began < 20
+
+
+def test_stored_table_is_built_again_when_it_has_gone(spark, tmp_path):
+    from stratacube.sources import workspace
+
+    spark.range(5).write.parquet(f"file://{tmp_path}/source")
+    source, built = spark.read.parquet(f"file://{tmp_path}/source"), []
+
+    def build():
+        built.append(1)
+        return source.withColumn("n", F.lit(len(built)))
+
+    assert workspace.stored(spark, "twice", [source], build).count() == 5 and workspace.stored(spark, "twice", [source], build).first()["n"] == 1
+    place = next(v for k, v in workspace._stored.items() if k[1] == "twice")
+    fs, path = workspace._place(spark, place)
+    fs.delete(path, True)
+    assert workspace.stored(spark, "twice", [source], build).first()["n"] == 2 and len(built) == 2
