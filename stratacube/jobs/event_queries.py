@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from stratacube.jobs.declare import registrar
 from stratacube.jobs.sql import EVENT, GRID, HOURLY, PEI, RANKS, RUNS, components as components_sql, r
 from stratacube.operators import components, events, neighbours, windows
+from stratacube.operators.label_store import LabelStore
 from stratacube.sources import views
-from stratacube.sources.workspace import stored
+from stratacube.sources.workspace import Workspace, stored
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -199,6 +200,17 @@ def components_tiled(spark, d):
     return components.label_by_tiles(days, "tile", views.NLON, views.NLAT).select("ilon", "ilat", "time", "label")
 
 
+@query(f"WITH RECURSIVE {components_sql(True)} SELECT ilon, ilat, time, label FROM voxel")
+def labels_by_append(spark, d):
+    """The labels of all days from a store that is begun with the years to 1996 and then grows by the later years."""
+    ws = Workspace(spark, "labels_by_append")
+    days = ws.save(filtered(spark, d).select("ilon", "ilat", "time"), "days")
+    store = LabelStore(spark, f"{ws.path}/store", views.NLON, views.NLAT)
+    for some in ("year(time) <= 1996", "year(time) = 1997", "year(time) >= 1998"):
+        store.append(days.where(some))
+    return store.voxels(numbered=True)
+
+
 @query(f"WITH RECURSIVE {components_sql(True)} SELECT CAST(YEAR(time) AS INT) AS tile, MAX(label) AS n_labels FROM voxel GROUP BY 1")
 def tile_max_label(spark, d):
     return labels(spark, d).groupBy(F.year("time").alias("tile")).agg(F.max("label").alias("n_labels"))

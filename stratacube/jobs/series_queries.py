@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from stratacube.jobs.declare import registrar
 from stratacube.jobs.sql import CELL, ENSEMBLE, GRID, HOURLY, MASK, PEI, RANKS, r
-from stratacube.operators import quantiles, resample, selection, windows
-from stratacube.operators.indicators import reference_evapotranspiration
+from stratacube.operators import continued, quantiles, resample, selection, windows
+from stratacube.operators.indicators import reference_evapotranspiration, water_balance
 from stratacube.sources import views
+from stratacube.sources.workspace import Workspace
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -25,6 +26,28 @@ def running_mean_30_90_180(spark, d):
     return views.grid_ranks(spark, d).select("ilon", "ilat", "time", "wb", "pei_30", "pei_90", "pei_180")
 
 
+@query(f"WITH {PEI} SELECT ilon, ilat, time, {r('pei_30')} AS pei_30, {r('pei_90')} AS pei_90, {r('pei_180')} AS pei_180 FROM pei")
+def running_mean_append(spark, d):
+    """The moving balances of all days, computed to 1996 and continued by the later years from each cell's last rows."""
+    ws = Workspace(spark, "running_mean_append")
+    days = ws.save(views.grid_daily(spark, d).select("ilon", "ilat", "time", water_balance(F.col("tp"), F.col("pet")).alias("wb")), "days")
+    kept = continued.RunningMeans(spark, f"{ws.path}/store", "wb", {f"pei_{n}": n for n in (30, 90, 180)})
+    for some in ("year(time) <= 1996", "year(time) = 1997", "year(time) >= 1998"):
+        kept.append(days.where(some))
+    return kept.days().select("ilon", "ilat", "time", "pei_30", "pei_90", "pei_180")
+
+
+@query(f"WITH {RANKS} SELECT ilon, ilat, time, {r('rt')} AS rt FROM ranks")
+def rank_append(spark, d):
+    """Heat ranks over all days, kept up as the years after 1996 are added."""
+    ws = Workspace(spark, "rank_append")
+    days = ws.save(views.grid_daily(spark, d).select("ilon", "ilat", "time", (F.round("t2mmax", 9) * -1.0).alias("v")), "days")
+    kept = continued.Ranks(spark, f"{ws.path}/store", "v")
+    for some in ("year(time) <= 1996", "year(time) = 1997", "year(time) >= 1998"):
+        kept.append(days.where(some))
+    return kept.ranks("rt").select("ilon", "ilat", "time", "rt")
+
+
 @query(f"WITH {HOURLY} SELECT ilon, ilat, ts, {r('SUM(tp) OVER (PARTITION BY ilon, ilat ORDER BY ts ROWS BETWEEN 12 PRECEDING AND 11 FOLLOWING)')} AS rs FROM hourly")
 def rolling_sum_centered(spark, d):
     return windows.rolling_sum(views.hourly(spark, d), F.col("tp"), 12, 11, "rs", "ts").select("ilon", "ilat", "ts", "rs")

@@ -9,8 +9,10 @@ from stratacube.functions.columns import area_weight, wmean
 from stratacube.jobs.declare import registrar
 from stratacube.jobs.event_queries import labels
 from stratacube.jobs.sql import EVENT, GRID, MASK, RANKS, YEARS, components as components_sql, r
-from stratacube.operators import selection, stats, subset, trends
+from stratacube.operators import selection, states, stats, subset, trends
 from stratacube.sources import views
+from stratacube.sources.layout import CubeLayout
+from stratacube.sources.workspace import Workspace
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -121,6 +123,41 @@ def unit_rules(spark, d):
     return stats.unit_rules(long)
 
 
+_LAYERS = ["t2mmax", "t2m", "t2mmin", "tp", "pet", "pei_30", "pei_90", "pei_180"]
+_RANKS = {"inth": "rt", "intd30": "rd30", "intd90": "rd90", "intd180": "rd180"}
+
+
+def cube_layout(spark, d, buckets: int = 32):
+    """The grid's layers, those computed from them, the labels and the mask, each stored in buckets by cell."""
+    from stratacube.operators.events import event_code
+    from stratacube.operators.indicators import water_balance
+    from stratacube.operators.windows import rank_transform, running_mean
+
+    cube = CubeLayout(spark, buckets)
+    grid = cube.add("era", views.grid_daily(spark, d).select("ilon", "ilat", "time", "lon", "lat", *_LAYERS[:5]))
+    pei = grid.select("ilon", "ilat", "time", water_balance(F.col("tp"), F.col("pet")).alias("wb"))
+    for width in (30, 90, 180):
+        pei = running_mean(pei, F.col("wb"), width, f"pei_{width}")
+    cube.add("pei", pei.drop("wb"), dealt=True)
+    ranked = rank_transform(cube.joined("era", "pei"), F.round(F.col("t2mmax"), 9), "rt", -1.0)
+    for width in (30, 90, 180):
+        ranked = rank_transform(ranked, F.round(F.col(f"pei_{width}"), 9), f"rd{width}")
+    ranks = cube.add("ranks", ranked.select("ilon", "ilat", "time", *_RANKS.values()), dealt=True)
+    cube.add("event", ranks.select("ilon", "ilat", "time", event_code([F.col(c) for c in _RANKS.values()], 0.1).alias("event")), dealt=True)
+    cube.add("labels", labels(spark, d).select("ilon", "ilat", "time", "label"))
+    cube.add("mask", views.mask(spark, d))
+    return cube
+
+
+@query(f"""WITH RECURSIVE {_JOINED}, every AS (SELECT f.ilon, f.ilat, f.time, f.lat, f.label, f.event, f.rt, f.rd30, f.rd90, f.rd180, f.lsm, {', '.join(f'k.{c}' for c in _LAYERS)} FROM full_ f JOIN ranks k USING (ilon, ilat, time))
+    SELECT label, {', '.join(f"{_mean(c)} AS {c}_mean, {r(f'MIN({c})')} AS {c}_min, {r(f'MAX({c})')} AS {c}_max" for c in _LAYERS)}, {r(_area('(event & 1) <> 0'))} AS heat, {r(_area('event > 1 AND event % 2 = 1'))} AS compound,
+    {', '.join(f"{_depth(c)} AS {n}" for n, c in _RANKS.items())}, {r(f'SUM({W})')} AS volume FROM every WHERE lsm > 0.5 GROUP BY label""")
+def layer_join_stats(spark, d):
+    """Statistics of every event over fifteen layers, joined bucket by bucket."""
+    s = stats.event_statistics(cube_layout(spark, d).joined(), _LAYERS, _RANKS, limit=0.1)
+    return s.select("label", *(f"{c}_{k}" for c in _LAYERS for k in ("mean", "min", "max")), "heat", "compound", *_RANKS, "volume")
+
+
 @query(f"""WITH RECURSIVE {components_sql(True)}, {_SIZES_SQL}, listed AS (SELECT label, ROW_NUMBER() OVER (ORDER BY volume DESC, label) AS i FROM size)
     SELECT ilon, ilat, time, label, CAST(i AS DOUBLE) AS colour FROM voxel LEFT JOIN (SELECT * FROM listed WHERE i <= 10) USING (label)""")
 def label_index(spark, d):
@@ -174,6 +211,22 @@ def weighted_mean_var(spark, d):
     return stats.weighted_variance(rows, "t2m", area_weight(F.col("lat")) * F.col("lsm"), ["year", "cont"], near=273.15)
 
 
+_STATES = _WX.replace("GROUP BY 1, 2)", "GROUP BY 1)").replace("CAST(YEAR(time) AS INT) AS year, cont", "cont").replace("SELECT year, cont, COUNT", "SELECT cont, COUNT").replace("SELECT s.year, s.cont", "SELECT s.cont").replace("b.year = s.year AND ", "")
+
+
+@query(f"""WITH {_STATES} SELECT cont, n, {r('sw')} AS sum_w, {r('mean')} AS mean, {r('var')} AS var_uncorrected, {r('var / NULLIF(1 - sw2 / (sw * sw), 0)')} AS var_analytic,
+    {r('var * sw / NULLIF(CASE WHEN sw > 1 THEN sw - 1 ELSE 0 END, 0)')} AS var_frequency FROM v WHERE cont IS NOT NULL""")
+def state_table(spark, d):
+    """Mean and variance of each continent over all years, merged from stored states; 1997 is computed a second time."""
+    rows = views.grid_daily(spark, d).join(views.mask(spark, d), ["ilon", "ilat"]).where(F.col("cont").isNotNull()).withColumn("year", F.year("time"))
+    ws = Workspace(spark, "state_table")
+    rows = ws.save(rows.select("year", "cont", "lat", "lsm", "t2m"), "rows")
+    kept = states.StateTable(spark, f"{ws.path}/store", {"t2m": states.moments(F.col("t2m"), area_weight(F.col("lat")) * F.col("lsm"), near=273.15)}, ["cont"])
+    for some in ("year <= 1996", "year = 1997", "year >= 1998", "year = 1997"):
+        kept.update(rows.where(some))
+    return kept.merged(["cont"])
+
+
 def _hist(by: str) -> str:
     return f"""WITH {EVENT}, {MASK}, b AS (SELECT CAST(YEAR(time) AS INT) AS year, CAST(MONTH(time) AS INT) AS month, lsm > 0.5 AS land, cont, event AS code, {W} * lsm AS w FROM event JOIN mask USING (ilon, ilat) WHERE cont IS NOT NULL),
       g AS (SELECT DISTINCT {by}, CAST(c AS INT) AS code FROM b, UNNEST(RANGE(17)) AS t(c))

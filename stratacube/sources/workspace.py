@@ -47,18 +47,18 @@ class Workspace:
     def drop(self, *names: str) -> None:
         """Delete tables that no plan still in use refers to."""
         for name in names:
-            fs, path = _place(self.spark, f"{self.path}/{name}")
+            fs, path = place(self.spark, f"{self.path}/{name}")
             fs.delete(path, True)
 
 
-def _place(spark: SparkSession, where: str):
+def place(spark: SparkSession, where: str):
     path = spark._jvm.org.apache.hadoop.fs.Path(where)
     return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
 
 
 def written(spark: SparkSession, where: str) -> bool:
     """Whether a table has been written there to its end."""
-    fs, path = _place(spark, f"{where}/_SUCCESS")
+    fs, path = place(spark, f"{where}/_SUCCESS")
     return fs.exists(path)
 
 

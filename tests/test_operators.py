@@ -299,6 +299,6 @@ def test_stored_table_is_built_again_when_it_has_gone(spark, tmp_path):
 
     assert workspace.stored(spark, "twice", [source], build).count() == 5 and workspace.stored(spark, "twice", [source], build).first()["n"] == 1
     place = next(v for k, v in workspace._stored.items() if k[1] == "twice")
-    fs, path = workspace._place(spark, place)
+    fs, path = workspace.place(spark, place)
     fs.delete(path, True)
     assert workspace.stored(spark, "twice", [source], build).first()["n"] == 2 and len(built) == 2
