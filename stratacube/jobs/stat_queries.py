@@ -9,7 +9,7 @@ from stratacube.functions.columns import area_weight, wmean
 from stratacube.jobs.declare import registrar
 from stratacube.jobs.event_queries import labels
 from stratacube.jobs.sql import EVENT, GRID, MASK, RANKS, YEARS, components as components_sql, r
-from stratacube.operators import selection, states, stats, subset, trends
+from stratacube.operators import regression, selection, states, stats, subset, trends
 from stratacube.sources import views
 from stratacube.sources.layout import CubeLayout
 from stratacube.sources.workspace import Workspace
@@ -98,6 +98,34 @@ def event_quantiles(spark, d):
     return selection.exact_quantiles(s.unpivot([], s.columns, "variable", "v"), F.col("v"), NINE, ["variable"])
 
 
+_ONSETS = f"""{components_sql(True)}, s AS (SELECT CAST(YEAR(MIN(time)) AS DOUBLE) AS x, LOG10(SUM({W})) AS y FROM voxel GROUP BY label)"""
+
+
+def _onsets(spark, d):
+    """(x, y) of every event: year of its onset and log10 of its volume."""
+    size = labels(spark, d).groupBy("label").agg(F.min("time").alias("t"), F.sum(area_weight(F.col("lat"))).alias("volume"))
+    return size.select(F.year("t").cast("double").alias("x"), F.log10("volume").alias("y"))
+
+
+@query(f"""WITH RECURSIVE {_ONSETS}, n AS (SELECT x AS u, y / 0.15 AS v FROM s), c AS (SELECT *, FLOOR(u + 0.5) AS au, FLOOR(v / 1.5 + 0.5) * 1.5 AS av, FLOOR(u) + 0.5 AS bu, FLOOR(v / 1.5) * 1.5 + 0.75 AS bv FROM n),
+    h AS (SELECT *, (u - au) * (u - au) + (v - av) * (v - av) * 4 / 3 <= (u - bu) * (u - bu) + (v - bv) * (v - bv) * 4 / 3 AS first FROM c)
+    SELECT CASE WHEN first THEN au ELSE bu END AS cx, {r('CASE WHEN first THEN av ELSE bv END * 0.15')} AS cy, COUNT(*) AS n FROM h GROUP BY ALL""")
+def hexbin(spark, d):
+    """Events in hexagons of year of onset by size."""
+    return stats.histogram_hexagons(_onsets(spark, d), F.col("x"), F.col("y"), 1.0, 0.15)
+
+
+@query(f"""WITH RECURSIVE {_ONSETS}, p AS (SELECT *, ROW_NUMBER() OVER (ORDER BY x, y) AS i FROM (SELECT DISTINCT x, y FROM s)),
+    lines AS (SELECT a.i, b.i AS j, (b.y - a.y) / (b.x - a.x) AS slope, a.y - (b.y - a.y) / (b.x - a.x) * a.x AS icept FROM p a JOIN p b ON a.x < b.x),
+    rest AS (SELECT i, j, SUM(GREATEST(s.y - slope * s.x - icept, 0)) AS up, SUM(GREATEST(slope * s.x + icept - s.y, 0)) AS down FROM lines, s GROUP BY i, j)
+    SELECT q AS quantile, {r('MIN(q * up + (1 - q) * down)')} AS loss FROM rest, UNNEST({_NINE}) AS t(q) GROUP BY q""")
+def event_regression_loss(spark, d):
+    """Loss of nine quantile lines of size against year of onset over all events, one group; the SQL tries every line through two points."""
+    points = _onsets(spark, d).withColumn("all", F.lit(1))
+    lines = regression.large_quantile_regression(points, "x", "y", ["all"], NINE, most_points=64)
+    return trends.pinball_loss(points, lines, "x", "y", ["all"]).drop("all")
+
+
 _SIZES_SQL = f"size AS (SELECT label, SUM(round_even({W} * 1e9, 0)) AS volume FROM voxel GROUP BY label)"
 _FLUX = {"gpp": "tp * 1e3", "nee": "pet - t2m / 100", "ter": "t2mmin / 10"}
 

@@ -131,6 +131,26 @@ def histogram_2d(rows: DataFrame, x: Column, y: Column, dx: float, dy: float) ->
     return rows.where(x.isNotNull() & y.isNotNull()).groupBy(F.floor(x / dx).alias("bx"), F.floor(y / dy).alias("by_")).agg(F.count("*").alias("n"))
 
 
+def hexagon(x: Column, y: Column, dx: float, dy: float) -> Column:
+    """Centre (cx, cy) of the hexagon of width ``dx`` and height ``dy`` that holds (x, y); the first stands on 0, 0.
+
+    The centres are two rectangular lattices, one moved by half a width and by half of its row distance of 1.5 heights;
+    a point belongs to the nearer of the two centres next to it, to the unmoved one when both are as near.
+    """
+    u, v = x / dx, y / dy
+    au, av = F.floor(u + 0.5), F.floor(v / 1.5 + 0.5) * 1.5
+    bu, bv = F.floor(u) + 0.5, F.floor(v / 1.5) * 1.5 + 0.75
+    away = lambda cu, cv: (u - cu) * (u - cu) + (v - cv) * (v - cv) * (4.0 / 3.0)  # noqa: E731 - a regular hexagon is 2 / sqrt(3) high
+    first = away(au, av) <= away(bu, bv)
+    return F.struct((F.when(first, au).otherwise(bu) * dx).alias("cx"), (F.when(first, av).otherwise(bv) * dy).alias("cy"))
+
+
+def histogram_hexagons(rows: DataFrame, x: Column, y: Column, dx: float, dy: float) -> DataFrame:
+    """(cx, cy, n): rows in each hexagon that has any; rows without x or y are left out."""
+    placed = rows.select(known(x.cast("double")).alias("x"), known(y.cast("double")).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+    return placed.select(hexagon(F.col("x"), F.col("y"), dx, dy).alias("h")).groupBy("h.cx", "h.cy").agg(F.count("*").alias("n"))
+
+
 def rounded_columns(df: DataFrame, digits: int = 6) -> DataFrame:
     """Every double column at a fixed number of decimals, for comparison across engines."""
     return df.select(*(rounded(F.col(c), digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))

@@ -61,7 +61,7 @@ def ols_trend(series: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     return series.groupBy(*by).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))
 
 
-def _best_through(xs: np.ndarray, ys: np.ndarray, q: float, i: int) -> tuple[float, int]:
+def _best_through(xs: np.ndarray, ys: np.ndarray, ws: np.ndarray, q: float, i: int) -> tuple[float, int]:
     """Slope of least pinball loss among the lines through point i, and another point on that line.
 
     Along the slope the loss is a sum of hinges, one where the line meets each other point; the least is where the
@@ -71,33 +71,34 @@ def _best_through(xs: np.ndarray, ys: np.ndarray, q: float, i: int) -> tuple[flo
     away = np.flatnonzero(h != 0)
     meets = d[away] / h[away]
     order = np.argsort(meets, kind="stable")
-    width = np.abs(h[away])[order]
-    steep = np.cumsum(width) - np.where(h[away] > 0, q, 1 - q) @ np.abs(h[away])
+    steps = np.abs(h[away]) * ws[away]
+    steep = np.cumsum(steps[order]) - np.where(h[away] > 0, q, 1 - q) @ steps
     k = min(int(np.searchsorted(steep, 0.0)), len(order) - 1)
     return float(meets[order[k]]), int(away[order[k]])
 
 
-def _pinball(xs: np.ndarray, ys: np.ndarray, q: float, slope: float, i: int) -> float:
+def _pinball(xs: np.ndarray, ys: np.ndarray, ws: np.ndarray, q: float, slope: float, i: int) -> float:
     rest = (ys - ys[i]) - slope * (xs - xs[i])
-    return float(np.where(rest >= 0, q * rest, (q - 1) * rest).sum())
+    return float((ws * np.where(rest >= 0, q * rest, (q - 1) * rest)).sum())
 
 
-def _quantile_line(xs: np.ndarray, ys: np.ndarray, q: float) -> tuple[float, float]:
-    """(slope, intercept) of a line of least pinball loss.
+def quantile_line(xs: np.ndarray, ys: np.ndarray, q: float, ws: np.ndarray | None = None) -> tuple[float, float]:
+    """(slope, intercept) of a line of least pinball loss over points of weight ``ws`` (1 by default); x must vary.
 
     Some best line goes through two points.  Starting from the point nearest to the least-squares line, the line is
     turned about one of its points to the best slope, then about the point it has met, until no point on it helps.
     """
+    ws = np.ones(len(xs)) if ws is None else ws
     trend = np.polyfit(xs - xs.mean(), ys, 1)
     rest = ys - np.polyval(trend, xs - xs.mean())
     i = int(np.argmin(np.abs(rest - np.quantile(rest, q))))
-    slope, j = _best_through(xs, ys, q, i)
-    loss = _pinball(xs, ys, q, slope, i)
+    slope, j = _best_through(xs, ys, ws, q, i)
+    loss = _pinball(xs, ys, ws, q, slope, i)
     while True:
         on = np.flatnonzero(np.abs((ys - ys[i]) - slope * (xs - xs[i])) <= 1e-9 * (1 + np.abs(ys - ys[i])))
         for k in (j, *on.tolist()):
-            turned, met = _best_through(xs, ys, q, k)
-            less = _pinball(xs, ys, q, turned, k)
+            turned, met = _best_through(xs, ys, ws, q, k)
+            less = _pinball(xs, ys, ws, q, turned, k)
             if less < loss * (1 - 1e-12) - 1e-300:
                 i, slope, j, loss = k, turned, met, less
                 break
@@ -108,15 +109,15 @@ def _quantile_line(xs: np.ndarray, ys: np.ndarray, q: float) -> tuple[float, flo
 def quantile_regression(points: DataFrame, x: str, y: str, by: list[str], probs: list[float]) -> DataFrame:
     """(by, quantile, slope, intercept) of a line that minimises the pinball loss, exactly; null where x takes one value only.
 
-    A group goes to one task as two columns of doubles, some hundred MB for ten million points; callers aggregate to
-    one point per event or cell and year, and split by a key.
+    A group goes to one task as two columns of doubles, some hundred MB for ten million points; groups that may be
+    larger go to ``regression.large_quantile_regression``.
     """
     schema = points.select(*by).schema.add("quantile", "double").add("slope", "double").add("intercept", "double")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         good = pdf[[x, y]].dropna().sort_values([x, y])
         xs, ys = good[x].to_numpy(float), good[y].to_numpy(float)
-        rows = [(q, *(_quantile_line(xs, ys, q) if good[x].nunique() > 1 else (None, None))) for q in probs]
+        rows = [(q, *(quantile_line(xs, ys, q) if good[x].nunique() > 1 else (None, None))) for q in probs]
         out = pd.DataFrame(rows, columns=["quantile", "slope", "intercept"])
         for i, c in enumerate(by):
             out.insert(i, c, pdf[c].iloc[0])

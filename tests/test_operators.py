@@ -302,3 +302,19 @@ def test_stored_table_is_built_again_when_it_has_gone(spark, tmp_path):
     fs, path = workspace.place(spark, place)
     fs.delete(path, True)
     assert workspace.stored(spark, "twice", [source], build).first()["n"] == 2 and len(built) == 2
+
+
+def test_hexagons_are_the_nearest_centres(spark):
+    rng = np.random.default_rng(3)
+    dx, dy = 2.0, 0.5
+    pts = np.c_[rng.uniform(-9, 9, 400), rng.uniform(-3, 3, 400)]
+    pts[:4] = [(0, 0), (1.0, 0.375), (-1.0, -0.375), (2.0, 0.0)]  # centres of both lattices
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in pts], "x double, y double")
+    rows = df.select("x", "y", stats.hexagon(F.col("x"), F.col("y"), dx, dy).alias("h")).select("x", "y", "h.*").collect()
+    centres = [(i * dx, j * 1.5 * dy) for i in range(-8, 9) for j in range(-8, 9)] + [((i + 0.5) * dx, (j * 1.5 + 0.75) * dy) for i in range(-8, 9) for j in range(-8, 9)]
+    for r in rows:
+        away = [((r.x - a) / dx) ** 2 + ((r.y - b) / dy) ** 2 * 4 / 3 for a, b in centres]
+        assert ((r.x - r.cx) / dx) ** 2 + ((r.y - r.cy) / dy) ** 2 * 4 / 3 == pytest.approx(min(away), abs=1e-12)
+        assert min(abs(a - r.cx) + abs(b - r.cy) for a, b in centres) < 1e-9
+    odd = df.union(spark.createDataFrame([(None, 1.0), (1.0, math.nan)], df.schema))
+    assert stats.histogram_hexagons(odd, F.col("x"), F.col("y"), dx, dy).agg(F.sum("n")).first()[0] == 400
