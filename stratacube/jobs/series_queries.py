@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from stratacube.jobs.declare import registrar
 from stratacube.jobs.sql import CELL, ENSEMBLE, GRID, HOURLY, MASK, PEI, RANKS, r
-from stratacube.operators import continued, quantiles, resample, selection, windows
+from stratacube.operators import continued, kernels, quantiles, resample, selection, windows
 from stratacube.operators.indicators import reference_evapotranspiration, water_balance
 from stratacube.sources import views
 from stratacube.sources.workspace import Workspace
@@ -48,6 +48,24 @@ def rank_append(spark, d):
     return kept.ranks("rt").select("ilon", "ilat", "time", "rt")
 
 
+def _rank_on_land(days, cell):
+    """Heat rank of every day of a cell that is mostly land; none elsewhere."""
+    import numpy as np
+
+    order = np.argsort(-days["heat"], kind="stable")
+    rank = np.empty(len(days))
+    rank[order] = np.arange(1, len(days) + 1) / len(days)
+    return {"time": days["time"], "rt": rank if cell["lsm"][0] > 0.5 else np.full(len(days), np.nan)}
+
+
+@query(f"WITH {RANKS}, {MASK} SELECT ilon, ilat, time, {r('CASE WHEN lsm > 0.5 THEN rt END')} AS rt FROM ranks JOIN mask USING (ilon, ilat)")
+def kernel_rank(spark, d):
+    """The heat rank as a user's function over two cubes, days and cells."""
+    days = kernels.Input(views.grid_daily(spark, d).select("ilon", "ilat", "time", F.round("t2mmax", 9).alias("heat")), ("time",), ("heat",))
+    cell = kernels.Input(views.mask(spark, d), (), ("lsm",))
+    return kernels.map_cubes(_rank_on_land, [days, cell], kernels.Output({"time": "date"}, {"rt": "double"}))
+
+
 @query(f"WITH {HOURLY} SELECT ilon, ilat, ts, {r('SUM(tp) OVER (PARTITION BY ilon, ilat ORDER BY ts ROWS BETWEEN 12 PRECEDING AND 11 FOLLOWING)')} AS rs FROM hourly")
 def rolling_sum_centered(spark, d):
     return windows.rolling_sum(views.hourly(spark, d), F.col("tp"), 12, 11, "rs", "ts").select("ilon", "ilat", "ts", "rs")

@@ -9,7 +9,7 @@ from stratacube.functions.columns import area_weight, wmean
 from stratacube.jobs.declare import registrar
 from stratacube.jobs.event_queries import labels
 from stratacube.jobs.sql import EVENT, GRID, MASK, RANKS, YEARS, components as components_sql, r
-from stratacube.operators import regression, selection, states, stats, subset, trends
+from stratacube.operators import kernels, regression, selection, states, stats, subset, trends
 from stratacube.sources import views
 from stratacube.sources.layout import CubeLayout
 from stratacube.sources.workspace import Workspace
@@ -290,13 +290,36 @@ def land_weight_cont(spark, d):
     return cells.groupBy("cont").agg(F.sum(area_weight(F.col("lat")) * F.col("lsm")).alias("area"))
 
 
-@query(f"""WITH {EVENT} SELECT ilon, ilat, CAST(YEAR(time) AS INT) AS year, kind, CAST(SUM(CASE WHEN hit THEN 1 ELSE 0 END) AS BIGINT) AS days
+_EVENT_DAYS = f"""WITH {EVENT} SELECT ilon, ilat, CAST(YEAR(time) AS INT) AS year, kind, CAST(SUM(CASE WHEN hit THEN 1 ELSE 0 END) AS BIGINT) AS days
     FROM event, (VALUES ('h'), ('d30'), ('d90'), ('d180'), ('dh')) k(kind), LATERAL (SELECT CASE kind WHEN 'h' THEN (event & 1) <> 0 WHEN 'd30' THEN (event & 2) <> 0 WHEN 'd90' THEN (event & 4) <> 0
-      WHEN 'd180' THEN (event & 8) <> 0 ELSE event > 1 AND event % 2 = 1 END AS hit) GROUP BY 1, 2, 3, 4""")
+      WHEN 'd180' THEN (event & 8) <> 0 ELSE event > 1 AND event % 2 = 1 END AS hit) GROUP BY 1, 2, 3, 4"""
+
+
+@query(_EVENT_DAYS)
 def annual_event_days(spark, d):
     return stats.event_days(views.grid_event(spark, d).withColumn("year", F.year("time")))
 
 
+_KINDS = {"h": lambda e: e & 1 > 0, "d30": lambda e: e & 2 > 0, "d90": lambda e: e & 4 > 0, "d180": lambda e: e & 8 > 0, "dh": lambda e: (e > 1) & (e % 2 == 1)}
+
+
+def _count_days(cube):
+    """Days of each kind in each year of a cell."""
+    import numpy as np
+
+    years, of = np.unique(cube["time"].astype("datetime64[Y]").astype(int) + 1970, return_inverse=True)
+    code = cube["event"].astype(int)
+    days = np.stack([np.bincount(of, weights=test(code), minlength=len(years)) for test in _KINDS.values()])
+    return {"year": np.tile(years, len(_KINDS)), "kind": np.repeat(np.array(list(_KINDS), dtype=object), len(years)), "days": days.ravel().astype(int)}
+
+
+@query(_EVENT_DAYS)
+def kernel_event_days(spark, d):
+    """The annual counts as a user's function with two output axes, years and kinds."""
+    cube = kernels.Input(views.grid_event(spark, d).select("ilon", "ilat", "time", "event"), ("time",), ("event",))
+    return kernels.map_cubes(_count_days, [cube], kernels.Output({"year": "integer", "kind": "string"}, {"days": "long"}, {"kind": list(_KINDS)}))
+
+
 @query(f"""WITH {EVENT} SELECT CAST(YEAR(time) AS INT) AS year, COUNT(*) AS n, {r(_area('(event & 1) <> 0'))} AS heat, {r(_area('(event & 2) <> 0'))} AS drought30, {r(_area('(event & 4) <> 0'))} AS drought90,
     {r(_area('(event & 8) <> 0'))} AS drought180, {r(_area('event > 1 AND event % 2 = 1'))} AS compound, {r(f'SUM({W})')} AS volume FROM event WHERE event > 0 GROUP BY 1""")
 def count_year(spark, d):
