@@ -11,7 +11,8 @@ from stratacube.jobs.event_queries import labels
 from stratacube.jobs.sql import EVENT, GRID, HOURLY, REF, components as components_sql, r
 from stratacube.operators import events
 from stratacube.operators.windows import share_of_total as with_share
-from stratacube.sources import checks, readers, views
+from stratacube.sources import checks, chunked, readers, views, writers
+from stratacube.sources.workspace import Workspace
 from stratacube.streaming.daily import daily_from_stream
 
 QUERIES: dict = {}
@@ -189,3 +190,40 @@ def string_keys(spark, d):
 def stream_daily(spark, d):
     """Events as a stream, summed by cell and day under a watermark, written as they close."""
     return daily_from_stream(spark, f"{d}/events.parquet")
+
+
+@query(f"""WITH {GRID} SELECT ilon, ilat, time, {r('t2mmax')} AS t2mmax, {r('tp')} AS tp FROM grid WHERE ilon >= 1 AND ilat <= 2 AND time >= DATE '1995-06-01' AND time < DATE '1997-03-15'""")
+def chunked_store_box(spark, d):
+    """A box of the grid from a chunked array store; only the chunks that meet it are opened."""
+    ws = Workspace(spark, "chunked_store")
+    grid = ws.save(views.grid_daily(spark, d).select("ilon", "ilat", "time", "t2mmax", "tp"), "grid")
+    days = grid.select(F.explode(F.sequence(F.min("time"), F.max("time")))).collect()  # one side of the cube
+    sides = {"ilon": list(range(views.NLON)), "ilat": list(range(views.NLAT)), "time": [r[0] for r in days]}
+    chunked.create_store(f"{ws.path}/store", sides, {"t2mmax": "<f8", "tp": "<f8"}, {"ilon": 2, "ilat": 2, "time": 365}, {"id": "zlib", "level": 1})
+    chunked.write_store(grid, f"{ws.path}/store")
+    box = (F.col("ilon") >= 1) & (F.col("ilat") <= 2) & (F.col("time") >= F.lit("1995-06-01").cast("date")) & (F.col("time") < F.lit("1997-03-15").cast("date"))
+    got = chunked.read_store(spark, f"{ws.path}/store", "t2mmax", "tp").where(box)
+    return got.select(F.col("ilon").cast("int").alias("ilon"), F.col("ilat").cast("int").alias("ilat"), "time", "t2mmax", "tp")
+
+
+@query(f"""WITH {EVENT} SELECT CAST(YEAR(time) AS INT) AS year, event, COUNT(*) AS days, {r('AVG(t2mmax)')} AS t2mmax FROM event GROUP BY 1, 2""")
+def csv_report(spark, d):
+    """Days and mean heat of each code and year, written as CSV and read back."""
+    ws = Workspace(spark, "csv_report")
+    writers.write_csv(views.grid_event(spark, d).groupBy(F.year("time").alias("year"), "event").agg(F.count("*").alias("days"), F.avg("t2mmax").alias("t2mmax")), f"{ws.path}/report")
+    return readers.read_event_list(spark, f"{ws.path}/report", "year int, event int, days bigint, t2mmax double")
+
+
+@query(f"""WITH {GRID}, m AS (SELECT * FROM (VALUES ('t2mmax', 'K', 'largest temperature of the day'), ('tp', 'm', 'rain')) v(layer, units, long_name)), n AS (SELECT COUNT(t2mmax) AS a, COUNT(tp) AS b FROM grid)
+    SELECT layer, units, long_name, CASE layer WHEN 'tp' THEN b ELSE a END AS n FROM m, n""")
+def layer_metadata(spark, d):
+    """Properties of layers as they come back from a stored cube, with the number of values."""
+    ws = Workspace(spark, "layer_metadata")
+    named = views.grid_daily(spark, d).select("ilon", "ilat", "time", "t2mmax", "tp")
+    named = writers.with_metadata(named, "t2mmax", units="K", long_name="largest temperature of the day")
+    writers.write_cube(writers.with_metadata(named, "tp", units="m", long_name="rain"), f"{ws.path}/cube")
+    cube = readers.read_cube(spark, f"{ws.path}/cube")
+    layers = [f for f in cube.schema if "units" in f.metadata]
+    counts = cube.agg(*(F.count(f.name).alias(f.name) for f in layers)).unpivot([], [f.name for f in layers], "layer", "n")
+    told = F.create_map(*(x for f in layers for x in (F.lit(f.name), F.struct(F.lit(f.metadata["units"]).alias("units"), F.lit(f.metadata["long_name"]).alias("long_name")))))
+    return counts.select("layer", told[F.col("layer")]["units"].alias("units"), told[F.col("layer")]["long_name"].alias("long_name"), "n")
