@@ -346,11 +346,7 @@ def code_days(spark, d):
     UNION ALL SELECT ilon, ilat, 'sum', {r('SUM(t2mmax)')} FROM event GROUP BY 1, 2 UNION ALL SELECT ilon, ilat, 'mean', {r('AVG(t2mmax)')} FROM event GROUP BY 1, 2
     UNION ALL SELECT ilon, ilat, 'first', {r('ARG_MIN(t2mmax, time)')} FROM event GROUP BY 1, 2""")
 def collapse_axis(spark, d):
-    cube, out = views.grid_event(spark, d), None
-    for how in ("max", "min", "sum", "mean", "first"):
-        one = stats.collapse(cube, "t2mmax", ["ilon", "ilat"], how).select("ilon", "ilat", F.lit(how).alias("how"), F.col("t2mmax").alias("value"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return stats.collapse_all(views.grid_event(spark, d), "t2mmax", ["ilon", "ilat"], ["max", "min", "sum", "mean", "first"])
 
 
 @query(f"""WITH {GRID} SELECT CAST(FLOOR(ROUND(t2m - 273.15, 6) / 2) AS BIGINT) AS bx, CAST(FLOOR(ROUND(tp * 1000, 6) / 0.5) AS BIGINT) AS by_, COUNT(*) AS n FROM grid GROUP BY 1, 2""")

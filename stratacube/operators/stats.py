@@ -99,10 +99,13 @@ def weighted_variance(rows: DataFrame, value: str, weight: Column, by: list[str]
 
 
 def weighted_histogram(rows: DataFrame, code: str, weight: Column, by: list[str], bins: int = 17) -> DataFrame:
-    """Summed weight of each code 0 .. bins - 1 in each group; codes that a group lacks count 0."""
-    sums = rows.groupBy(*by, F.col(code).cast("int").alias("code")).agg(F.sum(weight).alias("area"))
-    dense = rows.select(*by).distinct().select(*by, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("code"))
-    return dense.join(sums, [*by, "code"], "left").withColumn("area", F.coalesce("area", F.lit(0.0)))
+    """Summed weight of each code 0 .. bins - 1 in each group; codes that a group lacks count 0, other codes are left out.
+
+    One pass: the sums of a group's codes are one row, spread over the codes afterwards.
+    """
+    c = F.col(code).cast("int")
+    wide = rows.groupBy(*by).agg(F.array(*(F.coalesce(F.sum(F.when(c == k, weight)), F.lit(0.0)) for k in range(bins))).alias("__a"))
+    return wide.select(*by, F.posexplode("__a").alias("code", "area"))
 
 
 def event_days(cube: DataFrame, code: str = "event", by=("ilon", "ilat", "year")) -> DataFrame:
@@ -119,12 +122,20 @@ def listed_label(cells: DataFrame, listed: DataFrame, out: str, label: str = "la
     return hits.select(*by, F.coalesce(11 - F.col("i"), F.lit(0)).alias(out))
 
 
+_REDUCE = {"sum": lambda v, o: F.sum(v), "max": lambda v, o: F.max(v), "min": lambda v, o: F.min(v), "mean": lambda v, o: F.avg(v), "first": F.min_by}
+
+
 def collapse(cube: DataFrame, value: str, keep: list[str], how: str, order: str = "time") -> DataFrame:
     """Reduce all axes but ``keep`` by sum, max, min, mean, first or mode (the last without zeros)."""
     if how == "mode":
         return mode_nonzero(cube, value, order, keep).withColumnRenamed("mode", value)
-    pick = {"sum": F.sum(value), "max": F.max(value), "min": F.min(value), "mean": F.avg(value), "first": F.min_by(value, order)}
-    return cube.groupBy(*keep).agg(pick[how].alias(value))
+    return cube.groupBy(*keep).agg(_REDUCE[how](value, order).alias(value))
+
+
+def collapse_all(cube: DataFrame, value: str, keep: list[str], how: list[str], order: str = "time") -> DataFrame:
+    """(keep, how, value): several reductions in one pass."""
+    wide = cube.groupBy(*keep).agg(*(_REDUCE[h](value, order).cast("double").alias(f"__{h}") for h in how))
+    return wide.unpivot(keep, [f"__{h}" for h in how], "how", "value").withColumn("how", F.substring("how", 3, 99))
 
 
 def histogram_2d(rows: DataFrame, x: Column, y: Column, dx: float, dy: float) -> DataFrame:

@@ -1,7 +1,7 @@
 """Trend tests and regressions on short series (years), many groups at a time.
 
 Pairs are formed within a group only, by an equi-join on the group; a series has tens of years, so the pairs of a
-group are bounded by the calendar, not by the data.
+group are bounded by the calendar, not by the data.  A series of more than ``LONGEST`` points fails the job.
 """
 
 from __future__ import annotations
@@ -16,8 +16,14 @@ from pyspark.sql import functions as F
 from stratacube.functions.columns import normal_tails
 
 
+#: Points of a series whose pairs are formed.
+LONGEST = 2000
+
+
 def _pairs(series: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     s = series.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    long = F.raise_error(F.lit(f"a series has more than {LONGEST} points")).cast("boolean")
+    s = s.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*by))).where(F.when(F.col("__n") > LONGEST, long).otherwise(F.lit(True)))
     a = s.select(*by, F.col(x).cast("double").alias("x1"), F.col(y).cast("double").alias("y1"))
     b = s.select(*by, F.col(x).cast("double").alias("x2"), F.col(y).cast("double").alias("y2"))
     return a.join(b, by)

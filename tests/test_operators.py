@@ -318,3 +318,11 @@ def test_hexagons_are_the_nearest_centres(spark):
         assert min(abs(a - r.cx) + abs(b - r.cy) for a, b in centres) < 1e-9
     odd = df.union(spark.createDataFrame([(None, 1.0), (1.0, math.nan)], df.schema))
     assert stats.histogram_hexagons(odd, F.col("x"), F.col("y"), dx, dy).agg(F.sum("n")).first()[0] == 400
+
+
+def test_pairs_of_a_long_series_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(trends, "LONGEST", 10)
+    table = spark.createDataFrame([(1, y, float(y)) for y in range(10)] + [(2, y, float(y)) for y in range(11)], "cell int, year int, y double")
+    assert trends.theil_sen(table.where("cell = 1"), "year", "y", ["cell"]).count() == 1
+    with pytest.raises(Exception, match="more than 10 points"):
+        trends.mann_kendall(table, "year", "y", ["cell"]).collect()
