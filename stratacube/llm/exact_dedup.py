@@ -83,12 +83,13 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     of rows without id, or of one id, only those with a kept text stay.
     """
     ws = Workspace(docs.sparkSession, "exact")
-    kept = ws.save(exact_groups(docs, id_col, text_col, normalise).where("kept").select(F.col("id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct(), "kept")
+    own, one, sha = (tb.unused(n, docs.columns) for n in ("__own", "__id", "__sha"))
+    kept = ws.save(exact_groups(docs, id_col, text_col, normalise).where("kept").select(F.col("id").alias(one), F.col("text_sha256").alias(sha)).distinct(), "kept")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     text = F.coalesce(normalise(text), F.lit("")) if normalise else text
-    out = docs.withColumn("__own", F.sha2(F.encode(text, "UTF-8"), 256))
-    out = out.join(kept, F.col(id_col).cast("long").eqNullSafe(kept["__id"]) & (F.col("__own") == kept["__sha"]), "left_semi")
+    out = docs.withColumn(own, F.sha2(F.encode(text, "UTF-8"), 256))
+    out = out.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col(one)) & (F.col(own) == F.col(sha)), "left_semi")
     total = docs.select(F.count("*").alias("n"), F.count_distinct(F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).alias("d")).first()
     if total.n != total.d:
-        out = out.dropDuplicates([id_col, "__own"])
-    return out.drop("__own")
+        out = out.dropDuplicates([id_col, own])
+    return out.drop(own)

@@ -257,7 +257,7 @@ def extract_main_text(pages: DataFrame, html_col: str = "html", out_col: str = "
     Null and empty pages, and pages without article text, give an empty text.  Blocks are never cut or capped;
     repeated rows give repeated results.  Columns named like the two results are replaced.
     """
-    own = [c for c in pages.columns if c not in (html_col, out_col, "n_chars")]
+    own = tb.others(pages.columns, (html_col, out_col, "n_chars"))
     schema = pages.select(*own).schema.add(out_col, "string").add("n_chars", "long")
 
     def run(batches):
@@ -265,4 +265,4 @@ def extract_main_text(pages: DataFrame, html_col: str = "html", out_col: str = "
             texts = [main_text(x) if x else "" for x in batch.column(len(own)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*own, out_col, "n_chars"])
 
-    return pages.select(*own, F.col(html_col).cast("string").alias("__html")).mapInArrow(tb.frugal(run), schema)
+    return pages.select(*own, F.col(html_col).cast("string").alias(tb.unused("__html", own))).mapInArrow(tb.frugal(run), schema)

@@ -13,6 +13,8 @@ from stratacube.llm import textbuf as tb
 
 #: Hash places of a trigram, and the weight that unseen trigrams get.
 FEATURES, PRIOR = 1 << 15, 0.5
+#: Languages that a model learns at most; its counts and weights are languages x FEATURES, on the driver and broadcast.
+MOST_LANGUAGES = 512
 _FOLD = np.full(256, 32, dtype=np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
 _FOLD[65:91] = np.arange(97, 123)
@@ -84,7 +86,8 @@ class Model:
 def train(docs: DataFrame, text_col: str, lang_col: str, training: Column) -> Model:
     """Trigram counts of all rows where ``training`` holds and the language is known, summed by Spark.
 
-    What reaches the driver is one count for each language and hash place, however many rows there are.
+    What reaches the driver is one count for each language and hash place, however many rows there are; more than
+    ``MOST_LANGUAGES`` languages are an error, found before anything is collected.
     """
 
     def run(batches):
@@ -105,6 +108,8 @@ def train(docs: DataFrame, text_col: str, lang_col: str, training: Column) -> Mo
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(counts[k][at])], ["lang", "feature", "c"])
 
     rows = docs.where(training & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    if rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages in {lang_col}")
     table = rows.mapInArrow(tb.frugal(run), "lang string, feature int, c long").groupBy("lang", "feature").agg(F.sum("c").alias("c")).toArrow()
     langs = sorted(set(table.column("lang").to_pylist()))
     counts = np.zeros((len(langs), FEATURES))
@@ -120,7 +125,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_out: str
     flags an ambiguous text.  Columns of these names in the input are replaced.
     """
     spark = docs.sparkSession
-    own = [c for c in docs.columns if c not in (lang_out, score_out)]
+    own, helper = tb.others(docs.columns, (lang_out, score_out)), tb.unused("__text", docs.columns)
     shared = spark.sparkContext.broadcast(model)  # languages x FEATURES, a fixed size
     schema = docs.select(*own).schema.add(lang_out, "string").add(score_out, "double")
 
@@ -128,7 +133,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_out: str
         m = shared.value
         names = np.array([*m.langs, "und"], dtype=object)
         for batch in batches:
-            text = batch.column(batch.schema.names.index("__text"))
+            text = batch.column(batch.schema.names.index(helper))
             pred, score = [], []
             for r0, r1, data, offs in tb.slices(text):
                 h, row = trigrams(data, offs)
@@ -149,9 +154,9 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_out: str
                 best = np.where(none, len(m.langs), best)
                 pred += names[best].tolist()
                 score += np.where(none, 0.0, sure).tolist()
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i, c in enumerate(batch.schema.names) if c != "__text"] + [pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*own, lang_out, score_out])
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i, c in enumerate(batch.schema.names) if c != helper] + [pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*own, lang_out, score_out])
 
-    return docs.select(*own, F.col(text_col).cast("string").alias("__text")).mapInArrow(tb.frugal(run), schema)
+    return docs.select(*own, F.col(text_col).cast("string").alias(helper)).mapInArrow(tb.frugal(run), schema)
 
 
 def fold(id_col: str, parts: int) -> Column:

@@ -4,7 +4,8 @@ Counts of words, pairs and triples are exact for every token of the corpus, and
 dealt into blocks of bounded size.  A block sends each of its distinct n-grams once, as packed sorted hashes dealt over
 ranges of the hash; the range adds the counts of all blocks up and sends them back in the order in which they came.  A
 second exchange of the same kind adds up what the arcs of a word or pair take of its mass.  With these the block
-builds the part of the automaton that its own texts can reach, so the whole is never held in one place.
+builds the part of the automaton that its own texts can reach, so the whole is never held in one place, and reads its
+texts with it: from left to right, each text carrying its state from token to token.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ BLOCK_BYTES = 12 << 20
 #: Count taken from each arc for backing off, and what is added to each unigram count.
 DISCOUNT, ADDED = 0.75, 0.1
 END = np.uint64(0x5DEECE66D1CE4E5B)
-_BITS = np.int64(22)
+#: Tokens of a text that are read in one go; a text is read in several such parts at once, each begun two tokens early.
+PART = 512
 _PREV = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -57,98 +59,6 @@ def _sorted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return by, s
 
 
-class Automaton:
-    """The automaton in one piece, for counts that fit in memory; ``Counts.walk`` is the same for a block's part of it.
-
-    States: 0 empty, then one for each frequent word, then one for each kept pair of words.
-
-    An arc has its discounted share of its state's count and, of the mass that the arcs leave, what the state behind
-    the failure arc gives its word; that mass is the weight of the failure arc.  Where only a part of a state's arcs
-    is given, ``left`` is the mass that all of them leave.
-    ``arc_key`` is state and word; ``arc_logp`` its weight; ``fail`` and ``backoff`` the failure arc of a state.
-    """
-
-    def __init__(self, words: np.ndarray, word_counts: np.ndarray, total: int, distinct: int, bits: np.int64 = _BITS):
-        self.bits = bits
-        if len(words) >= 1 << int(bits):
-            raise ValueError(f"more than {1 << int(bits)} words do not fit the keys of the arcs")
-        order = np.argsort(words)
-        self.words, self.word_counts = words[order], word_counts[order].astype(np.float64)
-        self.total, self.norm = total, total + ADDED * (distinct + 1)
-        self.word_logp = np.log10((self.word_counts + ADDED) / self.norm) if len(words) else np.zeros(0)
-        n = len(self.words)
-        self.fail, self.backoff = np.zeros(n + 1, dtype=np.int64), np.zeros(n + 1)
-        self.pairs = np.zeros(0, dtype=np.int64)
-        self.arc_key, self.arc_logp = np.zeros(0, dtype=np.int64), np.zeros(0)
-
-    def ids(self, h: np.ndarray) -> np.ndarray:
-        return _find(self.words, h)
-
-    def states(self, f: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """State after each token: the longest known suffix of what was read in the row (``first`` marks row starts)."""
-        state = f + 1
-        if len(self.pairs):
-            before = np.r_[-1, f[:-1]]
-            ok = np.flatnonzero((f >= 0) & (before >= 0) & ~first)
-            pair = _find(self.pairs, ((before[ok] + 1) << self.bits) | f[ok])
-            state[ok] = np.where(pair >= 0, pair + 1 + len(self.words), state[ok])
-        return state
-
-    def add_pairs(self, key: np.ndarray, count: np.ndarray, left: np.ndarray | None = None) -> None:
-        """Arcs from one-word states (state << bits | word), each leading to a state of its own; ``left`` by word."""
-        order = np.argsort(key)
-        key, count = key[order], count[order].astype(np.float64)
-        state, word = key >> self.bits, key & ((np.int64(1) << self.bits) - 1)
-        p = (count - DISCOUNT) / self.word_counts[state - 1]
-        left = np.r_[1.0, left] if left is not None else 1 - np.bincount(state, p, minlength=len(self.words) + 1)
-        self.backoff = np.log10(np.maximum(left, 1e-12))
-        self.backoff[0] = 0
-        self.pairs, self.pair_counts = key, count
-        self.arc_key, self.arc_logp = key, np.log10(p + left[state] * 10 ** self.word_logp[word])
-        self.fail = np.concatenate([self.fail, word + 1])
-        self.backoff = np.concatenate([self.backoff, np.zeros(len(key))])
-
-    def add_triples(self, key: np.ndarray, count: np.ndarray, left: np.ndarray | None = None) -> None:
-        """Arcs from two-word states; their failure arcs lead to the state of the second word; ``left`` by pair."""
-        order = np.argsort(key)
-        key, count = key[order], count[order].astype(np.float64)
-        state, word = key >> self.bits, key & ((np.int64(1) << self.bits) - 1)
-        n = len(self.words)
-        p = (count - DISCOUNT) / self.pair_counts[state - 1 - n]
-        left = left if left is not None else 1 - np.bincount(state - 1 - n, p, minlength=len(self.pairs))
-        at = _find(self.pairs, (self.fail[state] << self.bits) | word)
-        short = np.where(at >= 0, self.arc_logp[at] if len(self.arc_logp) else 0.0, self.backoff[self.fail[state]] + self.word_logp[word])
-        self.backoff[n + 1 :] = np.log10(np.maximum(left, 1e-12))
-        keys = np.concatenate([self.arc_key, key])
-        order = np.argsort(keys)
-        self.arc_key, self.arc_logp = keys[order], np.concatenate([self.arc_logp, np.log10(p + left[state - 1 - n] * 10**short)])[order]
-
-    def walk(self, h: np.ndarray, bounds: np.ndarray, base: np.ndarray) -> np.ndarray:
-        """log10 probability of each token, read from left to right from the empty state of its row.
-
-        ``base`` holds the tokens' unigram log10 probabilities, which the empty state emits.
-        """
-        f = self.ids(h)
-        first = np.zeros(len(h), dtype=bool)
-        first[bounds[:-1]] = True
-        at = np.r_[0, self.states(f, first)[:-1]]
-        at[first] = 0
-        out = np.zeros(len(h))
-        open_ = np.arange(len(h))
-        while len(open_):
-            s = at[open_]
-            arc = np.where((s > 0) & (f[open_] >= 0), _find(self.arc_key, (s << self.bits) | np.maximum(f[open_], 0)), -1)
-            hit = arc >= 0
-            out[open_[hit]] += self.arc_logp[arc[hit]]
-            bottom = ~hit & (s == 0)
-            out[open_[bottom]] += base[open_[bottom]]
-            on = ~hit & (s > 0)
-            out[open_[on]] += self.backoff[s[on]]
-            open_ = open_[on]
-            at[open_] = self.fail[s[on]]
-        return out
-
-
 def _pack(a: np.ndarray) -> bytes:
     """Values of eight bytes, laid out by place of the byte and compressed."""
     return len(a).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8).T).tobytes(), asbytes=True)
@@ -185,7 +95,7 @@ def _with_next(key: np.ndarray, h: np.ndarray, on: np.ndarray, place: np.ndarray
 class Block:
     """Tokens of a block's rows, and for orders 1 to 3 (index 0 to 2) its distinct n-grams by hash.
 
-    ``at`` is the n-gram that ends at each token (-1: the row has not that many before it), ``keys`` the sorted
+    ``at`` is the word, and the pair, that ends at each token (-1: nothing before it in the row), ``keys`` the sorted
     hashes, ``count`` the occurrences in training rows, ``context`` and ``tail`` the n-grams without its last and its
     first word.  Only what is in ``want`` is made.
     """
@@ -222,7 +132,7 @@ class Block:
                 one = place[by[start]]
                 self.context.append(self.at[order - 1][one - 1] if "context" in want else None)
                 self.tail.append(self.at[order - 1][one] if "tail" in want else None)
-            if "at" in want and (order < 2 or "tail" in want):
+            if "at" in want and order < 2:
                 at = np.full(len(self.h), -1, dtype=np.int64)
                 at[place[by]] = np.cumsum(new) - 1
                 self.at.append(at)
@@ -323,25 +233,83 @@ class Counts:
         for n in (0, 1):
             self.taken[n][self.wider[n]] = _answers(back, -1 - n, np.float64)
 
-    def walk(self, own: Block, norm: float) -> tuple[np.ndarray, np.ndarray]:
-        """log10 probabilities of each token: unigram, and that of ``Automaton`` with all arcs, by number of the n-gram instead of key."""
-        low = np.log10((self.count[0] + ADDED) / norm)
-        left, fail, arc = [], [], [low]
-        for n in (1, 2):
-            state, some = self.kept[n - 1], self.kept[n]
-            left.append(np.where(state, 1 - self.taken[n - 1] / np.maximum(self.count[n - 1], 1), 1.0))
-            fail.append(np.log10(np.maximum(left[-1], 1e-12)))
-            p = np.zeros(len(some))
-            context, tail = own.context[n][some], own.tail[n][some]
-            p[some] = np.log10((self.count[n][some] - DISCOUNT) / self.count[n - 1][context] + left[-1][context] * 10 ** arc[n - 1][tail])
-            arc.append(p)
-        base = low[own.at[0]]
-        out = base.copy()
-        for n in (1, 2):
-            at = np.flatnonzero(own.at[n] >= 0)
-            gram = own.at[n][at]
-            out[at] = np.where(self.kept[n][gram], arc[n][gram], fail[n - 1][own.context[n][gram]] + out[at])
-        return base, out
+
+class Automaton:
+    """The part of the weighted backoff automaton that the texts of a block can reach.
+
+    State 0 is empty, then comes one for each known word of the block and one for each known pair.  An arc reads a word:
+    it has its discounted share of its state's count and, of the mass that all arcs of the state leave, what the state
+    behind the failure arc gives the word; it leads to the state of the last two words, or of the last.  Where a state
+    has no arc for a word its failure arc is taken, which costs ``backoff`` and reads nothing; the empty state reads
+    every word, known or not.  The arcs are ``key`` (state and word, sorted), ``to`` and ``logp``.
+    """
+
+    def __init__(self, own: Block, c: Counts, norm: float):
+        word, pair, triple = c.kept
+        left = [1 - c.taken[n] / np.maximum(c.count[n], 1) for n in (0, 1)]
+        self.read = np.log10((c.count[0] + ADDED) / norm)
+        n = int(word.sum())
+        self.word_state, self.pair_state = np.where(word, np.cumsum(word), 0), n + np.cumsum(pair)
+        last = own.tail[1]  # of a pair
+        self.fail = np.r_[np.zeros(n + 1, np.int64), self.word_state[last[pair]]]
+        self.backoff = np.log10(np.maximum(np.r_[1.0, left[0][word], left[1][pair]], 1e-12))
+        two = np.zeros(len(pair))
+        from_, by = own.context[1][pair], last[pair]
+        two[pair] = np.log10((c.count[1][pair] - DISCOUNT) / c.count[0][from_] + left[0][from_] * 10 ** self.read[by])
+        state, behind = own.context[2][triple], own.tail[2][triple]
+        three = np.log10((c.count[2][triple] - DISCOUNT) / c.count[1][state] + left[1][state] * 10 ** two[behind])
+        self.bits = np.int64(max(1, len(word).bit_length()))
+        key = np.r_[(self.word_state[from_] << self.bits) | by, (self.pair_state[state] << self.bits) | last[behind]]
+        order = np.argsort(key)
+        self.key, self.to, self.logp = key[order], np.r_[self.pair_state[pair], self.pair_state[behind]][order], np.r_[two[pair], three][order]
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What each state gives its word, and the states after it."""
+        here, gain, after = state.copy(), np.zeros(len(state)), np.zeros(len(state), np.int64)
+        bottom = np.ones(len(state), dtype=bool)
+        open_ = np.flatnonzero(here)
+        while len(open_):
+            wanted = (here[open_] << self.bits) | word[open_]
+            by = np.argsort(wanted)  # searches in order stay in the cache
+            open_, arc = open_[by], _find(self.key, wanted[by])
+            hit = arc >= 0
+            read, arc, open_ = open_[hit], arc[hit], open_[~hit]
+            gain[read] += self.logp[arc]
+            after[read] = self.to[arc]
+            bottom[read] = False
+            gain[open_] += self.backoff[here[open_]]
+            here[open_] = self.fail[here[open_]]
+            open_ = open_[here[open_] > 0]
+        gain[bottom] += self.read[word[bottom]]
+        after[bottom] = self.word_state[word[bottom]]
+        return gain, after
+
+    def traverse(self, words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """log10 probability of each token of the rows, read from left to right from the empty state.
+
+        All rows are read at once.  Long rows are read in parts: the state after two tokens does not depend on what was
+        before them, so a part that begins two tokens early carries the right state into its own tokens.
+        """
+        size = np.diff(bounds)
+        parts = -(-size // PART)
+        row = np.repeat(np.arange(len(size)), parts)
+        nth = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
+        start = bounds[row] + nth * PART
+        stop = np.minimum(start + PART, bounds[row + 1])
+        begin = np.maximum(start - 2, bounds[row])
+        by = np.argsort(begin - stop, kind="stable")  # the longest first, so that those still reading come first
+        begin, start, stop = begin[by], start[by], stop[by]
+        length = stop - begin
+        out, state = np.zeros(len(words)), np.zeros(len(begin), np.int64)
+        reading = len(length)
+        for t in range(int(length.max(initial=0))):
+            while reading and length[reading - 1] <= t:
+                reading -= 1
+            at = begin[:reading] + t
+            gain, state[:reading] = self.step(state[:reading], words[at])
+            own = at >= start[:reading]
+            out[at[own]] = gain[own]
+        return out
 
 
 def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -386,7 +354,8 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
         own, given = open_(left, "at", "context", "tail")
         c = Counts(own, right)
         c.complete(right)
-        low, full = c.walk(own, total + ADDED * (distinct + 1))
+        model = Automaton(own, c, total + ADDED * (distinct + 1))
+        low, full = model.read[own.at[0]], model.traverse(own.at[0], own.bounds)
         known, at = (c.count[0][own.at[0]] > 0).astype(np.int64), own.bounds[:-1]
         known, base, full = (np.add.reduceat(x, at) for x in (known, low, full))
         return pa.table([given.column("id"), given.column("held_out"), pa.array(np.diff(own.bounds)), pa.array(known), pa.array(np.full(len(at), total, np.int64)), pa.array(base), pa.array(full)], ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])

@@ -270,16 +270,17 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     its copy.  Null, empty and blank texts have no shingles and all stay.
     """
     found = Workspace(docs.sparkSession, "near").save(ngram_components(docs, id_col, text_col, width, num, den), "found")
+    own, one, same = (tb.unused(n, docs.columns) for n in ("__own", "__id", "__hash"))
     first = found.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("m"))
-    stay = first.select(F.col("m.id").alias("__id"), F.col("m.text_hash").alias("__hash")).unionByName(found.where("component IS NULL").select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).distinct())
-    own = docs.withColumn("__own", F.xxhash64(F.col(text_col).cast("string")))
-    out = own.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash")), "left_semi")
+    stay = first.select(F.col("m.id").alias(one), F.col("m.text_hash").alias(same)).unionByName(found.where("component IS NULL").select(F.col("id").alias(one), F.col("text_hash").alias(same)).distinct())
+    out = docs.withColumn(own, F.xxhash64(F.col(text_col).cast("string")))
+    out = out.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col(one)) & (F.col(own) == F.col(same)), "left_semi")
     repeated = found.where("component IS NOT NULL").groupBy("id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
     if not repeated:
-        return out.drop("__own")
+        return out.drop(own)
     bare = F.regexp_replace(F.col(text_col).cast("string"), "[ \\t-\\r]", "") == ""
     empty = F.col(text_col).isNull() | bare
-    return out.where(empty).unionByName(out.where(~empty).dropDuplicates([id_col, "__own"])).drop("__own")
+    return out.where(empty).unionByName(out.where(~empty).dropDuplicates([id_col, own])).drop(own)
 
 
 def _plausible(pairs: DataFrame, bitmaps: DataFrame, num: int, den: int) -> DataFrame:

@@ -304,7 +304,7 @@ def _ints():
 
 def decode_pieces(rows: DataFrame, model_path: str, pieces_col: str = "pieces", out_col: str = "text") -> DataFrame:
     """``rows`` with the pieces column replaced by the text it stands for; null and empty piece lists give an empty text."""
-    own = [c for c in rows.columns if c not in (pieces_col, out_col)]
+    own = tb.others(rows.columns, (pieces_col, out_col))
 
     def run(batches):
         model = pieces(model_path, 1.0)

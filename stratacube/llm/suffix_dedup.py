@@ -310,16 +310,17 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     ws = Workspace(docs.sparkSession, "suffix")
     spans = repeated_spans(docs, id_col, text_col, min_bytes, keep_first, ws)
-    per_doc = spans.groupBy("id", "kh").agg(F.collect_list(F.struct("lo", "hi")).alias("__spans")).withColumnsRenamed({"id": "__id", "kh": "__kh"})
     added = [*columns, *([kept_text] if kept_text else [])]
-    own = [c for c in docs.columns if c not in added]
-    base = docs.select(*own, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
-    joined = base.join(per_doc, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("__text") == F.col("__kh")), "left").drop("__id", "__kh")
+    own = tb.others(docs.columns, added)
+    text_, spans_, id_, kh_ = (tb.unused(n, docs.columns) for n in ("__text", "__spans", "__id", "__kh"))
+    per_doc = spans.groupBy("id", "kh").agg(F.collect_list(F.struct("lo", "hi")).alias(spans_)).withColumnsRenamed({"id": id_, "kh": kh_})
+    base = docs.select(*own, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(text_))
+    joined = base.join(per_doc, F.col(id_col).cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64(text_) == F.col(kh_)), "left").drop(id_, kh_)
 
     def remove(batches):
         for batch in batches:
             names = batch.schema.names
-            text, spans = batch.column(names.index("__text")), batch.column(names.index("__spans"))
+            text, spans = batch.column(names.index(text_)), batch.column(names.index(spans_))
             lists = spans.to_pylist() if spans.null_count < len(spans) else [None] * len(spans)
             sizes, removed, runs, kept = [], [], [], []
             for raw, found in zip(tb.to_utf8(text), lists, strict=True):
@@ -346,7 +347,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = [pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())]
             if kept_text:
                 found.append(pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()))
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i, c in enumerate(names) if c not in ("__text", "__spans")] + found, [*own, *added])
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i, c in enumerate(names) if c not in (text_, spans_)] + found, [*own, *added])
 
     schema = base.select(*own).schema
     for name, kind in zip(added, ("long", "long", "long", "binary", "string")):

@@ -103,6 +103,20 @@ def words(data: np.ndarray, offs: np.ndarray, gap: np.ndarray = IS_SPACE) -> tup
     return start, end, np.searchsorted(offs, start, side="right") - 1
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, or the first of name_, name__, ... that no column has, whatever its case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def others(columns: list[str], results: tuple[str, ...] | list[str]) -> list[str]:
+    """The columns that are not named like a result; Spark tells names apart without their case."""
+    named = {r.lower() for r in results}
+    return [c for c in columns if c.lower() not in named]
+
+
 def _trim() -> None:
     try:
         ctypes.CDLL(None).malloc_trim(0)

@@ -59,6 +59,26 @@ def test_stages_on_odd_and_empty_tables(spark, name):
     assert ids == want.get(name, [0, 1, 2, 3, 4, 5, 5, 6, 6, 7, 8, 9])
 
 
+#: Names that helpers and results have, in other cases too.
+NAMES = ["__text", "__own", "__id", "__sha", "__hash", "__kh", "__spans", "__lang", "__sure", "__kept", "__n_removed", "KEPT", "N_Bytes", "component", "Score", "LANG_pred"]
+
+
+@pytest.mark.parametrize("name", [n for n, _ in cp.STAGES])
+def test_columns_of_clashing_names_come_through(spark, name):
+    passage = corpus.prose(31, 80)
+    rows = [(1, corpus.prose(1, 120) + " " + passage), (2, corpus.prose(2, 90) + " " + passage), (3, corpus.prose(3, 100)), (3, corpus.prose(3, 100)), (4, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, N_CHARS int")
+    docs = docs.select("*", *(F.lit(f"is {n}").alias(n) for n in NAMES))
+    out = dict(cp.STAGES)[name](spark, docs, DATA)
+    got = out.collect()
+    assert got
+    if name == "packing":
+        return
+    assert out.columns == docs.columns
+    for r in got:
+        assert [r[n] for n in NAMES] == [f"is {n}" for n in NAMES] and r["N_CHARS"] == len(r["text"] or "")
+
+
 def test_run(spark):
     out = cp.run(spark, DATA)
     assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).where(f"n > {cp.SEQUENCE_TOKENS}").count() == 0
@@ -71,8 +91,8 @@ def test_no_document_is_dropped_for_its_language(spark):
     assert all(r.doc_id in left for r in docs.collect() if len(re.findall(r"[^\W\d_]{2,}", r.text or "")) > 20)
 
 
-def test_all_eleven_are_registered():
+def test_all_are_registered():
     import __spark_entry__ as e
 
     names = [k for k in e.queries() if k == "pipeline" or k[:2] == "op" and k[2:3].isdigit()]
-    assert len(names) == 11 and {k.split("_")[0] for k in names} == {"pipeline", *(f"op{n}" for n in range(1, 11))}
+    assert len(names) == 14 and {k.split("_")[0] for k in names} == {"pipeline", *(f"op{n}" for n in range(1, 14))}

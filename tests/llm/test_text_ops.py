@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -323,31 +324,44 @@ def test_scores_use_every_pair_and_triple(spark):
         assert got[i].score == pytest.approx(sum(math.log10(p(tuple(w[max(0, k - 2) : k + 1]))) for k in range(len(w))), rel=1e-9)
 
 
+def one_block(texts, held):
+    """A block and the counts that come back to it when it is the only one."""
+    own = lm_score.Block(pa.chunked_array([pa.array(texts)]), np.array(held))
+    back = [lm_score._count(lm_score._table(own.rows(0, 1, n + 1, own.keys[n], own.count[n]), lm_score._SENT)) for n in range(3)]
+    return own, lm_score.Counts(own, pa.concat_tables(back))
+
+
 def test_automaton_is_a_distribution():
     """From every state the weights of all words and of the unseen class add up to one."""
     rng = np.random.default_rng(0)
-    text = rng.choice(6, size=3000, p=[0.4, 0.2, 0.15, 0.1, 0.1, 0.05]).astype(np.uint64) + np.uint64(10)
-    words, counts = np.unique(text, return_counts=True)
-    m = lm_score.Automaton(words, counts, len(text), len(words))
-    f = m.ids(text)
-    pair, c2 = np.unique((f[:-1] + 1) << np.int64(22) | f[1:], return_counts=True)
-    m.add_pairs(pair[c2 > 40], c2[c2 > 40])
-    first = np.zeros(len(text), dtype=bool)
-    first[0] = True
-    s = m.states(f, first)
-    two = s[:-1] > len(words)
-    triple, c3 = np.unique((s[:-1][two] << np.int64(22)) | f[1:][two], return_counts=True)
-    m.add_triples(triple[c3 > 20], c3[c3 > 20])
-    assert len(m.arc_key) > len(m.pairs) > 5
-    base = np.log10((counts + 0.1) / m.norm)
-    unseen = 0.1 / m.norm
-    for a, b in itertools.product(range(6), repeat=2):
-        total = 0.0
-        for w in range(7):
-            h = np.array([words[a], words[b], words[w] if w < 6 else np.uint64(1)], dtype=np.uint64)
-            low = np.array([base[a], base[b], base[w] if w < 6 else math.log10(unseen)])
-            total += 10 ** m.walk(h, np.array([0, 3]), low)[2]
-        assert total == pytest.approx(1.0, abs=0.02)
+    own, c = one_block([" ".join(rng.choice(list("abcdef"), size=300, p=[0.4, 0.2, 0.15, 0.1, 0.1, 0.05])), "never"], [False, True])
+    total = int(c.count[0].sum())
+    m = lm_score.Automaton(own, c, total + 0.1 * (c.kept[0].sum() + 1))
+    states = 1 + c.kept[0].sum() + c.kept[1].sum()
+    assert len(m.fail) == len(m.backoff) == states and len(m.key) == c.kept[1].sum() + c.kept[2].sum() and c.kept[0].sum() == 7
+    words = np.arange(len(own.keys[0]))  # the six, the end, and one that was never read
+    for s in range(states):
+        gain, after = m.step(np.full(len(words), s), words)
+        assert (10**gain).sum() == pytest.approx(1.0, abs=1e-9) and (after[~c.kept[0]] == 0).all()
+    # an arc leads where its word belongs: on from there by another arc or by failure arcs to the empty state
+    assert (m.fail[m.to] > 0).all() and (m.fail[m.fail] == 0).all()
+
+
+@pytest.mark.parametrize("part", [1, 2, 3, 7, 512])
+def test_traversal_carries_its_state(monkeypatch, part):
+    """Parts of any size give what one token after the other gives."""
+    rng = np.random.default_rng(part)
+    texts = [" ".join(rng.choice(list("abcdxyz"), size=n)) for n in (0, 1, 2, 3, 40, 130)]
+    own, c = one_block(texts, [False, False, False, True, False, True])
+    m = lm_score.Automaton(own, c, c.count[0].sum() + 0.1 * (c.kept[0].sum() + 1))
+    want = []
+    for a, b in itertools.pairwise(own.bounds.tolist()):
+        state = np.zeros(1, np.int64)
+        for w in own.at[0][a:b]:
+            gain, state = m.step(state, np.array([w]))
+            want.append(float(gain[0]))
+    monkeypatch.setattr(lm_score, "PART", part)
+    assert m.traverse(own.at[0], own.bounds).tolist() == pytest.approx(want, abs=1e-12)
 
 
 def test_license_base_fuzzy_and_odd(spark):
@@ -469,3 +483,25 @@ def test_languages_against_a_plain_count(spark):
         loss = sorted((sum(s * max(0.0, 1 - m * b[k]) for m, b, s in zip(margin, code, scale)) / sum(scale), langs[k]) for k in range(len(langs)))
         assert r.lang_pred == loss[0][1] and r.score == pytest.approx((loss[1][0] - loss[0][0]) / (loss[1][0] + loss[0][0]), abs=1e-4)
         assert r.held_out == (zlib.crc32(str(r.id).encode()) % 4 == 2)
+
+
+def test_pages_with_columns_named_like_the_results(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>" + corpus.prose(4, 60) + "</p>", "old", 5, "x")], "page_id long, url string, html string, TEXT string, N_CHARS int, __html string")
+    got = html_text.extract_main_text(pages)
+    assert got.columns == ["page_id", "url", "__html", "text", "n_chars"]
+    r = got.first()
+    assert r["n_chars"] == len(r["text"]) > 50 and r["__html"] == "x"
+
+
+def test_languages_nine_and_too_many(spark, monkeypatch):
+    """More languages than exhaustive codewords are made for, and more than a model takes."""
+    rng = np.random.default_rng(8)
+    letters = [list("".join(chr(97 + (k * 7 + j * 3) % 26) for j in range(7))) for k in range(9)]
+    rows = [(i, " ".join("".join(rng.choice(letters[i % 9], size=int(rng.integers(3, 8)))) for _ in range(40)), f"l{i % 9}") for i in range(360)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["id"]: r for r in language_id.identify(docs).collect()}
+    held = [i for i, r in got.items() if r["held_out"]]
+    assert len(held) > 50 and np.mean([got[i]["lang_pred"] == f"l{i % 9}" for i in held]) > 0.95
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 8)
+    with pytest.raises(ValueError, match="languages"):
+        language_id.identify(docs)
