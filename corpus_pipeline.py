@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from stratacube.llm import exact_dedup, language_id, ngram_join, packing, suffix_dedup
 from stratacube.llm.queries import tokenizer_file
+from stratacube.llm.textbuf import unused
 from stratacube.sources.workspace import Workspace
 
 #: A text whose two nearest codewords are this close to a tie has no language.
@@ -29,8 +30,9 @@ SEQUENCE_TOKENS, END_ID, TOKENIZER = 2048, 0, "byte_bpe_50k.json"
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without texts of no language: null, letterless or ambiguous ones."""
     model = language_id.train(docs, "text", "lang", F.lit(True))
-    found = language_id.predict(docs, model, "text", "__lang", "__sure")
-    return found.where((F.col("__lang") != "und") & (F.col("__sure") >= LEAST_SCORE)).drop("__lang", "__sure")
+    lang, sure = unused("__lang", docs.columns), unused("__sure", docs.columns)
+    found = language_id.predict(docs, model, "text", lang, sure)
+    return found.where((F.col(lang) != "und") & (F.col(sure) >= LEAST_SCORE)).drop(lang, sure)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,12 +47,14 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that an earlier document, or an earlier place, already has; a null text stays null."""
-    own = ("__n_bytes", "__n_removed", "__n_spans", "__kept")
+    own = tuple(unused(n, docs.columns) for n in ("__n_bytes", "__n_removed", "__n_spans", "__kept"))
     found = suffix_dedup.suffix_dedup(docs, min_bytes=PASSAGE_BYTES, keep_first=True, whole_chars=True, columns=own)
-    text = F.when(F.col("__n_removed") > 0, F.decode("__kept", "UTF-8")).otherwise(F.col("text"))
+    _, removed, _, kept = own
+    text = F.when(F.col(removed) > 0, F.decode(kept, "UTF-8")).otherwise(F.col("text"))
     found = found.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(F.col("__n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    for c in docs.columns:
+        if c.lower() == "n_chars":
+            found = found.withColumn(c, F.when(F.col(removed) > 0, F.char_length("text")).otherwise(F.col(c)).cast(docs.schema[c].dataType))
     return found.select(*docs.columns)
 
 
@@ -76,6 +80,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``; returns the rows of the last."""
     ws = Workspace(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = ws.save(stage(spark, docs, sf_dir), name)
+        if before:
+            ws.drop(before)  # no later stage reads it
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
