@@ -486,7 +486,7 @@ def test_languages_against_a_plain_count(spark):
 
 
 def test_pages_with_columns_named_like_the_results(spark):
-    pages = spark.createDataFrame([(1, "u", "<p>" + corpus.prose(4, 60) + "</p>", "old", 5, "x")], "page_id long, url string, html string, TEXT string, N_CHARS int, __html string")
+    pages = spark.createDataFrame([(1, "u", "<article><p>" + "It was the best of the days and there is not much that we have to say about it. " * 6 + "</p></article>", "old", 5, "x")], "page_id long, url string, html string, TEXT string, N_CHARS int, __html string")
     got = html_text.extract_main_text(pages)
     assert got.columns == ["page_id", "url", "__html", "text", "n_chars"]
     r = got.first()
