@@ -133,8 +133,8 @@ class Block:
                 self.context.append(self.at[order - 1][one - 1] if "context" in want else None)
                 self.tail.append(self.at[order - 1][one] if "tail" in want else None)
             if "at" in want and order < 2:
-                at = np.full(len(self.h), -1, dtype=np.int64)
-                at[place[by]] = np.cumsum(new) - 1
+                at = np.full(len(self.h), -1, dtype=np.int32)
+                at[place[by]] = np.cumsum(new, dtype=np.int32) - 1
                 self.at.append(at)
 
     def rows(self, block: int, n: int, order: int, keys: np.ndarray, values: np.ndarray) -> list[tuple]:
@@ -249,19 +249,26 @@ class Automaton:
         left = [1 - c.taken[n] / np.maximum(c.count[n], 1) for n in (0, 1)]
         self.read = np.log10((c.count[0] + ADDED) / norm)
         n = int(word.sum())
-        self.word_state, self.pair_state = np.where(word, np.cumsum(word), 0), n + np.cumsum(pair)
+        self.word_state, self.pair_state = np.where(word, np.cumsum(word, dtype=np.int32), 0), n + np.cumsum(pair, dtype=np.int32)
         last = own.tail[1]  # of a pair
-        self.fail = np.r_[np.zeros(n + 1, np.int64), self.word_state[last[pair]]]
+        self.fail = np.r_[np.zeros(n + 1, np.int32), self.word_state[last[pair]]]
         self.backoff = np.log10(np.maximum(np.r_[1.0, left[0][word], left[1][pair]], 1e-12))
-        two = np.zeros(len(pair))
-        from_, by = own.context[1][pair], last[pair]
-        two[pair] = np.log10((c.count[1][pair] - DISCOUNT) / c.count[0][from_] + left[0][from_] * 10 ** self.read[by])
-        state, behind = own.context[2][triple], own.tail[2][triple]
-        three = np.log10((c.count[2][triple] - DISCOUNT) / c.count[1][state] + left[1][state] * 10 ** two[behind])
         self.bits = np.int64(max(1, len(word).bit_length()))
-        key = np.r_[(self.word_state[from_] << self.bits) | by, (self.pair_state[state] << self.bits) | last[behind]]
+        arcs = int(pair.sum()), int(triple.sum())
+        key, to, logp = np.empty(sum(arcs), np.int64), np.empty(sum(arcs), np.int32), np.empty(sum(arcs))
+        from_, by, mine = own.context[1][pair], last[pair], slice(arcs[0])
+        key[mine] = (self.word_state[from_].astype(np.int64) << self.bits) | by
+        to[mine] = self.pair_state[pair]
+        logp[mine] = np.log10((c.count[1][pair] - DISCOUNT) / c.count[0][from_] + left[0][from_] * 10 ** self.read[by])
+        two = np.zeros(len(pair))
+        two[pair] = logp[mine]
+        from_, by, mine = own.context[2][triple], own.tail[2][triple], slice(arcs[0], None)
+        key[mine] = (self.pair_state[from_].astype(np.int64) << self.bits) | last[by]
+        to[mine] = self.pair_state[by]
+        logp[mine] = np.log10((c.count[2][triple] - DISCOUNT) / c.count[1][from_] + left[1][from_] * 10 ** two[by])
+        del two, from_, by, left
         order = np.argsort(key)
-        self.key, self.to, self.logp = key[order], np.r_[self.pair_state[pair], self.pair_state[behind]][order], np.r_[two[pair], three][order]
+        self.key, self.to, self.logp = key[order], to[order], logp[order]
 
     def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """What each state gives its word, and the states after it."""
@@ -352,13 +359,17 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         own, given = open_(left, "at", "context", "tail")
+        given = given.select(["id", "held_out"])
         c = Counts(own, right)
+        own.h = own.keys = None  # a task's memory is that of its block's arrays; what has been used goes at once
         c.complete(right)
+        words, bounds = own.at[0], own.bounds
+        known = (c.count[0] > 0)[words]
         model = Automaton(own, c, total + ADDED * (distinct + 1))
-        low, full = model.read[own.at[0]], model.traverse(own.at[0], own.bounds)
-        known, at = (c.count[0][own.at[0]] > 0).astype(np.int64), own.bounds[:-1]
-        known, base, full = (np.add.reduceat(x, at) for x in (known, low, full))
-        return pa.table([given.column("id"), given.column("held_out"), pa.array(np.diff(own.bounds)), pa.array(known), pa.array(np.full(len(at), total, np.int64)), pa.array(base), pa.array(full)], ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        del own, c
+        at = bounds[:-1]
+        known, base, full = (np.add.reduceat(x, at) for x in (known.astype(np.int64), model.read[words], model.traverse(words, bounds)))
+        return pa.table([given.column("id"), given.column("held_out"), pa.array(np.diff(bounds)), pa.array(known), pa.array(np.full(len(at), total, np.int64)), pa.array(base), pa.array(full)], ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     schema = rows.select("id", "held_out").schema
     for name, kind in (("n_tokens", "long"), ("n_known", "long"), ("train_tokens", "long"), ("base_score", "double"), ("score", "double")):
