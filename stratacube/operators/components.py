@@ -11,15 +11,16 @@ from stratacube.operators.windows import runs
 from stratacube.sources.workspace import Workspace
 
 
-def run_graph(days: DataFrame, nlon: int, nlat: int, wrap: bool, epoch: str, ws: Workspace, value: str | None = None) -> tuple[DataFrame, DataFrame]:
+def run_graph(days: DataFrame, nlon: int, nlat: int, wrap: bool, epoch: str, value: str | None = None, ws: Workspace | None = None) -> tuple[DataFrame, DataFrame]:
     """(runs with id, edges): a run of days in a cell is a node; runs of neighbouring cells that share a day are linked.
 
-    A run's id is its first voxel's place in scan order (longitude fastest, then latitude, then day).  The runs are a
-    written table, so that what ``days`` are made from is not computed for the links again.
+    A run's id is its first voxel's place in scan order (longitude fastest, then latitude, then day).  With ``ws`` the
+    runs are a written table, so that what ``days`` are made from is not computed for the links again.
     """
     key = ("ilon", "ilat", *([value] if value else []))
     day = lambda c: F.datediff(F.col(c), F.lit(epoch).cast("date")).cast("long")
-    r = ws.save(runs(days, cell=key).withColumn("id", (day("t0") * nlat + F.col("ilat")) * nlon + F.col("ilon")), "runs")
+    r = runs(days, cell=key).withColumn("id", (day("t0") * nlat + F.col("ilat")) * nlon + F.col("ilon"))
+    r = ws.save(r, "runs") if ws else r
     east = F.pmod(F.col("ilon") + 1, F.lit(nlon)) if wrap else F.col("ilon") + 1
     # runs that share a day share its month: they meet there, and only in the month in which the later one begins
     by_month = each_month(r, "t0", "t1")
@@ -39,7 +40,7 @@ def label_components(days: DataFrame, nlon: int, nlat: int, wrap: bool = True, e
     """
     ws = Workspace(days.sparkSession, "labels")
     days = ws.save(days, "days")
-    r, edges = run_graph(days, nlon, nlat, wrap, epoch, ws, value)
+    r, edges = run_graph(days, nlon, nlat, wrap, epoch, value, ws)
     comp = connected_components(edges)
     named = ws.save(r.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id")), "named")
     numbers = number_in_order(named.select("component").distinct(), "component", "label", ws)
@@ -66,7 +67,7 @@ def label_by_tiles(days: DataFrame, tile: str, nlon: int, nlat: int, epoch: str
     """
     ws = Workspace(days.sparkSession, "tiles")
     days = ws.save(days, "days")
-    r, edges = run_graph(days, nlon, nlat, True, epoch, ws, tile)
+    r, edges = run_graph(days, nlon, nlat, True, epoch, tile, ws)
     inner = connected_components(edges)
     local = ws.save(r.join(inner, "id", "left").withColumn("component", F.coalesce("component", "id")), "local")
     late = local.select("ilon", "ilat", (F.col("t1") + F.expr("interval 1 day")).cast("date").alias("t0"), F.col("component").alias("src"))

@@ -41,7 +41,7 @@ class LabelStore:
         No days, no change.  Days that are not later than the stored ones are an error.
         """
         ws = Workspace(self.spark, "label_store")
-        found, edges = run_graph(ws.save(days.select(F.col("ilon").cast("int"), F.col("ilat").cast("int"), "time"), "days"), self.nlon, self.nlat, self.wrap, self.epoch, ws)
+        found, edges = run_graph(ws.save(days.select(F.col("ilon").cast("int"), F.col("ilat").cast("int"), "time"), "days"), self.nlon, self.nlat, self.wrap, self.epoch, ws=ws)
         first = found.agg(F.min("t0")).first()[0]
         if first is None:
             return []

@@ -102,7 +102,7 @@ def test_quantile_lines_against_all_lines_through_two_points():
         for q in (0.05, 0.5, 0.8):
             loss = lambda s, c, q=q: float(np.where((r := ys - s * xs - c) >= 0, q * r, (q - 1) * r).sum())
             best = min(loss(s, ys[i] - s * xs[i]) for i in range(n) for j in range(n) if xs[i] != xs[j] for s in [(ys[j] - ys[i]) / (xs[j] - xs[i])])
-            assert loss(*trends._quantile_line(xs, ys, q)) <= best + 1e-9
+            assert loss(*trends.quantile_line(xs, ys, q)) <= best + 1e-9
 
 
 def test_erfc_is_right_in_its_own_size(spark):
