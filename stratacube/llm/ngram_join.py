@@ -27,6 +27,8 @@ CENTRES = 16
 #: Places of the short form of a set's parity bitmap, as columns of 64; the bitmap itself has twice as many places as the set members.
 BITS = 512
 _MAPS = [f"b{i}" for i in range(BITS // 64)]
+#: Classes and shingles of one block of a component whose links are counted; larger components are several blocks.
+LINK_SETS, LINK_SHINGLES = 512, 1 << 17
 
 
 def prefix_length(n, num: int, den: int):
@@ -145,12 +147,13 @@ def _in_order(rows: DataFrame, frequent: DataFrame, num: int, den: int) -> DataF
     return split.select(*keep, F.slice(F.concat(rare, last), F.lit(1), p).alias("prefix"), ((F.size(rare) >= p) | (F.size("shingles") >= F.col("n"))).alias("enough"))
 
 
-def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, num: int = 90, den: int = 100, count_links: bool = False) -> DataFrame:
     """Link documents whose distinct word shingles have Jaccard similarity >= num / den.
 
     Returns (id, n_shingles, component_id, class_id, component, text_hash), one row per input row; component_id is the
     smallest id reachable by links, class_id the smallest of an equal set, component is common to linked classes (both
-    null without shingles), text_hash tells rows of one id apart.  Words are runs of non-blank bytes after lowering A-Z.
+    null without shingles), text_hash tells rows of one id apart.  With ``count_links`` there is n_links too, the number
+    of other rows that the row is linked with, those of an equal set included; 0 without shingles.  Words are runs of non-blank bytes after lowering A-Z.
     Null, empty and blank texts have no shingles and link with nothing.  Repeated rows and equal sets are one class from the start, so a group of
     copies costs one row per class.  A row without id links like any other and names no component.  Only the named
     columns are read, whatever else the table holds.
@@ -160,7 +163,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     filters are expanded, verified and joined into components; (2) groups are expanded, and under each shingle that
     still sees several components every member meets about CENTRES others, which is all of them where the shingle has
     no more; (3) under the shingles with more, members outside the largest component meet all members of another.
-    Pairs inside a component are never formed: they cannot change one.  Filters use sizes, positions and a lower
+    Pairs inside a component are not formed there: they cannot change one.  Where links are counted, the classes of each
+    component are compared with each other once it is known (``_linked_rows``).  Filters use sizes, positions and a lower
     bound of the difference from parity bitmaps (inside the join, before a pair becomes a row); none loses a link.
     """
     spark = docs.sparkSession
@@ -174,9 +178,9 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     counted = sigs.where("n > 0").select(F.explode(F.slice("shingles", F.lit(1), plen)).alias("token")).groupBy("token").agg(F.count("*").alias("c"))
     frequent = ws.save(counted.where(f"c >= {FREQUENT}").select("token"), "frequent")
     placed = _in_order(sigs.where("n > 0"), frequent, num, den)
-    classes = ws.save(placed.groupBy("n", "key1", "key2").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("rep"), *(F.first(c).alias(c) for c in ("prefix", "enough", *_MAPS, "wide"))).select(cid, gid, "n", F.col("rep.id").alias("rep"), F.col("rep.text_hash").alias("rep_hash"), "prefix", "enough", *_MAPS, "wide"), "classes")
+    classes = ws.save(placed.groupBy("n", "key1", "key2").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("rep"), *(F.first(c).alias(c) for c in ("prefix", "enough", *_MAPS, "wide")), F.count("*").alias("rows")).select(cid, gid, "n", "rows", F.col("rep.id").alias("rep"), F.col("rep.text_hash").alias("rep_hash"), "prefix", "enough", *_MAPS, "wide"), "classes")
     ws.drop("sigs")
-    reps = ws.save(classes.select("cid", "n", "rep", "rep_hash", *_MAPS), "reps")
+    reps = ws.save(classes.select("cid", "n", "rows", "rep", "rep_hash", *_MAPS), "reps")
     bitmaps = ws.save(classes.select("cid", "n", "wide"), "bitmaps")
     # the few documents made mostly of frequent shingles are read again for their whole sets
     short = ws.save(classes.where("NOT enough").select("cid", "rep", "rep_hash"), "short")
@@ -214,7 +218,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     stars = stars.join(heads.select(F.col("gid").alias("g1"), F.col("n").alias("n1"), F.col("radius").alias("r1"), *x_map), "g1").join(heads.select(F.col("gid").alias("g2"), F.col("head").alias("c2"), F.col("n").alias("n2"), F.col("radius").alias("r2"), *y_map), "g2")
     stars = stars.where(near).where(alike(" - r1 - r2")).select("g1", "c2")
     star_pairs = stars.join(members.select(F.col("gid").alias("g1"), F.col("cid").alias("c1")), "g1").select("c1", "c2").unionByName(members.join(heads.where("size > 1").select("gid", "head"), "gid").where("cid <> head").select(F.col("cid").alias("c1"), F.col("head").alias("c2")))
-    links, comp = None, None
+    links, comp, sets = None, None, []
 
     def joined(found: DataFrame, name: str) -> None:
         """Verify pairs of classes and put what they link together."""
@@ -222,7 +226,9 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         pairs = ws.save(_plausible(found, bitmaps, num, den), f"pairs{name}")
         if links is not None and pairs.isEmpty():
             return
-        more = ws.save(_verified(docs, pairs, reps, ws, name, id_col, text_col, width, num, den), f"links{name}")
+        similar, compared = _verified(docs, pairs, reps, ws, name, id_col, text_col, width, num, den)
+        more = ws.save(similar, f"links{name}")
+        sets.append(compared)
         if links is not None and more.isEmpty():
             return
         links = more if links is None else links.unionByName(more)
@@ -258,8 +264,86 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     named = reps.select("cid", "rep").join(comp.select(F.col("id").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     by_class = named.join(named.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("cid", "rep", "component", "component_id")
+    if count_links:
+        linked = _linked_rows(sets, comp, reps, num, den)
+        by_class = by_class.join(reps.select("cid", "rows"), "cid").join(linked, "cid", "left").withColumn("n_links", F.col("rows") - 1 + F.coalesce("linked", F.lit(0)))
     out = keys.join(by_class, "cid", "left")
-    return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.col("rep").alias("class_id"), "component", "text_hash")
+    counts = [F.coalesce("n_links", F.lit(0)).alias("n_links")] if count_links else []
+    return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.col("rep").alias("class_id"), "component", "text_hash", *counts)
+
+
+def _shared(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How many members each set of ``x`` has in common with each of ``y``; a side is the members, set after set, and the sets' sizes."""
+    both = np.intersect1d(x[0], y[0])
+    out = np.zeros((len(x[1]), len(y[1])))
+    sides = []
+    for members, sizes in (x, y):
+        at = np.minimum(np.searchsorted(both, members), max(0, len(both) - 1))
+        known = both[at] == members if len(both) else np.zeros(len(members), bool)
+        by = np.argsort(at[known], kind="stable")
+        sides.append((at[known][by], np.repeat(np.arange(len(sizes)), sizes)[known][by], len(sizes)))
+    step = 1 << 13
+    for a in range(0, len(both), step):
+        tables = []
+        for at, row, n in sides:
+            i, j = np.searchsorted(at, (a, a + step))
+            table = np.zeros((n, min(step, len(both) - a)), np.float32)
+            table[row[i:j], at[i:j] - a] = 1
+            tables.append(table)
+        out += tables[0] @ tables[1].T
+    return out
+
+
+def _linked_rows(sets: list[DataFrame], comp: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+    """(cid, linked): the rows of all other classes that a class is linked with.
+
+    Links lie inside components, and both ends of each were compared in some round, so ``sets`` has the whole sets of
+    every class of a component.  A component of at most LINK_SETS classes and LINK_SHINGLES shingles is one block.  Of a
+    larger one each band of set sizes is dealt into blocks of about that size by hash, and a task compares one block with
+    itself, with another of its band or with one of the next band; further apart no sizes can link.  What a task holds is
+    bounded by two blocks and their longest text; only counts leave it, never pairs.
+    """
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        lists, side = group.column("shingles").combine_chunks(), group.column("side").to_numpy()
+        offs, flat = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
+        cid, rows = group.column("cid").to_numpy(), group.column("rows").to_numpy()
+        blocks = []
+        for s in (0, 1):
+            of = np.flatnonzero(side == s)
+            parts = [flat[offs[i] : offs[i + 1]] for i in of]
+            blocks.append((of, (np.concatenate(parts) if parts else flat[:0], np.array([len(p) for p in parts], np.int64))))
+        alone = group.column("alone")[0].as_py()
+        (a, x), (b, y) = blocks[0], blocks[0 if alone else 1]
+        k = _shared(x, y)
+        linked = den * k >= num * (x[1][:, None] + y[1][None, :] - k)
+        if alone:
+            np.fill_diagonal(linked, False)
+            return pa.table({"cid": cid[a], "linked": linked @ rows[a]})
+        return pa.table({"cid": np.r_[cid[a], cid[b]], "linked": np.r_[linked @ rows[b], linked.T @ rows[a]]})
+
+    whole = sets[0]
+    for more in sets[1:]:
+        whole = whole.unionByName(more.join(whole.select("cid"), "cid", "left_anti"))
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(den / num) if num < den else 1e-3))).cast("int")
+    seats = comp.select(F.col("id").alias("cid"), "component").join(reps.select("cid", "n", "rows"), "cid").withColumn("band", band)
+    bands = seats.groupBy("component", "band").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    all_, next_ = Window.partitionBy("component"), Window.partitionBy("component").orderBy("band")
+    bands = bands.withColumn("one", (F.sum("c").over(all_) <= LINK_SETS) & (F.sum("s").over(all_) <= LINK_SHINGLES))
+    bands = bands.withColumn("k", F.when(F.col("one"), 1).otherwise(F.greatest(F.ceil(F.col("c") / LINK_SETS), F.ceil(F.col("s") / LINK_SHINGLES))).cast("int"))
+    beside = lambda f, by: F.coalesce(F.when(~F.col("one") & (f("band").over(next_) == F.col("band") + by), f("k").over(next_)), F.lit(0))
+    bands = bands.select("component", "band", "one", "k", beside(F.lead, 1).alias("up"), beside(F.lag, -1).alias("down"))
+    placed = seats.join(bands, ["component", "band"]).withColumn("band", F.when(F.col("one"), 0).otherwise(F.col("band")))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("cid"), F.col("k")).cast("int"))
+    cells = F.expr("""concat(
+        transform(sequence(0, k - 1), l -> named_struct('low', band, 'high', band, 'i', least(own, l), 'j', greatest(own, l), 'side', int(own > l), 'alone', own = l)),
+        transform(filter(sequence(0, greatest(up - 1, 0)), l -> up > 0), l -> named_struct('low', band, 'high', band + 1, 'i', own, 'j', l, 'side', 0, 'alone', false)),
+        transform(filter(sequence(0, greatest(down - 1, 0)), l -> down > 0), l -> named_struct('low', band - 1, 'high', band, 'i', l, 'j', own, 'side', 1, 'alone', false)))""")
+    dealt = placed.select("cid", "component", "rows", cells.alias("cells")).join(whole.select("cid", "shingles"), "cid").select("cid", "component", "rows", "shingles", F.explode("cells").alias("cell"))
+    key = ["component", "low", "high", "i", "j"]
+    dealt = dealt.select("component", *(F.col(f"cell.{c}").alias(c) for c in (*key[1:], "side", "alone")), "cid", "rows", "shingles")
+    return dealt.groupBy(*key).applyInArrow(run, "cid long, linked long").groupBy("cid").agg(F.sum("linked").alias("linked"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -314,11 +398,11 @@ def _sets(docs: DataFrame, asked: DataFrame, id_col: str, text_col: str, width:
     return sets.join(asked.select("cid"), "cid", "left_semi").dropDuplicates(["cid"])
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, ws: Workspace, name: str, id_col: str, text_col: str, width: int, num: int, den: int) -> DataFrame:
-    """The pairs whose whole sets are similar enough."""
+def _verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, ws: Workspace, name: str, id_col: str, text_col: str, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs whose whole sets are similar enough; the sets of all the pairs' classes."""
     asked = pairs.select(F.col("c1").alias("cid")).union(pairs.select("c2")).distinct().join(reps.select("cid", "rep", "rep_hash"), "cid")
     sets = ws.save(_sets(docs, asked, id_col, text_col, width).select("cid", "n", "shingles"), f"sets{name}")
     one = sets.select(F.col("cid").alias("c1"), F.col("n").alias("n1"), F.col("shingles").alias("s1"))
     two = sets.select(F.col("cid").alias("c2"), F.col("n").alias("n2"), F.col("shingles").alias("s2"))
     both = pairs.join(one, "c1").join(two, "c2").where(f"{den} * least(n1, n2) >= {num} * greatest(n1, n2)").withColumn("shared", F.size(F.array_intersect("s1", "s2")))
-    return both.where(f"{den} * shared >= {num} * (n1 + n2 - shared)").select("c1", "c2")
+    return both.where(f"{den} * shared >= {num} * (n1 + n2 - shared)").select("c1", "c2"), sets

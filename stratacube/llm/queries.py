@@ -13,8 +13,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = ngram_join.ngram_components(_table(spark, sf_dir, "documents"), width=3, num=90, den=100)
-    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "class_id")
+    out = ngram_join.ngram_components(_table(spark, sf_dir, "documents"), width=3, num=90, den=100, count_links=True)
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "class_id", "n_links")
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,8 +140,10 @@ ORACLE_SQL = {
         k AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
         l AS (SELECT x, y FROM k JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 90 * (a.n + b.n - k)),
         e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+        d AS (SELECT x AS doc_id, count(*) AS n_links FROM e GROUP BY x),
         reach AS (SELECT doc_id, doc_id AS far FROM n UNION SELECT r.doc_id, e.y FROM reach r JOIN e ON r.far = e.x)
-        SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, min(far) AS component_id, any_value(class_id) AS class_id FROM n JOIN reach USING (doc_id) GROUP BY n.doc_id, n.n""",
+        SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, min(far) AS component_id, any_value(class_id) AS class_id, coalesce(any_value(n_links), 0) AS n_links
+        FROM n JOIN reach USING (doc_id) LEFT JOIN d USING (doc_id) GROUP BY n.doc_id, n.n""",
     "op9_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256

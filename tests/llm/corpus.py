@@ -70,3 +70,16 @@ def components(rows, width, num, den):
                     x, y = find(a), find(b)
                     root[max(x, y)] = min(x, y)
     return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+def link_counts(rows, width, num, den):
+    """id -> number of other rows linked with it, over all pairs."""
+    sets = [(i, shingle_set(t, width)) for i, t in rows]
+    out = {i: 0 for i, _ in sets}
+    for k, (a, x) in enumerate(sets):
+        for b, y in sets[:k]:
+            shared = len(x & y)
+            if shared and den * shared >= num * (len(x) + len(y) - shared):
+                out[a] += 1
+                out[b] += 1
+    return out

@@ -24,7 +24,40 @@ def test_ngram_components_match_all_pairs(spark, monkeypatch, width, num):
     assert sum(i != c for i, (_, c) in want.items()) > 20
 
 
+@pytest.mark.parametrize(("width", "num"), [(3, 90), (5, 80)])
+def test_ngram_links_match_all_pairs(spark, monkeypatch, width, num):
+    docs = corpus.planted(spark)
+    want = corpus.link_counts([(r.doc_id, r.text) for r in docs.collect()], width, num, 100)
+    bounds = ((512, 1 << 17), (2, 1 << 17), (512, 300))  # components in one block, and in many by number and by size
+    for sets, shingles in bounds if num == 90 else bounds[1:2]:
+        monkeypatch.setattr(ngram_join, "LINK_SETS", sets)
+        monkeypatch.setattr(ngram_join, "LINK_SHINGLES", shingles)
+        got = ngram_join.ngram_components(docs, width=width, num=num, den=100, count_links=True)
+        assert {r.id: r.n_links for r in got.collect()} == want
+    assert max(want.values()) > 3
+
+
+def test_a_large_family_of_near_copies_has_all_its_links(spark):
+    words = corpus.prose(61, 300).split(" ")
+    texts = [" ".join([*words[:k], "odd", *words[k:]]) for k in range(0, 300, 3)] + [" ".join(words[: 60 + k]) for k in range(0, 240, 5)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, texts[0]), (3, texts[3])], "doc_id long, text string")
+    want = corpus.link_counts(list(enumerate([r.text for r in docs.collect()])), 3, 90, 100)
+    got = ngram_join.ngram_components(docs, count_links=True).collect()
+    assert sorted((r.n_shingles, r.n_links) for r in got) == sorted((len(corpus.shingle_set(t, 3)), want[i]) for i, t in enumerate([r.text for r in docs.collect()]))
+
+
+def test_shared_members_are_counted_over_many_columns():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 40000, n)) for n in (30000, 20000, 5, 0)]
+    side = lambda s: (np.concatenate(s), np.array([len(x) for x in s]))
+    got = ngram_join._shared(side(sets), side(sets[::-1]))
+    assert got.tolist() == [[len(np.intersect1d(x, y)) for y in sets[::-1]] for x in sets]
+
+
 def test_ngram_odd_cases(spark):
+    links = {(r.id, r.n_shingles): r.n_links for r in ngram_join.ngram_components(corpus.odd(spark), count_links=True).collect()}
+    assert links[(0, 0)] == 0 and links[(1, 0)] == 0 and links[(3, 1)] == 0 and links[(6, 118)] == 2
+    assert ngram_join.ngram_components(corpus.none(spark), count_links=True).count() == 0
     got = ngram_join.ngram_components(corpus.odd(spark)).collect()
     by = {r.id: (r.n_shingles, r.component_id) for r in got if r.id is not None}
     assert len(got) == 13
