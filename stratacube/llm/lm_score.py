@@ -2,9 +2,10 @@
 
 Counts of words, pairs and triples are exact for every token of the corpus, and each of them is an arc.  Documents are
 dealt into blocks of bounded size.  A block sends each of its distinct n-grams once, as packed sorted hashes dealt over
-ranges of the hash; the range adds the counts of all blocks up and sends them back in the order in which they came.  A
-second exchange of the same kind adds up what the arcs of a word or pair take of its mass.  With these the block
-builds the part of the automaton that its own texts can reach, so the whole is never held in one place, and reads its
+ranges of the hash; the range adds the counts of all blocks up and sends them back in the order in which they came.  Of
+a corpus of very many blocks, groups of them are added up first, range by range, and each group is then a sender like a
+block, so that a block never sends more than a fixed number of packets.  A second exchange of the same kind adds up what
+the arcs of a word or pair take of its mass.  With these the block builds the part of the automaton that its own texts can reach, so the whole is never held in one place, and reads its
 texts with it: from left to right, each text carrying its state from token to token.
 """
 
@@ -20,6 +21,8 @@ from stratacube.sources.workspace import Workspace
 
 #: Text bytes of one block.
 BLOCK_BYTES = 12 << 20
+#: log2 of the most senders of one exchange, and of the most ranges that one of them sends to.
+FAN_BITS = 12
 #: Count taken from each arc for backing off, and what is added to each unigram count.
 DISCOUNT, ADDED = 0.75, 0.1
 END = np.uint64(0x5DEECE66D1CE4E5B)
@@ -78,9 +81,16 @@ def _unpack_keys(b: bytes) -> np.ndarray:
     return np.cumsum(_unpack(b, np.uint64), dtype=np.uint64)
 
 
-def _ranges(keys: np.ndarray, n: int) -> np.ndarray:
-    """Where each of n ranges of the hash begins in sorted keys (n + 1)."""
-    return np.searchsorted(((keys >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32), np.arange(n + 1, dtype=np.uint64))
+def _ranges(keys: np.ndarray, n: int, skip: int = 0) -> np.ndarray:
+    """Where each of n ranges of the hash begins in sorted keys (n + 1), which have their first ``skip`` bits in common."""
+    rest = (keys << np.uint64(skip)) >> np.uint64(32)
+    return np.searchsorted((rest * np.uint64(n)) >> np.uint64(32), np.arange(n + 1, dtype=np.uint64))
+
+
+def _packets(sender: int, n: int, order: int, keys: np.ndarray, values: np.ndarray, lane: int = 0, skip: int = 0) -> list[tuple]:
+    """Rows of SENT: the sorted keys and their values, cut into n ranges that are numbered from ``lane``."""
+    cut = _ranges(keys, n, skip).tolist()
+    return [(sender, order, lane + r, _pack_keys(keys[a:b]), _pack(values[a:b])) for r, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
 
 
 def _with_next(key: np.ndarray, h: np.ndarray, on: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -137,10 +147,6 @@ class Block:
                 at[place[by]] = np.cumsum(new, dtype=np.int32) - 1
                 self.at.append(at)
 
-    def rows(self, block: int, n: int, order: int, keys: np.ndarray, values: np.ndarray) -> list[tuple]:
-        cut = _ranges(keys, n).tolist()
-        return [(block, order, r, _pack_keys(keys[a:b]), _pack(values[a:b])) for r, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
-
 
 def _packed(rows: DataFrame, n_blocks: int) -> DataFrame:
     """(block, rows): the rows of each block of a batch as one compressed Arrow stream."""
@@ -169,45 +175,98 @@ def _rows(left: pa.Table) -> pa.Table:
     return pa.concat_tables([pa.ipc.open_stream(p).read_all() for p in parts])
 
 
-SENT = "block int, n int, part int, keys binary, v binary"
-BACK = "block int, n int, part int, v binary, own long, mass long"
-_SENT = pa.schema([("block", pa.int32()), ("n", pa.int32()), ("part", pa.int32()), ("keys", pa.binary()), ("v", pa.binary())])
-_BACK = pa.schema([("block", pa.int32()), ("n", pa.int32()), ("part", pa.int32()), ("v", pa.binary()), ("own", pa.int64()), ("mass", pa.int64())])
+SENT = "block int, n int, part long, keys binary, v binary"
+BACK = "block int, n int, part long, v binary, own long, mass long"
+_SENT = pa.schema([("block", pa.int32()), ("n", pa.int32()), ("part", pa.int64()), ("keys", pa.binary()), ("v", pa.binary())])
+_BACK = pa.schema([("block", pa.int32()), ("n", pa.int32()), ("part", pa.int64()), ("v", pa.binary()), ("own", pa.int64()), ("mass", pa.int64())])
 
 
 def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
     return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
-def _sums(sent: pa.Table) -> tuple[list[tuple], list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
-    """Rows of one range by block; for each row, key by key, the sum of the values of all rows, whether it is the first with a value, and whether others have the key."""
-    rows = sorted(zip(*(sent.column(c).to_pylist() for c in ("block", "n", "part", "keys", "v")), strict=True), key=lambda r: r[0])
-    kind = np.int64 if rows[0][1] > 0 else np.float64
-    keys, values = [_unpack_keys(r[3]) for r in rows], [_unpack(r[4], kind) for r in rows]
-    cut = np.cumsum([len(k) for k in keys])[:-1]
-    k, v = np.concatenate(keys), np.concatenate(values)
-    by = np.argsort(k, kind="stable")
-    s = k[by]
-    start = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-    group = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(s)]))
-    total = np.empty_like(v)
-    total[by] = np.add.reduceat(v[by], start)[group]
-    some = np.flatnonzero(v[by] > 0)
-    own = np.zeros(len(k), dtype=bool)
-    own[by[some[np.r_[True, group[some][1:] != group[some][:-1]]]] if len(some) else []] = True
-    shared = np.empty(len(k), dtype=bool)
-    shared[by] = (np.diff(np.r_[start, len(s)]) > 1)[group]
-    return rows, np.split(total, cut), np.split(own, cut), np.split(shared, cut)
+class Sums:
+    """The packets of one range: its distinct sorted ``keys`` with the ``total`` of their values and whether several senders have them (``shared``).
+
+    ``at`` is the key of each place in the packets and ``first`` whether its sender is the first with a value for it.
+    """
+
+    def __init__(self, sent: pa.Table):
+        self.rows = sorted(zip(*(sent.column(c).to_pylist() for c in ("block", "n", "part", "keys", "v")), strict=True), key=lambda r: r[0])
+        self.order, self.part = self.rows[0][1:3]
+        self.kind = np.int64 if self.order > 0 else np.float64
+        keys, values = [_unpack_keys(r[3]) for r in self.rows], [_unpack(r[4], self.kind) for r in self.rows]
+        self.cut = np.cumsum([len(k) for k in keys])[:-1]
+        k, v = np.concatenate(keys), np.concatenate(values)
+        by = np.argsort(k, kind="stable")
+        s = k[by]
+        start = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+        times = np.diff(np.r_[start, len(s)])
+        self.keys, self.shared = s[start], times > 1
+        self.at = np.empty(len(k), np.int64)
+        self.at[by] = np.repeat(np.arange(len(start)), times)
+        self.total = np.add.reduceat(v[by], start)
+        some = by[v[by] > 0]
+        self.first = np.zeros(len(k), dtype=bool)
+        self.first[some[np.r_[True, self.at[some][1:] != self.at[some][:-1]]] if len(some) else some] = True
+
+    def counts(self) -> pa.Table:
+        """To every sender, for its keys: the count, whether others have the key, whether it is the first with a value."""
+        parts = (np.split(x, self.cut) for x in (self.total[self.at], self.shared[self.at], self.first))
+        return _table([(*r[:3], _pack(t * 4 + w * 2 + o), int(o.sum()), int(t[o].sum())) for r, t, w, o in zip(self.rows, *parts, strict=True)], _BACK)
+
+    def masses(self) -> pa.Table:
+        return _table([(*r[:3], _pack(t), 0, 0) for r, t in zip(self.rows, np.split(self.total[self.at], self.cut), strict=True)], _BACK)
+
+    def answered(self, back: pa.Table) -> pa.Table:
+        """What came back for the group of these senders, as an answer to each of them."""
+        given = _answers(back, self.order, self.kind)
+        if self.order < 0:
+            self.total = given
+            return self.masses()
+        self.total = given >> 2
+        self.shared |= (given & 2) > 0
+        self.first &= ((given & 1) > 0)[self.at]
+        return self.counts()
 
 
 def _count(sent: pa.Table) -> pa.Table:
-    rows, total, own, shared = _sums(sent)
-    return _table([(r[0], r[1], r[2], _pack(t * 4 + w * 2 + o), int(o.sum()), int(t[o].sum())) for r, t, o, w in zip(rows, total, own, shared, strict=True)], _BACK)
+    return Sums(sent).counts()
 
 
 def _masses(sent: pa.Table) -> pa.Table:
-    rows, total, _, _ = _sums(sent)
-    return _table([(r[0], r[1], r[2], _pack(t), 0, 0) for r, t in zip(rows, total, strict=True)], _BACK)
+    return Sums(sent).masses()
+
+
+def _n_ranges(senders: int, fan_bits: int) -> int:
+    """Ranges of the hash that each of so many senders sends to."""
+    return senders // 2 + 1 if senders <= 1 << fan_bits else 1 << fan_bits
+
+
+def exchange(sent: DataFrame, senders: int, merge, ws: Workspace, name: str, fan_bits: int = FAN_BITS, skip: int = 0) -> DataFrame:
+    """Rows of BACK: what ``merge`` makes of all packets (rows of SENT) of a range, for every sender.
+
+    More than 2^fan_bits senders are taken together in groups of so many; a task adds up one range of one group, and the
+    groups are the senders of an exchange within that range.  Each sender has at most 2^fan_bits packets an order, so
+    their number grows with the number of blocks, times one more for each level.
+    """
+    if senders <= 1 << fan_bits:
+        return ws.save(sent.groupBy("n", "part").applyInArrow(merge, BACK), name)
+    groups = (senders - 1 >> fan_bits) + 1
+    ranges, skip = _n_ranges(groups, fan_bits), skip + fan_bits
+
+    def combine(rows: pa.Table) -> pa.Table:
+        s = Sums(rows)
+        return _table(_packets(s.rows[0][0] >> fan_bits, ranges, s.order, s.keys, s.total, s.part << fan_bits, skip), _SENT)
+
+    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+        return Sums(left).answered(right) if len(left) else _table([], _BACK)
+
+    sent = ws.save(sent, f"{name}_sent_{skip}").withColumn("group", F.shiftright("block", fan_bits))
+    above = exchange(sent.groupBy("group", "n", "part").applyInArrow(combine, SENT), groups, merge, ws, f"{name}_{skip}", fan_bits, skip)
+    above = above.withColumn("lane", F.shiftright("part", fan_bits))
+    back = sent.groupBy("group", "n", "part").cogroup(above.groupBy("block", "n", "lane")).applyInArrow(answer, BACK)
+    return ws.save(back, name)
 
 
 def _answers(back: pa.Table, n: int, kind=np.int64) -> np.ndarray:
@@ -319,7 +378,7 @@ class Automaton:
         return out
 
 
-def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, fan_bits: int = FAN_BITS) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per input row.
 
     Learns from rows where ``held_out`` is not true; scores all.  Tokens are the lower-cased (A-Z) words between
@@ -332,7 +391,7 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = int(size // block_bytes) + 1
-    parts = n_blocks // 2 + 1
+    parts = _n_ranges(n_blocks, fan_bits)
     texts = _packed(rows, n_blocks)
 
     def open_(left: pa.Table, *want: str) -> tuple[Block, pa.Table]:
@@ -341,10 +400,10 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
 
     def gather(left: pa.Table) -> pa.Table:
         own, block = open_(left, "count")[0], left.column("block")[0].as_py()
-        return _table([r for n in range(3) for r in own.rows(block, parts, n + 1, own.keys[n], own.count[n])], _SENT)
+        return _table([r for n in range(3) for r in _packets(block, parts, n + 1, own.keys[n], own.count[n])], _SENT)
 
     sent = texts.groupBy("block").applyInArrow(gather, SENT)
-    counts = ws.save(sent.groupBy("n", "part").applyInArrow(_count, BACK), "counts")
+    counts = exchange(sent, n_blocks, _count, ws, "counts", fan_bits)
     total, distinct = counts.where("n = 1").agg(F.coalesce(F.sum("mass"), F.lit(0)), F.coalesce(F.sum("own"), F.lit(0))).first()
 
     def share(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -352,10 +411,10 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
             return _table([], _SENT)
         own, block = open_(left, "at", "context")[0], left.column("block")[0].as_py()
         c = Counts(own, right)
-        return _table([r for n in (0, 1) for r in own.rows(block, parts, -1 - n, own.keys[n][c.wider[n]], c.taken[n][c.wider[n]])], _SENT)
+        return _table([r for n in (0, 1) for r in _packets(block, parts, -1 - n, own.keys[n][c.wider[n]], c.taken[n][c.wider[n]])], _SENT)
 
     shares = texts.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(share, SENT)
-    masses = ws.save(shares.groupBy("n", "part").applyInArrow(_masses, BACK), "masses")
+    masses = exchange(shares, n_blocks, _masses, ws, "masses", fan_bits)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         own, given = open_(left, "at", "context", "tail")

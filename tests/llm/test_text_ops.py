@@ -202,6 +202,43 @@ def test_chunks_follow_content():
     assert len(set(a) & set(b)) >= len(a) // 2
 
 
+def test_cuts_and_features_are_the_plain_ones():
+    """Cuts against a hash rolled byte by byte over each payload by itself, features against plain sums."""
+    rng = np.random.default_rng(8)
+    bodies = [media.payload(b) for b in (b"", b"a", corpus.prose(3, 9000).encode(), bytes(rng.integers(0, 256, 90_000).astype(np.uint8)), b"z" * 50_000, corpus.prose(4, 700).encode() * 3)]
+    for body, ends in zip(bodies, media.cuts(bodies), strict=True):
+        want, start, h = [], 0, 0
+        for i, byte in enumerate(body):
+            h = ((h << 1) + int(media.GEAR[byte])) & 0xFFFFFFFF
+            size = i + 1 - start
+            if (size >= media.LEAST and h >> (32 - media.CUT_BITS) == 0) or size == media.GREATEST or i + 1 == len(body):
+                want.append(i + 1)
+                start = i + 1
+        assert ends == want
+        n, c = len(body), Counter(body)
+        mean = sum(b * k for b, k in c.items()) / n
+        spread = math.sqrt(sum(k * (b - mean) ** 2 for b, k in c.items()) / n)
+        entropy = -sum(k / n * math.log2(k / n) for k in c.values())
+        steps = sum((a > 127) != (b > 127) for a, b in itertools.pairwise(body)) / n
+        got = dict(x.split("=") for x in media.feature(body).split(";"))
+        assert [float(got[k]) for k in ("mean", "sd", "entropy", "crossings")] == pytest.approx([mean, spread, entropy, steps], abs=6e-4)
+
+
+def test_a_shared_chunk_is_stored_once(spark):
+    """Documents that have a passage in common refer to its chunks by digest, and the store has each of them once."""
+    from stratacube.sources.workspace import Workspace
+
+    rng = np.random.default_rng(9)
+    passage = "".join(chr(97 + x) for x in rng.integers(0, 26, 60_000))
+    docs = spark.createDataFrame([(k, corpus.prose(20 + k, 200 + 50 * k) + passage) for k in range(4)], "doc_id long, text string")
+    containers, store = media.store_payloads(docs, Workspace(spark, "t"))
+    parts = [[bytes(p["digest"]) for p in r.parts if p["stored"] is None] for r in containers.collect()]
+    digests = [bytes(r.digest) for r in store.collect()]
+    plain = [{hashlib.sha256(c).digest() for c in next(iter(media.chunks([media.payload(r.text.encode())])))} for r in docs.collect()]
+    common = set.intersection(*plain)
+    assert len(common) > 10 and all(common <= set(p) for p in parts) and len(digests) == len(set(digests)) and common <= set(digests)
+
+
 def test_damaged_store_is_noticed(spark):
     from stratacube.sources.workspace import Workspace
 
@@ -327,10 +364,55 @@ def test_scores_use_every_pair_and_triple(spark):
 def one_block(texts, held):
     """A block and the counts that come back to it when it is the only one."""
     own = lm_score.Block(pa.chunked_array([pa.array(texts)]), np.array(held))
-    back = [lm_score._count(lm_score._table(own.rows(0, 1, n + 1, own.keys[n], own.count[n]), lm_score._SENT)) for n in range(3)]
+    back = [lm_score._count(lm_score._table(lm_score._packets(0, 1, n + 1, own.keys[n], own.count[n]), lm_score._SENT)) for n in range(3)]
     return own, lm_score.Counts(own, pa.concat_tables(back))
 
 
+def test_groups_of_blocks_are_added_up_first(spark, monkeypatch):
+    """Any number of levels gives the same scores, and four times the blocks send about four times the packets."""
+    texts = [corpus.prose(k % 9, 150, 80) for k in range(60)] + ["rare pair here", "rare pair here too", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held = F.col("doc_id") % 5 == 3
+    saved = {}
+
+    class Counted(lm_score.Workspace):
+        def save(self, df, name, partition_by=None):
+            out = super().save(df, name, partition_by)
+            saved[name] = out.count()
+            return out
+
+    monkeypatch.setattr(lm_score, "Workspace", Counted)
+    want = {r.id: r for r in lm_score.lm_scores(docs, held, block_bytes=2000).collect()}
+    assert set(saved) == {"counts", "masses"}
+    packets = []
+    for size in (8000, 2000):
+        saved.clear()
+        got = {r.id: r for r in lm_score.lm_scores(docs, held, block_bytes=size, fan_bits=1).collect()}
+        assert {"counts_1_2", "masses_1_2"} <= set(saved)  # three levels at the least
+        packets.append(saved["counts"])
+        assert set(got) == set(want)
+        for i, r in want.items():
+            assert got[i][:5] == r[:5] and got[i][5:] == pytest.approx(r[5:], rel=1e-12)
+    assert packets[1] <= 5 * packets[0]
+
+
+def test_sums_of_groups_keep_one_first_sender():
+    """Counts of senders taken two at a time are those of all at once; each key with a value has one first sender."""
+    rng = np.random.default_rng(4)
+    sent = []
+    for block in range(4):
+        keys = np.unique(rng.integers(0, 2**63, 30).astype(np.uint64) // np.uint64(2**58) << np.uint64(58))
+        sent.append((keys, rng.integers(0, 3, len(keys))))
+    table = lambda rows: lm_score._table([x for r in rows for x in r], lm_score._SENT)
+    flat = lm_score._count(table([lm_score._packets(b, 1, 1, *s) for b, s in enumerate(sent)])).to_pylist()
+    pairs = [table([lm_score._packets(b, 1, 1, *sent[b]) for b in two]) for two in ((0, 1), (2, 3))]
+    sums = [lm_score.Sums(p) for p in pairs]
+    above = lm_score._count(table([lm_score._packets(g, 1, 1, s.keys, s.total) for g, s in enumerate(sums)]))
+    found = [r for g, p in enumerate(pairs) for r in lm_score.Sums(p).answered(above.filter(pa.compute.equal(above["block"], g))).to_pylist()]
+    assert [(r["block"], lm_score._unpack(r["v"]).tolist(), r["own"], r["mass"]) for r in found] == [(r["block"], lm_score._unpack(r["v"]).tolist(), r["own"], r["mass"]) for r in flat]
+    assert sum(r["mass"] for r in flat) == sum(int(v.sum()) for _, v in sent)
+
+
 def test_automaton_is_a_distribution():
     """From every state the weights of all words and of the unseen class add up to one."""
     rng = np.random.default_rng(0)
