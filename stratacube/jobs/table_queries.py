@@ -101,6 +101,22 @@ def multi_part_scan(spark, d):
     return readers.read_cube(spark, path).select("ilon", "ilat", "time", "t2m")
 
 
+@query(f"WITH {GRID} SELECT CAST(YEAR(time) AS INT) AS year, COUNT(*) AS n, {r('SUM(t2m)')} AS warmth FROM grid WHERE ilat >= 2 GROUP BY 1")
+def several_folders_scan(spark, d):
+    """A cube that lies in two folders, its earlier and its later years, read as one; the latitudes are chosen in the scan."""
+    from stratacube.sources import writers
+    from stratacube.sources.workspace import Workspace
+
+    ws = Workspace(spark, "folders")
+    cube = views.grid_daily(spark, d).select("ilon", "ilat", "time", "t2m")
+    late = F.year("time") >= 1996
+    paths = [f"{ws.path}/{name}" for name in ("early", "late")]
+    for path, part in zip(paths, (cube.where(~late), cube.where(late)), strict=True):
+        writers.write_cube(part, path)
+    both = readers.read_cube(spark, *paths, columns=["ilat", "time", "t2m"]).where("ilat >= 2")
+    return both.groupBy(F.year("time").alias("year")).agg(F.count("*").alias("n"), F.sum("t2m").alias("warmth"))
+
+
 @query(f"""WITH {EVENT} SELECT CAST(YEAR(time) AS INT) AS year, {r(f'SUM(CASE WHEN (event & 1) <> 0 THEN {W} ELSE 0 END)')} AS heat,
     {r(f'SUM(CASE WHEN (event & 1) <> 0 THEN {W} ELSE 0 END) * 100 / SUM(SUM(CASE WHEN (event & 1) <> 0 THEN {W} ELSE 0 END)) OVER ()')} AS share FROM event GROUP BY 1""")
 def share_of_total(spark, d):

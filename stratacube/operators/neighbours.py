@@ -99,15 +99,38 @@ def box_mode(cube: DataFrame, value: str, widths: tuple[int, int, int], nlon: in
 
     Of equally frequent values the one that is complete first, in the order of the window, first axis fastest.
     """
-    out = _mode(cube, value, box(*widths), nlon, "last")
+    out = _most(_box_counts(cube, value, widths, nlon), value, "last")
     return out.withColumn("mode", F.when(mask, F.col("mode")).otherwise(F.lit(0).cast(out.schema["mode"].dataType))) if mask is not None else out
 
 
 def _mode(cube: DataFrame, value: str, offsets: list[tuple[int, ...]], nlon: int | None, tie: str) -> DataFrame:
-    """A row's own value comes with it through the aggregate, so the cube is not joined again; no other columns are kept."""
     centre = _spread(offsets).index((0, 0, 0))
     # an offset seen from the other side: the window's place k of a row holds the row that lies at offset k from it
     seen = _around(cube, offsets, nlon, value).groupBy("ilon", "ilat", "time", value).agg(F.count("*").alias("n"), F.max("place").alias("last"), F.max((F.col("place") == centre).cast("int")).alias("own"))
+    return _most(seen, value, tie)
+
+
+def _box_counts(cube: DataFrame, value: str, widths: tuple[int, int, int], nlon: int | None) -> DataFrame:
+    """(cell, time, value, n, last, own): how often a box has a value, the last place that has it, and whether the centre does.
+
+    One axis after the other: a row is spread over the sum of the widths, not over their product.  Time comes last, where
+    a cell's days, and the ranking after it, stay in the partition in which the second axis has put the cell.
+    """
+    key = ["ilon", "ilat", "time", value]
+    seen, stride = cube.select(*key, F.lit(1).cast("long").alias("n"), F.lit(0).alias("last"), F.lit(1).alias("own")), 1
+    for axis, half in zip(key[:3], _halves(widths), strict=True):
+        o = F.col("o")
+        place = F.date_sub("time", o) if axis == "time" else F.pmod(F.col(axis) - o, F.lit(nlon)) if axis == "ilon" and nlon else F.col(axis) - o
+        moved = seen.select("*", F.explode(F.sequence(F.lit(-half), F.lit(half))).alias("o"))
+        moved = moved.withColumns({axis: place if axis == "time" else place.cast("int"), "last": F.col("last") + (o + half) * stride, "own": F.when(o == 0, F.col("own")).otherwise(0)})
+        moved = moved.repartition("ilon", "ilat") if axis == "ilat" else moved
+        seen = moved.groupBy(*key).agg(F.sum("n").alias("n"), F.max("last").alias("last"), F.max("own").alias("own"))
+        stride *= 2 * half + 1
+    return seen
+
+
+def _most(seen: DataFrame, value: str, tie: str) -> DataFrame:
+    """A row's own value comes with it through the aggregate, so the cube is not joined again; no other columns are kept."""
     at = Window.partitionBy("ilon", "ilat", "time")
     best = F.row_number().over(at.orderBy(F.desc("n"), tie))
     mine = F.max(F.when(F.col("own") == 1, F.struct(F.col(value).alias("v")))).over(at)

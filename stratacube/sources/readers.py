@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -14,9 +16,12 @@ def decode(raw: Column, scale: float = 1.0, offset: float = 0.0, missing: float
 
 
 def read_cube(spark: SparkSession, *paths: str, columns: list[str] | None = None) -> DataFrame:
-    """One cube from any number of Parquet folders; only the named columns are read."""
-    cube = spark.read.parquet(*paths)
-    return cube.select(*columns) if columns else cube
+    """One cube from any number of Parquet folders, each partitioned or not; only the named columns are read.
+
+    Columns meet by name.  Every folder is a scan of its own, since partitions of several roots cannot be one table.
+    """
+    parts = [spark.read.parquet(p) for p in paths]
+    return reduce(DataFrame.unionByName, [p.select(*columns) for p in parts] if columns else parts)
 
 
 def one_file_per_month(names: DataFrame, suffix: str = ".parquet", drop: str = "back_extension", name: str = "path") -> DataFrame:

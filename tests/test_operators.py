@@ -176,6 +176,27 @@ def test_box_mode_takes_the_value_that_is_complete_first(spark):
     assert sorted(r["mode"] for r in masked.collect()) == [0, 0, 7, 7]
 
 
+@pytest.mark.parametrize(("widths", "nlon"), [((3, 3, 5), 6), ((1, 3, 3), None), ((5, 1, 1), 6), ((3, 5, 1), None)])
+def test_box_mode_against_a_plain_count(spark, widths, nlon):
+    """Counted one axis after the other, with missing values, gaps and a ring: as a walk through every window; two exchanges."""
+    rng = random.Random(sum(widths))
+    cube = {(x, y, t): rng.choice((None, 0, 1, 1, 2)) for x in range(6) for y in range(4) for t in range(7) if rng.random() < 0.8}
+    frame = spark.createDataFrame([(x, y, day(t), v) for (x, y, t), v in cube.items()], "ilon int, ilat int, time date, v int").repartition(3)
+    found = neighbours.box_mode(frame, "v", widths, nlon)
+    assert found._jdf.queryExecution().executedPlan().toString().count("hashpartitioning") == 2
+    want = {}
+    for (x, y, t), own in cube.items():
+        n, last = {}, {}
+        for k, (dx, dy, dt) in enumerate(neighbours.box(*widths)):
+            at = ((x + dx) % nlon if nlon else x + dx, y + dy, t + dt)
+            if at in cube:
+                n[cube[at]] = n.get(cube[at], 0) + 1
+                last[cube[at]] = k
+        want[x, y, day(t)] = (own, min(n, key=lambda v: (-n[v], last[v])))
+    assert {(r.ilon, r.ilat, r.time): (r.v, r["mode"]) for r in found.collect()} == want
+    assert neighbours.box_mode(frame.limit(0), "v", widths, nlon).count() == 0
+
+
 def test_runs_of_years_meet_once(spark):
     long = [(0, 0, day(t), 0) for t in range(500)] + [(1, 0, day(t), 1) for t in range(100, 420)] + [(3, 0, day(t), 2) for t in range(3)]
     days = spark.createDataFrame(long, "ilon int, ilat int, time date, k int")
@@ -255,6 +276,12 @@ def test_store_append_replace_and_csv(spark, tmp_path):
     writers.write_cube(cube.where("year(time) = 2001"), path)
     writers.append_days(spark, cube, path)
     assert readers.read_cube(spark, path, columns=["time"]).count() == 800
+    other = f"{tmp_path}/other"
+    writers.write_cube(cube.where("v >= 790").withColumn("ilat", F.lit(3)), other)
+    both = readers.read_cube(spark, path, other, columns=["ilat", "time", "v"])
+    assert both.groupBy("ilat").count().orderBy("ilat").collect() == [(0, 800), (3, 10)]
+    scan = both.where("v > 5 AND ilat = 3").select("v")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(v,5.0)" in scan and "ReadSchema: struct<ilat:int,v:double>" in scan
     writers.replace_years(cube.where("year(time) = 2002 AND v < 400"), path)
     assert spark.read.parquet(path).groupBy("year").count().where("year = 2002").first()["count"] == 35
     (tmp_path / "list.csv").write_text("some\nlines\nEvent,Start,North\nheat,2003.08.01,52.5\n")
