@@ -47,14 +47,20 @@ def expand_high(x: Column) -> Column:
 def nearest_cell(cells: DataFrame, points: DataFrame, tolerance: float, name: str = "name") -> DataFrame:
     """The nearest cell within ``tolerance`` degrees on both axes for each point (name, plon, plat).
 
-    Cells are dealt into bins of the tolerance, so points meet the few cells of neighbouring bins by an equi-join.
+    Cells are listed by bins of the tolerance, and each list is handed to the nine bins around it.  Points are neither
+    multiplied nor broadcast: they stream past the lists of their bin, and each list gives them one cell at most.
     """
     bins = lambda c: F.floor(c / tolerance).cast("long")
-    near = points.select("*", F.explode(F.sequence(bins(F.col("plon")) - 1, bins(F.col("plon")) + 1)).alias("bx")).select("*", F.explode(F.sequence(bins(F.col("plat")) - 1, bins(F.col("plat")) + 1)).alias("by_"))
-    placed = cells.select("*", bins(F.col("lon")).alias("bx"), bins(F.col("lat")).alias("by_"))
-    hit = near.join(placed, ["bx", "by_"]).where((F.abs(F.col("lon") - F.col("plon")) <= tolerance) & (F.abs(F.col("lat") - F.col("plat")) <= tolerance))
-    d = F.pow(F.col("lon") - F.col("plon"), 2) + F.pow(F.col("lat") - F.col("plat"), 2)
-    return hit.withColumn("r", F.row_number().over(Window.partitionBy(name).orderBy(d, "ilon", "ilat"))).where("r = 1").drop("r", "bx", "by_")
+    around = lambda c: F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1))
+    lists = cells.groupBy(bins(F.col("lon")).alias("cx"), bins(F.col("lat")).alias("cy")).agg(F.collect_list(F.struct(*cells.columns)).alias("listed"))
+    lists = lists.select("listed", "cy", around("cx").alias("bx")).select("listed", "bx", around("cy").alias("by_"))
+    placed = points.select("*", bins(F.col("plon")).alias("bx"), bins(F.col("plat")).alias("by_"))
+    inside = lambda c: (F.abs(c["lon"] - F.col("plon")) <= tolerance) & (F.abs(c["lat"] - F.col("plat")) <= tolerance)
+    d = lambda c: F.pow(c["lon"] - F.col("plon"), 2) + F.pow(c["lat"] - F.col("plat"), 2)
+    ranked = F.transform(F.filter("listed", inside), lambda c: F.struct(d(c).alias("d"), c["ilon"].alias("i"), c["ilat"].alias("j"), c.alias("cell")))
+    hit = placed.join(lists.hint("shuffle_hash"), ["bx", "by_"]).select(*points.columns, F.array_min(ranked).alias("hit")).where("hit IS NOT NULL")
+    first = F.row_number().over(Window.partitionBy(name).orderBy("hit.d", "hit.i", "hit.j"))
+    return hit.withColumn("r", first).where("r = 1").select(*points.columns, "hit.cell.*")
 
 
 def month_of(day: Column) -> Column:

@@ -353,3 +353,20 @@ def test_pairs_of_a_long_series_are_refused(spark, monkeypatch):
     assert trends.theil_sen(table.where("cell = 1"), "year", "y", ["cell"]).count() == 1
     with pytest.raises(Exception, match="more than 10 points"):
         trends.mann_kendall(table, "year", "y", ["cell"]).collect()
+
+
+def test_nearest_cells_against_every_pair_without_a_broadcast_of_points(spark):
+    cells = spark.range(400).selectExpr("cast(id % 20 AS int) AS ilon", "cast(floor(id / 20) AS int) AS ilat", "(id % 20) * 2.5 - 10 AS lon", "floor(id / 20) * 1.25 AS lat")
+    points = spark.range(300).selectExpr("if(id < 4, 0, id) AS name", "if(id = 9, null, id * 7 % 90 - 20.25) AS plon", "(id * 11 % 60) - 15.5 AS plat")
+    found = subset.nearest_cell(cells, points, 6.0)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("Generate explode") == 2  # points are neither sent whole nor multiplied
+    best, grid = {}, cells.collect()
+    for name, plon, plat in points.collect():
+        for i, j, lon, lat in grid if plon is not None else ():
+            if abs(lon - plon) <= 6 and abs(lat - plat) <= 6:
+                one = ((lon - plon) ** 2 + (lat - plat) ** 2, i, j, plon, plat, lon, lat)
+                best[name] = min(best.get(name, one), one)
+    assert 0 in best and len(best) < 290
+    got = {r["name"]: (r.ilon, r.ilat, r.plon, r.plat, r.lon, r.lat) for r in found.collect()}
+    assert found.columns == ["name", "plon", "plat", "ilon", "ilat", "lon", "lat"] and got == {k: v[1:] for k, v in best.items()}
