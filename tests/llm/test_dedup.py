@@ -5,8 +5,10 @@ import hashlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stratacube.llm import exact_dedup, ngram_join, queries, suffix_dedup
+from stratacube.sources.workspace import Workspace
 from tests.llm import corpus
 
 
@@ -103,6 +105,27 @@ def test_suffix_dedup_matches_all_windows(spark, monkeypatch, keep_first):
     assert sum(w[0] > 0 for w in want) > 20
 
 
+@pytest.mark.parametrize("keep_first", [False, True])
+def test_a_class_of_very_many_stretches_is_dealt_over_tasks(spark, monkeypatch, keep_first):
+    monkeypatch.setattr(suffix_dedup, "PART_ROWS", 4, raising=False)
+    text, other = (corpus.prose(k, 80).encode("ascii", "ignore").decode()[:n] for k, n in ((8, 120), (9, 119)))
+    docs = spark.createDataFrame([(i, text) for i in range(200)] + [(300, other), (301, other + "x"), (302, other + "x")], "doc_id long, text string")
+    held = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        spans = suffix_dedup.repeated_spans(docs, "doc_id", "text", 120, keep_first, Workspace(spark, "dealt"))
+        rows = spans.withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    first = {0, 301} if keep_first else set()
+    assert sorted((r.id, r.lo, r.hi) for r in rows) == [(i, 0, 120) for i in [*range(200), 301, 302] if i not in first]
+    by_task = [sum(r.task == t for r in rows) for t in {r.task for r in rows}]
+    assert len(by_task) > 8 and max(by_task) < 60
+
+
 def test_suffix_dedup_within_one_text_and_periods(spark):
     texts = ["ab" * 300, "xyz " * 50 + corpus.prose(8, 60) + " " + "xyz " * 50, "q" * 90]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
